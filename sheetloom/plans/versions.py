@@ -17,6 +17,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, Observation, Row, SparkSession, functions as F, types as T
 
 from sheetloom.functions.text import cell, text_of
+from sheetloom.operators.console import document_context, read_only, run_query, workspace_context
 from sheetloom.operators.edits import checked_edits, patched, rename_column, unmatched_edits
 from sheetloom.operators.grid import ROW_ID, data_columns
 from sheetloom.operators.rules import Rule
@@ -44,6 +45,16 @@ class DocumentError(ValueError):
     """A document that is missing, too wide or otherwise unusable."""
 
 
+@dataclass(frozen=True)
+class Prepared:
+    """Rows of a document that is written but not yet visible."""
+
+    document_id: str
+    path: str
+    rows: int
+    width: int
+
+
 @dataclass(frozen=True)
 class Applied:
     transformation_id: str
@@ -99,21 +110,46 @@ class DocumentStore:
 
     def create(self, name: str, df: DataFrame, cause: str = "ingest", **source: str | None) -> str:
         """Write a new document with row ids and counts taken during the write; returns its id."""
-        name = name.strip()
-        if not name:
+        if not name.strip():
             raise DocumentError("the document has no name")
-        if len(df.columns) > MAX_COLUMNS:
-            raise DocumentError(f"{len(df.columns)} columns; the limit is {MAX_COLUMNS}")
+        return self.publish(self.prepare(df), name, cause, **source)
+
+    def prepare(self, df: DataFrame) -> Prepared:
+        """Write the rows of a new document without making it visible."""
+        width = len([c for c in df.columns if c != ROW_ID])
+        if width > MAX_COLUMNS:
+            raise DocumentError(f"{width} columns; the limit is {MAX_COLUMNS}")
         document_id = uuid.uuid4().hex
-        path, rows = self._write_copy(document_id, with_row_ids(df))
+        return Prepared(document_id, *self._write_copy(document_id, with_row_ids(df)), width)
+
+    def publish(self, prepared: Prepared, name: str, cause: str, **source: str | None) -> str:
         try:
             self._commit(
-                document_id, 1, kind="copy", path=path, row_count=rows, column_count=len(df.columns), cause=cause, name=name, **source
-            )
+                prepared.document_id, 1, kind="copy", path=prepared.path, row_count=prepared.rows, column_count=prepared.width,
+                cause=cause, name=name.strip(), **source,
+            )
         except Exception:
-            files.delete(self.spark, path)
+            self.discard(prepared)
             raise
-        return document_id
+        return prepared.document_id
+
+    def discard(self, prepared: Prepared) -> None:
+        files.delete(self.spark, prepared.path)
+
+    def save_query(self, name: str, query: str, source_document_id: str | None = None) -> str:
+        """Store the result of a reading query over the current SQL context as a new document, with its lineage."""
+        if source_document_id:
+            self.entries(source_document_id)
+        result = run_query(self.spark, query)
+        return self.create(name, result, "sql", source_type="sql", source_file=name.strip(), source_document_id=source_document_id, sql=read_only(query))
+
+    def open_document_context(self, document_id: str) -> None:
+        """SQL sees this document, as ``documento`` and under its own name."""
+        document_context(self.read(document_id), self.entries(document_id)[-1].name)
+
+    def open_workspace_context(self) -> None:
+        """SQL sees every document of the store under its name."""
+        workspace_context([(name, self.read(i)) for i, name in self.names().items()])
 
     def _write_copy(self, document_id: str, df: DataFrame) -> tuple[str, int]:
         path, counted = self._fresh_path(document_id, "data"), Observation()
