@@ -137,14 +137,16 @@ def page_size(limit: int) -> int:
     return max(PAGE_MIN, min(PAGE_MAX, limit))
 
 
-def page_rows(df: DataFrame, sort: Sort | None, offset: int, limit: int, row_id: str | None = ROW_ID) -> DataFrame:
+def page_rows(
+    df: DataFrame, sort: Sort | None, offset: int, limit: int, row_id: str | None = ROW_ID, deep_offset: int = DEEP_OFFSET
+) -> DataFrame:
     """One page of 25 to 500 rows in sort order.
 
-    Up to ``DEEP_OFFSET`` rows every task keeps its best ``offset + limit`` rows. Beyond that only the sort key and the row
+    Up to ``deep_offset`` rows every task keeps its best ``offset + limit`` rows. Beyond that only the sort key and the row
     id are sorted, range by range, and the page's rows are fetched by id.
     """
     limit = page_size(limit)
-    if offset + limit <= DEEP_OFFSET or row_id is None or row_id not in df.columns:
+    if offset + limit <= deep_offset or row_id is None or row_id not in df.columns:
         return sort_rows(df, sort, row_id).offset(offset).limit(limit)
     ids = _deep_row_ids(df, sort, offset, limit, row_id)
     return sort_rows(df.where(cell(row_id).isin(ids)), sort, row_id)

@@ -200,7 +200,8 @@ def text_stats(df: DataFrame, column: str) -> DataFrame:
 
 
 def _numbers(df: DataFrame, column: str) -> DataFrame:
-    return filled_values(df, column).select(parse_double(F.col("value")).alias("x")).where("x IS NOT NULL")
+    """One number per row, NULL where there is none. A filter here would be pushed down and repeat the parsing."""
+    return df.select(value_of(df, column).alias("value")).select(parse_double(F.col("value")).alias("x"))
 
 
 def numeric_stats(df: DataFrame, column: str, approximate_median: bool = False) -> DataFrame:
@@ -239,9 +240,10 @@ def _edges(bucket: int, low: float, high: float) -> tuple[float, float]:
 
 def histogram(df: DataFrame, column: str) -> DataFrame:
     """Equal-width buckets between the smallest and largest finite number; empty buckets are absent."""
-    numbers = _numbers(df, column).select(finite(F.col("x")).alias("x")).where("x IS NOT NULL")
+    numbers = _numbers(df, column).select(finite(F.col("x")).alias("x"))
     bounds = numbers.agg(F.min("x").alias("low"), F.max("x").alias("high")).first()
-    counted = numbers.groupBy(_bucket(F.col("x"), bounds.low, bounds.high).alias("bucket")).agg(F.count("*").alias("frequency"))
+    bucket = F.when(F.col("x").isNotNull(), _bucket(F.col("x"), bounds.low, bounds.high))
+    counted = numbers.groupBy(bucket.alias("bucket")).agg(F.count("x").alias("frequency")).where("frequency > 0")
     edges = [_edges(b, bounds.low, bounds.high) for b in range(BUCKETS)] if bounds.low is not None else [(None, None)]
     at = F.col("bucket") + 1
     return counted.select(

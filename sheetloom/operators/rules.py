@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from sheetloom.functions.dates import DEFAULT_FORMAT, is_serial, parse_format
 from sheetloom.functions.identifiers import valid_cpf, valid_email
 from sheetloom.functions.numbers import parse_double
-from sheetloom.functions.text import blank, bounded_key, cell, text_of, trimmed
-from sheetloom.plans.fused import any_of, passes, union_all, unpack
+from sheetloom.functions.text import blank, bounded_key, cell, text_of, trimmed, value_of
+from sheetloom.plans.fused import any_of, passes, spread, union_all, unpack
 
 HOT_VALUES = 1000
 LISTED_VALUES = 1000
@@ -164,23 +164,27 @@ _PREDICATES = {
 RULE_TYPES = ("required", "unique", *_PREDICATES)
 
 
-def violation(rule: Rule, text: Column) -> Column:
-    """The violation predicate of a rule that looks at one cell only; never NULL. ``text`` is the untrimmed cell."""
+def broken_value(rule: Rule, value: Column) -> Column:
+    """The violation predicate of a rule that looks at one cell only, over its trimmed text; never NULL."""
     if rule.rule_type == "required":
-        return blank(text)
+        return value.isNull() | (value == "")
     if rule.rule_type not in _PREDICATES:
         raise RuleError(f"rule type '{rule.rule_type}' has no predicate on a single cell")
-    value = trimmed(text)
     return F.coalesce((value != "") & _PREDICATES[rule.rule_type](value, rule.config), F.lit(False))
 
 
+def violation(rule: Rule, text: Column) -> Column:
+    """The same predicate over the untrimmed text."""
+    return broken_value(rule, trimmed(text))
+
+
 def _check_runnable(spark: SparkSession, rule: Rule) -> None:
     """Refuse a broken rule before the scan, so that it cannot fail the others."""
     if rule.rule_type not in RULE_TYPES:
         raise RuleError(f"unknown rule type '{rule.rule_type}'")
     if rule.rule_type == "unique":
         return
-    probe = violation(rule, F.lit("x"))
+    probe = broken_value(rule, F.lit("x"))
     if rule.rule_type == "regex":
         try:
             spark.range(1).select(probe).first()
@@ -252,36 +256,41 @@ def _result(rule: Rule, status: str, total: Column, evaluated: Column, count: Co
     )
 
 
-def _column_counts(df: DataFrame, column: str, rules: Sequence[Rule], tag: int) -> tuple[list[Column], list[Column]]:
-    """Aggregates of the cell-level rules of one column, and the predicates behind them."""
-    text = text_of(df, column)
-    predicates = [violation(rule, text) for rule in rules]
-    return [F.count_if(p).alias(f"violations_{tag}_{i}") for i, p in enumerate(predicates)], predicates
+def _values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Trimmed text of the given columns under positional names, so that predicates refer to it without repeating it."""
+    return df.select(*[value_of(df, name).alias(f"v{i}") for i, name in enumerate(columns)])
 
 
-def _group_counts(df: DataFrame, column: str, rules: Sequence[Rule], tag: int) -> DataFrame:
+def _group_counts(df: DataFrame, column: str, rules: Sequence[Rule]) -> DataFrame:
     """One row of counts for a column with a uniqueness rule, from groups of equal values.
 
     Equal values break the same rules, so group sizes are enough: a group breaks ``unique`` when it has two rows.
     """
-    plain = [rule for rule in rules if rule.rule_type != "unique"]
-    aggregates, predicates = _column_counts(df, column, plain, tag)
-    value = trimmed(text_of(df, column))
-    groups = (
-        df.groupBy(F.when(value != "", bounded_key(value)).alias("group_key"))
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if(any_of(predicates)).alias("broken"), *aggregates)
+    value = F.col("v0")
+    plain = {id(rule): broken_value(rule, value) for rule in rules if rule.rule_type != "unique"}
+    marked = _values(df, [column]).select(
+        F.when(value != "", bounded_key(value)).alias("group_key"),
+        any_of(plain.values()).alias("is_broken"),
+        *[predicate.alias(f"is_broken_{i}") for i, predicate in enumerate(plain.values())],
+    )
+    groups = marked.groupBy("group_key").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if("is_broken").alias("broken"),
+        *[F.count_if(f"is_broken_{i}").alias(f"broken_{i}") for i in range(len(plain))],
     )
-    repeated = F.col("group_key").isNotNull() & (F.col("n") > 1)
-    position = {id(rule): i for i, rule in enumerate(plain)}
-    counts = [
-        F.sum(F.when(repeated, F.col("n")).otherwise(0) if rule.rule_type == "unique" else F.col(f"violations_{tag}_{position[id(rule)]}"))
-        for rule in rules
-    ]
+    filled = F.when(F.col("group_key").isNotNull(), F.col("n")).otherwise(0)
+    repeated = F.when(F.col("group_key").isNotNull() & (F.col("n") > 1), F.col("n"))
+    position = {key: i for i, key in enumerate(plain)}
+    each = [repeated if rule.rule_type == "unique" else F.col(f"broken_{position[id(rule)]}") for rule in rules]
+
+    def total(c: Column, name: str) -> Column:
+        return F.coalesce(F.sum(c), F.lit(0)).alias(name)
+
     return groups.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
-        F.coalesce(F.sum(F.when(F.col("group_key").isNotNull(), F.col("n"))), F.lit(0)).alias(f"filled_{tag}"),
-        F.coalesce(F.sum(F.when(repeated, F.col("n")).otherwise(F.col("broken"))), F.lit(0)).alias(f"problems_{tag}"),
-        *[F.coalesce(c, F.lit(0)).alias(f"counts_{tag}_{i}") for i, c in enumerate(counts)],
+        total(F.col("n"), "total"),
+        total(filled, "filled_0"),
+        total(F.coalesce(repeated, F.col("broken")), "problems_0"),
+        *[total(c, f"counts_0_{i}") for i, c in enumerate(each)],
     )
 
 
@@ -290,16 +299,20 @@ def _counted(df: DataFrame, by_column: dict[str, list[Rule]]) -> list[tuple[Data
     frames: list[tuple[DataFrame, dict[str, int]]] = []
     plain = [c for c, rules in by_column.items() if all(r.rule_type != "unique" for r in rules)]
     for part in passes(plain):
-        aggregates = [F.count(F.lit(1)).alias("total")]
+        marks, aggregates = [], [F.count(F.lit(1)).alias("total")]
         for tag, column in enumerate(part):
-            counts, predicates = _column_counts(df, column, by_column[column], tag)
-            aggregates += [c.alias(f"counts_{tag}_{i}") for i, c in enumerate(counts)]
-            aggregates.append(F.count_if(~blank(text_of(df, column))).alias(f"filled_{tag}"))
-            aggregates.append(F.count_if(any_of(predicates)).alias(f"problems_{tag}"))
-        frames.append((df.agg(*aggregates), {column: tag for tag, column in enumerate(part)}))
+            value = F.col(f"v{tag}")
+            predicates = [broken_value(rule, value) for rule in by_column[column]]
+            marks += [p.alias(f"m_{tag}_{i}") for i, p in enumerate(predicates)]
+            marks.append((value != "").alias(f"f_{tag}"))
+            names = [f"m_{tag}_{i}" for i in range(len(predicates))]
+            aggregates += [F.count_if(n).alias(n.replace("m_", "counts_")) for n in names]
+            aggregates.append(F.count_if(f"f_{tag}").alias(f"filled_{tag}"))
+            aggregates.append(F.count_if(any_of([F.col(n) for n in names])).alias(f"problems_{tag}"))
+        frames.append((_values(spread(df), part).select(*marks).agg(*aggregates), {column: tag for tag, column in enumerate(part)}))
     for column, rules in by_column.items():
         if column not in plain:
-            frames.append((_group_counts(df, column, rules, 0), {column: 0}))
+            frames.append((_group_counts(spread(df), column, rules), {column: 0}))
     return frames
 
 
