@@ -30,10 +30,9 @@ def _floating_text(c: Column) -> Column:
     java = c.cast("string")
     mantissa = F.regexp_replace(F.substring_index(java, "E", 1), r"\.0$", "")
     exponent = F.substring_index(java, "E", -1)
-    padded = F.when(
-        exponent.startswith("-"), F.concat(F.lit("-"), F.lpad(F.ltrim(exponent, F.lit("-")), 2, "0"))
-    ).otherwise(F.concat(F.lit("+"), F.lpad(exponent, 2, "0")))
-    padded = F.when(F.length(exponent) > 3, exponent).otherwise(padded)
+    digits = F.ltrim(exponent, F.lit("-"))
+    sign = F.when(exponent.startswith("-"), "-").otherwise("+")
+    padded = F.concat(sign, F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits))
     size = F.abs(c)
     return (
         F.when(((size >= 1e-3) & (size < 1e7)) | (size == 0), java)

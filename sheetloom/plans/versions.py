@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Observation, Row, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, functions as F, types as T
 
 from sheetloom.functions.text import cell, text_of
 from sheetloom.operators.console import document_context, read_only, run_query, workspace_context
@@ -25,6 +25,7 @@ from sheetloom.operators.transform import Transformation, expression
 from sheetloom.plans import files
 
 MAX_COLUMNS = 16_384
+ORIGIN = ("_path", "_sheet_index", "_sheet")
 PATCH_SHARE = 0.05
 PATCHES_BEFORE_COMPACTION = 20
 
@@ -77,10 +78,14 @@ class DocumentStore:
     # --- log ---
 
     def log(self, document_id: str | None = None) -> DataFrame:
-        folder = f"{self.root}/_versions" + (f"/{document_id}" if document_id else "")
-        if not files.exists(self.spark, folder):
+        folders = [f"{self.root}/versions"]
+        if document_id is not None:
+            folders = [f"{self.root}/versions/{document_id}", f"{self.root}/versions/batches"]
+        folders = [folder for folder in folders if files.exists(self.spark, folder)]
+        if not folders:
             return self.spark.createDataFrame([], LOG_SCHEMA)
-        return self.spark.read.schema(LOG_SCHEMA).option("recursiveFileLookup", "true").parquet(folder)
+        log = self.spark.read.schema(LOG_SCHEMA).option("recursiveFileLookup", "true").parquet(*folders)
+        return log if document_id is None else log.where(F.col("document_id") == document_id)
 
     def entries(self, document_id: str) -> list[Row]:
         """The log of one document in version order (one small row per version)."""
@@ -90,16 +95,16 @@ class DocumentStore:
         return entries
 
     def _commit(self, document_id: str, version: int, **values) -> None:
-        marker = f"{self.root}/_claims/{document_id}/{version:09d}"
+        marker = f"{self.root}/claims/{document_id}/{version:09d}"
         if not files.claim(self.spark, marker):
             raise VersionConflict(f"version {version} of '{document_id}' exists already")
         try:
             row = {name: None for name in LOG_SCHEMA.names} | values
             row |= {"document_id": document_id, "version": version, "created_at": datetime.now(timezone.utc)}
             frame = self.spark.createDataFrame([tuple(row[name] for name in LOG_SCHEMA.names)], LOG_SCHEMA)
-            frame.coalesce(1).write.mode("error").parquet(f"{self.root}/_versions/{document_id}/{version:09d}")
+            frame.coalesce(1).write.mode("error").parquet(f"{self.root}/versions/{document_id}/{version:09d}")
         except Exception:
-            files.delete(self.spark, f"{self.root}/_versions/{document_id}/{version:09d}")
+            files.delete(self.spark, f"{self.root}/versions/{document_id}/{version:09d}")
             files.delete(self.spark, marker)
             raise
 
@@ -114,6 +119,34 @@ class DocumentStore:
             raise DocumentError("the document has no name")
         return self.publish(self.prepare(df), name, cause, **source)
 
+    def create_many(self, df: DataFrame, keys: Sequence[str], name: Column, **source: Column) -> list[str]:
+        """New documents from the rows of one frame, one per distinct ``keys``; returns their ids.
+
+        One job writes all rows into a folder per document, one reads the counts, one appends the log rows.
+        """
+        batch = uuid.uuid4().hex
+        path = self._fresh_path("batches", "data")
+        document_id = F.md5(F.concat_ws("|", F.lit(batch), *[cell(k).cast("string") for k in keys]))
+        columns = [c for c in df.columns if c not in keys]
+        try:
+            tagged = df.select(document_id.alias("_document_id"), *[cell(k) for k in keys], F.monotonically_increasing_id().alias(ROW_ID), *[cell(c) for c in columns])
+            tagged.write.partitionBy("_document_id").parquet(path)
+            written = self.spark.read.parquet(path)
+            counted = written.groupBy("_document_id", *[cell(k) for k in keys]).agg(F.count("*").alias("rows"))
+            values = {
+                "document_id": F.col("_document_id"), "version": F.lit(1), "kind": F.lit("copy"),
+                "path": F.concat(F.lit(path + "/_document_id="), F.col("_document_id")), "row_count": F.col("rows"),
+                "column_count": F.lit(len(columns)), "cause": F.lit("ingest"), "created_at": F.current_timestamp(),
+                "name": F.trim(name), **source,
+            }
+            entries = counted.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in LOG_SCHEMA])
+            entries.coalesce(1).write.mode("error").parquet(f"{self.root}/versions/batches/{batch}")
+        except Exception:
+            files.delete(self.spark, path)
+            raise
+        log = self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.root}/versions/batches/{batch}")
+        return [row.document_id for row in log.orderBy("source_file", "source_sheet").collect()]
+
     def prepare(self, df: DataFrame) -> Prepared:
         """Write the rows of a new document without making it visible."""
         width = len([c for c in df.columns if c != ROW_ID])
@@ -165,7 +198,7 @@ class DocumentStore:
         if not entries:
             raise DocumentError(f"no version {version} of '{document_id}'")
         start = max(i for i, e in enumerate(entries) if e.kind == "copy")
-        df = self.spark.read.parquet(entries[start].path)
+        df = self.spark.read.parquet(entries[start].path).drop(*ORIGIN)
         patches: list[DataFrame] = []
         for e in entries[start + 1 :]:
             if e.kind == "patch":

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions
 
 from sheetloom.functions.text import blank
 from sheetloom.plans.versions import MAX_COLUMNS, DocumentError, DocumentStore
+from sheetloom.session import scratch_dir
 from sheetloom.sources.delimited import named_rows, raw_rows, sniff, spilled_width
 from sheetloom.sources.headers import SCAN_ROWS, detect_headers, unique_names
 from sheetloom.sources.workbooks import cells_of, workbook_rows
@@ -64,8 +65,11 @@ def find_headers(spark: SparkSession, path: str, sheet: str | None = None) -> Da
 
 
 def table_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
-    """Rows of each sheet's table: from the header row down to the first empty row, cut at the header's last column."""
-    inside = rows.join(headers.select(*SHEET, "header_row", "column_count"), SHEET).where("row_number >= header_row")
+    """Rows of each sheet's table: from the header row down to the first empty row, cut at the header's last column.
+
+    Further columns of ``headers`` stay with the rows.
+    """
+    inside = rows.join(headers, SHEET).where("row_number >= header_row")
     filled = F.exists("cells", lambda c: ~blank(c))
     clipped = inside.withColumn("cells", F.slice("cells", F.lit(1), F.col("column_count"))).where(filled)
     # One sheet holds at most 1,048,576 rows, so its window is bounded.
@@ -74,41 +78,59 @@ def table_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
     return unbroken.where("row_number = header_row + position - 1").drop("position")
 
 
-def workbook_tables(spark: SparkSession, path: str, sheets: Sequence[str] = ()) -> list[tuple[str, str, DataFrame]]:
-    """``(path, sheet, text table)`` of the chosen sheets of all workbooks at a path; all sheets when none is chosen.
+def fleet_tables(spark: SparkSession, path: str, sheets: Sequence[str] = ()) -> list[tuple[list[str], DataFrame]]:
+    """One text table per distinct header of all chosen sheets of all workbooks at a path; all sheets when none is chosen.
 
-    Tables are lazy. Their headers come from one job over the first rows of every sheet.
+    Sheets with equal headers are read together, so a fleet of workbooks costs one job per layout, not one per file. Every
+    table keeps its rows' origin in ``_path``, ``_sheet_index``, ``_sheet`` and ``_row_number``.
     """
-    headers = find_headers(spark, path)
-    if sheets:
-        headers = headers.where(F.col("sheet").isin(*sheets))
-    found = _header_names(spark, path, headers)
+    headers = _named_headers(spark, path, sheets).withColumn("layout", F.md5(F.to_json("names")))
+    layouts = sorted(headers.select("layout", "names").distinct().collect(), key=lambda row: row.names)
+    rows = table_rows(workbook_rows(spark, path), headers.drop("names")).where("row_number > header_row")
+    if len(layouts) > 1:
+        # Unpack every workbook once, not once per layout.
+        folder = scratch_dir(spark, "sheets")
+        rows.write.partitionBy("layout").parquet(folder)
+        rows = spark.read.parquet(folder)
     tables = []
-    for header in found:
-        rows = workbook_rows(spark, header.path, header.sheet)
-        one = spark.createDataFrame([header[:5]], headers.select(*SHEET, "header_row", "column_count").schema)
-        body = table_rows(rows, F.broadcast(one)).where("row_number > header_row")
-        names = unique_names([*(header.names or []), *[None] * header.column_count][: header.column_count])
-        fields = [F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)]
-        tables.append((header.path, header.sheet, body.select(*fields)))
+    for layout in layouts:
+        names = unique_names(layout.names)
+        body = rows.where(F.col("layout") == layout.layout)
+        origin = [F.col(c).alias(f"_{c}") for c in (*SHEET, "row_number")]
+        fields = [F.get("cells", F.lit(i)).alias(name) for i, name in enumerate(names)]
+        tables.append((names, body.select(*origin, *fields)))
     return tables
 
 
-def _header_names(spark: SparkSession, path: str, headers: DataFrame) -> list:
-    """One small row per sheet: its place, header row, width and raw column names."""
-    top = workbook_rows(spark, path, last_row=SCAN_ROWS)
-    named = headers.join(top.withColumnRenamed("row_number", "header_row"), [*SHEET, "header_row"])
-    return named.select(*SHEET, "header_row", "column_count", F.col("cells").alias("names")).orderBy(*SHEET).collect()
+def _named_headers(spark: SparkSession, path: str, sheets: Sequence[str] = ()) -> DataFrame:
+    """One row per sheet: its place, header row, width and the raw names, padded to the width.
+
+    Written to the shared folder once, since every layout needs it and computing it opens all workbooks.
+    """
+    headers = find_headers(spark, path)
+    if sheets:
+        headers = headers.where(F.col("sheet").isin(*sheets))
+    top = workbook_rows(spark, path, last_row=SCAN_ROWS).withColumnRenamed("row_number", "header_row")
+    padded = F.transform(F.sequence(F.lit(0), F.col("column_count") - 1), lambda i: F.nullif(F.trim(F.get("cells", i)), F.lit("")))
+    named = headers.join(top, [*SHEET, "header_row"]).select(*SHEET, "header_row", "column_count", F.coalesce(padded, F.array()).alias("names"))
+    folder = scratch_dir(spark, "headers")
+    named.select(*SHEET, "header_row", "column_count", F.transform("names", lambda n: F.coalesce(n, F.lit(""))).alias("names")).write.parquet(folder)
+    return spark.read.parquet(folder)
 
 
 def ingest_workbooks(store: DocumentStore, path: str, sheets: Sequence[str] = ()) -> list[str]:
-    """One document per chosen sheet, named after the sheet."""
-    ids = []
-    for workbook, sheet, table in workbook_tables(store.spark, path, sheets):
-        source = {"source_type": "xlsx", "source_file": PurePosixPath(workbook).name, "source_sheet": sheet}
-        ids.append(store.create(sheet, table, **source))
-    if not ids:
+    """One document per chosen sheet, named after the sheet: one write per layout and one log batch for all documents."""
+    documents = None
+    for names, rows in fleet_tables(store.spark, path, sheets):
+        stored = store.create_many(
+            rows.drop("_row_number"),
+            keys=["_path", "_sheet_index", "_sheet"],
+            name=F.col("_sheet"),
+            source_type=F.lit("xlsx"),
+            source_file=F.substring_index("_path", "/", -1),
+            source_sheet=F.col("_sheet"),
+        )
+        documents = stored if documents is None else documents + stored
+    if not documents:
         raise DocumentError("no sheet with a recognisable header")
-    return ids
-
-
+    return documents

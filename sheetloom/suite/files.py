@@ -1 +1,141 @@
-"""Placeholder."""
+"""Files in and out: delimited text, workbooks, header rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from sheetloom import scratch_dir
+from sheetloom.functions.text import text_view
+from sheetloom.plans.fused import union_all
+from sheetloom.plans.versions import DocumentStore
+from sheetloom.sources import delimited, headers, ingest, workbooks
+from sheetloom.suite import query
+from sheetloom.suite.inputs import DIRTY_ORDERS, dirty_orders, table
+
+DIRTY_AS_READ = ", ".join(f"nullif({c}, '') as {c}" for c in ("priority", "price_text", "day_text", "serial_text", "email", "tax_id", "flag"))
+
+
+@query(f"with {DIRTY_ORDERS} select cast(row_id as varchar) as row_id, {DIRTY_AS_READ} from dirty")
+def csv_export_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_dir(spark, "csv")
+    delimited.write_delimited(dirty_orders(spark, folder), path)
+    return delimited.read_delimited(spark, path)
+
+
+@query(f"with {DIRTY_ORDERS} select cast(row_id as varchar) as row_id, {DIRTY_AS_READ} from dirty")
+def tsv_export_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_dir(spark, "tsv")
+    delimited.write_tsv(dirty_orders(spark, folder), path)
+    return delimited.read_delimited(spark, path)
+
+
+@query(
+    """select cast(e.event_id as varchar) as event_id, case when event_id % 3 > 0 then event_type end as kind,
+    case when event_id % 3 > 1 then props end as props from events e"""
+)
+def csv_ingest_short_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """A semicolon file whose rows have one, two or three fields, with quotes inside fields, stored as a document."""
+    quoted = F.concat(F.lit('"'), F.replace("props", F.lit('"'), F.lit('""')), F.lit('"'))
+    line = (
+        F.when(F.col("event_id") % 3 == 0, F.col("event_id").cast("string"))
+        .when(F.col("event_id") % 3 == 1, F.concat_ws(";", F.col("event_id").cast("string"), "event_type"))
+        .otherwise(F.concat_ws(";", F.col("event_id").cast("string"), "event_type", quoted))
+    )
+    path = scratch_dir(spark, "lines")
+    lines = table(spark, folder, "events").select(line.alias("value"))
+    _with_header(lines, "event_id;kind;props").write.text(path)
+    store = DocumentStore(spark, scratch_dir(spark, "store"))
+    return store.read(ingest.ingest_delimited(store, path, "events")).drop("_row_id")
+
+
+@query("select cast(l_orderkey as varchar) as k, cast(l_linenumber as varchar) as n, case when l_linenumber > 5 then l_returnflag end as column2 from lineitem")
+def csv_ingest_wide_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows with more fields than the header add a column instead of losing text."""
+    path = scratch_dir(spark, "lines")
+    fields = [F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")]
+    line = F.when(F.col("l_linenumber") > 5, F.concat_ws(",", *fields, "l_returnflag")).otherwise(F.concat_ws(",", *fields))
+    _with_header(table(spark, folder, "lineitem").select(line.alias("value")), "k,n").write.text(path)
+    store = DocumentStore(spark, scratch_dir(spark, "store"))
+    return store.read(ingest.ingest_delimited(store, path, "lines")).drop("_row_id")
+
+
+def _with_header(lines: DataFrame, header: str) -> DataFrame:
+    """A header line in front of every partition, since each partition becomes a file of its own."""
+
+    def add(batches):
+        import pandas as pd
+
+        first = True
+        for batch in batches:
+            if first and len(batch):
+                yield pd.DataFrame({"value": [header]})
+                first = False
+            yield batch
+
+    return lines.mapInPandas(add, "value string")
+
+
+CUSTOMER_TEXT = "cast(c_custkey as varchar) as c_custkey, c_name, cast(c_nationkey as varchar) as c_nationkey, cast(c_acctbal as varchar) as c_acctbal, c_mktsegment"
+
+
+@query(f"select {CUSTOMER_TEXT} from customer")
+def xlsx_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Written as several workbooks, read back as one table of text."""
+    path = scratch_dir(spark, "workbooks")
+    workbooks.write_workbooks(table(spark, folder, "customer").repartition(3), path, rows_per_file=400)
+    return union_all([rows.drop("_path", "_sheet_index", "_sheet", "_row_number") for _, rows in ingest.fleet_tables(spark, path)])
+
+
+@query("select 'Dados' as sheet, 'visible' as visibility, 0 as sheet_index, count(*) as data_rows from supplier")
+def workbook_inventory(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_dir(spark, "workbooks")
+    workbooks.write_workbooks(table(spark, folder, "supplier").repartition(4), path)
+    sheets = workbooks.workbook_inventory(spark, path)
+    rows = workbooks.workbook_rows(spark, path).groupBy("sheet").agg(F.count_if(F.col("row_number") > 1).alias("data_rows"))
+    return sheets.select("sheet", "visibility", "sheet_index").distinct().join(rows, "sheet")
+
+
+@query(
+    """select 3 as column_count, 2 as header_row, n_nationkey as sheet, least(20, 2 + (select count(*) from customer where c_nationkey = n_nationkey)) as rows_scanned,
+    false as fallback_used from nation where (select count(*) from customer where c_nationkey = n_nationkey) >= 1"""
+)
+def header_detection(spark: SparkSession, folder: str) -> DataFrame:
+    """One sheet per nation: a title, the header, then a row per customer."""
+    customers = table(spark, folder, "customer")
+    per_nation = F.row_number().over(_by("c_nationkey", "c_custkey")) + 2
+    body = customers.select(
+        F.col("c_nationkey").alias("sheet"), per_nation.alias("row_number"),
+        F.posexplode(F.array(F.col("c_custkey").cast("string"), "c_name", F.col("c_acctbal").cast("string"))).alias("column_index", "value"),
+    )
+    nations = customers.select(F.col("c_nationkey").alias("sheet")).distinct()
+    title = nations.select("sheet", F.lit(1).alias("row_number"), F.lit(0).alias("column_index"), F.lit("CUSTOMERS OF A NATION").alias("value"))
+    names = nations.select("sheet", F.lit(2).alias("row_number"), F.posexplode(F.array(F.lit("key"), F.lit("name"), F.lit("balance"))).alias("column_index", "value"))
+    return headers.detect_headers(union_all([title, names, body]), ["sheet"])
+
+
+def _by(key: str, order: str):
+    from pyspark.sql import Window
+
+    return Window.partitionBy(key).orderBy(order)
+
+
+@query(
+    """select 'region' as source, count(*) as rows, 2 as columns from region union all select 'nation', count(*), 3 from nation
+    union all select 'supplier', count(*), 4 from supplier"""
+)
+def multi_workbook_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """Workbooks of three tables in one folder tree become documents with counts and sources in the log."""
+    path = scratch_dir(spark, "workbooks")
+    for name in ("region", "nation", "supplier"):
+        workbooks.write_workbooks(table(spark, folder, name), f"{path}/{name}")
+    store = DocumentStore(spark, scratch_dir(spark, "store"))
+    for name in ("region", "nation", "supplier"):
+        ingest.ingest_workbooks(store, f"{path}/{name}")
+    width = F.col("column_count").cast("int").alias("columns")
+    source = F.when(F.col("column_count") == 2, "region").when(F.col("column_count") == 3, "nation").otherwise("supplier")
+    return store.log().groupBy(source.alias("source"), width).agg(F.sum("row_count").alias("rows"))
+
+
+@query("select cast(n_nationkey as varchar) as n_nationkey, n_name, cast(n_regionkey as varchar) as n_regionkey from nation")
+def document_text_view(spark: SparkSession, folder: str) -> DataFrame:
+    return text_view(table(spark, folder, "nation"))
