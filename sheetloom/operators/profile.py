@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from sheetloom.functions.dates import SERIAL_GAP, SERIAL_MAX, SERIAL_MIN, has_time_of_day, is_serial, parse_timestamp, serial_to_date
 from sheetloom.functions.numbers import finite, parse_decimal, parse_double
@@ -27,7 +27,7 @@ BUCKETS = 12
 TOP_VALUES = 10
 SERIAL_SHARE = 0.90
 
-PROFILE_SCHEMA = T.StructType.fromDDL(
+PROFILE_SCHEMA = (
     "column string, physical_type string, inferred_type string, date_source string, "
     "total_count bigint, filled_count bigint, empty_count bigint, empty_percentage double, "
     "distinct_count bigint, duplicate_count bigint, "

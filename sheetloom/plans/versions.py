@@ -29,13 +29,19 @@ ORIGIN = ("_path", "_sheet_index", "_sheet")
 PATCH_SHARE = 0.05
 PATCHES_BEFORE_COMPACTION = 20
 
-LOG_SCHEMA = T.StructType.fromDDL(
-    "document_id string, version bigint, kind string, path string, row_count bigint, column_count bigint, cause string, "
-    "created_at timestamp, name string, source_type string, source_file string, source_sheet string, "
-    "transformation_id string, sequence bigint, transformation_type string, column_name string, "
-    "configuration_json string, affected_rows bigint, failed_rows bigint, source_document_id string, sql string, "
-    "old_name string, new_name string"
-)
+_TEXT, _COUNT = T.StringType(), T.LongType()
+LOG_SCHEMA = T.StructType(
+    [
+        T.StructField(name, kind)
+        for names, kind in (
+            ("document_id", _TEXT), ("version", _COUNT), ("kind path", _TEXT), ("row_count column_count", _COUNT), ("cause", _TEXT),
+            ("created_at", T.TimestampType()), ("name source_type source_file source_sheet transformation_id", _TEXT), ("sequence", _COUNT),
+            ("transformation_type column_name configuration_json", _TEXT), ("affected_rows failed_rows", _COUNT),
+            ("source_document_id sql old_name new_name", _TEXT),
+        )
+        for name in names.split()
+    ]
+)
 
 
 class VersionConflict(RuntimeError):
