@@ -149,10 +149,14 @@ def page_rows(
     if offset + limit <= deep_offset or row_id is None or row_id not in df.columns:
         return sort_rows(df, sort, row_id).offset(offset).limit(limit)
     ids = _deep_row_ids(df, sort, offset, limit, row_id)
-    return sort_rows(df.where(cell(row_id).isin(ids)), sort, row_id)
+    if isinstance(df.schema[row_id].dataType, (T.IntegralType, T.StringType)):
+        # At most 500 literals, which the scan can use to skip row groups.
+        return sort_rows(df.where(cell(row_id).isin([row.id for row in ids.collect()])), sort, row_id)
+    chosen = F.broadcast(ids.withColumnRenamed("id", row_id))
+    return sort_rows(df.join(chosen, row_id, "left_semi"), sort, row_id)
 
 
-def _deep_row_ids(df: DataFrame, sort: Sort | None, offset: int, limit: int, row_id: str) -> list:
+def _deep_row_ids(df: DataFrame, sort: Sort | None, offset: int, limit: int, row_id: str) -> DataFrame:
     """Row ids at sorted positions ``offset`` to ``offset + limit``: sort keys once, count each range, read one or two."""
     ensure_checkpoint_dir(df.sparkSession)
     key = _sort_key(df, sort)
@@ -168,9 +172,8 @@ def _deep_row_ids(df: DataFrame, sort: Sort | None, offset: int, limit: int, row
             skipped = before if len(wanted) == 1 else skipped
         before += part["count"]
     if not wanted:
-        return []
-    page = ordered.where(F.col("part").isin(wanted)).orderBy(*order).offset(offset - skipped).limit(limit)
-    return [row.id for row in page.select("id").collect()]
+        return ordered.select("id").limit(0)
+    return ordered.where(F.col("part").isin(wanted)).orderBy(*order).offset(offset - skipped).limit(limit).select("id")
 
 
 def next_page(df: DataFrame, sort: Sort | None, after: tuple, limit: int, row_id: str = ROW_ID) -> DataFrame:

@@ -90,7 +90,7 @@ def read_delimited(spark: SparkSession, paths: str | Sequence[str], delimiter: s
     rows = raw_rows(spark, paths, layout, multi_line)
     if multi_line:
         # Referring to every column keeps the parser from skipping fields, which would hide malformed rows.
-        everything = F.count(F.struct(*rows.columns))
+        everything = F.count(F.coalesce(*rows.columns))
         width = rows.agg(spilled_width(layout).alias("width"), everything).first().width or 0
     else:
         lines = spark.read.text(paths)

@@ -75,6 +75,25 @@ def _with_header(lines: DataFrame, header: str) -> DataFrame:
     return lines.mapInPandas(add, "value string")
 
 
+@query(
+    "select cast(count(*) as bigint) as n, count(distinct l_orderkey) as orders, round(sum(l_extendedprice), 2) as price, "
+    "min(cast(l_shipdate as varchar)) as first_day, count(distinct l_returnflag) as flags from lineitem"
+)
+def csv_lineitem_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Export, ingest as a document, and check sums over the text."""
+    path = scratch_dir(spark, "csv")
+    delimited.write_delimited(table(spark, folder, "lineitem"), path)
+    store = DocumentStore(spark, scratch_dir(spark, "store"))
+    stored = store.read(ingest.ingest_delimited(store, path, "lineitem"))
+    return stored.agg(
+        F.count("*").alias("n"),
+        F.countDistinct("l_orderkey").alias("orders"),
+        F.round(F.sum(F.col("l_extendedprice").cast("double")), 2).alias("price"),
+        F.min("l_shipdate").alias("first_day"),
+        F.countDistinct("l_returnflag").alias("flags"),
+    )
+
+
 CUSTOMER_TEXT = "cast(c_custkey as varchar) as c_custkey, c_name, cast(c_nationkey as varchar) as c_nationkey, cast(c_acctbal as varchar) as c_acctbal, c_mktsegment"
 
 

@@ -85,6 +85,19 @@ def page_deep_offset(spark: SparkSession, folder: str) -> DataFrame:
     return _places(grid.page_rows(dirty_orders(spark, folder), Sort("priority", "up"), 12000, 10, "row_id", deep_offset=5000), 12000)
 
 
+@query(
+    """select l_extendedprice, l_orderkey, l_partkey, l_linenumber, l_quantity from lineitem
+    order by l_extendedprice desc, l_orderkey, l_partkey, l_linenumber, l_quantity limit 500 offset 50000"""
+)
+def page_deep_lineitem(spark: SparkSession, folder: str) -> DataFrame:
+    """A deep page of a table without ids: the key columns together are the tie-breaker."""
+    items = table(spark, folder, "lineitem")
+    keys = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity"]
+    items = items.select("l_extendedprice", F.struct(*keys).alias("key"))
+    page = grid.page_rows(items, Sort("l_extendedprice", "desc"), 50000, 500, "key", deep_offset=10_000)
+    return page.select("l_extendedprice", "key.*")
+
+
 @query(f"with {DIRTY_ORDERS} select row_id, priority from dirty where (priority, row_id) > ('4-NOT SPECIFIED', 7000) or priority is null order by priority nulls last, row_id limit 200")
 def page_after_row(spark: SparkSession, folder: str) -> DataFrame:
     return grid.next_page(dirty_orders(spark, folder), Sort("priority"), ("4-NOT SPECIFIED", 7000), 200, "row_id").select("row_id", "priority")

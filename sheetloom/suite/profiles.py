@@ -57,6 +57,21 @@ def blank_stats_dirty_orders(spark: SparkSession, folder: str) -> DataFrame:
     return grid.blank_stats(dirty_orders(spark, folder), "row_id").withColumnRenamed("column", "column_name")
 
 
+@query(
+    "select * from ("
+    + " union all ".join(
+        f"select '{c}' as column_name, count(*) filter ({empty(f'nullif({c}, {blank})')}) as empty_count from lineitem"
+        for c, blank in (("l_quantity", 7), ("l_discount", 0), ("l_returnflag", "'R'"), ("l_linestatus", "'?'"))
+    )
+    + ") where empty_count > 0"
+)
+def blank_stats_lineitem(spark: SparkSession, folder: str) -> DataFrame:
+    """Holes made by value: no column of the table itself has a blank."""
+    holes = {"l_quantity": 7, "l_discount": 0, "l_returnflag": "R", "l_linestatus": "?"}
+    items = table(spark, folder, "lineitem").select(*[F.nullif(F.col(c), F.lit(v)).alias(c) for c, v in holes.items()])
+    return grid.blank_stats(items).withColumnRenamed("column", "column_name")
+
+
 def _counts_sql(source: str, columns) -> str:
     return " union all ".join(
         f"""select '{c}' as column_name, count(*) as total_count, count(*) filter (not {empty(c)}) as filled_count,
