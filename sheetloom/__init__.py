@@ -4,6 +4,6 @@ Every operator takes and returns DataFrames; driver-side work is limited to sche
 scalar aggregates and pages of at most 500 rows.
 """
 
-from sheetloom.session import build_session, scratch_dir
+from sheetloom.session import build_session, scratch_dir, tune
 
-__all__ = ["build_session", "scratch_dir"]
+__all__ = ["build_session", "scratch_dir", "tune"]

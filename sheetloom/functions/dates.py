@@ -23,6 +23,8 @@ _TIMESTAMP = (
     r"(?:(?:T| +)([0-9]{1,2}:[0-9]{1,2}(?::[0-9]{1,2}(?:\.[0-9]*)?)?)"
     r"(?: *(?:Z|UTC|GMT|[+-][0-9]{2}(?::?[0-9]{2})?|[A-Za-z_]+/[A-Za-z_/]+))?)?\s*\z"
 )
+# The same in the one spelling most files use, which casts as it is.
+_PLAIN_TIMESTAMP = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?: (?:[01][0-9]|2[0-3]):[0-9]{2}:[0-9]{2}(?:\.[0-9]{1,6})?)?\z"
 _MIDNIGHT_24 = r" 24(:0{1,2}){1,2}(\.0*)?\z"
 TIME_OF_DAY = r"[ T][0-9]{1,2}:[0-9]{2}"
 
@@ -34,7 +36,7 @@ def parse_timestamp(value: Column) -> Column:
     late = flat.rlike(_MIDNIGHT_24)
     at_start = F.regexp_replace(flat, _MIDNIGHT_24, " 00:00").try_cast("timestamp_ntz")
     parsed = F.when(late, at_start + F.expr("INTERVAL 1 DAY")).otherwise(flat.try_cast("timestamp_ntz"))
-    return F.when(value.rlike(_TIMESTAMP), parsed)
+    return F.when(value.rlike(_PLAIN_TIMESTAMP), value.try_cast("timestamp_ntz")).when(value.rlike(_TIMESTAMP), parsed)
 
 
 def has_time_of_day(value: Column) -> Column:

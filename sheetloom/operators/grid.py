@@ -67,7 +67,7 @@ def _cell_predicate(df: DataFrame, f: Filter, rules: dict[str, Rule]) -> Column:
     if f.operator == "empty":
         return blank(text)
     if f.operator == "equals":
-        return F.coalesce(text == f.value, F.lit(False))
+        return text == f.value
     if f.operator == "contains":
         return contains_ignoring_case(text, f.value)
     return violation(rules[f.rule_id], text)

@@ -6,9 +6,9 @@ The bracket is narrowed with further sketches until it is small enough for one s
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sheetloom.functions.text import cell
 
@@ -41,6 +41,11 @@ def bracket(rows: int, ends) -> Bracket:
     return Bracket(rows, rows * 2 * (MARGIN + 1.0 / ACCURACY), float(ends[0]), float(ends[1]))
 
 
+def open_bracket(rows: int) -> Bracket:
+    """No bracket at all, good enough for a column that one task can sort."""
+    return Bracket(rows, rows, float("-inf"), float("inf"))
+
+
 def exact_medians(df: DataFrame, brackets: dict[str, Bracket], attempts: int = 5) -> dict[str, float]:
     """Medians of numeric columns, NULLs ignored. ``brackets`` come from :func:`bracket_aggregate` on the same rows.
 
@@ -55,7 +60,7 @@ def exact_medians(df: DataFrame, brackets: dict[str, Bracket], attempts: int = 5
         if todo:
             done.update({name: value for name, value in _select(df, todo).items() if value is not None})
         left = {name: b for name, b in todo.items() if name not in done}
-        todo = {name: replace(b, inside=b.rows, low=float("-inf"), high=float("inf")) for name, b in left.items()}
+        todo = {name: open_bracket(b.rows) for name, b in left.items()}
         if not todo:
             return done
     raise RuntimeError(f"no bracket around the median of {sorted(todo)}")
@@ -82,40 +87,44 @@ def _narrow(df: DataFrame, todo: dict[str, Bracket]) -> dict[str, Bracket]:
     return narrowed
 
 
+def middles(counted: DataFrame, ranks: dict[str | int, tuple[int, int]]) -> DataFrame:
+    """``(column_index, a, b)``: the numbers at the two middle ranks of every column of ``(column_index, x, frequency)``.
+
+    Every column is sorted in one task, so callers pass at most about ``ROWS_PER_SORT`` numbers per column.
+    """
+
+    def target(which: int):
+        return F.element_at(F.create_map(*[F.lit(v) for key, pair in ranks.items() for v in (key, pair[which])]), F.col("column_index"))
+
+    upto = Window.partitionBy("column_index").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = counted.withColumn("last", F.sum("frequency").over(upto) - 1)
+    first = F.col("last") - F.col("frequency") + 1
+    here = [F.max(F.when(target(i).between(first, F.col("last")), F.col("x"))) for i in (0, 1)]
+    return running.groupBy("column_index").agg(here[0].alias("a"), here[1].alias("b"))
+
+
+def clipped(x: Column, low: Column, high: Column) -> Column:
+    """The number inside the bracket, negative infinity below it, NULL above it."""
+    return F.when(x < low, F.lit(float("-inf"))).when(x <= high, x)
+
+
+def median_of(b: Bracket, lower: float | None, upper: float | None) -> float | None:
+    """The median from its two middle numbers, or None when the bracket did not hold them."""
+    if lower is None or upper is None or (lower == float("-inf") and b.low > float("-inf")):
+        return None
+    return lower if lower == upper else lower + (upper - lower) * 0.5
+
+
 def _select(df: DataFrame, todo: dict[str, Bracket]) -> dict[str, float | None]:
     """Group the rows inside each bracket by value and walk the running count to the middle ranks."""
     names = list(todo)
-    ends = [(F.lit(todo[n].low), F.lit(todo[n].high)) for n in names]
-    clipped = df.select(
-        *[
-            F.when(cell(n) < low, F.lit(float("-inf"))).when(cell(n) <= high, cell(n)).cast("double").alias(str(i))
-            for i, (n, (low, high)) in enumerate(zip(names, ends))
-        ]
+    inside = df.select(
+        *[clipped(cell(n), F.lit(todo[n].low), F.lit(todo[n].high)).cast("double").alias(str(i)) for i, n in enumerate(names)]
     )
-    values = clipped.unpivot([], [str(i) for i in range(len(names))], "column_index", "x").where("x IS NOT NULL")
+    values = inside.unpivot([], [str(i) for i in range(len(names))], "column_index", "x").where("x IS NOT NULL")
     counted = values.groupBy("column_index", "x").agg(F.count("*").alias("frequency"))
-    upto = Window.partitionBy("column_index").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last_rank = F.sum("frequency").over(upto) - 1
-    running = counted.select("column_index", "x", (last_rank - F.col("frequency") + 1).alias("first"), last_rank.alias("last"))
-    targets = F.create_map(*[F.lit(v) for i, n in enumerate(names) for v in (str(i), todo[n].ranks[0])])
-    targets_high = F.create_map(*[F.lit(v) for i, n in enumerate(names) for v in (str(i), todo[n].ranks[1])])
-    hits = (
-        running.withColumn("lower", F.element_at(targets, F.col("column_index")))
-        .withColumn("upper", F.element_at(targets_high, F.col("column_index")))
-        .groupBy("column_index")
-        .agg(
-            F.max(F.when(F.col("lower").between(F.col("first"), F.col("last")), F.col("x"))).alias("a"),
-            F.max(F.when(F.col("upper").between(F.col("first"), F.col("last")), F.col("x"))).alias("b"),
-        )
-        .collect()
-    )
-    found: dict[str, float | None] = dict.fromkeys(names)
-    for hit in hits:
-        name = names[int(hit.column_index)]
-        below_bracket = hit.a == float("-inf") and todo[name].low > float("-inf")
-        if hit.a is not None and hit.b is not None and not below_bracket:
-            found[name] = hit.a if hit.a == hit.b else hit.a + (hit.b - hit.a) * 0.5
-    return found
+    hits = {int(r.column_index): r for r in middles(counted, {str(i): todo[n].ranks for i, n in enumerate(names)}).collect()}
+    return {n: median_of(todo[n], hits[i].a, hits[i].b) if i in hits else None for i, n in enumerate(names)}
 
 
 def exact_median(df: DataFrame, name: str) -> float | None:

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 from sheetloom.functions.dates import SERIAL_GAP, SERIAL_MAX, SERIAL_MIN, has_time_of_day, is_serial, parse_timestamp, serial_to_date
 from sheetloom.functions.numbers import finite, parse_decimal, parse_double
 from sheetloom.functions.text import cell, value_of
-from sheetloom.operators.medians import bracket, bracket_aggregate, exact_medians
-from sheetloom.plans.fused import passes, spread, union_all, unpack
+from sheetloom.operators import medians
+from sheetloom.operators.medians import Bracket, bracket, bracket_aggregate, clipped, exact_medians, median_of, middles, open_bracket
+from sheetloom.plans.fused import held, passes, spread, union_all, unpack
 
 # Words of the two boolean classes, labels, bucket and top-k sizes, share of serials that makes a date.
 YES_WORDS = ("true", "1", "sim", "s", "yes", "y")
@@ -62,18 +63,17 @@ def cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     values = spread(df.select(*[cell(name) for name in columns])).select(*[value_of(df, n).alias(str(i)) for i, n in enumerate(columns)])
     long = values.unpivot([], [str(i) for i in range(len(columns))], "column_index", "value")
-    return long.select("column_index", F.when(F.col("value") != "", F.col("value")).alias("value"))
+    return long.select(F.col("column_index").cast("int"), F.when(F.col("value") != "", F.col("value")).alias("value"))
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(column_index, value, frequency)`` over filled cells; partial counts are merged before the shuffle."""
     filled = cells(df, columns).where("value IS NOT NULL")
-    counted = filled.groupBy("column_index", "value").agg(F.count("*").alias("frequency"))
-    return counted.withColumn("column_index", F.col("column_index").cast("int"))
+    return filled.groupBy("column_index", "value").agg(F.count("*").alias("frequency"))
 
 
 def _names(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.sparkSession.createDataFrame([(str(i), name) for i, name in enumerate(columns)], "column_index string, column string")
+    return df.sparkSession.createDataFrame(list(enumerate(columns)), "column_index int, column string")
 
 
 # --- counts, types, top values -------------------------------------------------------------------------------------
@@ -300,7 +300,8 @@ def profile_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     """One row per column with counts, inferred type, top values and the statistics block of that type."""
     rows: list[Row] = []
     for part in passes(list(columns or df.columns)):
-        rows += _profile_pass(df, list(part))
+        with held(df.select(*[cell(name) for name in part])) as cells_of_part:
+            rows += _profile_pass(cells_of_part, list(part))
     return df.sparkSession.createDataFrame(rows, PROFILE_SCHEMA)
 
 
@@ -322,36 +323,59 @@ def _scalars(df: DataFrame, columns: list[str]) -> dict[int, Row]:
     return {int(row.column_index): row for row in shown.collect()}
 
 
-def _typed_details(df: DataFrame, columns: list[str], numeric: list[int], serial: list[int]) -> Row | None:
-    """Median brackets of the number columns and examples of the serial columns, from a scan of just those columns."""
-    aggregates = [bracket_aggregate(parse_decimal(filled_value(df, columns[i]))).alias(f"ends_{i}") for i in numeric]
+def _brackets(df: DataFrame, columns: list[str], rows: dict[int, int]) -> dict[int, Bracket]:
+    """Where the medians are: anywhere in columns one task can sort, else in a sketched bracket (one more scan)."""
+    large = [i for i, n in rows.items() if n > medians.ROWS_PER_SORT]
+    sketches = [bracket_aggregate(parse_decimal(filled_value(df, columns[i]))).alias(str(i)) for i in large]
+    ends = df.agg(*sketches).first() if large else {}
+    return {i: bracket(n, ends[str(i)]) if i in large else open_bracket(n) for i, n in rows.items()}
+
+
+def _serial_examples(df: DataFrame, columns: list[str], serial: list[int]) -> Row | dict:
+    """Smallest serial in text order and its date, from a scan of the serial columns alone."""
+    shown = []
     for i in serial:
         value = filled_value(df, columns[i])
-        example = F.min(F.when(is_serial(value), value))
-        aggregates += [example.alias(f"example_{i}"), serial_to_date(example).cast("string").alias(f"example_date_{i}")]
-    return df.agg(*aggregates).first() if aggregates else None
+        smallest = F.min(F.when(is_serial(value), value))
+        shown += [smallest.alias(f"value_{i}"), serial_to_date(smallest).cast("string").alias(f"day_{i}")]
+    return df.agg(*shown).first() if serial else {}
 
 
-def _value_report(df: DataFrame, columns: list[str], bounds: dict[int, tuple[float, float]]) -> list[Row]:
-    """Distinct counts, histogram buckets and top values from one (column, value) shuffle."""
+def _value_report(df: DataFrame, columns: list[str], bounds: dict[int, tuple[float, float]], brackets: dict[int, Bracket]) -> list[Row]:
+    """Distinct counts, histogram buckets, top values and middle numbers from one (column, value) shuffle.
+
+    No branch filters by column or value: the optimizer would push that below the shuffle, and the branches could no longer
+    share it.
+    """
     counted = value_counts(df, columns)
+    index = F.col("column_index")
+
+    def by_column(values: dict):
+        return F.element_at(F.create_map(*[F.lit(v) for pair in values.items() for v in pair]), index)
+
     bucket = F.lit(None).cast("int")
     if bounds:
-        low = F.element_at(F.create_map(*[F.lit(v) for i, b in bounds.items() for v in (i, b[0])]), F.col("column_index"))
-        high = F.element_at(F.create_map(*[F.lit(v) for i, b in bounds.items() for v in (i, b[1])]), F.col("column_index"))
+        low, high = by_column({i: b[0] for i, b in bounds.items()}), by_column({i: b[1] for i, b in bounds.items()})
         position = F.floor((parse_decimal(F.col("value")) - low) / F.nullif(high - low, F.lit(0.0)) * F.lit(BUCKETS))
         clamped = F.least(F.lit(BUCKETS - 1), F.greatest(F.lit(0), F.coalesce(position, F.lit(0))))
-        bucket = F.when(F.col("column_index").isin(*bounds), clamped).cast("int")
+        bucket = F.when(index.isin(*bounds), clamped).cast("int")
     buckets = counted.groupBy("column_index", bucket.alias("place")).agg(
         F.count("*").alias("distinct_values"), F.sum("frequency").alias("frequency")
     )
     best = Window.partitionBy("column_index").orderBy(F.col("frequency").desc(), F.col("value").asc())
     top = counted.withColumn("place", F.row_number().over(best)).where(F.col("place") <= TOP_VALUES)
-    return (
-        buckets.select(F.lit("bucket").alias("kind"), "column_index", "place", F.lit(None).cast("string").alias("value"), "frequency", "distinct_values")
-        .unionByName(top.select(F.lit("top").alias("kind"), "column_index", "place", "value", "frequency", F.lit(0).cast("bigint").alias("distinct_values")))
-        .collect()
-    )
+    reports = [buckets.withColumn("kind", F.lit("bucket")), top.withColumn("kind", F.lit("top"))]
+    if brackets:
+        ends = [by_column({i: getattr(b, end) for i, b in brackets.items()}) for end in ("low", "high")]
+        numbers = counted.select("column_index", F.when(index.isin(*brackets), parse_decimal(F.col("value"))).alias("x"), "frequency")
+        inside = numbers.select("column_index", clipped(F.col("x"), *ends).alias("x"), "frequency")
+        merged = inside.groupBy("column_index", "x").agg(F.sum("frequency").alias("frequency"), F.count("x").alias("numbers"))
+        numbers = merged.where("numbers > 0")
+        reports.append(middles(numbers, {i: b.ranks for i, b in brackets.items()}).withColumn("kind", F.lit("middle")))
+    everything = reports[0]
+    for report in reports[1:]:
+        everything = everything.unionByName(report, allowMissingColumns=True)
+    return everything.collect()
 
 
 def _profile_pass(df: DataFrame, columns: list[str]) -> list[Row]:
@@ -360,25 +384,30 @@ def _profile_pass(df: DataFrame, columns: list[str]) -> list[Row]:
         return [(c, df.schema[c].dataType.simpleString(), "text", None, 0, 0, 0, 0.0, 0, 0, (None,) * 3, *[None] * 3, [], []) for c in columns]
     numeric = [i for i, s in scalars.items() if s.inferred_type in ("integer", "decimal")]
     serial = [i for i, s in scalars.items() if s.date_source == "excel_serial"]
-    details = _typed_details(df, columns, numeric, serial)
-    report = _value_report(df, columns, {i: (scalars[i].low, scalars[i].high) for i in numeric})
-    numbers = df.select(*[parse_decimal(filled_value(df, columns[i])).alias(str(i)) for i in numeric])
-    medians = exact_medians(numbers, {str(i): bracket(scalars[i].filled, details[f"ends_{i}"]) for i in numeric})
+    brackets = _brackets(df, columns, {i: scalars[i].filled for i in numeric})
+    ready = {i: b for i, b in brackets.items() if b.inside <= medians.ROWS_PER_SORT}
+    report = _value_report(df, columns, {i: (scalars[i].low, scalars[i].high) for i in numeric}, ready)
+    middle = {r.column_index: median_of(ready[r.column_index], r.a, r.b) for r in report if r.kind == "middle"}
+    rest = {str(i): b for i, b in brackets.items() if middle.get(i) is None}
+    if rest:
+        numbers = df.select(*[parse_decimal(filled_value(df, columns[int(i)])).alias(i) for i in rest])
+        middle |= {int(i): x for i, x in exact_medians(numbers, rest).items()}
+    example = _serial_examples(df, columns, serial)
 
     rows = []
     for i, name in enumerate(columns):
         s = scalars[i]
         mine = [r for r in report if r.column_index == i]
-        distinct = sum(r.distinct_values for r in mine)
+        distinct = sum(r.distinct_values or 0 for r in mine)
         top = sorted((r for r in mine if r.kind == "top"), key=lambda r: r.place)
         text = numbers_block = dates = booleans = None
         distribution: list[tuple] = []
         if i in numeric:
-            numbers_block = (s.low, s.high, s.mean, medians[str(i)], s.stddev)
+            numbers_block = (s.low, s.high, s.mean, middle[i], s.stddev)
             buckets = sorted((r for r in mine if r.kind == "bucket"), key=lambda r: r.place)
             distribution = [(r.place, *_edges(r.place, s.low, s.high), r.frequency) for r in buckets]
         elif i in serial:
-            dates = (s.serial_low_date, s.serial_high_date, SERIAL_DATE_LABEL, details[f"example_{i}"], details[f"example_date_{i}"])
+            dates = (s.serial_low_date, s.serial_high_date, SERIAL_DATE_LABEL, example[f"value_{i}"], example[f"day_{i}"])
         elif s.inferred_type in ("date", "datetime"):
             dates = (s["first"], s["last"], TEXT_DATE_LABEL if s.date_source else None, None, None)
         elif s.inferred_type == "boolean":

@@ -17,6 +17,7 @@ from sheetloom.functions.identifiers import valid_cpf, valid_email
 from sheetloom.functions.numbers import parse_double
 from sheetloom.functions.text import blank, bounded_key, cell, text_of, trimmed, value_of
 from sheetloom.plans.fused import any_of, passes, spread, union_all, unpack
+from sheetloom.session import ensure_checkpoint_dir
 
 HOT_VALUES = 1000
 LISTED_VALUES = 1000
@@ -205,11 +206,12 @@ def repeated_keys(df: DataFrame, column: str) -> DataFrame:
 def repeated_rows(df: DataFrame, column: str) -> DataFrame:
     """All rows whose filled value occurs more than once.
 
-    The most frequent values are looked up in a broadcast list of at most ``HOT_VALUES`` short keys, so no task ever
-    receives all copies of a hot value. Every other value holds less than one row in ``HOT_VALUES`` and is found by a
-    semi join.
+    The repeated keys are found first and checkpointed, so that later steps do not group the table again. The most frequent
+    ones are looked up in a broadcast list of at most ``HOT_VALUES`` short keys, so no task ever receives all copies of a hot
+    value. Every other value holds less than one row in ``HOT_VALUES`` and is found by a semi join.
     """
-    repeated = repeated_keys(df, column)
+    ensure_checkpoint_dir(df.sparkSession)
+    repeated = repeated_keys(df, column).checkpoint()
     hot = repeated.orderBy(F.col("occurrences").desc(), "repeated_key").limit(HOT_VALUES).select("repeated_key", F.lit(True).alias("is_hot"))
     value = trimmed(text_of(df, column))
     keyed = df.withColumn("repeated_key", F.when(value != "", bounded_key(value))).where("repeated_key IS NOT NULL")

@@ -14,6 +14,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JVM never compiles methods above 8000 bytes of code. Stages with many text conversions would exceed that and run
+    # interpreted; with this limit they use several smaller methods instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -27,6 +30,14 @@ def build_session(master: str | None = None, app_name: str = "sheetloom", **extr
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Give a session made elsewhere the code size limit above, unless its owner chose one."""
+    key, default = "spark.sql.codegen.hugeMethodLimit", "65535"
+    if spark.conf.get(key) == default:
+        spark.conf.set(key, SETTINGS[key])
+    return spark
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new, uniquely named folder below the shared checkpoint folder of the cluster.
 

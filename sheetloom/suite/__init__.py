@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sheetloom.session import tune
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -15,7 +18,11 @@ def query(sql: str | None = None):
     """Register a function under its own name, with its SQL twin."""
 
     def add(function: Query) -> Query:
-        QUERIES[function.__name__] = function
+        @wraps(function)
+        def tuned(spark: SparkSession, folder: str) -> DataFrame:
+            return function(tune(spark), folder)
+
+        QUERIES[function.__name__] = tuned
         if sql is not None:
             ORACLES[function.__name__] = sql
         return function

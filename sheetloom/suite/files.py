@@ -121,9 +121,10 @@ def workbook_inventory(spark: SparkSession, folder: str) -> DataFrame:
 def header_detection(spark: SparkSession, folder: str) -> DataFrame:
     """One sheet per nation: a title, the header, then a row per customer."""
     customers = table(spark, folder, "customer")
-    per_nation = F.row_number().over(_by("c_nationkey", "c_custkey")) + 2
-    body = customers.select(
-        F.col("c_nationkey").alias("sheet"), per_nation.alias("row_number"),
+    # Number the rows before exploding them: in one select, the window would see the exploded cells.
+    numbered = customers.withColumn("row_number", F.row_number().over(_by("c_nationkey", "c_custkey")) + 2)
+    body = numbered.select(
+        F.col("c_nationkey").alias("sheet"), "row_number",
         F.posexplode(F.array(F.col("c_custkey").cast("string"), "c_name", F.col("c_acctbal").cast("string"))).alias("column_index", "value"),
     )
     nations = customers.select(F.col("c_nationkey").alias("sheet")).distinct()

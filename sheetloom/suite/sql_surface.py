@@ -106,6 +106,5 @@ def save_sql_result(spark: SparkSession, folder: str) -> DataFrame:
     source = store.create("sources", table(spark, folder, "orders"))
     store.open_document_context(source)
     saved = store.save_query("Totals", "select o_orderpriority as priority, count(*) as orders, round(sum(o_totalprice), 6) as total from sources group by 1;", source)
-    names = spark.createDataFrame(list(store.names().items()), "source_document_id string, made_from string")
-    lineage = store.lineage().where(F.col("result_document_id") == saved).join(names, "source_document_id").select("made_from")
-    return store.read(saved).drop("_row_id").join(F.broadcast(lineage), F.col("priority").isNotNull(), "left")
+    made_from = store.lineage().where(F.col("result_document_id") == saved).first().source_document_id
+    return store.read(saved).drop("_row_id").withColumn("made_from", F.lit(store.names()[made_from]))
