@@ -89,6 +89,11 @@ def blank(text: Column) -> Column:
     return text.isNull() | (trimmed(text) == "")
 
 
+def blank_cell(df: DataFrame, name: str) -> Column:
+    """Whether a cell is blank; outside text columns only NULL is, which needs no text at all."""
+    return blank(cell(name)) if isinstance(df.schema[name].dataType, T.StringType) else cell(name).isNull()
+
+
 def contains_ignoring_case(text: Column, needle: str) -> Column:
     """``%`` and ``_`` in the needle stay wildcards; a backslash is an ordinary character."""
     pattern = "%" + needle.lower().replace("\\", "\\\\") + "%"

@@ -7,7 +7,7 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from sheetloom.functions.text import as_text, blank, cell, contains_ignoring_case, text_of
+from sheetloom.functions.text import as_text, blank_cell, cell, contains_ignoring_case, text_of
 from sheetloom.operators.rules import Rule, violation, violations
 from sheetloom.plans.fused import all_of, passes, union_all, unpack
 from sheetloom.session import ensure_checkpoint_dir
@@ -63,9 +63,9 @@ def clean_filters(filters: Sequence[Filter], columns: Sequence[str]) -> list[Fil
 
 
 def _cell_predicate(df: DataFrame, f: Filter, rules: dict[str, Rule]) -> Column:
-    text = text_of(df, f.column)
     if f.operator == "empty":
-        return blank(text)
+        return blank_cell(df, f.column)
+    text = text_of(df, f.column)
     if f.operator == "equals":
         return text == f.value
     if f.operator == "contains":
@@ -198,7 +198,7 @@ def blank_stats(df: DataFrame, row_id: str | None = ROW_ID) -> DataFrame:
     """Blank cells of every column that has some, from one scan for all columns."""
     frames = []
     for part in passes(data_columns(df, row_id)):
-        row = df.agg(*[F.count_if(blank(text_of(df, name))).alias(str(i)) for i, name in enumerate(part)])
+        row = df.agg(*[F.count_if(blank_cell(df, name)).alias(str(i)) for i, name in enumerate(part)])
         structs = [F.struct(F.lit(name).alias("column"), cell(str(i)).alias("empty_count")) for i, name in enumerate(part)]
         frames.append(unpack(row, structs))
     return union_all(frames).where("empty_count > 0")
@@ -221,7 +221,7 @@ def window_summary(
     filtered = F.count_if(all_of(predicates)).alias("total_rows")
     if table_rules:
         filtered = F.lit(filter_rows(df, filters, rules, row_id).count()).cast("bigint").alias("total_rows")
-    blanks = [F.count_if(blank(text_of(df, name))).alias(f"b{i}") for i, name in enumerate(columns)]
+    blanks = [F.count_if(blank_cell(df, name)).alias(f"b{i}") for i, name in enumerate(columns)]
     row = df.agg(filtered, *blanks)
     each = F.array(*[F.col(f"b{i}") for i in range(len(columns))])
     limit = page_size(limit)

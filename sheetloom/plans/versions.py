@@ -184,7 +184,8 @@ class DocumentStore:
 
     def open_document_context(self, document_id: str) -> None:
         """SQL sees this document, as ``documento`` and under its own name."""
-        document_context(self.read(document_id), self.entries(document_id)[-1].name)
+        entries = self.entries(document_id)
+        document_context(self._rows(entries), entries[-1].name)
 
     def open_workspace_context(self) -> None:
         """SQL sees every document of the store under its name."""
@@ -203,6 +204,10 @@ class DocumentStore:
         entries = [e for e in self.entries(document_id) if version is None or e.version <= version]
         if not entries:
             raise DocumentError(f"no version {version} of '{document_id}'")
+        return self._rows(entries)
+
+    def _rows(self, entries: list[Row]) -> DataFrame:
+        """The document after the given log rows."""
         start = max(i for i, e in enumerate(entries) if e.kind == "copy")
         df = self.spark.read.parquet(entries[start].path).drop(*ORIGIN)
         patches: list[DataFrame] = []
@@ -230,8 +235,9 @@ class DocumentStore:
 
     def compact(self, document_id: str) -> int:
         """Write a full copy that later reads start from."""
-        last = self.entries(document_id)[-1]
-        path, rows = self._write_copy(document_id, self.read(document_id, last.version))
+        entries = self.entries(document_id)
+        last = entries[-1]
+        path, rows = self._write_copy(document_id, self._rows(entries))
         self._commit(
             document_id, last.version + 1, kind="copy", path=path, row_count=rows, column_count=last.column_count, cause="compaction", name=last.name
         )
@@ -242,8 +248,7 @@ class DocumentStore:
     def apply(self, document_id: str, t: Transformation, mode: str = "auto") -> Applied:
         """Log the changed cells, then commit them as a patch, or as a full copy when many cells changed."""
         entries = self.entries(document_id)
-        last = entries[-1]
-        df = self.read(document_id, last.version)
+        last, df = entries[-1], self._rows(entries)
         new, failed = expression(df, t)
         transformation_id, counted = uuid.uuid4().hex, Observation()
         old = text_of(df, t.column)
@@ -320,8 +325,7 @@ class DocumentStore:
         ``edits`` has the columns row_id, column_name, value, sequence.
         """
         entries = self.entries(document_id)
-        last = entries[-1]
-        df = self.read(document_id, last.version)
+        last, df = entries[-1], self._rows(entries)
         checked = checked_edits(df, edits)
         missing = unmatched_edits(df, checked.where("problem IS NULL")).withColumn("problem", F.lit("unknown row"))
         refused = checked.where("problem IS NOT NULL").unionByName(missing)
@@ -341,8 +345,8 @@ class DocumentStore:
 
     def rename(self, document_id: str, index: int, new_name: str, rules: Sequence[Rule] = ()) -> tuple[int, list[Rule]]:
         """Rename a column in the log only; no data is rewritten."""
-        last = self.entries(document_id)[-1]
-        df = self.read(document_id, last.version)
+        entries = self.entries(document_id)
+        last, df = entries[-1], self._rows(entries)
         renamed, followed = rename_column(df, index, new_name, rules)
         if renamed.columns == df.columns:
             return last.version, followed
