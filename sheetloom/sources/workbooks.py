@@ -12,6 +12,7 @@ import re
 import uuid
 import zipfile
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from xml.etree.ElementTree import iterparse
 from xml.sax.saxutils import escape
@@ -27,6 +28,7 @@ from sheetloom.sources.headers import column_letters
 
 SOURCE = "sheetloom_workbook"
 BATCH_ROWS = 10_000
+LISTING_THREADS = 32
 # The most rows of a sheet, the sheet name of an export, and the package parts of a workbook.
 SHEET_ROWS = 1_048_576
 EXPORT_SHEET = "Dados"
@@ -176,10 +178,14 @@ class WorkbookReader(DataSourceReader):
         self.last_row = int(options["lastrow"]) if options.get("lastrow") else None
 
     def partitions(self) -> list[_Sheet]:
-        planned = []
-        for path in _workbook_paths(self.root):
+        """One partition per sheet. Only the small sheet lists are read here, many at a time."""
+
+        def sheets_of(path: str) -> list[_Sheet]:
             with _open_book(self.root, path) as book:
-                planned += [_Sheet(path, i, name, part) for i, (name, _, part) in enumerate(sheet_list(book))]
+                return [_Sheet(path, i, name, part) for i, (name, _, part) in enumerate(sheet_list(book))]
+
+        with ThreadPoolExecutor(LISTING_THREADS) as pool:
+            planned = [sheet for sheets in pool.map(sheets_of, _workbook_paths(self.root)) for sheet in sheets]
         return [p for p in planned if p.part and self.sheet in (None, p.name)]
 
     def read(self, partition: _Sheet) -> Iterator[pa.RecordBatch]:
