@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 from sheetloom.functions.text import cell, quote
 from sheetloom.operators.grid import ROW_ID
+from sheetloom.sources.headers import unique_names
 
 CURRENT_DOCUMENT = "documento"
 TABULAR, DIRECT = ("select", "with"), ("show", "describe", "explain")
+# The names of the present context of each session.
+_OPEN: WeakKeyDictionary[SparkSession, list[str]] = WeakKeyDictionary()
 QUOTED_NAMES = "spark.sql.ansi.doubleQuotedIdentifiers"
 
 
@@ -46,20 +50,29 @@ def _view(df: DataFrame, name: str) -> None:
     df.select(*[cell(c) for c in df.columns if c != ROW_ID]).createOrReplaceTempView(quote(name))
 
 
+def _open(spark: SparkSession, documents: Iterable[tuple[str, DataFrame]]) -> None:
+    """Make these documents known and no others: views of the context before go."""
+    for name in _OPEN.get(spark, ()):
+        spark.catalog.dropTempView(name)
+    _OPEN[spark] = []
+    for name, df in documents:
+        _view(df, name)
+        _OPEN[spark].append(name)
+
+
 def document_context(df: DataFrame, name: str) -> None:
-    """Make one document known as ``documento`` and under its own name."""
-    _view(df, CURRENT_DOCUMENT)
-    _view(df, name)
+    """Make one document known as ``documento`` and under its own name; documents of an earlier context are known no longer."""
+    _open(df.sparkSession, [(CURRENT_DOCUMENT, df), (name, df)])
 
 
 def workspace_context(documents: Iterable[tuple[str, DataFrame]]) -> None:
-    """Make every document known under its name; views are lazy, so unused ones cost nothing."""
+    """Make every document known under its name, and no others; views are lazy, so unused ones cost nothing."""
     documents = list(documents)
     again = ambiguous_names(name for name, _ in documents)
     if again:
         raise QueryError(f"duplicate document names: {', '.join(again)}")
-    for name, df in documents:
-        _view(df, name)
+    if documents:
+        _open(documents[0][1].sparkSession, documents)
 
 
 @contextmanager
@@ -75,12 +88,15 @@ def _quoted_names(spark: SparkSession):
 def run_query(spark: SparkSession, query: str) -> DataFrame:
     """The result as a lazy DataFrame; page, filter and profile it like any other table.
 
-    SELECT and WITH are analysed as a sub-query, where the grammar allows no writing statement. Double quotes enclose names.
+    SELECT and WITH are analysed as a sub-query, where the grammar allows no writing statement. Double quotes enclose names. Columns of one name, as a
+    join of two tables has them, are told apart by a number.
     """
     sql = read_only(query)
     with _quoted_names(spark):
         if sql.split()[0].lower() in TABULAR:
-            return spark.sql(f"SELECT * FROM (\n{sql}\n) AS console_query")
+            result = spark.sql(f"SELECT * FROM (\n{sql}\n) AS console_query")
+            repeats = len({c.lower() for c in result.columns}) < len(result.columns)
+            return result.toDF(*unique_names(result.columns)) if repeats else result
         return spark.sql(sql)
 
 

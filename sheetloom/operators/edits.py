@@ -19,10 +19,9 @@ class EditError(ValueError):
 
 def _fits(df: DataFrame, columns: Sequence[str]) -> Column:
     """Whether the text of an edit can become a value of its column; text columns take everything, NULL fits anywhere."""
-    fits = F.lit(False)
+    fits = F.lit(True)
     for name in columns:
-        kind = df.schema[name].dataType
-        ok = F.lit(True) if isinstance(kind, T.StringType) else F.col("value").isNull() | F.col("value").try_cast(kind).isNotNull()
+        ok = F.col("value").isNull() | F.col("value").try_cast(df.schema[name].dataType).isNotNull()
         fits = F.when(F.col("column_name") == name, ok).otherwise(fits)
     return fits
 
@@ -32,7 +31,8 @@ def checked_edits(df: DataFrame, edits: DataFrame, row_id: str = ROW_ID) -> Data
     columns = data_columns(df, row_id)
     known = F.col("column_name").isin(*columns)
     negative = F.col("row_id") < 0
-    problem = F.when(~known | negative, "unknown cell").when(~_fits(df, columns), "wrong type")
+    typed = [c for c in columns if not isinstance(df.schema[c].dataType, T.StringType)]
+    problem = F.when(~known | negative, "unknown cell").when(~_fits(df, typed), "wrong type")
     return edits.withColumn("problem", problem)
 
 
@@ -45,9 +45,12 @@ def patched(df: DataFrame, edits: DataFrame, row_id: str = ROW_ID) -> DataFrame:
     """The table with all applicable edits made; of several edits of a cell the one with the highest sequence wins.
 
     Edits are reduced to one row per edited row before the join, so the size of that side, not of the table, decides
-    between a broadcast and a shuffle.
+    between a broadcast and a shuffle. Only columns that occur in the edits are touched.
     """
-    columns = data_columns(df, row_id)
+    named = {r.column_name for r in edits.select("column_name").distinct().collect()}  # at most one row per column counts
+    columns = [c for c in data_columns(df, row_id) if c in named]
+    if not columns:
+        return df
     usable = checked_edits(df, edits, row_id).where("problem IS NULL")
     latest = usable.groupBy(F.col("row_id").alias("edited_row")).agg(
         *[
@@ -58,7 +61,7 @@ def patched(df: DataFrame, edits: DataFrame, row_id: str = ROW_ID) -> DataFrame:
     joined = df.join(latest, cell(row_id) == F.col("edited_row"), "left")
     out = []
     for name in df.columns:
-        if name == row_id:
+        if name not in columns:
             out.append(cell(name))
             continue
         edit = F.col(f"edit_{columns.index(name)}")

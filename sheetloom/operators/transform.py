@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from sheetloom.functions.dates import DEFAULT_FORMAT, FORMATS, is_serial, serial_to_date
-from sheetloom.functions.text import blank, cell, text_of, trimmed
+from sheetloom.functions.text import as_text, blank, cell, text_of, trimmed
 from sheetloom.operators.grid import ROW_ID
 
 CHANGED_SAMPLES, FAILED_SAMPLES = 20, 5
@@ -75,50 +76,70 @@ def expression(df: DataFrame, t: Transformation, row_id: str | None = ROW_ID) ->
     return _EXPRESSIONS[t.kind](text, t.config), F.coalesce(failed, F.lit(False))
 
 
+@dataclass(frozen=True)
+class Outcome:
+    """A transformation of one column: texts before and after, the new value in the column's type, and what went wrong."""
+
+    before: Column
+    after: Column
+    value: Column
+    failed: Column
+    misfit: Column
+
+
+def outcome(df: DataFrame, t: Transformation, row_id: str | None = ROW_ID) -> Outcome:
+    """A column keeps its type: a new text that cannot become a value of it is a misfit, and the text after is that of the value."""
+    new, failed = expression(df, t, row_id)
+    before, kind = text_of(df, t.column), df.schema[t.column].dataType
+    if isinstance(kind, StringType):
+        return Outcome(before, new, new, failed, F.lit(False))
+    value = F.when(before.eqNullSafe(new), cell(t.column)).otherwise(new.try_cast(kind))
+    misfit = new.isNotNull() & value.isNull()
+    return Outcome(before, as_text(value, kind), value, failed | misfit, misfit)
+
+
 def transformed(df: DataFrame, t: Transformation, row_id: str | None = ROW_ID) -> DataFrame:
-    return df.withColumn(t.column, expression(df, t, row_id)[0])
+    return df.withColumn(t.column, outcome(df, t, row_id).value)
 
 
 def impact(df: DataFrame, t: Transformation, row_id: str | None = ROW_ID) -> DataFrame:
     """Total, affected, unchanged and failed rows in one scan."""
-    new, failed = expression(df, t, row_id)
-    changed = ~text_of(df, t.column).eqNullSafe(new)
+    new = outcome(df, t, row_id)
+    changed = ~new.before.eqNullSafe(new.after)
     total, affected = F.count(F.lit(1)), F.count_if(changed)
     return df.agg(
         total.alias("total_rows"),
         affected.alias("affected_rows"),
         (total - affected).alias("unchanged_rows"),
-        F.count_if(failed).alias("failed_rows"),
+        F.count_if(new.failed).alias("failed_rows"),
     )
 
 
 def samples(df: DataFrame, t: Transformation, row_id: str = ROW_ID) -> DataFrame:
     """Up to 20 changed rows, then up to 5 failed rows when fewer than 5 of the changed ones failed, in row order."""
-    new, failed = expression(df, t, row_id)
-    original = text_of(df, t.column)
-    view = df.select(cell(row_id).alias("row_id"), original.alias("original"), new.alias("transformed"), failed.alias("failed"))
+    new = outcome(df, t, row_id)
+    view = df.select(cell(row_id).alias("row_id"), new.before.alias("original"), new.after.alias("transformed"), new.failed.alias("failed"))
     changed = (
         view.where("NOT (original <=> transformed)")
         .orderBy("row_id")
         .limit(CHANGED_SAMPLES)
         .select("row_id", "original", "transformed", F.when(F.col("failed"), "failed").otherwise("changed").alias("status"))
     )
-    if t.kind != "excel_serial_date":
+    if t.kind != "excel_serial_date" and isinstance(df.schema[t.column].dataType, StringType):
         return changed
     broken = view.where("failed").orderBy("row_id").limit(FAILED_SAMPLES)
     broken = broken.select("row_id", "original", "transformed", F.lit("failed").alias("status"))
-    # A failed serial keeps its text, so no changed row has failed and the second list always applies.
+    # A failed serial keeps its text and a misfit has none, so the second list always applies.
     return changed.unionByName(broken)
 
 
 def deltas(df: DataFrame, t: Transformation, transformation_id: str, row_id: str = ROW_ID) -> DataFrame:
     """One log row per changed cell."""
-    new, _ = expression(df, t, row_id)
-    original = text_of(df, t.column)
-    return df.where(~original.eqNullSafe(new)).select(
+    new = outcome(df, t, row_id)
+    return df.where(~new.before.eqNullSafe(new.after)).select(
         F.lit(transformation_id).alias("transformation_id"),
         cell(row_id).cast("bigint").alias("row_id"),
         F.lit(t.column).alias("column_name"),
-        original.alias("old_value"),
-        new.alias("new_value"),
+        new.before.alias("old_value"),
+        new.after.alias("new_value"),
     )

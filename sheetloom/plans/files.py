@@ -1,4 +1,7 @@
-"""The few file-system calls Spark's readers and writers do not cover, through the Hadoop API every path goes through."""
+"""The two file-system calls Spark's readers and writers do not cover, through the Hadoop API every path goes through.
+
+They need a classic session; Spark Connect has no way to them.
+"""
 
 from __future__ import annotations
 
@@ -10,16 +13,6 @@ def _located(spark: SparkSession, path: str):
     return location.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), location
 
 
-def claim(spark: SparkSession, path: str) -> bool:
-    """Create an empty file; False when it exists already."""
-    system, location = _located(spark, path)
-    system.mkdirs(location.getParent())
-    try:
-        return bool(system.createNewFile(location))
-    except Exception:
-        return False
-
-
 def delete(spark: SparkSession, path: str) -> None:
     system, location = _located(spark, path)
     system.delete(location, True)

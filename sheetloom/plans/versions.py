@@ -1,47 +1,61 @@
 """Versioned documents: Parquet folders plus one append-only log.
 
 A log row is the commit point of everything that happens to a document: ingest, saved SQL result, transformation, cell
-patch, rename. Data and change logs are written to fresh folders first, so a lost job leaves nothing visible. A document is
-read as its last full copy, with later patches merged in and later renames applied; small changes to large documents thus
-cost their own size, not a rewrite. Transformation history and SQL lineage are views of the same log.
+edits, rename. Every change of cells writes a full copy to a fresh folder first, so a lost job leaves nothing visible and the
+way a change is stored never depends on how many rows it touches. The copy of a transformation keeps the former text of the cells
+it changed; the change log, the transformation history and SQL lineage are views. Renames are log rows alone.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, functions as F
 
 from sheetloom.functions.text import cell, text_of
 from sheetloom.operators.console import document_context, read_only, run_query, workspace_context
 from sheetloom.operators.edits import checked_edits, patched, rename_column, unmatched_edits
 from sheetloom.operators.grid import ROW_ID, data_columns
 from sheetloom.operators.rules import Rule
-from sheetloom.operators.transform import Transformation, expression
+from sheetloom.operators.transform import Transformation, TransformError, outcome
 from sheetloom.plans import files
 
 MAX_COLUMNS = 16_384
 ORIGIN = ("_path", "_sheet_index", "_sheet")
-PATCH_SHARE = 0.05
-PATCHES_BEFORE_COMPACTION = 20
-
-_TEXT, _COUNT = T.StringType(), T.LongType()
-LOG_SCHEMA = T.StructType(
-    [
-        T.StructField(name, kind)
-        for names, kind in (
-            ("document_id", _TEXT), ("version", _COUNT), ("kind path", _TEXT), ("row_count column_count", _COUNT), ("cause", _TEXT),
-            ("created_at", T.TimestampType()), ("name source_type source_file source_sheet transformation_id", _TEXT), ("sequence", _COUNT),
-            ("transformation_type column_name configuration_json", _TEXT), ("affected_rows failed_rows", _COUNT),
-            ("source_document_id sql old_name new_name", _TEXT),
-        )
-        for name in names.split()
-    ]
-)
+CHANGED, BEFORE = f"{ROW_ID}_changed", f"{ROW_ID}_before"
+
+LOG_COLUMNS = {
+    "document_id": "string",
+    "version": "bigint",
+    "kind": "string",
+    "path": "string",
+    "row_count": "bigint",
+    "column_count": "bigint",
+    "cause": "string",
+    "created_at": "timestamp",
+    "duration_ms": "bigint",
+    "name": "string",
+    "source_type": "string",
+    "source_file": "string",
+    "source_sheet": "string",
+    "transformation_id": "string",
+    "sequence": "bigint",
+    "transformation_type": "string",
+    "column_name": "string",
+    "configuration_json": "string",
+    "affected_rows": "bigint",
+    "failed_rows": "bigint",
+    "source_document_id": "string",
+    "sql": "string",
+    "old_name": "string",
+    "new_name": "string",
+}
+LOG_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in LOG_COLUMNS.items())
 
 
 class VersionConflict(RuntimeError):
@@ -60,6 +74,7 @@ class Prepared:
     path: str
     rows: int
     width: int
+    milliseconds: int
 
 
 @dataclass(frozen=True)
@@ -70,8 +85,16 @@ class Applied:
     failed_rows: int
 
 
+def check_width(width: int) -> None:
+    if width > MAX_COLUMNS:
+        raise DocumentError(f"{width} columns; the limit is {MAX_COLUMNS}")
+
+
 def with_row_ids(df: DataFrame) -> DataFrame:
-    """Stable ids in file order without a shuffle; computed once and then stored with the rows."""
+    """Stable ids without a shuffle, computed once and then stored with the rows.
+
+    They ascend within a part of a file. Spark reads larger parts first, so the order of files is not kept.
+    """
     return df.select(F.monotonically_increasing_id().alias(ROW_ID), *[cell(name) for name in df.columns if name != ROW_ID])
 
 
@@ -101,18 +124,13 @@ class DocumentStore:
         return entries
 
     def _commit(self, document_id: str, version: int, **values) -> None:
-        marker = f"{self.root}/claims/{document_id}/{version:09d}"
-        if not files.claim(self.spark, marker):
+        folder = f"{self.root}/versions/{document_id}/{version:09d}"
+        if files.exists(self.spark, folder):
             raise VersionConflict(f"version {version} of '{document_id}' exists already")
-        try:
-            row = {name: None for name in LOG_SCHEMA.names} | values
-            row |= {"document_id": document_id, "version": version, "created_at": datetime.now(timezone.utc)}
-            frame = self.spark.createDataFrame([tuple(row[name] for name in LOG_SCHEMA.names)], LOG_SCHEMA)
-            frame.coalesce(1).write.mode("error").parquet(f"{self.root}/versions/{document_id}/{version:09d}")
-        except Exception:
-            files.delete(self.spark, f"{self.root}/versions/{document_id}/{version:09d}")
-            files.delete(self.spark, marker)
-            raise
+        row = dict.fromkeys(LOG_COLUMNS) | values
+        row |= {"document_id": document_id, "version": version, "created_at": datetime.now(timezone.utc)}
+        frame = self.spark.createDataFrame([tuple(row[name] for name in LOG_COLUMNS)], LOG_SCHEMA)
+        frame.coalesce(1).write.mode("error").parquet(folder)
 
     def _fresh_path(self, document_id: str, kind: str) -> str:
         return f"{self.root}/{kind}/{document_id}/{uuid.uuid4().hex}"
@@ -130,22 +148,24 @@ class DocumentStore:
 
         One job writes all rows into a folder per document, one reads the counts, one appends the log rows.
         """
-        batch = uuid.uuid4().hex
+        batch, started = uuid.uuid4().hex, time.monotonic()
         path = self._fresh_path("batches", "data")
         document_id = F.md5(F.concat_ws("|", F.lit(batch), *[cell(k).cast("string") for k in keys]))
         columns = [c for c in df.columns if c not in keys]
+        check_width(len(columns))
         try:
             tagged = df.select(document_id.alias("_document_id"), *[cell(k) for k in keys], F.monotonically_increasing_id().alias(ROW_ID), *[cell(c) for c in columns])
             tagged.write.partitionBy("_document_id").parquet(path)
             written = self.spark.read.parquet(path)
             counted = written.groupBy("_document_id", *[cell(k) for k in keys]).agg(F.count("*").alias("rows"))
+            spent = F.lit(int(1000 * (time.monotonic() - started)))
             values = {
-                "document_id": F.col("_document_id"), "version": F.lit(1), "kind": F.lit("copy"),
+                "duration_ms": spent, "document_id": F.col("_document_id"), "version": F.lit(1), "kind": F.lit("copy"),
                 "path": F.concat(F.lit(path + "/_document_id="), F.col("_document_id")), "row_count": F.col("rows"),
                 "column_count": F.lit(len(columns)), "cause": F.lit("ingest"), "created_at": F.current_timestamp(),
                 "name": F.trim(name), **source,
             }
-            entries = counted.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in LOG_SCHEMA])
+            entries = counted.select(*[values.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in LOG_COLUMNS.items()])
             entries.coalesce(1).write.mode("error").parquet(f"{self.root}/versions/batches/{batch}")
         except Exception:
             files.delete(self.spark, path)
@@ -156,16 +176,16 @@ class DocumentStore:
     def prepare(self, df: DataFrame) -> Prepared:
         """Write the rows of a new document without making it visible."""
         width = len([c for c in df.columns if c != ROW_ID])
-        if width > MAX_COLUMNS:
-            raise DocumentError(f"{width} columns; the limit is {MAX_COLUMNS}")
-        document_id = uuid.uuid4().hex
-        return Prepared(document_id, *self._write_copy(document_id, with_row_ids(df)), width)
+        check_width(width)
+        document_id, started = uuid.uuid4().hex, time.monotonic()
+        path, counts = self._write_copy(document_id, with_row_ids(df))
+        return Prepared(document_id, path, counts["rows"], width, int(1000 * (time.monotonic() - started)))
 
     def publish(self, prepared: Prepared, name: str, cause: str, **source: str | None) -> str:
         try:
             self._commit(
                 prepared.document_id, 1, kind="copy", path=prepared.path, row_count=prepared.rows, column_count=prepared.width,
-                cause=cause, name=name.strip(), **source,
+                cause=cause, name=name.strip(), duration_ms=prepared.milliseconds, **source,
             )
         except Exception:
             self.discard(prepared)
@@ -191,14 +211,16 @@ class DocumentStore:
         """SQL sees every document of the store under its name."""
         workspace_context([(name, self.read(i)) for i, name in self.names().items()])
 
-    def _write_copy(self, document_id: str, df: DataFrame) -> tuple[str, int]:
+    def _write_copy(self, document_id: str, df: DataFrame, **counts: Column) -> tuple[str, dict]:
+        """Write a full copy; row counts and further aggregates are observed on the way."""
         path, counted = self._fresh_path(document_id, "data"), Observation()
+        every = [F.count(F.lit(1)).alias("rows"), *[c.alias(name) for name, c in counts.items()]]
         try:
-            df.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode("error").parquet(path)
+            df.observe(counted, *every).write.mode("error").parquet(path)
         except Exception:
             files.delete(self.spark, path)
             raise
-        return path, counted.get["rows"]
+        return path, counted.get
 
     def read(self, document_id: str, version: int | None = None) -> DataFrame:
         entries = [e for e in self.entries(document_id) if version is None or e.version <= version]
@@ -207,83 +229,41 @@ class DocumentStore:
         return self._rows(entries)
 
     def _rows(self, entries: list[Row]) -> DataFrame:
-        """The document after the given log rows."""
+        """The document after the given log rows: the last copy under its present names."""
         start = max(i for i, e in enumerate(entries) if e.kind == "copy")
-        df = self.spark.read.parquet(entries[start].path).drop(*ORIGIN)
-        patches: list[DataFrame] = []
+        df = self.spark.read.parquet(entries[start].path).drop(*ORIGIN, CHANGED, BEFORE)
         for e in entries[start + 1 :]:
-            if e.kind == "patch":
-                patches.append(self._edits(e))
-            else:
-                df, patches = self._merged(df, patches), []
-                columns = data_columns(df, ROW_ID)
-                df = rename_column(df, columns.index(e.old_name), e.new_name)[0]
-        return self._merged(df, patches)
-
-    def _edits(self, entry: Row) -> DataFrame:
-        edits = self.spark.read.parquet(entry.path)
-        return edits.select("row_id", "column_name", F.col("new_value").alias("value"), F.lit(entry.version).alias("sequence"))
-
-    @staticmethod
-    def _merged(df: DataFrame, patches: list[DataFrame]) -> DataFrame:
-        if not patches:
-            return df
-        edits = patches[0]
-        for more in patches[1:]:
-            edits = edits.unionByName(more)
-        return patched(df, edits)
-
-    def compact(self, document_id: str) -> int:
-        """Write a full copy that later reads start from."""
-        entries = self.entries(document_id)
-        last = entries[-1]
-        path, rows = self._write_copy(document_id, self._rows(entries))
-        self._commit(
-            document_id, last.version + 1, kind="copy", path=path, row_count=rows, column_count=last.column_count, cause="compaction", name=last.name
-        )
-        return last.version + 1
+            df = rename_column(df, data_columns(df, ROW_ID).index(e.old_name), e.new_name)[0]
+        return df
 
     # --- transformations ---
 
-    def apply(self, document_id: str, t: Transformation, mode: str = "auto") -> Applied:
-        """Log the changed cells, then commit them as a patch, or as a full copy when many cells changed."""
+    def apply(self, document_id: str, t: Transformation) -> Applied:
+        """Write the transformed document as a new copy and log it.
+
+        A column keeps its type. When a new text cannot become a value of it the whole transformation is refused, so document, history and
+        change log always agree. One pass writes the copy, marks the changed rows, keeps their former text and counts.
+        """
         entries = self.entries(document_id)
         last, df = entries[-1], self._rows(entries)
-        new, failed = expression(df, t)
-        transformation_id, counted = uuid.uuid4().hex, Observation()
-        old = text_of(df, t.column)
-        view = df.select(
-            F.lit(transformation_id).alias("transformation_id"),
-            cell(ROW_ID).alias("row_id"),
-            F.lit(t.column).alias("column_name"),
-            old.alias("old_value"),
-            new.alias("new_value"),
-            failed.alias("failed"),
-        )
-        changed = ~F.col("old_value").eqNullSafe(F.col("new_value"))
-        view = view.observe(
-            counted,
-            F.count(F.lit(1)).alias("total"),
-            F.count_if(changed).alias("affected"),
-            F.count_if(F.col("failed")).alias("failed"),
-        )
-        path = self._fresh_path(document_id, "deltas")
-        written = [path]
+        new = outcome(df, t)
+        changed = ~new.before.eqNullSafe(new.after)
+        marks = df.select(*[cell(c) for c in df.columns], changed.alias(CHANGED), F.when(changed, new.before).alias(BEFORE), new.value.alias("_new"), new.failed.alias("_failed"), new.misfit.alias("_misfit"))
+        counted = Observation()
+        marks = marks.observe(counted, F.count_if(CHANGED).alias("affected"), F.count_if("_failed").alias("failed"), F.count_if("_misfit").alias("misfits"))
+        copy = marks.select(*[F.col("_new").alias(c) if c == t.column else cell(c) for c in df.columns], CHANGED, BEFORE)
+        path, counts = self._write_copy(document_id, copy)
         try:
-            view.where(changed).drop("failed").write.mode("error").parquet(path)
-            counts = counted.get
-            patches = sum(e.kind == "patch" for e in entries)
-            small = counts["affected"] <= PATCH_SHARE * counts["total"] and patches < PATCHES_BEFORE_COMPACTION
-            as_patch = mode == "patch" or (mode == "auto" and small)
-            if not as_patch:
-                copy, _ = self._write_copy(document_id, df.withColumn(t.column, new))
-                written.append(copy)
+            counts |= counted.get
+            if counts["misfits"]:
+                raise TransformError(f"{counts['misfits']} new texts do not fit the type of column '{t.column}'")
+            transformation_id = uuid.uuid4().hex
             self._commit(
                 document_id,
                 last.version + 1,
-                kind="patch" if as_patch else "copy",
-                path=written[-1],
-                row_count=counts["total"],
+                kind="copy",
+                path=path,
+                row_count=counts["rows"],
                 column_count=last.column_count,
                 cause="transformation",
                 name=last.name,
@@ -296,26 +276,43 @@ class DocumentStore:
                 failed_rows=counts["failed"],
             )
         except Exception:
-            for folder in written:
-                files.delete(self.spark, folder)
+            files.delete(self.spark, path)
             raise
         return Applied(transformation_id, last.version + 1, counts["affected"], counts["failed"])
 
     def history(self, document_id: str) -> DataFrame:
         """Applied transformations in order."""
-        columns = "transformation_id, document_id, sequence, transformation_type, column_name, configuration_json, affected_rows, failed_rows"
         done = self.log(document_id).where("transformation_id IS NOT NULL")
-        return done.select(*columns.split(", "), F.lit("applied").alias("status"), "created_at").orderBy("sequence")
+        return done.select(
+            "transformation_id",
+            "document_id",
+            "sequence",
+            "transformation_type",
+            "column_name",
+            "configuration_json",
+            "affected_rows",
+            "failed_rows",
+            F.lit("applied").alias("status"),
+            "created_at",
+        ).orderBy("sequence")
 
     def deltas(self, document_id: str) -> DataFrame:
-        """All logged cell changes of committed transformations."""
-        folder = f"{self.root}/deltas/{document_id}"
+        """All cell changes of the document's transformations, read from the marks in their copies."""
         schema = "transformation_id string, row_id bigint, column_name string, old_value string, new_value string"
-        if not files.exists(self.spark, folder):
-            return self.spark.createDataFrame([], schema)
-        logged = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
-        committed = [e.transformation_id for e in self.entries(document_id) if e.transformation_id]
-        return logged.where(F.col("transformation_id").isin(committed))
+        out = self.spark.createDataFrame([], schema)
+        for e in self.entries(document_id):
+            if e.transformation_id:
+                copy = self.spark.read.parquet(e.path).where(cell(CHANGED))
+                out = out.unionByName(
+                    copy.select(
+                        F.lit(e.transformation_id).alias("transformation_id"),
+                        cell(ROW_ID).alias("row_id"),
+                        F.lit(e.column_name).alias("column_name"),
+                        cell(BEFORE).alias("old_value"),
+                        text_of(copy, e.column_name).alias("new_value"),
+                    )
+                )
+        return out
 
     # --- edits ---
 
@@ -329,14 +326,12 @@ class DocumentStore:
         checked = checked_edits(df, edits)
         missing = unmatched_edits(df, checked.where("problem IS NULL")).withColumn("problem", F.lit("unknown row"))
         refused = checked.where("problem IS NOT NULL").unionByName(missing)
-        good = checked.where("problem IS NULL").join(df.select(cell(ROW_ID).alias("row_id")), "row_id", "left_semi")
-        final = good.groupBy("row_id", "column_name").agg(F.max_by(F.struct("value"), "sequence")["value"].alias("new_value"))
-        path, counted = self._fresh_path(document_id, "edits"), Observation()
+        path, counts = self._write_copy(document_id, patched(df, edits))
+        touched = checked.where("problem IS NULL").join(df.select(cell(ROW_ID).alias("row_id")), "row_id", "left_semi")
         try:
-            final.observe(counted, F.count(F.lit(1)).alias("cells")).write.mode("error").parquet(path)
             self._commit(
-                document_id, last.version + 1, kind="patch", path=path, row_count=last.row_count, column_count=last.column_count,
-                cause="edit", name=last.name, affected_rows=counted.get["cells"],
+                document_id, last.version + 1, kind="copy", path=path, row_count=counts["rows"], column_count=last.column_count,
+                cause="edit", name=last.name, affected_rows=touched.select("row_id", "column_name").distinct().count(),
             )
         except Exception:
             files.delete(self.spark, path)

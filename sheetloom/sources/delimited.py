@@ -12,10 +12,13 @@ from sheetloom.operators.grid import ROW_ID
 from sheetloom.sources.headers import csv_names
 
 DELIMITERS = (",", ";", "\t", "|")
-SNIFF_LINES = 100
 SPILLED = "_malformed_record"
 
 
+class LayoutError(ValueError):
+    """Files of one table whose headers differ."""
+
+
 @dataclass(frozen=True)
 class Layout:
     """Delimiter and column names of a set of files that share a header."""
@@ -34,28 +37,70 @@ def _field_count(line: Column, delimiter: str) -> Column:
     return F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
 
 
-def sniff(spark: SparkSession, paths: str | Sequence[str], delimiter: str | None = None) -> Layout:
-    """Delimiter and header from the first lines of one file.
+@dataclass(frozen=True)
+class Survey:
+    """What all lines of a set of files say: layouts with their files, and whether quotes enclose line breaks."""
+
+    layouts: tuple[tuple[Layout, tuple[str, ...]], ...]
+    multi_line: bool
+
 
-    The delimiter is the one that splits most lines into the same number of fields, at least two; more fields win a tie.
+def survey(spark: SparkSession, paths: str | Sequence[str], delimiter: str | None = None) -> Survey:
+    """The header of every file, the delimiter, and quoted line breaks, from all lines of all files.
+
+    One aggregate with a row per file: its first filled line, and its lines with an odd number of quotes. The delimiter is the one that splits the
+    header into at least two fields; if several do, a second aggregate counts the lines that each splits like the header, and more fields win a tie.
     """
-    lines = spark.read.text(paths).where("_metadata.file_block_start = 0").where("trim(value) <> ''").limit(SNIFF_LINES)
-    counts = [_field_count(F.col("value"), d).alias(f"n{i}") for i, d in enumerate(DELIMITERS)]
-    head = lines.select("value", *counts).collect()
-    if not head:
-        return Layout(delimiter or ",", ())
-    if delimiter is None:
-        best = (-1, 0)
-        for i, candidate in enumerate(DELIMITERS):
-            width = head[0][f"n{i}"]
-            agreeing = sum(row[f"n{i}"] == width for row in head) if width >= 2 else 0
-            if (agreeing, width) > best:
-                best, delimiter = (agreeing, width), candidate
-    width = head[0][f"n{DELIMITERS.index(delimiter)}"] if delimiter in DELIMITERS else 1
-    schema = T.StructType([T.StructField(f"h{i}", T.StringType()) for i in range(width)])
-    header = spark.createDataFrame([(head[0].value.lstrip("﻿"),)], "value string")
-    parsed = header.select(F.from_csv("value", F.lit(schema.simpleString()[7:-1].replace(":", " ")), {"sep": delimiter, "escape": '"'}).alias("h"))
-    return Layout(delimiter, tuple(csv_names(list(parsed.first().h))))
+    lines = spark.read.text(paths)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    # Within a task lines keep their order, and the start of a file lies in one task.
+    placed = lines.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+    first = F.when((F.col("start") == 0) & (F.trim("value") != ""), F.col("line"))
+    files = placed.groupBy("path").agg(F.min_by("value", first).alias("header"), F.max(quotes % 2).alias("odd"))
+    found = sorted(files.where("header IS NOT NULL").collect())
+    if not found:
+        return Survey(((Layout(delimiter or ",", ()), ()),), False)
+    headers = list(dict.fromkeys(row.header for row in found))
+    chosen = delimiter or _delimiter(lines, headers)
+    parsed = spark.createDataFrame([(h.lstrip("\ufeff"),) for h in headers], "value string").coalesce(1)
+    names = dict(zip(headers, _header_names(parsed, chosen)))
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for row in found:
+        layouts.setdefault(names[row.header], []).append(row.path)
+    return Survey(tuple((Layout(chosen, n), tuple(p)) for n, p in layouts.items()), any(row.odd for row in found))
+
+
+def _delimiter(lines: DataFrame, headers: Sequence[str]) -> str:
+    spark = lines.sparkSession
+    widths = [_field_count(F.col("value"), d).alias(f"n{i}") for i, d in enumerate(DELIMITERS)]
+    of_headers = spark.createDataFrame([(h,) for h in headers], "value string").select(*widths).collect()
+    able = [i for i in range(len(DELIMITERS)) if all(row[f"n{i}"] >= 2 for row in of_headers)]
+    if len(able) < 2:
+        return DELIMITERS[able[0]] if able else ","
+    agreeing = [F.count_if(_field_count(F.col("value"), DELIMITERS[i]).isin(*{row[f"n{i}"] for row in of_headers})).alias(f"n{i}") for i in able]
+    counted = lines.where("trim(value) <> ''").agg(*agreeing).first()
+    return DELIMITERS[max(able, key=lambda i: (counted[f"n{i}"], of_headers[0][f"n{i}"], -i))]
+
+
+def _header_names(headers: DataFrame, delimiter: str) -> list[tuple[str, ...]]:
+    """Column names of header lines, in order."""
+    width = headers.agg(F.max(_field_count(F.col("value"), delimiter))).first()[0]
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    options = {"sep": delimiter, "escape": '"', "mode": "PERMISSIVE"}
+    rows = headers.select(_field_count(F.col("value"), delimiter).alias("n"), F.from_csv("value", schema, options).alias("f")).collect()
+    return [tuple(csv_names([row.f[i] for i in range(row.n)])) for row in rows]
+
+
+def sniff(spark: SparkSession, paths: str | Sequence[str], delimiter: str | None = None) -> Layout:
+    """Delimiter and header of files that share one header."""
+    return _one(survey(spark, paths, delimiter))
+
+
+def _one(found: Survey) -> Layout:
+    if len(found.layouts) > 1:
+        shown = "; ".join(f"{files[0]}: {', '.join(layout.names)}" for layout, files in found.layouts[:5])
+        raise LayoutError(f"the files have {len(found.layouts)} different headers ({shown})")
+    return found.layouts[0][0]
 
 
 def raw_rows(spark: SparkSession, paths: str | Sequence[str], layout: Layout, multi_line: bool = False) -> DataFrame:
@@ -80,13 +125,14 @@ def named_rows(rows: DataFrame, layout: Layout) -> DataFrame:
     return rows.select(*[F.nullif(F.col(f"c{i}"), F.lit("")).alias(name) for i, name in enumerate(layout.names)])
 
 
-def read_delimited(spark: SparkSession, paths: str | Sequence[str], delimiter: str | None = None, multi_line: bool = False) -> DataFrame:
+def read_delimited(spark: SparkSession, paths: str | Sequence[str], delimiter: str | None = None, multi_line: bool | None = None) -> DataFrame:
     """Delimited files with one header as a text table; short rows are padded, longer rows add columns.
 
-    Looking for longer rows takes a scan of the lines. Use :func:`sheetloom.sources.ingest.ingest_delimited` to
-    store a document in a single scan when no row is too long.
+    Looking for longer rows takes a scan of its own. Use :func:`sheetloom.sources.ingest.ingest_delimited` to store a document, which observes them
+    during the write. Line breaks inside quotes are recognised unless ``multi_line`` says what to expect.
     """
-    layout = sniff(spark, paths, delimiter)
+    found = survey(spark, paths, delimiter)
+    layout, multi_line = _one(found), found.multi_line if multi_line is None else multi_line
     rows = raw_rows(spark, paths, layout, multi_line)
     if multi_line:
         # Referring to every column keeps the parser from skipping fields, which would hide malformed rows.

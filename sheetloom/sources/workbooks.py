@@ -259,6 +259,7 @@ def _xml_text(value: str) -> str:
 
 
 def _package_parts() -> dict[str, str]:
+    """The parts of the smallest valid workbook besides its sheet, as the file format prescribes them."""
     head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
     spreadsheet = "application/vnd.openxmlformats-officedocument.spreadsheetml"
     return {
@@ -279,11 +280,11 @@ def _package_parts() -> dict[str, str]:
 class WorkbookWriter(DataSourceArrowWriter):
     """Files appear under hidden names and get their final ones when the whole job has succeeded."""
 
-    def __init__(self, options: dict, schema: T.StructType):
+    def __init__(self, options: dict, schema: T.StructType, overwrite: bool):
         self.names = list(schema.names)
         self.root = options["path"]
         self.rows_per_file = int(options.get("rowsperfile", SHEET_ROWS))
-        self.job = uuid.uuid4().hex
+        self.job, self.overwrite = uuid.uuid4().hex, overwrite
         self.staging = f"{_filesystem(self.root)[1].rstrip('/')}/.staging-{self.job}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
@@ -309,9 +310,14 @@ class WorkbookWriter(DataSourceArrowWriter):
             system.create_dir(self.staging, recursive=True)
             names = ["part-empty.xlsx"]
             _SheetStream(system, f"{self.staging}/{names[0]}", self.names).close()
+        before = system.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if self.overwrite else []
         for name in names:
             system.move(f"{self.staging}/{name}", f"{root.rstrip('/')}/{name}")
         system.delete_dir(self.staging)
+        # The old export goes only when the new one is complete; other files in the folder stay.
+        for old in before:
+            if old.is_file and old.base_name.startswith("part-") and old.path.lower().endswith(EXTENSIONS):
+                system.delete_file(old.path)
 
     def abort(self, messages: list) -> None:
         system, _ = _filesystem(self.root)
@@ -331,7 +337,7 @@ class WorkbookSource(DataSource):
         return WorkbookReader(self.options, schema)
 
     def writer(self, schema: T.StructType, overwrite: bool) -> WorkbookWriter:
-        return WorkbookWriter(self.options, schema)
+        return WorkbookWriter(self.options, schema, overwrite)
 
 
 # --- DataFrame surface ---------------------------------------------------------------------------------------------

@@ -96,21 +96,21 @@ def _document(spark: SparkSession, folder: str) -> tuple[DocumentStore, str]:
     from dirty where serial_text is distinct from ({TRANSFORMATIONS["excel_serial_date"][1]})"""
 )
 def tx_apply_deltas(spark: SparkSession, folder: str) -> DataFrame:
-    """Cell changes logged by two applied transformations, one stored as a patch and one as a copy."""
+    """Cell changes logged by two applied transformations."""
     store, document = _document(spark, folder)
-    store.apply(document, TRANSFORMATIONS["trim"][0], mode="patch")
-    store.apply(document, TRANSFORMATIONS["excel_serial_date"][0], mode="copy")
+    store.apply(document, TRANSFORMATIONS["trim"][0])
+    store.apply(document, TRANSFORMATIONS["excel_serial_date"][0])
     keys = store.read(document, 1).select(F.col("_row_id").alias("row_id"), "order_key")
     return store.deltas(document).join(keys, "row_id").select("order_key", "column_name", "old_value", "new_value")
 
 
 @query(f"with {DIRTY_ORDERS} select cast(row_id as varchar) as order_key, upper(trim(priority)) as priority, {TRANSFORMATIONS['pad_left'][1]} as price_text from dirty")
 def tx_apply_chain(spark: SparkSession, folder: str) -> DataFrame:
-    """The document after three transformations, two of them read as patches."""
+    """The document after three transformations."""
     store, document = _document(spark, folder)
     store.apply(document, Transformation("trim", "priority"))
     store.apply(document, TRANSFORMATIONS["pad_left"][0])
-    store.apply(document, Transformation("uppercase", "priority"), mode="patch")
+    store.apply(document, Transformation("uppercase", "priority"))
     return store.read(document).select("order_key", "priority", "price_text")
 
 
@@ -129,6 +129,32 @@ def tx_history(spark: SparkSession, folder: str) -> DataFrame:
     return store.history(document).drop("transformation_id", "document_id", "created_at")
 
 
+@query(
+    """with priced as (select o_orderkey, o_totalprice as price from orders),
+    halves as (select o_orderkey, case when o_orderkey % 4 = 0 then 0.5::double else 2.25::double end as half from orders)
+    select p.o_orderkey as order_key, half, half as logged, 'double' as kind, 'refused' as comma, cast(1 as bigint) as transformations
+    from priced p join halves h on p.o_orderkey = h.o_orderkey"""
+)
+def tx_apply_typed(spark: SparkSession, folder: str) -> DataFrame:
+    """A transformation of a numeric column: document, change log and history agree, and one whose texts are no numbers is refused whole."""
+    store = DocumentStore(spark, scratch_dir(spark, "store"))
+    numbers = table(spark, folder, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 4 == 0, 0.5).otherwise(1.25).alias("half"))
+    document = store.create("halves", numbers)
+    store.apply(document, Transformation("replace", "half", {"find": "1.2", "replacement": "2.2"}))
+    try:
+        store.apply(document, Transformation("replace", "half", {"find": ".", "replacement": ","}))
+        comma = "applied"
+    except transform.TransformError:
+        comma = "refused"
+    after = store.read(document)
+    logged = store.deltas(document).select(F.col("row_id").alias("_row_id"), F.col("new_value").cast("double").alias("logged"))
+    done = store.history(document).agg(F.count("transformation_id").alias("transformations"))
+    found = after.join(logged, "_row_id", "left").crossJoin(F.broadcast(done))
+    return found.select(
+        F.col("o_orderkey").alias("order_key"), "half", F.coalesce("logged", "half").alias("logged"), F.lit(after.schema["half"].dataType.simpleString()).alias("kind"), F.lit(comma).alias("comma"), "transformations"
+    )
+
+
 PATCHED_CUSTOMERS = """select c_custkey, case when c_custkey % 50 = 0 then null when c_custkey % 20 = 0 then concat('patched ', c_custkey)
     else c_name end as c_name, case when c_custkey % 30 = 0 then 0.5 else c_acctbal end as c_acctbal from customer"""
 
@@ -181,7 +207,7 @@ def rename_column(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("select cast(s_suppkey as varchar) as supplier, s_name as \"Nome.\", case when s_suppkey % 10 = 0 then 'edited' else s_nation end as s_nation from (select *, cast(s_nationkey as varchar) as s_nation from supplier)")
 def document_versions(spark: SparkSession, folder: str) -> DataFrame:
-    """A stored document after a rename, a batch of edits and another rename, merged at read."""
+    """A stored document after a rename, a batch of edits and another rename."""
     store = DocumentStore(spark, scratch_dir(spark, "store"))
     suppliers = table(spark, folder, "supplier").select(F.col("s_suppkey").cast("string").alias("supplier"), "s_name", F.col("s_nationkey").cast("string").alias("nation"))
     document = store.create("suppliers", suppliers)

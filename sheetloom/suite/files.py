@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sheetloom import scratch_dir
 from sheetloom.functions.text import text_view
 from sheetloom.plans.fused import union_all
-from sheetloom.plans.versions import DocumentStore
+from sheetloom.plans.versions import DocumentError, DocumentStore
 from sheetloom.sources import delimited, headers, ingest, workbooks
 from sheetloom.suite import query
 from sheetloom.suite.inputs import DIRTY_ORDERS, dirty_orders, table
@@ -75,23 +75,50 @@ def _with_header(lines: DataFrame, header: str) -> DataFrame:
     return lines.mapInPandas(add, "value string")
 
 
-@query(
-    "select cast(count(*) as bigint) as n, count(distinct l_orderkey) as orders, round(sum(l_extendedprice), 2) as price, "
-    "min(cast(l_shipdate as varchar)) as first_day, count(distinct l_returnflag) as flags from lineitem"
+ITEM_TEXT = ", ".join(
+    [f"cast({c} as varchar) as {c}" for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")]
+    + ["l_returnflag", "l_linestatus", "cast(l_shipdate as varchar) as l_shipdate"]
 )
+
+
+@query(f"select {ITEM_TEXT} from lineitem")
 def csv_lineitem_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    """Export, ingest as a document, and check sums over the text."""
+    """Export and ingest as a document: every cell as text."""
     path = scratch_dir(spark, "csv")
     delimited.write_delimited(table(spark, folder, "lineitem"), path)
     store = DocumentStore(spark, scratch_dir(spark, "store"))
-    stored = store.read(ingest.ingest_delimited(store, path, "lineitem"))
-    return stored.agg(
-        F.count("*").alias("n"),
-        F.countDistinct("l_orderkey").alias("orders"),
-        F.round(F.sum(F.col("l_extendedprice").cast("double")), 2).alias("price"),
-        F.min("l_shipdate").alias("first_day"),
-        F.countDistinct("l_returnflag").alias("flags"),
-    )
+    return store.read(ingest.ingest_delimited(store, path, "lineitem")).drop("_row_id")
+
+
+@query(
+    """select cast(doc_id as varchar) as doc_id, nullif(text, '') as text, lang, source, cast(n_chars as varchar) as n_chars,
+    case when doc_id % 3 = 0 then concat('{"a": "', source, '",', chr(10), '"b": ', doc_id, '}') else 'plain' end as props from documents"""
+)
+def csv_ingest_line_breaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole texts with line breaks and quotes, exported and stored again, every column of every row."""
+    path = scratch_dir(spark, "csv")
+    props = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('{"a": "'), "source", F.lit('",\n"b": '), F.col("doc_id").cast("string"), F.lit("}"))).otherwise("plain")
+    delimited.write_delimited(table(spark, folder, "documents").withColumn("props", props), path)
+    store = DocumentStore(spark, scratch_dir(spark, "store"))
+    return store.read(ingest.ingest_delimited(store, path, "documents")).drop("_row_id")
+
+
+@query("select cast(c_custkey as varchar) as c_custkey, c_name, c_mktsegment, 'refused' as other_columns from customer")
+def csv_ingest_many_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of one ingest with their columns in different orders; files with other columns are refused."""
+    path = scratch_dir(spark, "csv")
+    customers = table(spark, folder, "customer")
+    for i, columns in enumerate((["c_custkey", "c_name", "c_mktsegment"], ["c_mktsegment", "c_custkey", "c_name"])):
+        delimited.write_delimited(customers.where(F.col("c_custkey") % 2 == i).select(*columns), f"{path}/{i}")
+    delimited.write_delimited(table(spark, folder, "region"), f"{path}/other")
+    store = DocumentStore(spark, scratch_dir(spark, "store"))
+    try:
+        ingest.ingest_delimited(store, [f"{path}/0", f"{path}/other"], "mixed")
+        refused = "stored"
+    except DocumentError:
+        refused = "refused"
+    stored = store.read(ingest.ingest_delimited(store, [f"{path}/0", f"{path}/1"], "customers")).drop("_row_id")
+    return stored.withColumn("other_columns", F.lit(refused))
 
 
 CUSTOMER_TEXT = "cast(c_custkey as varchar) as c_custkey, c_name, cast(c_nationkey as varchar) as c_nationkey, cast(c_acctbal as varchar) as c_acctbal, c_mktsegment"

@@ -49,13 +49,20 @@ def number(c: str) -> str:
     return f"try_cast(replace({c}, ',', '.') as double)"
 
 
+def day_number(c: str) -> str:
+    """A whole number in plain digits, else NULL."""
+    return f"try_cast(nullif(regexp_extract({c}, '^[0-9]+$'), '') as bigint)"
+
+
 def serial(c: str) -> str:
-    return f"coalesce(regexp_matches({c}, '^[0-9]+$') and try_cast({c} as bigint) between 1 and 73050 and try_cast({c} as bigint) <> 60, false)"
+    """Whether a spreadsheet shows the number as a day up to 2099; day 60 does not exist."""
+    return f"coalesce({day_number(c)} between 1 and 73050 and {day_number(c)} != 60, false)"
 
 
 def serial_date(c: str) -> str:
-    n = f"try_cast({c} as bigint)"
-    return f"case when {serial(c)} then date '1899-12-31' + cast(case when {n} > 60 then {n} - 1 else {n} end as integer) end"
+    """Counted from 1899-12-30; days before the missing one lie a day later."""
+    n = day_number(c)
+    return f"if({serial(c)}, date '1899-12-30' + cast({n} + cast({n} < 60 as integer) as integer), null)"
 
 
 DIRTY_ORDERS = """dirty as (

@@ -22,7 +22,11 @@ COLUMNS = {
     "conversations": ("conv_id", "turn", "role", "text"),
 }
 
+# The words of the two boolean classes, and how whole and decimal numbers and times of day look.
 YES, NO = "('true', '1', 'sim', 's', 'yes', 'y')", "('false', '0', 'nao', 'não', 'n', 'no')"
+WHOLE = "^[+-]?[0-9]+$"
+DECIMAL = "^[+-]?([0-9]+([.][0-9]+)?|[.][0-9]+)$"
+TIME_OF_DAY = "[ T][0-9]{1,2}:[0-9]{2}"
 
 
 def _filled(source: str, c: str) -> str:
@@ -30,19 +34,18 @@ def _filled(source: str, c: str) -> str:
 
 
 def _type_cte(source: str, c: str) -> str:
+    """What every single value could be, then what all of them agree on, from the narrowest kind to the widest."""
     return f"""values_{c} as ({_filled(source, c)}),
-    counts_{c} as (select count(*) as n,
-        count(*) filter (lower(value) in {YES} or lower(value) in {NO}) as booleans,
-        count(*) filter (regexp_matches(value, '^[+-]?[0-9]+$')) as integers,
-        count(*) filter (regexp_matches(replace(value, ',', '.'), '^[+-]?([0-9]+(\\.[0-9]+)?|\\.[0-9]+)$')) as decimals,
-        count(try_cast(value as date)) as dates, count(try_cast(value as timestamp)) as stamps,
-        count(*) filter (regexp_matches(value, '([ T][0-9]{{1,2}}:[0-9]{{2}})')) as times,
-        count(*) filter ({serial("value")}) as serials from values_{c}),
-    type_{c} as (select case when n = 0 then 'text' when booleans = n then 'boolean'
-        when stamps = n and times > 0 then 'datetime' when dates = n or stamps = n then 'date'
-        when serials / n >= 0.9 then 'date' when integers = n then 'integer' when decimals = n then 'decimal' else 'text' end as kind,
-        case when n = 0 or booleans = n or (stamps = n and times > 0) then null when dates = n or stamps = n then 'formatted'
-        when serials / n >= 0.9 then 'excel_serial' end as source from counts_{c})"""
+    seen_{c} as (select (lower(value) in {YES} or lower(value) in {NO}) as word, regexp_matches(value, '{WHOLE}') as whole,
+        regexp_matches(replace(value, ',', '.'), '{DECIMAL}') as num, try_cast(value as date) is not null as day,
+        try_cast(value as timestamp) is not null as moment, regexp_matches(value, '{TIME_OF_DAY}') as clock,
+        {serial("value")} as serial_day from values_{c}),
+    agreed_{c} as (select count(*) as n, bool_and(word) as word, bool_and(whole) as whole, bool_and(num) as num,
+        bool_and(moment) and bool_or(clock) as moment, bool_and(day) or bool_and(moment) as day,
+        avg(cast(serial_day as integer)) >= 0.9 as serial_days from seen_{c}),
+    type_{c} as (select list_filter([if(word, 'boolean', null), if(moment, 'datetime', null), if(day, 'date', null), if(serial_days, 'date', null),
+            if(whole, 'integer', null), if(num, 'decimal', null), 'text'], lambda x: x is not null)[1] as kind,
+        case when n > 0 and not word and not moment then if(day, 'formatted', if(serial_days, 'excel_serial', null)) end as source from agreed_{c})"""
 
 
 # --- blanks and counts ---
@@ -171,13 +174,13 @@ def numeric_stats_dirty_price(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _histogram_sql(source: str, c: str) -> str:
-    return f"""numbers as (select {number("value")} as x from ({_filled(source, c)})),
-    bounds as (select min(x) as lo, max(x) as hi from numbers),
-    placed as (select case when hi = lo then 0 else
-        least(11, greatest(0, cast(floor((x - lo) / (hi - lo) * 12) as bigint))) end as bucket from numbers, bounds where x is not null)
-    select cast(bucket as integer) as bucket, round(lo + (hi - lo) / 12 * bucket, 6) as min,
-        round(case when bucket = 11 then hi else lo + (hi - lo) / 12 * (bucket + 1) end, 6) as max, count(*) as frequency
-    from placed, bounds group by bucket, lo, hi"""
+    """Each number's share of the range, in twelfths; the largest number belongs to the last twelfth."""
+    return f"""ranged as (select x, min(x) over () as lo, max(x) over () - min(x) over () as span
+        from (select {number("value")} as x from ({_filled(source, c)})) where x is not null),
+    twelfths as (select lo, span, if(span = 0, 0, least(trunc((x - lo) / nullif(span, 0) * 12), 11)) as part from ranged)
+    select cast(part as integer) as bucket, round(lo + span / 12 * part, 6) as min,
+        round(if(part = 11, lo + span, lo + span / 12 * (part + 1)), 6) as max, count(*) as frequency
+    from twelfths group by part, lo, span"""
 
 
 @query("with " + _histogram_sql("lineitem", "l_extendedprice"))

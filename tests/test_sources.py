@@ -29,9 +29,10 @@ def cells(spark, sheet, rows):
     return spark.createDataFrame(flat, "sheet string, row_number bigint, column_index int, value string")
 
 
-TITLED = {1: ["RELATORIO GERAL"], 2: ["QTO", "MUNICIPIO", "N SEI", "PROGRAMA", "VALOR", "PARCELAS", "TOTAL PARCELADO", "", ""], 3: ["1", "Aiquara", "2", "P", "3", "4", "5"]}
-LEADING = {4: ["TITULO"], 5: [f"COLUNA {c}" for c in "ABCDEFG"] + ["VALOR DO MONTANTE"], 6: ["001", "a", "b", "c", "d", "e", "f", "1"], 7: ["010", "a", "b", "c", "d", "e", "f", "2"]}
-SINGLE = {1: ["RELATORIO DE CODIGOS"], 2: ["codigo"], 3: ["001"], 4: ["002"]}
+# Own data: stations, harvests and instruments.
+TITLED = {1: ["River levels"], 2: ["station", "river", "gauge", "basin", "level", "days", "mean level", "", ""], 3: ["7", "Elbe", "G-2", "North", "3.4", "30", "3.1"]}
+LEADING = {4: ["Harvest book"], 5: [f"field {c}" for c in "stuvwxy"] + ["yield of the year"], 6: ["051", "rye", "oat", "hop", "pea", "kale", "leek", "8"], 7: ["052", "oat", "rye", "pea", "hop", "leek", "kale", "9"]}
+SINGLE = {1: ["Instrument numbers"], 2: ["serial"], 3: ["0007"], 4: ["0008"]}
 
 
 @pytest.mark.parametrize(
@@ -40,7 +41,7 @@ SINGLE = {1: ["RELATORIO DE CODIGOS"], 2: ["codigo"], 3: ["001"], 4: ["002"]}
         (TITLED, (2, 7, 3, False)),
         (LEADING, (5, 8, 4, False)),
         (SINGLE, (2, 1, 4, True)),
-        ({1: ["codigo"], 2: ["001"]}, (1, 1, 2, True)),
+        ({1: ["serial"], 2: ["0007"]}, (1, 1, 2, True)),
         ({1: ["a", "b"], 2: ["1", "2"], 3: ["x", "y"]}, (1, 2, 3, False)),
         ({1: ["x"]}, None),
         ({30: ["a", "b"], 31: ["1", "2"]}, None),
@@ -60,8 +61,8 @@ def test_detect_headers_of_many_sheets(spark):
 # --- delimited text ---
 
 FILES = {
-    "irregular": 'nome,idade,cidade\nAna,31,Salvador\nBruno,42\n"Carla",,Recife\n',
-    "zeros": 'codigo,nome\n"001234","Ana"\n"","Bruno"\n',
+    "irregular": 'tree,height,park\noak,19,East\n"ash",\nelm,7\n"fir",,West\n',
+    "zeros": 'serial,maker\n"000070","Zeta"\n"","Eta"\n"0","Theta"\n',
     "semicolons": "a;b;c\n1;2;3\n4;5\n6;7;8;9\n",
     "repeats": 'a,b,a\n"x, y",2,3\n4,"q""z"\n',
     "tabs": "a\tb\n1,5\t2\n3,5\t4\n",
@@ -88,8 +89,29 @@ def test_csv_reads_like_duckdb(spark, tmp_path, name):
 def test_quoted_line_breaks(spark, tmp_path):
     path = tmp_path / "lines.csv"
     path.write_text('a,b\n"one\ntwo",2\n3,4,5\n')
-    df = delimited.read_delimited(spark, str(path), multi_line=True)
+    df = delimited.read_delimited(spark, str(path))
     assert df.columns == ["a", "b", "column2"] and values(df) == [("one\ntwo", "2", None), ("3", "4", "5")]
+    store = DocumentStore(spark, scratch_dir(spark, "store"))
+    assert values(store.read(ingest.ingest(store, str(path))[0]).drop("_row_id")) == values(df)
+
+
+def test_headers_of_all_files(spark, tmp_path):
+    (tmp_path / "x1.csv").write_text("tree,height\noak,19\n")
+    (tmp_path / "x2.csv").write_text("height,tree\n7,elm,tall\n")
+    (tmp_path / "y.csv").write_text("tree,park\nash,East\n")
+    store = DocumentStore(spark, scratch_dir(spark, "store"))
+    both = store.read(ingest.ingest_delimited(store, str(tmp_path / "x*.csv"), "trees"))
+    assert sorted(values(both, "tree", "height", "column2")) == [("elm", "7", "tall"), ("oak", "19", None)]
+    with pytest.raises(DocumentError):
+        ingest.ingest_delimited(store, str(tmp_path), "all")
+    with pytest.raises(delimited.LayoutError):
+        delimited.read_delimited(spark, str(tmp_path))
+
+
+def test_delimiter_from_all_lines(spark, tmp_path):
+    path = tmp_path / "far.csv"
+    path.write_text("a;b,c\n" + "1;2\n" * 40 + "1;2,3\n" * 400 + "".join(f"{i};x\n" for i in range(900)))
+    assert delimited.sniff(spark, str(path)).delimiter == ";"
 
 
 def test_ingest_record(spark, tmp_path):
@@ -97,7 +119,7 @@ def test_ingest_record(spark, tmp_path):
     path.write_text(FILES["irregular"])
     store = DocumentStore(spark, scratch_dir(spark, "store"))
     entry = store.entries(ingest.ingest(store, str(path))[0])[0]
-    assert (entry.name, entry.source_type, entry.source_file, entry.row_count, entry.column_count) == ("x.csv", "csv", "x.csv", 3, 3)
+    assert (entry.name, entry.source_type, entry.source_file, entry.row_count, entry.column_count) == ("x.csv", "csv", "x.csv", 4, 3)
     with pytest.raises(DocumentError):
         ingest.ingest(store, "x.ods")
 
@@ -147,38 +169,40 @@ def inline(rows: dict[int, list], prefix: str = "") -> str:
     return "".join(f'<{p}row r="{n}">' + "".join(one(n, i, v) for i, v in enumerate(row)) + f"</{p}row>" for n, row in rows.items())
 
 
-def test_two_sheets_and_inventory(spark, tmp_path):
-    path = book(tmp_path / "two.xlsx", [("Primeira", "visible", inline({1: ["codigo"], 2: ["primeira"]})), ("O'Brien", "hidden", inline({1: ["codigo"], 2: ["segunda"]}))])
+def test_sheets_are_chosen_by_name(spark, tmp_path):
+    sheets = [("North & South", "visible", inline({1: ["river", "level"], 2: ["Elbe", "3.4"], 3: ["Oder", "2.2"]})), ("Gauge's log", "hidden", inline({1: ["gauge", "day"], 2: ["G-2", "11"]}))]
+    path = book(tmp_path / "rivers.xlsx", [(n.replace("&", "&amp;"), s, d) for n, s, d in sheets])
     listed = values(workbooks.workbook_inventory(spark, str(tmp_path)), "sheet_index", "sheet", "visibility")
-    assert listed == [(0, "Primeira", "visible"), (1, "O'Brien", "hidden")]
+    assert listed == [(0, "North & South", "visible"), (1, "Gauge's log", "hidden")]
     store = DocumentStore(spark, scratch_dir(spark, "store"))
-    (doc,) = ingest.ingest(store, path, sheets=["O'Brien"])
-    assert values(store.read(doc), "codigo") == [("segunda",)]
+    (doc,) = ingest.ingest(store, path, sheets=["Gauge's log"])
+    assert values(store.read(doc), "gauge", "day") == [("G-2", "11")]
     entry = store.entries(doc)[0]
-    assert (entry.name, entry.source_file, entry.source_sheet, entry.row_count) == ("O'Brien", "two.xlsx", "O'Brien", 1)
+    assert (entry.name, entry.source_file, entry.source_sheet, entry.row_count) == ("Gauge's log", "rivers.xlsx", "Gauge's log", 1)
     assert len(ingest.ingest(store, path)) == 2
     with pytest.raises(DocumentError):
         ingest.ingest(store, path, sheets=["nope"])
 
 
-def test_prefixed_namespace(spark, tmp_path):
-    rows = inline({1: ["ID", "Nome", "Cidade"], 2: ["1", "Ana", "Salvador"], 3: ["2", "Joao", "Recife"]}, "x")
-    path = book(tmp_path / "p.xlsx", [("Clientes", "visible", rows)], prefix="x")
-    assert values(ingest.find_headers(spark, path), "header_row", "column_count") == [(1, 3)]
+def test_tags_in_a_named_namespace(spark, tmp_path):
+    rows = inline({1: ["field", "crop"], 2: ["051", "rye"], 3: ["052", "oat"], 4: ["053", "hop"]}, "ss")
+    path = book(tmp_path / "p.xlsx", [("Harvest", "visible", rows)], prefix="ss")
+    assert values(ingest.find_headers(spark, path), "header_row", "column_count") == [(1, 2)]
     ((names, rows),) = ingest.fleet_tables(spark, path)
-    assert names == ["ID", "Nome", "Cidade"] and values(rows, *names) == [("1", "Ana", "Salvador"), ("2", "Joao", "Recife")]
+    assert names == ["field", "crop"] and values(rows, *names) == [("051", "rye"), ("052", "oat"), ("053", "hop")]
 
 
-def test_cell_kinds(spark, tmp_path):
+def test_every_way_to_store_a_cell(spark, tmp_path):
     data = (
-        '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c><c r="C1" t="inlineStr"><is><t>ativo</t></is></c><c r="D1" t="str"><v>observacao</v></c></row>'
-        '<row r="2"><c r="A2" t="inlineStr"><is><r><t>A</t></r><r><t>na</t></r></is></c><c r="B2"><v>123</v></c><c r="C2" t="b"><v>1</v></c><c r="D2" t="str"><f>1+1</f><v>texto &amp; direto</v></c></row>'
+        '<row r="1"><c r="A1" t="s"><v>1</v></c><c r="B1" t="inlineStr"><is><t>pitch</t></is></c><c r="C1" t="s"><v>0</v></c></row>'
+        '<row r="2"><c r="A2"><v>440.5</v></c><c r="B2" t="inlineStr"><is><r><t>A</t></r><r><t> flat</t></r></is></c><c r="C2" t="b"><v>0</v></c></row>'
+        '<row r="3"><c r="B3" t="str"><f>T("x")</f><v>low &lt; high</v></c><c r="C3" t="e"><v>#N/A</v></c></row>'
         '<row><c><v>5</v></c><c/><c t="s"><v>99</v></c></row>'
     )
-    path = book(tmp_path / "k.xlsx", [("s", "visible", data)], ["<t>nome</t><rPh><t>x</t></rPh>", "<r><t>cod</t></r><r><t>igo</t></r>"])
+    path = book(tmp_path / "k.xlsx", [("tones", "visible", data)], ["<r><t>tu</t></r><r><t>ned</t></r>", "<t>hertz</t><rPh><t>x</t></rPh>"])
     rows = values(workbooks.workbook_rows(spark, path), "row_number", "cells")
-    assert rows == [(1, ["nome", "codigo", "ativo", "observacao"]), (2, ["Ana", "123", "1", "texto & direto"]), (3, ["5", None, None])]
-    assert values(ingest.find_headers(spark, path), "header_row", "column_count") == [(1, 4)]
+    assert rows == [(1, ["hertz", "pitch", "tuned"]), (2, ["440.5", "A flat", "0"]), (3, [None, "low < high", "#N/A"]), (4, ["5", None, None])]
+    assert values(ingest.find_headers(spark, path), "header_row", "column_count") == [(1, 3)]
 
 
 def test_table_is_clipped_and_ends_at_the_first_empty_row(spark, tmp_path):
@@ -211,6 +235,17 @@ def test_export_and_read_back(spark, tmp_path):
     assert sorted(got, key=lambda r: r[0]) == expected
 
 
+def test_overwrite_replaces_the_old_export(spark, tmp_path):
+    out = tmp_path / "out"
+    workbooks.write_workbooks(spark.range(5).coalesce(1), str(out))
+    (out / "notes.txt").write_text("stays")
+    workbooks.write_workbooks(spark.range(2).coalesce(1), str(out), mode="overwrite")
+    assert len(list(out.glob("*.xlsx"))) == 1 and (out / "notes.txt").exists()
+    assert workbooks.workbook_rows(spark, str(out)).count() == 3
+    workbooks.write_workbooks(spark.range(2).coalesce(1), str(out))
+    assert len(list(out.glob("*.xlsx"))) == 2
+
+
 def test_empty_export_still_has_a_header(spark, tmp_path):
     workbooks.write_workbooks(spark.createDataFrame([], "a string, b string"), str(tmp_path / "none"))
     assert values(workbooks.workbook_rows(spark, str(tmp_path / "none")), "cells") == [(["a", "b"],)]
