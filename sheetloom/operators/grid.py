@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from sheetloom.functions.text import as_text, blank_cell, cell, contains_ignoring_case, text_of
 from sheetloom.operators.rules import Rule, violation, violations
 from sheetloom.plans.fused import all_of, passes, union_all, unpack
-from sheetloom.session import ensure_checkpoint_dir
 
 ROW_ID = "_row_id"
 PAGE_MIN, PAGE_MAX = 25, 500
-DEEP_OFFSET = 100_000
+DEEP_OFFSET = 2_000
+BRACKET_PARTS, BRACKET_ROWS = 200, 20_000
 OPERATORS = ("contains", "equals", "empty", "quality_violation")
 
 
@@ -118,13 +118,18 @@ def _sort_key(df: DataFrame, sort: Sort | None) -> Column | None:
 
 
 def sort_order(df: DataFrame, sort: Sort | None, row_id: str | None = ROW_ID) -> list[Column]:
-    """Sort expressions: empty text and NULL last in both directions, the row id as tie-breaker."""
+    """Sort expressions: empty text and NULL last in both directions, the row id as tie-breaker.
+
+    A sorted table without row ids is ordered by its other columns where the sort column ties, so that its pages do not overlap.
+    """
     key = _sort_key(df, sort)
     order = []
     if key is not None:
         order.append(key.desc_nulls_last() if sort.direction == "desc" else key.asc_nulls_last())
     if row_id is not None and row_id in df.columns:
         order.append(cell(row_id).asc())
+    elif key is not None:
+        order += [cell(f.name).asc() for f in df.schema if f.name != sort.column and not isinstance(f.dataType, (T.MapType, T.VariantType))]
     return order
 
 
@@ -142,13 +147,21 @@ def page_rows(
 ) -> DataFrame:
     """One page of 25 to 500 rows in sort order.
 
-    Up to ``deep_offset`` rows every task keeps its best ``offset + limit`` rows. Beyond that only the sort key and the row
-    id are sorted, range by range, and the page's rows are fetched by id.
+    Up to ``deep_offset`` rows, some pages, every task keeps its best ``offset + limit`` rows. Beyond that a sketch of the sort key brackets the
+    page, the rows before the bracket are counted, and only sort keys and row ids inside it are sorted; the page's rows are fetched by id.
     """
     limit = page_size(limit)
-    if offset + limit <= deep_offset or row_id is None or row_id not in df.columns:
+    if offset + limit <= deep_offset:
         return sort_rows(df, sort, row_id).offset(offset).limit(limit)
-    ids = _deep_row_ids(df, sort, offset, limit, row_id)
+    inside, before = _around_page(df, sort, offset, limit, row_id)
+    if row_id is None or row_id not in df.columns:
+        return sort_rows(inside, sort, row_id).offset(offset - before).limit(limit)
+    key = _sort_key(df, sort)
+    thin = inside.select(*([key.alias("sort_key")] if key is not None else []), cell(row_id).alias("id"))
+    order = [F.col("id").asc()]
+    if key is not None:
+        order.insert(0, F.desc_nulls_last("sort_key") if sort.direction == "desc" else F.asc_nulls_last("sort_key"))
+    ids = thin.orderBy(*order).offset(offset - before).limit(limit).select("id")
     if isinstance(df.schema[row_id].dataType, (T.IntegralType, T.StringType)):
         # At most 500 literals, which the scan can use to skip row groups.
         return sort_rows(df.where(cell(row_id).isin([row.id for row in ids.collect()])), sort, row_id)
@@ -156,24 +169,54 @@ def page_rows(
     return sort_rows(df.join(chosen, row_id, "left_semi"), sort, row_id)
 
 
-def _deep_row_ids(df: DataFrame, sort: Sort | None, offset: int, limit: int, row_id: str) -> DataFrame:
-    """Row ids at sorted positions ``offset`` to ``offset + limit``: sort keys once, count each range, read one or two."""
-    ensure_checkpoint_dir(df.sparkSession)
-    key = _sort_key(df, sort)
-    keys = df.select(*([key.alias("sort_key")] if key is not None else []), cell(row_id).alias("id"))
-    order = [F.col("id").asc()]
-    if key is not None:
-        order.insert(0, F.desc_nulls_last("sort_key") if sort.direction == "desc" else F.asc_nulls_last("sort_key"))
-    ordered = keys.orderBy(*order).checkpoint().withColumn("part", F.spark_partition_id())
-    before, wanted = 0, []
-    for part in ordered.groupBy("part").count().orderBy("part").collect():
-        if before < offset + limit and before + part["count"] > offset:
-            wanted.append(part["part"])
-            skipped = before if len(wanted) == 1 else skipped
-        before += part["count"]
-    if not wanted:
-        return ordered.select("id").limit(0)
-    return ordered.where(F.col("part").isin(wanted)).orderBy(*order).offset(offset - skipped).limit(limit).select("id")
+def _around_page(df: DataFrame, sort: Sort | None, offset: int, limit: int, row_id: str | None) -> tuple[DataFrame, int]:
+    """The rows whose sort key lies near the sorted positions of a page, and how many rows come before them.
+
+    Brackets are narrowed until ``BRACKET_ROWS`` remain or the key is a single value, then the row id goes on in its place. A bracket that misses the page
+    is not used, so a poor sketch costs time only. Text keys have no sketch; their rows are all taken.
+    """
+    before = 0
+    keys = [(_sort_key(df, sort), sort.direction == "desc")] if _sort_key(df, sort) is not None else []
+    if row_id is not None and row_id in df.columns:
+        keys.append((cell(row_id), False))
+    for key, descending in keys:
+        kind = df.select(key).schema[0].dataType
+        if not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType)):
+            break
+        while True:
+            found = _bracket(df, key, descending, offset - before, limit)
+            if found is None:
+                break
+            df, skipped, left, single = found
+            before += skipped
+            if left <= BRACKET_ROWS:
+                return df, before
+            if single:
+                break
+        if found is None:
+            break
+    return df, before
+
+
+def _bracket(df: DataFrame, key: Column, descending: bool, offset: int, limit: int) -> tuple[DataFrame, int, int, bool] | None:
+    """Rows of a bracket around sorted positions, the rows before it, the rows in it, and whether it is one value; None if it is no narrower."""
+    shares = F.array(*[F.lit(i / BRACKET_PARTS) for i in range(BRACKET_PARTS + 1)])
+    whole = df.agg(F.count(F.lit(1)).alias("n"), F.count(key).alias("filled"), F.percentile_approx(key, shares, F.lit(10_000)).alias("q")).first()
+    end = min(offset + limit, whole.n)
+    if not whole.filled or offset >= whole.n:
+        return None
+    if offset >= whole.filled:
+        return (df.where(key.isNull()), whole.filled, whole.n - whole.filled, True) if whole.filled else None
+    first, last = (max(0, whole.filled - end), whole.filled - offset) if descending else (offset, min(end, whole.filled))
+    low = whole.q[max(0, first * BRACKET_PARTS // whole.filled - 1)]
+    high = whole.q[min(BRACKET_PARTS, -(-last * BRACKET_PARTS // whole.filled) + 1)]
+    within, ahead = (key >= F.lit(low)) & (key <= F.lit(high)), key > F.lit(high) if descending else key < F.lit(low)
+    if end > whole.filled:
+        within = (key.isNull() | (key <= F.lit(high))) if descending else (key.isNull() | (key >= F.lit(low)))
+    counted = df.agg(F.count_if(ahead).alias("ahead"), F.count_if(within).alias("within")).first()
+    if counted.ahead > offset or counted.ahead + counted.within < end or counted.within == whole.n:
+        return None
+    return df.where(within), counted.ahead, counted.within, low == high
 
 
 def next_page(df: DataFrame, sort: Sort | None, after: tuple, limit: int, row_id: str = ROW_ID) -> DataFrame:
@@ -221,8 +264,11 @@ def window_summary(
     filtered = F.count_if(all_of(predicates)).alias("total_rows")
     if table_rules:
         filtered = F.lit(filter_rows(df, filters, rules, row_id).count()).cast("bigint").alias("total_rows")
-    blanks = [F.count_if(blank_cell(df, name)).alias(f"b{i}") for i, name in enumerate(columns)]
-    row = df.agg(filtered, *blanks)
+    position, row = {name: i for i, name in enumerate(columns)}, None
+    for part in passes(columns):
+        blanks = [F.count_if(blank_cell(df, name)).alias(f"b{position[name]}") for name in part]
+        counted = df.agg(*([filtered] if row is None else []), *blanks)
+        row = counted if row is None else row.crossJoin(counted)  # one row each
     each = F.array(*[F.col(f"b{i}") for i in range(len(columns))])
     limit = page_size(limit)
     shown = F.greatest(F.lit(0), F.least(F.lit(limit), F.col("total_rows") - F.lit(offset)))

@@ -31,4 +31,4 @@ def query(sql: str | None = None):
 
 
 def load_all() -> None:
-    from sheetloom.suite import changes, files, grids, profiles, quality, sql_surface  # noqa: F401
+    from sheetloom.suite import changes, files, grids, guards, profiles, quality, sql_surface  # noqa: F401
