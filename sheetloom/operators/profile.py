@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
 
 from sheetloom.functions.dates import SERIAL_GAP, SERIAL_MAX, SERIAL_MIN, has_time_of_day, is_serial, parse_timestamp, serial_to_date
 from sheetloom.functions.numbers import finite, parse_decimal, parse_double
@@ -171,10 +171,35 @@ def _with_type(counts: DataFrame) -> DataFrame:
     return counts.withColumn("inferred_type", kind).withColumn("date_source", F.when(kind == "date", source))
 
 
+def _native_counts(c: Column, kind: T.DataType) -> dict[str, Column] | None:
+    """The type counts of a typed column without its text, by what the text of such a value always looks like; None for other types."""
+    filled, none = F.count(c), F.lit(0).cast("bigint")
+    counts = {"filled": filled, "yes": none, "no": none, "integers": none, "decimals": none, "timestamps": none, "times": none, "serials": none}
+    if isinstance(kind, T.IntegralType):
+        serial = F.count_if(c.between(SERIAL_MIN, SERIAL_MAX) & (c != SERIAL_GAP))
+        return counts | {"yes": F.count_if(c == 1), "no": F.count_if(c == 0), "integers": filled, "decimals": filled, "serials": serial}
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        # From 1e-4 up to 1e16 a number is shown with a decimal point, beyond with an exponent.
+        return counts | {"decimals": F.count_if((c == 0) | ((F.abs(c) >= 1e-4) & (F.abs(c) < 1e16)))}
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        shown = F.count_if(F.year(c).between(1, 9999))
+        return counts | {"timestamps": shown, "times": none if isinstance(kind, T.DateType) else shown}
+    return None
+
+
 def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Semantic type of every column from one scan. Dates count as dates when all filled cells parse."""
+    """Semantic type of every column. Dates count as dates when all filled cells parse.
+
+    Numbers and times are counted as they are, all in one aggregate; only other columns are looked at as text.
+    """
+    columns = list(columns or df.columns)
+    native = {c: n for c in columns if (n := _native_counts(cell(c), df.schema[c].dataType)) is not None}
     frames = []
-    for part in passes(list(columns or df.columns)):
+    for part in passes(list(native)):
+        row = df.agg(*[n.alias(f"{name}_{i}") for i, c in enumerate(part) for name, n in native[c].items()])
+        structs = [F.struct(F.lit(c).alias("column"), *[F.col(f"{name}_{i}").alias(name) for name in native[c]]) for i, c in enumerate(part)]
+        frames.append(_with_type(unpack(row, structs)).select("column", "inferred_type", "date_source"))
+    for part in passes([c for c in columns if c not in native]):
         typed = _with_type(_parsed(df, part).groupBy("column_index").agg(*_type_aggregates()))
         named = _names(df, part).join(typed, "column_index", "left")
         frames.append(named.select("column", F.coalesce("inferred_type", F.lit("text")).alias("inferred_type"), "date_source"))

@@ -20,6 +20,10 @@ COLUMNS = {
     "nation": ("n_nationkey", "n_name", "n_regionkey"),
     "documents": ("doc_id", "text", "lang", "source", "n_chars"),
     "conversations": ("conv_id", "turn", "role", "text"),
+    "region": ("r_regionkey", "r_name"),
+    "embeddings": ("vec_id", "embedding", "label"),
+    "pages": ("page_id", "url", "html"),
+    "benchmark": ("item_id", "text"),
 }
 
 # The words of the two boolean classes, and how whole and decimal numbers and times of day look.
@@ -60,18 +64,19 @@ def blank_stats_dirty_orders(spark: SparkSession, folder: str) -> DataFrame:
     return grid.blank_stats(dirty_orders(spark, folder), "row_id").withColumnRenamed("column", "column_name")
 
 
+HOLES = {"l_quantity": (7, "7"), "l_discount": (0, "0"), "l_returnflag": ("R", "'R'"), "l_linestatus": ("?", "'?'"), "l_linenumber": (3, "3"), "l_suppkey": (5, "5")}
+
+
 @query(
     "select * from ("
     + " union all ".join(
-        f"select '{c}' as column_name, count(*) filter ({empty(f'nullif({c}, {blank})')}) as empty_count from lineitem"
-        for c, blank in (("l_quantity", 7), ("l_discount", 0), ("l_returnflag", "'R'"), ("l_linestatus", "'?'"))
+        f"select '{c}' as column_name, count(*) filter ({empty(f'nullif({c}, {HOLES[c][1]})' if c in HOLES else c)}) as empty_count from lineitem" for c in COLUMNS["lineitem"]
     )
     + ") where empty_count > 0"
 )
 def blank_stats_lineitem(spark: SparkSession, folder: str) -> DataFrame:
-    """Holes made by value: no column of the table itself has a blank."""
-    holes = {"l_quantity": 7, "l_discount": 0, "l_returnflag": "R", "l_linestatus": "?"}
-    items = table(spark, folder, "lineitem").select(*[F.nullif(F.col(c), F.lit(v)).alias(c) for c, v in holes.items()])
+    """All columns, some with holes made by value: none of the table's own has a blank."""
+    items = table(spark, folder, "lineitem").withColumns({c: F.nullif(F.col(c), F.lit(v)) for c, (v, _) in HOLES.items()})
     return grid.blank_stats(items).withColumnRenamed("column", "column_name")
 
 
