@@ -1,13 +1,13 @@
 """Document fingerprints: one-permutation MinHash over five-word shingles, in SQL functions alone.
 
 Every shingle is hashed once. The top eight bits of the hash choose one of 256 bins, the smallest hash of a bin stands for it, and
-an empty bin borrows from a filled one by optimal densification: it tries up to 16 bins drawn independently for that bin, then takes the
+an empty bin borrows from a filled one by optimal densification: it tries up to eight bins drawn independently for that bin, then takes the
 filled bin that is first in the empty bin's own random order. Of each bin the low eight bits are stored, eight bins to a long.
 
 Likeness is the share of equal bins, corrected for chance (two different minima agree in eight bits once in 256 times).
 
 Defined results: a missing text counts as empty; a text without words has the empty fingerprint, likeness 1 to another such text
-and 0 to all others; a text of fewer than five words is one shingle; words are compared with A-Z lower-cased.
+and 0 to all others; a text of fewer than five words is one shingle; words are compared in lower case.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from pyspark.sql.window import Window
 
 from sheetloom.llm.common import keep, mix, query, table, whole_text, word_hashes
 
-BINS, BITS, WORDS, PROBES = 256, 8, 5, 16
+BINS, BITS, WORDS, PROBES = 256, 8, 5, 8
 LANES = 64 // BITS
+EMPTY = 512  # stands for an empty bin, above all low bits
+ROOM = 1024
 
 
 def _probes() -> Column:
@@ -32,36 +34,33 @@ def _probes() -> Column:
     return F.from_json(F.lit(json.dumps(drawn.reshape(BINS, PROBES).tolist())), "array<array<int>>")
 
 
-def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
-    """Add the packed fingerprint of ``text``: BINS / 8 longs, or no long for a text without words.
+def fingerprints(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, print) for every distinct key: BINS / 8 packed longs, or no long for a text without words.
 
-    The steps are columns of their own so that no lambda computes an array again for each of its elements.
+    Shingles become rows that are aggregated to a minimum per bin at once; where ``df`` is partitioned by the key nothing is shuffled. Each text
+    adds one row per bin that loses against any shingle, so that all bins are there afterwards.
     """
-    own = {c: f"_{c}_{name}" for c in ("words", "shingles", "sorted", "minima", "bins", "low", "filled", "signature")}
-    c = {k: F.col(v) for k, v in own.items()}
-    last = F.size(c["words"]) - WORDS
-    shingle = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(c["words"], i + j) for j in range(WORDS)]))
-    bin_of = lambda h: F.shiftrightunsigned(h, 56).cast("int")
-    out = df.withColumn(own["words"], word_hashes(text))
-    out = out.withColumn(own["shingles"], F.when(last >= 0, shingle).when(last > -WORDS, F.array(F.xxhash64(c["words"]))).otherwise(F.array().cast("array<bigint>")))
-    out = out.withColumn(own["sorted"], F.sort_array(c["shingles"]))
-    # Equal top bits stand together in sorted order, so the first of each run is the minimum of its bin.
-    first = F.filter(c["sorted"], lambda h, i: (i == 0) | (bin_of(h) != bin_of(F.get(c["sorted"], F.greatest(i - 1, F.lit(0))))))
-    out = out.withColumn(own["minima"], first)
-    out = out.withColumn(own["bins"], F.transform(c["minima"], bin_of)).withColumn(own["low"], F.transform(c["minima"], lambda h: h.bitwiseAND(F.lit((1 << BITS) - 1))))
-    every = F.sequence(F.lit(0), F.lit(BINS - 1))
-    out = out.withColumn(own["filled"], F.transform(every, lambda b: F.get(c["low"], F.array_position(c["bins"], b).cast("int") - 1)))
+    count = F.when(F.size("_w") >= WORDS, F.size("_w") - WORDS + 1).otherwise(F.least(F.size("_w"), F.lit(1)))
+    rows = df.select(key, word_hashes(F.lower(text), lower=False).alias("_w")).select(key, "_w", count.alias("_n"))
+    rows = rows.select(key, "_w", "_n", F.explode(F.sequence(F.lit(0), F.col("_n") + (BINS - 1))).alias("_i"))
+    whole = F.xxhash64(*[F.get("_w", F.col("_i") + j) for j in range(WORDS)])  # words beyond the end of a short text are missing and add nothing
+    hashed = rows.select(key, F.when(F.col("_i") < F.col("_n"), whole).alias("_h"), (F.col("_i") - F.col("_n")).alias("_b"))
+    of_bin = F.when(F.col("_h").isNull(), F.col("_b").cast("long")).otherwise(F.shiftrightunsigned("_h", 56))
+    minima = hashed.select(key, of_bin.alias("_b"), "_h").groupBy(key, "_b").agg(F.min("_h").alias("_h"))
+    low = F.coalesce(F.col("_h").bitwiseAND(F.lit((1 << BITS) - 1)), F.lit(EMPTY))
+    dense = minima.groupBy(key).agg(F.sort_array(F.collect_list(F.col("_b") * ROOM + low)).alias("_d"))
+    dense = dense.select(key, F.transform("_d", lambda v: v % ROOM).alias("_d"))
+    dense = dense.withColumn("_filled", F.filter(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.get("_d", b) < EMPTY))
 
     def borrowed(b: Column) -> Column:
-        tried = F.filter(F.get(_probes(), b), lambda p: F.get(c["filled"], p).isNotNull())
-        nearest = F.array_min(F.transform(c["bins"], lambda p: F.struct(F.xxhash64(b, p).alias("h"), p.alias("p"))))["p"]
-        return F.get(c["filled"], F.coalesce(F.get(tried, F.lit(0)), nearest))
+        nearest = F.array_min(F.transform("_filled", lambda p: F.struct(F.xxhash64(b, p).alias("h"), p.alias("p"))))["p"]
+        of = lambda j: F.get("_d", F.get(F.get(_probes(), b), F.lit(j)))
+        return reduce(lambda rest, j: F.when(of(j) < EMPTY, of(j)).otherwise(rest), reversed(range(PROBES)), F.get("_d", nearest))
 
-    out = out.withColumn(own["signature"], F.transform(c["filled"], lambda v, b: F.coalesce(v, borrowed(b))))
-    lane = lambda w: reduce(lambda a, x: a.bitwiseOR(x), [F.shiftleft(F.get(c["signature"], w * LANES + j), BITS * j) for j in range(LANES)])
+    signed = dense.select(key, "_filled", F.transform("_d", lambda v, b: F.when(v < EMPTY, v).otherwise(borrowed(b))).alias("_s"))
+    lane = lambda w: reduce(lambda a, x: a.bitwiseOR(x), [F.shiftleft(F.get("_s", w * LANES + j), BITS * j) for j in range(LANES)])
     packed = F.transform(F.sequence(F.lit(0), F.lit(BINS // LANES - 1)), lane)
-    out = out.withColumn(name, F.when(F.size(c["bins"]) > 0, packed).otherwise(F.array().cast("array<bigint>")))
-    return out.drop(*own.values())
+    return signed.select(key, F.when(F.size("_filled") > 0, packed).otherwise(F.array().cast("array<bigint>")).alias("print"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -96,20 +95,28 @@ def successors(ids: DataFrame, key: str) -> DataFrame:
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text and of its edited text, whose last quarter is taken from the start of the next document.
+    """(doc_id, n_chars, edited_sha256, print, edited_print, next_print): fingerprints of every text and of its edited text, whose last
+    quarter is taken from the start of the next document.
 
     One row per doc_id. Rows without a doc_id have no place in the order and no row here; of rows with one doc_id the smallest text
     (missing ones as empty) stands. The last document is followed by the first, a lone document by itself.
     """
     base = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(whole_text()).alias("text"))
-    quarter = lambda: F.floor(F.char_length("text") / 4).cast("int")
-    main = base.join(successors(docs, "doc_id"), "doc_id")
-    asked = main.select(F.col("next_key").alias("doc_id"), F.col("doc_id").alias("_for"), quarter().alias("_m"))
-    given = with_fingerprint(base.join(asked, "doc_id"), F.col("text"), "_next_print")
-    given = given.select(F.col("_for").alias("doc_id"), F.substring("text", F.lit(1), F.col("_m")).alias("_start"), "_next_print")
-    out = with_fingerprint(main.join(given, "doc_id"), F.col("text"), "_print")
-    out = out.withColumn("_edited", F.concat(F.substring("text", F.lit(1), F.char_length("text") - quarter()), "_start"))
-    return with_fingerprint(out, F.col("_edited"), "_edited_print")
+    order = keep(successors(docs, "doc_id"), "successors")
+    quarter = F.floor(F.char_length("text") / 4).cast("int")
+    main = base.join(order, "doc_id")
+    asked = main.select(F.col("next_key").alias("doc_id"), F.col("doc_id").alias("_for"), quarter.alias("_m"))
+    given = base.join(asked, "doc_id").select(F.col("_for").alias("doc_id"), F.substring("text", F.lit(1), F.col("_m")).alias("_start"))
+    edited = F.concat(F.substring("text", F.lit(1), F.char_length("text") - quarter), "_start")
+    both = main.join(given, "doc_id").select("doc_id", F.char_length("text").cast("long").alias("n_chars"), edited.alias("edited"))
+    changed = fingerprints(both, "doc_id", "edited").withColumnRenamed("print", "edited_print")
+    # Every fingerprint is made once and sent to two rows: its own and that of the document before.
+    before = order.select(F.col("next_key").alias("doc_id"), F.col("doc_id").alias("_before"))
+    sent = fingerprints(base, "doc_id", "text").join(before, "doc_id")
+    sent = sent.select("print", F.explode(F.array(F.struct(F.col("doc_id").alias("to"), F.lit(True).alias("own")), F.struct(F.col("_before").alias("to"), F.lit(False).alias("own")))).alias("_t"))
+    prints = sent.groupBy(F.col("_t.to").alias("doc_id")).agg(F.max(F.when(F.col("_t.own"), F.col("print"))).alias("print"), F.max(F.when(~F.col("_t.own"), F.col("print"))).alias("next_print"))
+    out = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
+    return out.join(prints, "doc_id").join(changed, "doc_id")
 
 
 @query()
@@ -117,10 +124,10 @@ def op3_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     out = edited_fingerprints(table(spark, folder, "documents"))
     return out.select(
         "doc_id",
-        F.char_length("text").cast("long").alias("n_chars"),
-        F.sha2("_edited", 256).alias("edited_sha256"),
-        hexadecimal(F.col("_print")).alias("fingerprint"),
-        hexadecimal(F.col("_edited_print")).alias("edited_fingerprint"),
-        likeness(F.col("_print"), F.col("_edited_print")).alias("near_edited"),
-        likeness(F.col("_print"), F.col("_next_print")).alias("near_next"),
+        "n_chars",
+        "edited_sha256",
+        hexadecimal(F.col("print")).alias("fingerprint"),
+        hexadecimal(F.col("edited_print")).alias("edited_fingerprint"),
+        likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
+        likeness(F.col("print"), F.col("next_print")).alias("near_next"),
     )

@@ -39,11 +39,11 @@ def test_pii(docs, none, edges):
 
 
 def test_fingerprints(docs, none):
-    out = {r.doc_id: r for r in fingerprints.edited_fingerprints(docs).select("doc_id", "text", "_print", "_edited", fingerprints.likeness(F.col("_print"), F.col("_next_print")).alias("near")).collect()}
+    out = {r.doc_id: r for r in fingerprints.edited_fingerprints(docs).withColumn("near", fingerprints.likeness(F.col("print"), F.col("next_print"))).collect()}
     assert sorted(out) == [1, 2, 3, 4, 5, 6, 7, 8]
-    assert out[1].text == "" and len(out[1]["_print"]) == 0 and out[1].near == 1.0 and out[3].near == 0.0
-    assert out[4]["_print"] == out[5]["_print"] and out[4].near == 1.0
-    assert len(out[7]["_print"]) == 32
+    assert out[1].n_chars == 0 and len(out[1].print) == 0 and out[1].near == 1.0 and out[3].near == 0.0
+    assert out[4].print == out[5].print and out[4].near == 1.0
+    assert len(out[7].print) == 32
     assert fingerprints.edited_fingerprints(none).count() == 0
 
 
