@@ -4,7 +4,7 @@ Only documents are labelled. A sentence's score is a logistic function of its wo
 1 - prod(1 - p). Training follows the gradient of the document likelihood down to the words, which puts the weight on the sentences that
 explain the label; afterwards the sentences over one half are the offending ones.
 
-The vocabulary holds the words whose presence tells the labels apart best (a chi-square test on the sample). The sample is bounded: ``rows`` labelled rows in
+A word's features are the word itself and its first four and five letters, since insults come in many forms. The vocabulary holds the features whose presence tells the labels apart best (a chi-square test on the sample). The sample is bounded: ``rows`` labelled rows in
 order of a hash of the id, of texts up to ``longest`` characters.
 
 Defined results: missing and empty texts and texts without words score 0; labels other than 0 and 1, missing ids and texts are not learned from; without both labels in the
@@ -28,13 +28,35 @@ from sheetloom.llm.common import query, table
 from sheetloom.llm.langid import held_out
 
 ROWS, LONGEST, VOCABULARY = 10_000, 20_000, 2_000
-STEPS, RATE, DECAY = 300, 0.15, 2e-4
+STEPS, RATE, DECAY = 400, 0.15, 2e-5
+KNOWN_WORDS = 400_000
 SENTENCE, WORD = re.compile(r"[.!?\n]+"), re.compile(r"[^\W_]+")
 
 
+def features(word: str) -> tuple[str, ...]:
+    return word, f"^{word[:4]}", f"^{word[:5]}"
+
+
+class Weights(dict):
+    """The weight of every word met so far, forgotten all at once when there are too many."""
+
+    def __init__(self, known: dict[str, float]):
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[word] = total = sum(self.known.get(f, 0.0) for f in features(word))
+        return total
+
+    def __reduce__(self):
+        return Weights, (self.known,)
+
+
 @dataclass
 class Model:
-    weights: dict[str, float]
+    weights: Weights
     bias: float
 
     def sentences(self, text: str | None) -> Iterator[tuple[int, int, float]]:
@@ -44,14 +66,14 @@ class Model:
         for stop in [*[m.end() for m in SENTENCE.finditer(text)], len(text)]:
             found = set(WORD.findall(text[at:stop].lower()))
             if found:
-                yield at, stop, 1 / (1 + np.exp(-(self.bias + sum(self.weights.get(w, 0.0) for w in sorted(found)))))
+                yield at, stop, 1 / (1 + np.exp(-(self.bias + sum(sorted(map(self.weights.__getitem__, found))))))
             at = stop
 
     def document(self, text: str | None) -> float:
         """The noisy-or of the sentences; a sentence without a known word counts with its bias."""
-        get, log_none, plain = self.weights.get, 0.0, 0
+        weight, log_none, plain = self.weights.__getitem__, 0.0, 0
         for part in SENTENCE.split((text or "").lower()):
-            known = [v for v in map(get, set(WORD.findall(part))) if v]
+            known = [v for v in map(weight, set(WORD.findall(part))) if v]
             if known:
                 log_none += _softplus(self.bias + sum(sorted(known)))
             elif part and not part.isspace():
@@ -69,7 +91,7 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     documents = [[s for s in d if s] for d in documents]
     total, hit = Counter(), Counter()
     for d, y in zip(documents, labels):
-        present = set().union(*d) if d else set()
+        present = {f for w in set().union(*d) for f in features(w)}
         total.update(present)
         if y:
             hit.update(present)
@@ -83,7 +105,7 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     sentence_of, word_of, document_of, count = [], [], [], 0
     for i, d in enumerate(documents):
         for s in d:
-            known = [vocabulary[w] for w in s if w in vocabulary]
+            known = [vocabulary[f] for w in sorted(s) for f in features(w) if f in vocabulary]
             sentence_of += [count] * len(known)
             word_of += known
             document_of.append(i)
@@ -105,7 +127,7 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
         change = RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-9)
         weights -= change[:-1]
         bias -= change[-1]
-    return Model({w: float(weights[i]) for w, i in vocabulary.items()}, float(bias))
+    return Model(Weights({f: float(weights[i]) for f, i in vocabulary.items()}), float(bias))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, longest: int = LONGEST) -> Model | None:
