@@ -70,9 +70,9 @@ def ingest_delimited(store: DocumentStore, path: str | Sequence[str], name: str
 # --- workbooks -----------------------------------------------------------------------------------------------------
 
 
-def find_headers(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """Header row and width of every sheet; only the first rows of each sheet are parsed."""
-    return detect_headers(cells_of(workbook_rows(spark, path, sheet, last_row=SCAN_ROWS)), SHEET)
+def find_headers(spark: SparkSession, path: str, sheets: Sequence[str] = ()) -> DataFrame:
+    """Header row and width of the named sheets, or of all; only the first rows of each sheet are parsed."""
+    return detect_headers(cells_of(workbook_rows(spark, path, sheets, last_row=SCAN_ROWS)), SHEET)
 
 
 def table_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def fleet_tables(spark: SparkSession, path: str, sheets: Sequence[str] = ()) ->
     """
     headers = _named_headers(spark, path, sheets).withColumn("layout", F.md5(F.to_json("names")))
     layouts = sorted(headers.select("layout", "names").distinct().collect(), key=lambda row: row.names)
-    rows = table_rows(workbook_rows(spark, path), headers.drop("names")).where("row_number > header_row")
+    rows = table_rows(workbook_rows(spark, path, sheets), headers.drop("names")).where("row_number > header_row")
     if len(layouts) > 1:
         # Unpack every workbook once, not once per layout.
         folder = scratch_dir(spark, "sheets")
@@ -118,10 +118,8 @@ def _named_headers(spark: SparkSession, path: str, sheets: Sequence[str] = ()) -
 
     Written to the shared folder once, since every layout needs it and computing it opens all workbooks.
     """
-    headers = find_headers(spark, path)
-    if sheets:
-        headers = headers.where(F.col("sheet").isin(*sheets))
-    top = workbook_rows(spark, path, last_row=SCAN_ROWS).withColumnRenamed("row_number", "header_row")
+    headers = find_headers(spark, path, sheets)
+    top = workbook_rows(spark, path, sheets, last_row=SCAN_ROWS).withColumnRenamed("row_number", "header_row")
     padded = F.transform(F.sequence(F.lit(0), F.col("column_count") - 1), lambda i: F.nullif(F.trim(F.get("cells", i)), F.lit("")))
     named = headers.join(top, [*SHEET, "header_row"]).select(*SHEET, "header_row", "column_count", F.coalesce(padded, F.array()).alias("names"))
     folder = scratch_dir(spark, "headers")

@@ -7,14 +7,17 @@ workbooks of its own and starts a new one when a sheet is full.
 
 from __future__ import annotations
 
+import json
 import posixpath
 import re
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import lru_cache
 from xml.etree.ElementTree import iterparse
+from xml.parsers import expat
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
@@ -89,48 +92,77 @@ def _shared_strings(book: zipfile.ZipFile) -> list[str]:
     return strings
 
 
-def _column_of(reference: str) -> int:
+@lru_cache(maxsize=20_000)
+def _column_of(letters: str) -> int:
     column = 0
-    for letter in re.match(r"[A-Za-z]*", reference).group():
+    for letter in letters:
         column = column * 26 + ord(letter.upper()) - ord("A") + 1
     return column - 1
 
 
-def _cell_text(element, strings: list[str]) -> str | None:
-    texts = [node.text or "" for node in element.iter() if _local(node.tag) in ("v", "t")]
-    if not texts:
-        return None
-    text = "".join(texts)
-    if element.attrib.get("t") == "s":
-        return strings[int(text)] if text.strip().isdigit() and int(text) < len(strings) else None
-    return text
+class _Rows:
+    """Parser events of one sheet, collected into finished rows."""
+
+    def __init__(self, strings: list[str], last_row: int | None):
+        self.strings, self.last_row = strings, last_row
+        self.number, self.column, self.cells = 0, -1, {}
+        self.kind, self.texts, self.inside = None, None, False
+        self.rows: list[tuple[int, list[str | None]]] = []
+        self.done = False
+        self.locals: dict[str, str] = {}
+
+    def _tag(self, name: str) -> str:
+        tag = self.locals.get(name)
+        if tag is None:
+            tag = self.locals[name] = name.rpartition(":")[2]
+        return tag
+
+    def start(self, name: str, attributes: dict) -> None:
+        tag = self._tag(name)
+        if tag == "c":
+            place = attributes.get("r")
+            self.column = _column_of(place.rstrip("0123456789")) if place else self.column + 1
+            self.kind, self.texts = attributes.get("t"), None
+        elif tag in ("v", "t"):
+            self.inside = True
+            self.texts = self.texts or []
+        elif tag == "row":
+            self.number = int(attributes.get("r") or self.number + 1)
+            self.column, self.cells = -1, {}
+            self.done = self.done or (self.last_row is not None and self.number > self.last_row)
+
+    def text(self, data: str) -> None:
+        if self.inside:
+            self.texts.append(data)
+
+    def end(self, name: str) -> None:
+        tag = self._tag(name)
+        if tag in ("v", "t"):
+            self.inside = False
+        elif tag == "c":
+            text = None if self.texts is None else "".join(self.texts)
+            if text is not None and self.kind == "s":
+                text = self.strings[int(text)] if text.strip().isdigit() and int(text) < len(self.strings) else None
+            self.cells[self.column] = text
+        elif tag == "row":
+            if self.cells and not self.done:
+                self.rows.append((self.number, [self.cells.get(i) for i in range(max(self.cells) + 1)]))
+        elif tag == "sheetData":
+            self.done = True
 
 
 def sheet_rows(book: zipfile.ZipFile, part: str, last_row: int | None = None) -> Iterator[tuple[int, list[str | None]]]:
-    """``(row number, cells)`` in sheet order; stops after ``last_row``."""
-    strings = _shared_strings(book)
-    number, column, cells, container = 0, -1, {}, None
+    """``(row number, cells)`` in sheet order, from one event loop over the part; stops after ``last_row``."""
+    found = _Rows(_shared_strings(book), last_row)
+    parser = expat.ParserCreate()
+    parser.buffer_text = True
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = found.start, found.end, found.text
     with book.open(part) as stream:
-        for event, element in iterparse(stream, ("start", "end")):
-            tag = _local(element.tag)
-            if event == "start":
-                if tag == "sheetData":
-                    container = element
-                elif tag == "row":
-                    number = int(element.attrib.get("r") or number + 1)
-                    column, cells = -1, {}
-                    if last_row is not None and number > last_row:
-                        return
-            elif tag == "c":
-                column = _column_of(element.attrib["r"]) if "r" in element.attrib else column + 1
-                cells[column] = _cell_text(element, strings)
-            elif tag == "row":
-                if cells:
-                    yield number, [cells.get(i) for i in range(max(cells) + 1)]
-                if container is not None:
-                    container.clear()
-            elif tag == "sheetData":
-                return
+        while not found.done and (chunk := stream.read(1 << 18)):
+            parser.Parse(chunk)
+            yield from found.rows
+            found.rows = []
+    yield from found.rows
 
 
 # --- files ---------------------------------------------------------------------------------------------------------
@@ -174,7 +206,7 @@ class _Sheet(InputPartition):
 class WorkbookReader(DataSourceReader):
     def __init__(self, options: dict, schema: T.StructType):
         self.root, self.schema = options["path"], schema
-        self.sheet = options.get("sheet")
+        self.sheets = json.loads(options["sheets"]) if options.get("sheets") else None
         self.last_row = int(options["lastrow"]) if options.get("lastrow") else None
 
     def partitions(self) -> list[_Sheet]:
@@ -186,7 +218,7 @@ class WorkbookReader(DataSourceReader):
 
         with ThreadPoolExecutor(LISTING_THREADS) as pool:
             planned = [sheet for sheets in pool.map(sheets_of, _workbook_paths(self.root)) for sheet in sheets]
-        return [p for p in planned if p.part and self.sheet in (None, p.name)]
+        return [p for p in planned if p.part and (self.sheets is None or p.name in self.sheets)]
 
     def read(self, partition: _Sheet) -> Iterator[pa.RecordBatch]:
         if partition is None:
@@ -347,12 +379,12 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WorkbookSource)
 
 
-def workbook_rows(spark: SparkSession, path: str, sheet: str | None = None, last_row: int | None = None) -> DataFrame:
-    """Raw rows of all sheets of all workbooks at a path."""
+def workbook_rows(spark: SparkSession, path: str, sheets: Sequence[str] = (), last_row: int | None = None) -> DataFrame:
+    """Raw rows of the named sheets, or of all, of all workbooks at a path; other sheets are not opened."""
     register(spark)
     reader = spark.read.format(SOURCE).option("path", path)
-    if sheet is not None:
-        reader = reader.option("sheet", sheet)
+    if sheets:
+        reader = reader.option("sheets", json.dumps(list(sheets)))
     if last_row is not None:
         reader = reader.option("lastRow", last_row)
     return reader.load()

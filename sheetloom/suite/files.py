@@ -132,6 +132,34 @@ def xlsx_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return union_all([rows.drop("_path", "_sheet_index", "_sheet", "_row_number") for _, rows in ingest.fleet_tables(spark, path)])
 
 
+ITEM_CELLS = "select cast(l_orderkey as varchar) as l_orderkey, cast(l_linenumber as varchar) as l_linenumber, l_returnflag, cast(l_shipdate as varchar) as l_shipdate from lineitem"
+
+
+@query(ITEM_CELLS)
+def xlsx_ingest_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row of the largest table through eight workbooks into documents, cell by cell."""
+    path = scratch_dir(spark, "workbooks")
+    items = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_shipdate")
+    workbooks.write_workbooks(items.repartition(8), path)
+    store = DocumentStore(spark, scratch_dir(spark, "store"))
+    return union_all([store.read(d).drop("_row_id") for d in ingest.ingest_workbooks(store, path)])
+
+
+@query("select cast(r_regionkey as varchar) as r_regionkey, r_name, 'refused' as unknown from region")
+def xlsx_chosen_sheets(spark: SparkSession, folder: str) -> DataFrame:
+    """Only sheets of the given names are opened; a name that no workbook has stores nothing."""
+    path = scratch_dir(spark, "workbooks")
+    workbooks.write_workbooks(table(spark, folder, "region").coalesce(1), path)
+    store = DocumentStore(spark, scratch_dir(spark, "store"))
+    try:
+        ingest.ingest_workbooks(store, path, ["Other"])
+        unknown = "stored"
+    except DocumentError:
+        unknown = "refused"
+    (document,) = ingest.ingest_workbooks(store, path, [workbooks.EXPORT_SHEET])
+    return store.read(document).drop("_row_id").withColumn("unknown", F.lit(unknown))
+
+
 @query("select 'Dados' as sheet, 'visible' as visibility, 0 as sheet_index, count(*) as data_rows from supplier")
 def workbook_inventory(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_dir(spark, "workbooks")
@@ -167,20 +195,24 @@ def _by(key: str, order: str):
 
 
 @query(
-    """select 'region' as source, count(*) as rows, 2 as columns from region union all select 'nation', count(*), 3 from nation
-    union all select 'supplier', count(*), 4 from supplier"""
+    """select 'region' as source, r_regionkey as place, cast(r_regionkey as varchar) as key, r_name as name, 2 as columns from region
+    union all select 'nation', n_nationkey, cast(n_nationkey as varchar), n_name, 3 from nation union all select 'supplier', s_suppkey, cast(s_suppkey as varchar), s_name, 4 from supplier"""
 )
 def multi_workbook_ingest(spark: SparkSession, folder: str) -> DataFrame:
-    """Workbooks of three tables in one folder tree become documents with counts and sources in the log."""
+    """Workbooks of three tables in one folder tree become documents, cell by cell, with their widths in the log."""
     path = scratch_dir(spark, "workbooks")
     for name in ("region", "nation", "supplier"):
         workbooks.write_workbooks(table(spark, folder, name), f"{path}/{name}")
     store = DocumentStore(spark, scratch_dir(spark, "store"))
     for name in ("region", "nation", "supplier"):
         ingest.ingest_workbooks(store, f"{path}/{name}")
-    width = F.col("column_count").cast("int").alias("columns")
-    source = F.when(F.col("column_count") == 2, "region").when(F.col("column_count") == 3, "nation").otherwise("supplier")
-    return store.log().groupBy(source.alias("source"), width).agg(F.sum("row_count").alias("rows"))
+    out = []
+    for entry in store.log().orderBy("name", "column_count").collect():
+        rows = store.read(entry.document_id).drop("_row_id")
+        source = {2: "region", 3: "nation", 4: "supplier"}[entry.column_count]
+        key, name = rows.columns[:2]
+        out.append(rows.select(F.lit(source).alias("source"), F.col(key).cast("bigint").alias("place"), F.col(key).alias("key"), F.col(name).alias("name"), F.lit(int(entry.column_count)).alias("columns")))
+    return union_all(out)
 
 
 @query("select cast(n_nationkey as varchar) as n_nationkey, n_name, cast(n_regionkey as varchar) as n_regionkey from nation")
