@@ -7,7 +7,8 @@ a row. Any passage of 50 words therefore holds a retained suffix within its firs
 2. These get the hashes of the 25 words that follow the key and of the 25 before it, and are sorted by key, following words, document and place into
    ranges that split even the suffixes of one key.
 3. Each suffix is compared with both neighbours in that order and the match is extended to the right and to the left. Matches of 50 words or more are
-   repeated passages; the matches of neighbouring suffixes of a document are united. Of two neighbours the one later in (document, place) is the copy.
+   repeated passages; the matches of neighbouring suffixes of a document are united. In a run of matching neighbours the first in (document, place) is the
+   original, and of each pair the one farther from it is the copy; where a range ends within a run, each side has an original.
 
 A passage that some copies hold only in part is found with the neighbour it has, so up to 24 words at its edges can be missing where a third text
 shares more of the suffix.
@@ -104,7 +105,7 @@ def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _matches(rows: pa.Table) -> list[np.ndarray]:
     """The columns of SPANS for all neighbours of a sorted run of suffixes that share at least LEAST words."""
     key, ids, place = (rows.column(c).to_numpy() for c in ("key", "id", "place"))
-    at = np.flatnonzero(key[1:] == key[:-1])
+    at = np.flatnonzero(key[1:] == key[:-1])  # of a shared key, whether or not enough more is shared
     if not len(at):
         return [np.empty(0, np.int64)] * 5
     reach = []
@@ -115,30 +116,47 @@ def _matches(rows: pa.Table) -> list[np.ndarray]:
     right, left = reach
     long = left + KEY + right >= LEAST
     at, right, left = at[long], right[long], left[long]
+    if not len(at):
+        return [np.empty(0, np.int64)] * 5
     a, b = at, at + 1
-    later = (ids[b] > ids[a]) | ((ids[b] == ids[a]) & (place[b] > place[a]))
+    # In a run of matching neighbours the first in (document, place) is the original; of each pair the one farther from it is the copy.
+    fresh = np.ones(len(key), bool)
+    fresh[b] = False
+    run = np.cumsum(fresh) - 1
+    order = np.lexsort((place, ids))
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.arange(len(key))
+    original = order[np.minimum.reduceat(rank, np.flatnonzero(fresh))]
+    later = original[run[a]] <= a
     sides = [(ids[x], place[x] - left, place[x] + KEY + right, ids[y], flag) for x, y, flag in ((a, b, ~later), (b, a, later))]
     return [np.concatenate(c) for c in zip(*sides)]
 
 
 def _compare(ordered: DataFrame) -> DataFrame:
-    """Spans of all neighbours within partitions, and the first and last suffix of each partition as edge rows."""
+    """Spans of all neighbours within partitions, and the first and last suffix of each partition as edge rows.
+
+    A run is held until it ends, so memory follows the longest run of one key in a partition.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, first, index = None, None, None
+        held, first, last, index = None, None, None, None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             rows = pa.Table.from_batches([batch])
             index = batch.column("part")[0].as_py()
             rows = rows.drop(["part"])
-            if first is None:
-                first = rows.slice(0, 1)
-            rows = rows if last is None else pa.concat_tables([last, rows])
+            first = rows.slice(0, 1) if first is None else first
             last = rows.slice(rows.num_rows - 1, 1)
-            i, start, stop, other, later = _matches(rows)
-            if len(i):
-                yield _rows(i, start, stop, other, later)
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            # Suffixes of the last key wait for the rest of their run.
+            keys = rows.column("key").to_numpy()
+            start = len(keys) - int(np.argmax((keys != keys[-1])[::-1])) if (keys != keys[-1]).any() else 0
+            held = rows.slice(start)
+            if start:
+                yield from spans(rows.slice(0, start))
+        if held is not None:
+            yield from spans(held)
         if first is not None:
             for order, row in ((0, first), (1, last)):
                 r = row.to_pylist()[0]
@@ -147,9 +165,12 @@ def _compare(ordered: DataFrame) -> DataFrame:
                     names=["id", "start", "stop", "other", "later", "after", "before", "part"],
                 )
 
-    def _rows(i, start, stop, other, later) -> pa.RecordBatch:
+    def spans(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        i, start, stop, other, later = _matches(rows)
         n = len(i)
-        return pa.record_batch(
+        if not n:
+            return
+        yield pa.record_batch(
             [pa.array(i), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(other), pa.array(later.astype(np.int32)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32())],
             names=["id", "start", "stop", "other", "later", "after", "before", "part"],
         )
