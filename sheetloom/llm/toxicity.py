@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -87,11 +88,14 @@ def _softplus(z: float) -> float:
 
 def train(texts: list[str], labels: np.ndarray) -> Model:
     """Fit sentence weights from document labels."""
-    documents = [[set(WORD.findall(s)) for s in SENTENCE.split(t.lower())] for t in texts]
-    documents = [[s for s in d if s] for d in documents]
+    def sentences(text: str) -> Iterator[set[str]]:
+        for part in SENTENCE.split(text.lower()):
+            if found := set(WORD.findall(part)):
+                yield found
+
     total, hit = Counter(), Counter()
-    for d, y in zip(documents, labels):
-        present = {f for w in set().union(*d) for f in features(w)}
+    for text, y in zip(texts, labels):
+        present = {f for w in set(WORD.findall(text.lower())) for f in features(w)}
         total.update(present)
         if y:
             hit.update(present)
@@ -102,15 +106,16 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
             expected = t * positive / n
             chosen.append(((hit[w] - expected) ** 2 / (expected * (1 - positive / n) * (1 - t / n) + 1e-9), w))
     vocabulary = {w: i for i, (_, w) in enumerate(sorted(chosen, key=lambda x: (-x[0], x[1]))[:VOCABULARY])}
-    sentence_of, word_of, document_of, count = [], [], [], 0
-    for i, d in enumerate(documents):
-        for s in d:
+    del total, hit, chosen
+    sentence_of, word_of, document_of, count = array("l"), array("l"), array("l"), 0
+    for i, text in enumerate(texts):
+        for s in sentences(text):
             known = [vocabulary[f] for w in sorted(s) for f in features(w) if f in vocabulary]
-            sentence_of += [count] * len(known)
-            word_of += known
+            sentence_of.extend([count] * len(known))
+            word_of.extend(known)
             document_of.append(i)
             count += 1
-    sentence_of, word_of, document_of = np.array(sentence_of, np.int64), np.array(word_of, np.int64), np.array(document_of, np.int64)
+    sentence_of, word_of, document_of = (np.array(x, np.int64) for x in (sentence_of, word_of, document_of))
     weights, bias = np.zeros(len(vocabulary)), -6.0
     m, s = np.zeros(len(vocabulary) + 1), np.zeros(len(vocabulary) + 1)
     y = labels.astype(float)
