@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from llm_tables import edges, make  # noqa: F401
 from sheetloom.llm import bpe, fingerprints, jaccard, langid, packing, pii, suffixes, tokens, topk, toxicity
 
 
