@@ -7,8 +7,8 @@ A document is the set of its distinct k-word shingles. Documents with equal sets
 2. Two sets that overlap in at least t shingles share the first l of their common shingles within the first n - t + l of each, for every l.
    Each class takes the l that its own prefix makes cheapest: a prefix of frequent shingles is lengthened by l - 1, and a partner then
    has to share l of it before the pair is verified. A pair is held to the smaller l of its two classes.
-3. First every class is compared with one other for each prefix shingle, the holder of the smallest key. The links found so, verified on the
-   whole sets, join groups of near copies without listing their pairs. Pairs are then needed only between different components, so a shingle
+3. First every class is compared with a few others for each prefix shingle, the first holders in eight random orders. The links found so, verified on
+   the whole sets, join groups of near copies without listing their pairs. Pairs are then needed only between different components, so a shingle
    whose holders all lie in one component drops out before any pairs are made.
 4. Those pairs are counted by shared prefix shingles, held to l, verified on the whole sets, and give the rest of the links that
    connect components.
@@ -21,6 +21,7 @@ rows without an id are left out; rows that repeat an id are separate documents o
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,9 @@ from pyspark.sql import functions as F
 from sheetloom.llm.common import keep, lists, mix, query, shingle_set, signed, table, whole_text, word_hashes
 from sheetloom.llm.components import components
 
-BUCKET_BITS = 19
-SLICE = 1 << 13
+BUCKET_BITS = 22
+SLICE = 1 << 15
+HUBS = 8
 LEVELS = 8
 FILTER_COST, VERIFY_COST = 1.0, 40.0
 
@@ -79,20 +81,20 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
         used = [i for i in range(0, len(counts), SLICE) if counts[i : i + SLICE].any()]
         if used:
             empty = pa.nulls(len(used), pa.int64())
-            parts = [counts[i : i + SLICE].astype("<u4").tobytes() for i in used]
+            parts = [zlib.compress(counts[i : i + SLICE].astype("<u4").tobytes(), 1) for i in used]
             yield pa.record_batch([empty, empty, empty, empty, empty, pa.array([i // SLICE for i in used], pa.int32()), pa.array(parts, pa.binary())], names=["id", "n", "first", "second", "key", "slice", "counts"])
 
     return _batches(docs, run, "id long, n long, first long, second long, key long, slice int, counts binary")
 
 
 def _sketch(described: DataFrame) -> np.ndarray:
-    """The summed sketch: 2^19 counters whatever the number of documents. Slices are summed by Spark; one of each comes back."""
+    """The summed sketch: 2^22 counters whatever the number of documents. Slices are summed by Spark; one of each comes back."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, c in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
-                sums[i] = sums.get(i, 0) + np.frombuffer(c, "<u4").astype(np.int64)
+                sums[i] = sums.get(i, 0) + np.frombuffer(zlib.decompress(c), "<u4").astype(np.int64)
         if sums:
             yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([s.astype("<i8").tobytes() for s in sums.values()], pa.binary())], names=["slice", "sums"])
 
@@ -105,16 +107,19 @@ def _sketch(described: DataFrame) -> np.ndarray:
 
 
 def _excess(counts: np.ndarray) -> np.ndarray:
-    """How often a shingle of a bucket occurs beyond what chance puts there, at least 1."""
+    """How often a shingle of a bucket occurs beyond what chance puts there, at least 1.
+
+    Some rare shingles share a bucket with many others and count as frequent; the order stays the same for all documents, so nothing is lost.
+    """
     middle = float(np.median(counts))
-    return np.maximum(1.0, counts - middle - 4.0 * np.sqrt(middle + 1.0)).astype(np.float32)
+    return np.clip(counts - middle - 2.0 * np.sqrt(middle + 1.0), 1, 65535).astype(np.uint16)
 
 
 def prefix(shingles: np.ndarray, excess: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, int]:
     """The prefix of a set in order of rarity, the level of each of its shingles, and the number l of matches it asks for."""
     n = len(shingles)
     least = -(-num * n // den)
-    often = excess[(shingles >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+    often = excess[(shingles >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.float32)
     longest = min(LEVELS, least)
     base = n - least + 1
     order = np.lexsort((shingles, often))[: base + longest - 1]
@@ -183,8 +188,8 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     classes = keep(sets.where("n > 0").groupBy("key", "first", "second", "n").agg(F.min("id").alias("rep")), "classes")
 
     entries = keep(prefixes(docs, k, num, den, excess), "prefixes")
-    shared = entries.groupBy("token").agg(F.min("key").alias("hub"), F.max("key").alias("_last")).where(F.col("hub") != F.col("_last")).drop("_last")
-    shared = keep(entries.join(shared, "token"), "shared")
+    several = entries.groupBy("token").agg(F.min("key").alias("_low"), F.max("key").alias("_high")).where(F.col("_low") != F.col("_high")).select("token")
+    shared = keep(entries.join(several, "token", "left_semi"), "shared")
 
     reps = classes.select("key", "rep", F.col("n").alias("size"))
     close = num * F.greatest("size_a", "size_b") <= den * F.least("size_a", "size_b")
@@ -195,25 +200,35 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
         out = out.join(reps.select(F.col("key").alias("y"), F.col("rep").alias("b"), F.col("size").alias("size_b")), "y")
         return out.where(close & (F.col("a") != F.col("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    # Classes against the holder of the smallest key, where a fifth of the prefix meets there; what this misses, the second pass finds.
-    hubs = shared.where(F.col("key") != F.col("hub")).groupBy("key", "hub").agg(F.countDistinct("token").alias("met"), F.first("n").alias("n"))
-    hubs = candidates(hubs.where(F.col("met") * 5 * den >= F.col("n") * (den - num)).select(F.col("key").alias("x"), F.col("hub").alias("y")))
+    # Classes against the first holder of a shingle in each of HUBS random orders, where a third of the prefix meets there; what this misses, the
+    # second pass finds.
+    first = [F.min(F.struct(F.xxhash64("key", F.lit(i)).alias("h"), F.col("key").alias("k"))) for i in range(HUBS)]
+    holders = shared.groupBy("token").agg(F.array_distinct(F.transform(F.array(*first), lambda x: x["k"])).alias("hubs"))
+    hubs = shared.select("token", "key", "n").join(holders, "token").select("token", "key", "n", F.explode("hubs").alias("hub"))
+    hubs = hubs.where(F.col("key") != F.col("hub")).groupBy("key", "hub").agg(F.countDistinct("token").alias("met"), F.first("n").alias("n"))
+    hubs = candidates(hubs.where(F.col("met") * 3 * den >= F.col("n") * (den - num)).select(F.col("key").alias("x"), F.col("hub").alias("y")))
     links = keep(verified(keep(hubs, "hubs"), docs, k, num, den), "links")
     first = components(links)
 
     # Keys of one component take its smallest id; a key alone stays itself. Both kinds of names are told apart by ``joined``.
     homes = classes.join(first.withColumnRenamed("id", "rep"), "rep").groupBy("key").agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("_n"))
     homes = homes.where("_n = 1").select("key", "component", F.lit(1).alias("joined"))
-    placed = shared.drop("hub").distinct().join(homes, "key", "left")
+    placed = shared.distinct().join(homes, "key", "left")
     placed = placed.withColumns({"home": F.coalesce("component", "key"), "joined": F.coalesce("joined", F.lit(0))})
     placed = keep(placed.withColumn("home", F.struct("joined", "home")).select("token", "key", "n", "level", "matches", "home"), "placed")
     mixed = placed.groupBy("token").agg(F.min("home").alias("_low"), F.max("home").alias("_high")).where(F.col("_low") != F.col("_high")).select("token")
     mixed = keep(placed.join(mixed, "token", "left_semi"), "mixed")
     a, b = mixed.alias("a"), mixed.alias("b")
     asked = F.least("a.matches", "b.matches")
-    crossing = (F.col("a.token") == F.col("b.token")) & (F.col("a.home") < F.col("b.home")) & (num * F.greatest("a.n", "b.n") <= den * F.least("a.n", "b.n")) & (F.greatest("a.level", "b.level") <= asked)
-    met = a.join(b, crossing).groupBy(F.col("a.key").alias("x"), F.col("b.key").alias("y")).agg(F.count(F.lit(1)).alias("met"), F.min(asked).alias("asked"))
-    more = verified(keep(candidates(met.where("met >= asked").select("x", "y")), "crossing"), docs, k, num, den)
+    crossing = (F.col("a.token") == F.col("b.token")) & (F.col("a.home") < F.col("b.home")) & (num * F.greatest("a.n", "b.n") <= den * F.least("a.n", "b.n"))
+    # What neither prefix holds adds at most the rest of the set whose prefix ends first.
+    rest = F.greatest(*[F.ceil(num * F.col(f"{s}.n") / den) - F.col(f"{s}.matches") for s in ("a", "b")])
+    needed = F.ceil(num * (F.col("a.n") + F.col("b.n")) / (num + den)) - rest
+    met = a.join(b, crossing).groupBy(F.col("a.key").alias("x"), F.col("b.key").alias("y")).agg(
+        F.count(F.lit(1)).alias("met"), F.count_if(F.greatest("a.level", "b.level") <= asked).alias("leading"), F.min(asked).alias("asked"), F.min(needed).alias("needed")
+    )
+    met = met.where((F.col("leading") >= F.col("asked")) & (F.col("met") >= F.col("needed")))
+    more = verified(keep(candidates(met.select("x", "y")), "crossing"), docs, k, num, den)
 
     final = components(links.unionByName(keep(more, "links")))
     named = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("key", "first", "second", "n", F.coalesce("component", "rep").alias("component_id"))
