@@ -4,14 +4,14 @@ A suffix of a document, counted in words, is retained where its start is a minim
 a row. Any passage of 50 words therefore holds a retained suffix within its first 25 words, at the same place in every copy.
 
 1. The key of a suffix is the hash of its first 25 words. Only suffixes whose key occurs twice go on; keys are counted with pre-aggregation.
-2. These get the hashes of the 25 words that follow the key and of the 25 before it, and are sorted by key, following words, document and place into
-   ranges that split even the suffixes of one key.
-3. Each suffix is compared with both neighbours in that order and the match is extended to the right and to the left. Matches of 50 words or more are
-   repeated passages; the matches of neighbouring suffixes of a document are united. In a run of matching neighbours the first in (document, place) is the
-   original, and of each pair the one farther from it is the copy; where a range ends within a run, each side has an original.
+2. A window of 50 words belongs to the minimiser of its own first 25 places, which is the same in every copy of the window. The windows of one suffix are a
+   block. Blocks are sorted by content, document and place into ranges that split even the copies of one block, and neighbours are compared: the first of
+   equal blocks stands for all, the others are copies.
+3. The windows of the blocks that stand first are sorted and compared in the same way, since blocks that differ may share some of their windows. A window
+   that occurs twice is a repeated passage, its first occurrence in (document, place) the original and every other one a copy.
 
-A passage that some copies hold only in part is found with the neighbour it has, so up to 24 words at its edges can be missing where a third text
-shares more of the suffix.
+Every window of 50 words that occurs twice is found, whatever third texts share. The order of originals and copies is the same everywhere, so every
+word of a copy has a first occurrence that is none.
 
 Defined results: words are compared exactly as written, white space does not count; missing, empty and short texts have no passages; a text repeated within one
 document counts as a repeat; rows without an id are left out. Rows that repeat an id are taken as the one with the smallest text.
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sheetloom.llm.common import WORD, keep, lists, query, rolling, signed, table, whole_text, word_hashes
+from sheetloom.llm.common import STEP, WORD, keep, lists, mix, query, rolling, signed, table, whole_text, word_hashes
 
 LEAST = 50
 KEY = SPAN = 25
@@ -37,6 +37,8 @@ CONTEXT = 25
 DEPTH = 3  # bytes of a word's hash in a context
 SPANS = "id long, start int, stop int, other long, later int"
 EDGE = "key long, after binary, before binary, id long, place int"
+BLOCK = "hash long, id long, start int, stop int, windows binary"
+HELD = f"{BLOCK}, other long, later int, origin long, part int, lead boolean, first boolean, last boolean"
 
 
 def minimisers(hashes: np.ndarray) -> np.ndarray:
@@ -189,20 +191,25 @@ def _across(edges: list) -> list[tuple]:
     return out
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(id, start, stop, other, later): matches of at least 50 words between neighbouring suffixes, in words, not yet united.
-
-    ``other`` is the document of the neighbour; ``later`` is 1 for the copy of the two.
-    """
-    spark = docs.sparkSession
+def _wanted(docs: DataFrame) -> DataFrame:
+    """(id, places, hashes): the word hashes of documents with suffixes whose key occurs twice, and the places of these."""
     docs = docs.where(F.col("id").isNotNull()).select("id", F.coalesce("text", F.lit("")).alias("text"))
     found = keep(suffixes(docs), "suffixes")
     repeated = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     wanted = found.join(repeated, "key", "left_semi").groupBy("id").agg(F.collect_set("place").alias("places"))
     one = docs.groupBy("id").agg(F.min("text").alias("text"))
-    texts = one.join(wanted, "id").select("id", "places", word_hashes(F.col("text"), lower=False).alias("hashes"))
+    return one.join(wanted, "id").select("id", "places", word_hashes(F.col("text"), lower=False).alias("hashes"))
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """(id, start, stop, other, later): matches of at least 50 words between neighbouring suffixes, in words, not yet united.
+
+    ``other`` is the document of the neighbour; ``later`` is 1 for the copy of the two. A third text between two copies can hide them
+    from each other, so this comparison alone is not whole; ``repeated_windows`` is.
+    """
+    spark = docs.sparkSession
     # A place beyond the text belongs to another row of the same id.
-    texts = texts.withColumn("places", F.filter("places", lambda p: p + KEY <= F.size("hashes")))
+    texts = _wanted(docs).withColumn("places", F.filter("places", lambda p: p + KEY <= F.size("hashes")))
     contexts = keep(_contexts(texts), "contexts")
     order = ["key", "after", "id", "place"]
     ordered = contexts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
@@ -212,6 +219,152 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return spans.unionByName(spark.createDataFrame(rest, SPANS)) if rest else spans
 
 
+def block_columns(hashes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of all windows that belong to ``places``, in order, and for every block where its windows begin there, its first word and its hash."""
+    windows = rolling(hashes, LEAST)
+    nothing = np.empty(0, np.int64)
+    if not len(windows):
+        return windows, nothing, nothing, np.empty(0, np.uint64)
+    grams = np.lib.stride_tricks.sliding_window_view(rolling(hashes, GRAM), SPAN)
+    offset = grams[: len(windows)].argmin(axis=1)
+    place = offset + np.arange(len(windows))
+    chosen = np.flatnonzero(np.isin(place, places))
+    if not len(chosen):
+        return windows[:0], nothing, nothing, np.empty(0, np.uint64)
+    begin = np.flatnonzero(np.r_[True, place[chosen][1:] != place[chosen][:-1]])
+    parts = mix(windows[chosen] + STEP * (offset[chosen] + 1).astype(np.uint64))
+    return windows[chosen], begin, chosen[begin], mix(np.add.reduceat(parts, begin))
+
+
+def _blocks(texts: DataFrame) -> DataFrame:
+    """BLOCK rows of documents (id, places, hashes): the words from ``start`` to ``stop`` and the hashes of the windows between them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, start, stop, key, parts = [], [], [], [], []
+            with np.errstate(over="ignore"):
+                for i, h, own in zip(batch.column("id").to_pylist(), lists(batch, "hashes"), batch.column("places").to_pylist()):
+                    windows, begin, first, hashed = block_columns(h, np.array(own, np.int64))
+                    ends = np.r_[begin[1:], len(windows)]
+                    owner.append(np.full(len(begin), i, np.int64))
+                    start.append(first)
+                    stop.append(first + ends - begin + LEAST - 1)
+                    key.append(hashed)
+                    parts += [windows[a:b].tobytes() for a, b in zip(begin, ends)]
+            if parts:
+                yield pa.record_batch(
+                    [pa.array(signed(np.concatenate(key))), pa.array(np.concatenate(owner)), pa.array(np.concatenate(start).astype(np.int32)), pa.array(np.concatenate(stop).astype(np.int32)), pa.array(parts, pa.binary())],
+                    names=["hash", "id", "start", "stop", "windows"],
+                )
+
+    return texts.mapInArrow(run, BLOCK)
+
+
+def _windows(blocks: DataFrame) -> DataFrame:
+    """BLOCK rows of the single windows of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = batch.column("windows").to_pylist()
+            counts = np.array([len(p) // 8 for p in parts], np.int64)
+            if not counts.sum():
+                continue
+            within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            start = np.repeat(batch.column("start").to_numpy(), counts) + within
+            yield pa.record_batch(
+                [pa.array(np.frombuffer(b"".join(parts), np.int64)), pa.array(np.repeat(batch.column("id").to_numpy(), counts)), pa.array(start.astype(np.int32)), pa.array((start + LEAST).astype(np.int32)), pa.nulls(len(start), pa.binary())],
+                names=["hash", "id", "start", "stop", "windows"],
+            )
+
+    return blocks.mapInArrow(run, BLOCK)
+
+
+def _holders(rows: DataFrame, purpose: str) -> DataFrame:
+    """BLOCK rows with ``other`` and ``later``: of rows with one hash the first in (id, start) is the original and has the second one's document
+    as ``other``, or none if it is alone; all others are copies and have the original's. One row is held at a time, whatever the length of a run.
+    """
+    order = ["hash", "id", "start"]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, origin, runs, begun, emitted = None, 0, 0, True, False
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            out, state = marked(rows, origin, runs, begun, emitted, False)
+            if out is not None:
+                emitted = True
+                yield out
+            held = rows.slice(rows.num_rows - 1).to_batches()[0]
+            origin, runs, begun = state
+        if held is not None:
+            yield marked(pa.Table.from_batches([held]), origin, runs, begun, emitted, True)[0]
+
+    def marked(rows: pa.Table, origin: int, runs: int, begun: bool, emitted: bool, end: bool):
+        key, ids = rows.column("hash").to_numpy(), rows.column("id").to_numpy()
+        same = key[1:] == key[:-1]
+        new = np.r_[begun, ~same]
+        at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+        origins = np.where(at >= 0, ids[at], origin)
+        number = runs + np.cumsum(new)
+        state = (int(origins[-1]), int(number[-1] - new[-1]), bool(new[-1]))
+        n = len(key) if end else len(key) - 1
+        if not n:
+            return None, state
+        follows, after = np.r_[same, False], np.r_[ids[1:], 0]
+        other = pa.array(np.where(new, after, origins)[:n], mask=(new & ~follows)[:n])
+        rows = rows.slice(0, n).combine_chunks()
+        columns = {c: rows.column(c) for c in ("hash", "id", "start", "stop")}
+        windows = rows.column("windows").to_pylist()
+        first, last = np.zeros(n, bool), np.zeros(n, bool)
+        first[0], last[-1] = not emitted, end
+        columns |= {"windows": pa.array([w if f else None for w, f in zip(windows, new[:n])], pa.binary()), "other": other, "later": pa.array((~new[:n]).astype(np.int32)), "origin": pa.array(origins[:n])}
+        columns |= {"part": rows.column("part"), "lead": pa.array(number[:n] == 1), "first": pa.array(first), "last": pa.array(last)}
+        return pa.Table.from_pydict(columns).combine_chunks().to_batches()[0], state
+
+    held = keep(ordered.mapInArrow(run, HELD), purpose)
+    ends = held.where(F.col("first") | F.col("last")).select("hash", "id", "part", "later", "origin", "first", "last").collect()
+    fixes = _continued(ends)
+    out = held.select("hash", "id", "start", "stop", "windows", "other", "later", "part", "lead", "last")
+    if fixes:
+        out = out.join(F.broadcast(held.sparkSession.createDataFrame(fixes, "part int, _origin long, _next long")), "part", "left")
+        copy = F.col("lead") & F.col("_origin").isNotNull()
+        partner = F.when(F.col("last") & F.col("_next").isNotNull(), F.col("_next")).otherwise(F.col("other"))
+        out = out.withColumns({"other": F.when(copy, F.col("_origin")).otherwise(partner), "later": F.when(copy, F.lit(1)).otherwise(F.col("later"))})
+    return out.select("hash", "id", "start", "stop", "windows", "other", "later")
+
+
+def _continued(ends: list) -> list[tuple]:
+    """(part, origin, next) from the first and last row of each partition: the original of a run that began in an earlier partition, and the document
+    of the next partition's first row where the last row is an original whose copies begin there.
+    """
+    firsts, lasts = {r.part: r for r in ends if r.first}, {r.part: r for r in ends if r.last}
+    origins: dict[int, int] = {}
+    after: dict[int, int] = {}
+    before = None
+    for part in sorted(firsts):
+        first, last = firsts[part], lasts[part]
+        goes_on = before is not None and before[0] == first.hash
+        if goes_on:
+            origins[part] = before[1]
+            if before[3]:
+                after[before[2]] = first.id
+        through = goes_on and last.hash == first.hash
+        before = (last.hash, origins[part] if through else last.origin, part, not through and last.later == 0)
+    return [(p, origins.get(p), after.get(p)) for p in sorted({*origins, *after})]
+
+
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """(id, start, stop, other, later): all passages of 50 words or more that occur twice, in words, not yet united.
+
+    ``later`` is 1 where an earlier (document, place) holds the same words, which ``other`` names; otherwise ``other`` is a document that repeats them.
+    """
+    blocks = _holders(keep(_blocks(_wanted(docs)), "blocks"), "holders")
+    windows = _holders(_windows(blocks.where("later = 0").select("id", "start", "windows")), "windows")
+    return blocks.unionByName(windows).where(F.col("other").isNotNull()).select("id", "start", "stop", "other", "later")
+
+
 def united(spans: DataFrame) -> DataFrame:
     """(id, start, stop, other, later): overlapping or touching spans of a document as one, with its smallest partner."""
     by = Window.partitionBy("id").orderBy("start", "stop")
@@ -256,7 +409,7 @@ def _without(text: str | None, cuts: list[dict], word: re.Pattern) -> str | None
 @query()
 def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), whole_text().alias("text"))
-    out = united(repeated_spans(docs))
+    out = united(repeated_windows(docs))
     return out.select(
         F.col("id").alias("doc_id"), F.col("start").alias("start_word"), F.col("stop").alias("end_word"), (F.col("stop") - F.col("start")).alias("n_words"), F.col("other").alias("partner_id"), F.col("later").alias("is_copy")
     )

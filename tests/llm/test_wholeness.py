@@ -1,0 +1,57 @@
+"""Cases in which an operator once did less than the whole job."""
+
+import random
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from sheetloom.llm import suffixes
+
+
+def sharing(seed=9):
+    """Texts made of pieces that others hold too, so that third texts stand between the copies of a passage."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    pieces = [[word() for _ in range(n)] for n in (15, 20, 30, 33, 45, 45, 55, 80, 200)]
+    docs = []
+    for i in range(150):
+        own = [word() for _ in range(rng.choice([0, 3, 60]))]
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            piece = rng.choice(pieces)
+            a = rng.choice([0, 0, rng.randrange(len(piece))])
+            own += piece[a : rng.choice([len(piece), rng.randrange(a, len(piece)) + 1])]
+        docs.append((i, " ".join(own)))
+    return docs
+
+
+def repeated_words(docs):
+    """(id, word) of every word in a window of 50 words that occurs twice, and those in a window with an earlier occurrence."""
+    held = defaultdict(list)
+    for i, text in sorted(docs):
+        words = text.split()
+        for p in range(len(words) - 49):
+            held[tuple(words[p : p + 50])].append((i, p))
+    twice = [w for w in held.values() if len(w) > 1]
+    covered = lambda places: {(i, p + j) for i, p in places for j in range(50)}
+    return covered(x for w in twice for x in w), covered(x for w in twice for x in w[1:])
+
+
+@pytest.mark.parametrize("partitions", ["1", "64"])
+def test_every_repeated_window_is_found(spark, partitions):
+    docs = sharing()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        spans = suffixes.repeated_windows(spark.createDataFrame(docs, "id long, text string").repartition(4)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    repeated, copies = repeated_words(docs)
+    assert {(r.id, p) for r in spans for p in range(r.start, r.stop)} == repeated
+    assert {(r.id, p) for r in spans if r.later for p in range(r.start, r.stop)} == copies
+    texts = {i: t.split() for i, t in docs}
+    for r in spans:
+        part = " ".join(texts[r.id][r.start : r.stop])
+        assert f" {part} " in f" {' '.join(texts[r.other])} " and (r.other <= r.id if r.later else r.other >= r.id)
