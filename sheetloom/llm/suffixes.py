@@ -377,8 +377,11 @@ def united(spans: DataFrame) -> DataFrame:
 
 
 def without_copies(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """Documents with the later copies of repeated passages cut from their texts; all rows and columns stay."""
-    spans = united(repeated_spans(docs.select(F.col(id_column).cast("long").alias("id"), "text")).where("later = 1"))
+    """Documents with the later copies of repeated passages cut from their texts; all rows and columns stay.
+
+    A word is cut only if a smaller (document, place) holds the words around it, so its first occurrence stays.
+    """
+    spans = united(repeated_windows(docs.select(F.col(id_column).cast("long").alias("id"), "text")).where("later = 1"))
     cuts = spans.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_cuts")).withColumnRenamed("id", "_id")
     names = docs.columns
     joined = docs.join(cuts, F.col(id_column).cast("long") == F.col("_id"), "left").select(*[f"`{n}`" for n in names], "_cuts")

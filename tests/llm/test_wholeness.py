@@ -55,3 +55,25 @@ def test_every_repeated_window_is_found(spark, partitions):
     for r in spans:
         part = " ".join(texts[r.id][r.start : r.stop])
         assert f" {part} " in f" {' '.join(texts[r.other])} " and (r.other <= r.id if r.later else r.other >= r.id)
+
+
+def test_a_cut_word_keeps_one_occurrence(spark):
+    """B and C share 200 words, A the first 55 of them only; the texts before them put A between or beside the others in suffix order."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    docs = []
+    for n in range(40):
+        passage = [word() for _ in range(200)]
+        for i, length in ((1, 55), (5, 200), (9, 200)):
+            docs.append((10 * n + i, " ".join([word() for _ in range(20)] + passage[:length] + [word() for _ in range(20)])))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    cut = {r.doc_id: r.text.split() for r in suffixes.without_copies(df).collect()}
+    kept = {w for t in cut.values() for w in t}
+    assert {w for _, t in docs for w in t.split()} <= kept
+    assert all(len(cut[10 * n + 9]) == 40 and len(cut[10 * n + 1]) == 95 for n in range(40))
+
+    mixed = sharing()
+    copies = repeated_words(mixed)[1]
+    cut = {r.doc_id: r.text.split() for r in suffixes.without_copies(spark.createDataFrame(mixed, "doc_id long, text string")).collect()}
+    assert cut == {i: [w for p, w in enumerate(t.split()) if (i, p) not in copies] for i, t in mixed}
+    assert {w for _, t in mixed for w in t.split()} == {w for t in cut.values() for w in t}
