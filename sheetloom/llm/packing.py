@@ -5,11 +5,12 @@ Bins are ordered by residual: a segment tree over the residuals 0 to ``capacity`
 hold already. For each document, largest first, the successor search walks to the smallest sufficient residual with a bin that lacks the
 source, compares cluster bitmaps there and goes on until a compatible bin is found, which is the tightest one; otherwise a bin is opened.
 
-A text longer than the capacity fills sequences of its own; what remains is packed as its last piece. Documents are dealt to shards by a hash of the id,
-about ``shard_rows`` each, so that their number and not their size follows the input; a shard packs on its own. Only ids, lengths, sources and clusters move.
+A text longer than the capacity fills sequences of its own; what remains is packed as its last piece. Documents are dealt to shards by a hash of id, text
+digest and copy number, about ``shard_rows`` each, so that their number and not their size follows the input; a shard packs on its own. Only ids, lengths,
+digests, sources and clusters move.
 
-Defined results: a missing or empty text is one piece of length 0; a missing source or cluster conflicts with nothing; rows that repeat an id are packed
-each (they share the id, and the cluster if their texts are equal); equal lengths go in order of id.
+Defined results: a missing or empty text is one piece of length 0; a missing source or cluster conflicts with nothing; rows that repeat an id and rows
+without one are packed each (and share the cluster if their texts are equal); equal lengths go in order of id, rows without one last, then of digest.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetloom.llm.common import query, table, whole_text
@@ -26,6 +27,7 @@ from sheetloom.llm.common import query, table, whole_text
 CAPACITY = 8192
 SHARD_ROWS = 8000
 PLACED = "id long, n_chars int, piece int, n_pieces int, size int, shard int, bin int, slot int"
+NAMED = f"{PLACED}, digest string, missing boolean"
 
 
 class Bins:
@@ -123,30 +125,49 @@ def pack(items: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["id", "n_chars", "piece", "n_pieces", "size", "bin", "slot"])
 
 
-def best_fit(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """PLACED rows for documents (id, size, source, cluster); (shard, bin) names a sequence, slot the order in it."""
-    docs = docs.select(F.col("id").cast("long"), F.col("size").cast("int"), "source", F.col("cluster").cast("long"))
+def _placed(docs: DataFrame, capacity: int, shard_rows: int) -> DataFrame:
+    """PLACED rows and the digest for documents (id, size, source, cluster, digest); every row is packed, whatever it shares with others."""
+    docs = docs.select(F.col("id").cast("long"), F.col("size").cast("int"), "source", F.col("cluster").cast("long"), "digest")
     shards = max(1, -(-docs.count() // shard_rows))
 
     def run(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
-        return pack(items, capacity).assign(shard=np.int32(key[0]))[["id", "n_chars", "piece", "n_pieces", "size", "shard", "bin", "slot"]]
+        items = items.sort_values(["missing", "id", "digest", "source", "copy"], kind="stable").reset_index(drop=True)
+        # Items go by their number in this order, as ids may be missing or repeated.
+        packed = pack(items.assign(id=np.arange(len(items))), capacity).assign(shard=np.int32(key[0]))
+        own = items.loc[packed["id"], ["id", "digest", "missing"]].reset_index(drop=True)
+        out = packed.assign(id=own["id"], digest=own["digest"], missing=own["missing"])
+        return out[["id", "n_chars", "piece", "n_pieces", "size", "shard", "bin", "slot", "digest", "missing"]]
+
+    # Equal rows are counted and then numbered, which needs no sort of them.
+    alike = docs.groupBy(*docs.columns).agg(F.count(F.lit(1)).alias("_n"))
+    each = alike.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).drop("_n")
+    dealt = each.withColumn("shard", F.pmod(F.xxhash64("id", "digest", "source", "copy"), F.lit(shards)).cast("int"))
+    dealt = dealt.withColumns({"missing": F.col("id").isNull(), "id": F.coalesce("id", F.lit(0).cast("long"))})
+    return dealt.groupBy("shard").applyInPandas(run, NAMED).withColumn("id", F.when(~F.col("missing"), F.col("id"))).drop("missing")
+
+
+def best_fit(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """PLACED rows for documents (id, size, source, cluster, digest); (shard, bin) names a sequence, slot the order in it."""
+    return _placed(docs, capacity, shard_rows).drop("digest")
+
 
-    dealt = docs.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInPandas(run, PLACED)
+def _digest() -> Column:
+    return F.sha2(whole_text().cast("binary"), 256)
 
 
 def sized(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """Documents as packing items: characters, source, and the hash of the text as the duplicate cluster."""
-    return docs.select(F.col(id_column).alias("id"), F.char_length(whole_text()).alias("size"), "source", F.when(F.length(whole_text()) > 0, F.xxhash64("text")).alias("cluster"))
+    """Documents as packing items: characters, source, the hash of the text as the duplicate cluster, and the digest of the text."""
+    cluster = F.when(F.length(whole_text()) > 0, F.xxhash64("text"))
+    return docs.select(F.col(id_column).alias("id"), F.char_length(whole_text()).alias("size"), "source", cluster.alias("cluster"), _digest().alias("digest"))
 
 
 def packed_texts(docs: DataFrame, id_column: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
-    """(shard, bin, slot, doc_id, piece, n_pieces, n_chars, text): the sequences with their texts, every character once."""
-    placed = best_fit(sized(docs, id_column), capacity)
-    # Rows that repeat an id are told apart by their length; of equally long ones the smallest text stands for all.
-    one = docs.select(F.col(id_column).cast("long").alias("id"), whole_text().alias("text")).withColumn("n_chars", F.char_length("text"))
-    one = one.groupBy("id", "n_chars").agg(F.min("text").alias("text"))
-    found = placed.join(one, ["id", "n_chars"])
+    """(shard, bin, slot, doc_id, piece, n_pieces, n_chars, text): the sequences with their texts, every character of every row once."""
+    placed = _placed(sized(docs, id_column), capacity, SHARD_ROWS)
+    # Rows of one id and text are alike here, so one text serves all their placements.
+    one = docs.select(F.col(id_column).cast("long").alias("_id"), _digest().alias("_digest"), whole_text().alias("text"))
+    one = one.groupBy("_id", "_digest").agg(F.min("text").alias("text"))
+    found = placed.join(one, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
     return found.select("shard", "bin", "slot", F.col("id").alias("doc_id"), "piece", "n_pieces", F.col("size").alias("n_chars"), F.substring("text", F.col("piece") * capacity + 1, F.col("size")).alias("text"))
 
 

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from sheetloom.llm import suffixes
+from sheetloom.llm import packing, suffixes
 
 
 def sharing(seed=9):
@@ -77,3 +77,22 @@ def test_a_cut_word_keeps_one_occurrence(spark):
     cut = {r.doc_id: r.text.split() for r in suffixes.without_copies(spark.createDataFrame(mixed, "doc_id long, text string")).collect()}
     assert cut == {i: [w for p, w in enumerate(t.split()) if (i, p) not in copies] for i, t in mixed}
     assert {w for _, t in mixed for w in t.split()} == {w for t in cut.values() for w in t}
+
+
+def test_every_row_is_packed(spark):
+    """Rows without an id, rows that repeat an id with other texts of the same length, equal rows, and ids that no float holds."""
+    big = 2**60
+    rows = [(None, "no id here", "a"), (None, "no id there", "a"), (None, "x" * 9000, None), (None, None, "b"), (None, "", "b")]
+    rows += [(1, "one text", "a"), (1, "two text", "a"), (1, "two text", "b"), (2, "same", "c"), (2, "same", "c"), (big + 1, "large", "d"), (big + 2, "large too", "d")]
+    out = packing.packed_texts(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    whole = defaultdict(str)
+    for r in sorted((r for r in out if r.n_pieces > 1), key=lambda r: r.piece):
+        whole[r.doc_id] += r.text
+    got = [(r.doc_id, r.text) for r in out if r.n_pieces == 1] + list(whole.items())
+    assert sorted(map(str, got)) == sorted(str((i, t or "")) for i, t, _ in rows)
+
+
+def test_rows_without_an_id_are_dealt_to_all_shards(spark):
+    rows = [(None, f"text {i % 300}", "s") for i in range(600)]
+    placed = packing.best_fit(packing.sized(spark.createDataFrame(rows, "doc_id long, text string, source string")), shard_rows=100).collect()
+    assert len(placed) == 600 and len({r.shard for r in placed}) == 6 and {r.id for r in placed} == {None}
