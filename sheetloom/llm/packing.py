@@ -9,6 +9,9 @@ A text longer than the capacity fills sequences of its own; what remains is pack
 digest and copy number, about ``shard_rows`` each, so that their number and not their size follows the input; a shard packs on its own. Only ids, lengths,
 digests, sources and clusters move.
 
+The query takes the near-duplicate components of the documents as clusters; ``sized`` alone, as in the pipeline, whose second stage has removed near copies,
+those of equal texts.
+
 Defined results: a missing or empty text is one piece of length 0; a missing source or cluster conflicts with nothing; rows that repeat an id and rows
 without one are packed each (and share the cluster if their texts are equal); equal lengths go in order of id, rows without one last, then of digest.
 """
@@ -22,7 +25,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetloom.llm.common import query, table, whole_text
+from sheetloom.llm.common import keep, query, table, whole_text
+from sheetloom.llm.components import components
+from sheetloom.llm.jaccard import similar_components
 
 CAPACITY = 8192
 SHARD_ROWS = 8000
@@ -155,10 +160,10 @@ def _digest() -> Column:
     return F.sha2(whole_text().cast("binary"), 256)
 
 
-def sized(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+def sized(docs: DataFrame, id_column: str = "doc_id", *others: str) -> DataFrame:
     """Documents as packing items: characters, source, the hash of the text as the duplicate cluster, and the digest of the text."""
     cluster = F.when(F.length(whole_text()) > 0, F.xxhash64("text"))
-    return docs.select(F.col(id_column).alias("id"), F.char_length(whole_text()).alias("size"), "source", cluster.alias("cluster"), _digest().alias("digest"))
+    return docs.select(F.col(id_column).alias("id"), F.char_length(whole_text()).alias("size"), "source", cluster.alias("cluster"), _digest().alias("digest"), *others)
 
 
 def packed_texts(docs: DataFrame, id_column: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
@@ -171,7 +176,33 @@ def packed_texts(docs: DataFrame, id_column: str = "doc_id", capacity: int = CAP
     return found.select("shard", "bin", "slot", F.col("id").alias("doc_id"), "piece", "n_pieces", F.col("size").alias("n_chars"), F.substring("text", F.col("piece") * capacity + 1, F.col("size")).alias("text"))
 
 
+def near_clusters(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """(_key, cluster): the near-duplicate component of every document with words, by its id or, without one, by the hash of its text.
+
+    Rows that repeat an id count as linked, so that a conflict of any of them holds for the id.
+    """
+    keyed = docs.select(_key(id_column).alias("id"), whole_text().alias("text"))
+    found = similar_components(keyed, 5, 4, 5).where("n_shingles > 0")
+    found = keep(found.groupBy("id").agg(F.array_sort(F.collect_set("component_id")).alias("all")), "clusters")
+    links = found.where(F.size("all") > 1).select(F.col("all")[0].alias("b"), F.explode("all").alias("a")).where("a != b")
+    out = found.select(F.col("id").alias("_key"), F.col("all")[0].alias("cluster"))
+    if links.isEmpty():
+        return out
+    merged = components(links).select(F.col("id").alias("cluster"), F.col("component").alias("_merged"))
+    return out.join(merged, "cluster", "left").select("_key", F.coalesce("_merged", "cluster").alias("cluster"))
+
+
+def _key(id_column: str) -> Column:
+    return F.coalesce(F.col(id_column).cast("long"), F.xxhash64(whole_text()))
+
+
+def near_sized(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """Documents as packing items whose clusters hold near copies too (similarity 0.8 or more on five-word shingles)."""
+    items = sized(docs.withColumn("_key", _key(id_column)), id_column, "_key").drop("cluster")
+    return items.join(near_clusters(docs, id_column), "_key", "left").drop("_key")
+
+
 @query()
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
-    placed = best_fit(sized(table(spark, folder, "documents")))
+    placed = best_fit(near_sized(table(spark, folder, "documents")))
     return placed.withColumnRenamed("id", "doc_id")

@@ -1,5 +1,6 @@
 """Cases in which an operator once did less than the whole job."""
 
+import hashlib
 import random
 from collections import defaultdict
 
@@ -96,3 +97,29 @@ def test_rows_without_an_id_are_dealt_to_all_shards(spark):
     rows = [(None, f"text {i % 300}", "s") for i in range(600)]
     placed = packing.best_fit(packing.sized(spark.createDataFrame(rows, "doc_id long, text string, source string")), shard_rows=100).collect()
     assert len(placed) == 600 and len({r.shard for r in placed}) == 6 and {r.id for r in placed} == {None}
+
+
+def test_near_copies_share_no_sequence(spark, tmp_path):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    rows, group = [], []
+    for g in range(30):
+        base = [word() for _ in range(60)]
+        for c in range(5):
+            i = None if c == 4 and g % 3 == 0 else 10 * g + c
+            rows.append((i, " ".join([*base[:30], *([word()] if c else []), *base[30:]]), f"source{c}"))
+            group.append(g)
+    # Rows of one id that are near copies of different groups.
+    rows.append((0, " ".join([*rows[5][1].split(), word()]), "other"))
+    group.append(1)
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    placed = packing._placed(packing.near_sized(docs), packing.CAPACITY, packing.SHARD_ROWS).collect()
+    own = {(i, hashlib.sha256(t.encode()).hexdigest()): g for (i, t, _), g in zip(rows, group)}
+    bins = defaultdict(list)
+    for r in placed:
+        bins[r.shard, r.bin].append(own[r.id, r.digest])
+    assert len(placed) == len(rows) and all(len(b) == len(set(b)) for b in bins.values()) and max(map(len, bins.values())) > 1
+    query = packing.op9_best_fit_packing(spark, str(tmp_path)).collect()
+    key = lambda r: (str(r[0]), *r[1:])
+    assert sorted(map(key, map(tuple, query))) == sorted(key(tuple(r)[:-1]) for r in placed)
