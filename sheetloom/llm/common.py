@@ -37,6 +37,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: The 256 remainders of CRC-32, as a CTE of the SQL twins.
+CRC_TABLE = """crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc
+)"""
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of ASCII text in the SQL twins, next to ``crc_table``."""
+    codes = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda done, c: xor(done >> 8, crc[(xor(done, c) & 255) + 1])), 4294967295)"
+
+
 def whole_text(column: str = "text") -> Column:
     """The text, a missing one as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))
