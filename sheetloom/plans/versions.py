@@ -93,7 +93,7 @@ def check_width(width: int) -> None:
 def with_row_ids(df: DataFrame) -> DataFrame:
     """Stable ids without a shuffle, computed once and then stored with the rows.
 
-    They ascend within a part of a file. Spark reads larger parts first, so the order of files is not kept.
+    They ascend within a task. Delimited files bring ids of their own, which follow the files.
     """
     return df.select(F.monotonically_increasing_id().alias(ROW_ID), *[cell(name) for name in df.columns if name != ROW_ID])
 
@@ -173,12 +173,12 @@ class DocumentStore:
         log = self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.root}/versions/batches/{batch}")
         return [row.document_id for row in log.orderBy("source_file", "source_sheet").collect()]
 
-    def prepare(self, df: DataFrame) -> Prepared:
-        """Write the rows of a new document without making it visible."""
+    def prepare(self, df: DataFrame, numbered: bool = False) -> Prepared:
+        """Write the rows of a new document without making it visible; ``numbered`` rows bring their ids."""
         width = len([c for c in df.columns if c != ROW_ID])
         check_width(width)
         document_id, started = uuid.uuid4().hex, time.monotonic()
-        path, counts = self._write_copy(document_id, with_row_ids(df))
+        path, counts = self._write_copy(document_id, df if numbered else with_row_ids(df))
         return Prepared(document_id, path, counts["rows"], width, int(1000 * (time.monotonic() - started)))
 
     def publish(self, prepared: Prepared, name: str, cause: str, **source: str | None) -> str:

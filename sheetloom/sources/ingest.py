@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sheetloom.functions.text import blank
 from sheetloom.plans.versions import DocumentError, DocumentStore, check_width
 from sheetloom.session import scratch_dir
-from sheetloom.sources.delimited import named_rows, raw_rows, spilled_width, survey
+from sheetloom.sources.delimited import named_rows, survey
 from sheetloom.sources.headers import SCAN_ROWS, detect_headers, unique_names
 from sheetloom.sources.workbooks import cells_of, workbook_rows
 
@@ -30,41 +30,20 @@ def ingest(store: DocumentStore, path: str, name: str | None = None, sheets: Seq
 def ingest_delimited(store: DocumentStore, path: str | Sequence[str], name: str | None = None, delimiter: str | None = None) -> str:
     """One document from one or many files whose headers name the same columns, in any order.
 
-    Files with other columns are refused. Line breaks inside quotes are kept. The widest row is observed during the write; only when a row is wider
-    than the header are the files read again with more columns.
+    Files with other columns are refused. Line breaks inside quotes are kept. Row ids are dense and follow the order of paths and of the records in
+    their files. The survey tells the width of all records, so the document is written once.
     """
-    spark = store.spark
-    found = survey(spark, path, delimiter)
-    columns = sorted(found.layouts[0][0].names)
-    if any(sorted(layout.names) != columns for layout, _ in found.layouts):
-        raise DocumentError(f"the files have different columns: {'; '.join(', '.join(layout.names) for layout, _ in found.layouts[:5])}")
+    found = survey(store.spark, path, delimiter)
+    layouts = list(found.layouts.values())
+    if not layouts:
+        raise DocumentError("the files have no header")
+    columns = sorted(layouts[0].names)
+    if any(sorted(layout.names) != columns for layout in layouts):
+        raise DocumentError(f"the files have different columns: {'; '.join(', '.join(names) for names in list(dict.fromkeys(layout.names for layout in layouts))[:5])}")
     first = path if isinstance(path, str) else path[0]
-    name = name or PurePosixPath(first).name
+    check_width(max(found.width, len(columns)))
     source = {"source_type": "csv", "source_file": PurePosixPath(first).name, "source_sheet": "CSV"}
-    check_width(len(columns))
-    alone = len(found.layouts) == 1
-
-    def rows_of(widths: list[int], seen: list[Observation]) -> DataFrame:
-        parts = []
-        for (layout, files), width in zip(found.layouts, widths):
-            layout = layout.widened(width) if width > len(layout.names) else layout
-            rows = raw_rows(spark, path if alone else list(files), layout, found.multi_line)
-            if seen:
-                rows = rows.observe(seen[len(parts)], F.coalesce(spilled_width(layout), F.lit(0)).alias("width"))
-            parts.append(named_rows(rows, layout))
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part, allowMissingColumns=True)
-        return out
-
-    seen = [Observation() for _ in found.layouts]
-    prepared = store.prepare(rows_of([0] * len(seen), seen))
-    widths = [s.get["width"] for s in seen]
-    if any(w > len(columns) for w in widths):
-        store.discard(prepared)
-        check_width(max(widths))
-        prepared = store.prepare(rows_of(widths, []))
-    return store.publish(prepared, name, "ingest", **source)
+    return store.publish(store.prepare(named_rows(found), numbered=True), name or PurePosixPath(first).name, "ingest", **source)
 
 
 # --- workbooks -----------------------------------------------------------------------------------------------------

@@ -1,3 +1,4 @@
+import random
 import zipfile
 from pathlib import Path
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import values
 from sheetloom import scratch_dir
 from sheetloom.plans.versions import DocumentError, DocumentStore
-from sheetloom.sources import delimited, headers, ingest, workbooks
+from sheetloom.sources import delimited, headers, ingest, splits, workbooks
 
 
 # --- names and headers ---
@@ -90,9 +91,90 @@ def test_quoted_line_breaks(spark, tmp_path):
     path = tmp_path / "lines.csv"
     path.write_text('a,b\n"one\ntwo",2\n3,4,5\n')
     df = delimited.read_delimited(spark, str(path))
-    assert df.columns == ["a", "b", "column2"] and values(df) == [("one\ntwo", "2", None), ("3", "4", "5")]
+    assert df.columns == ["a", "b", "column2"] and sorted(values(df)) == [("3", "4", "5"), ("one\ntwo", "2", None)]
     store = DocumentStore(spark, scratch_dir(spark, "store"))
-    assert values(store.read(ingest.ingest(store, str(path))[0]).drop("_row_id")) == values(df)
+    assert sorted(values(store.read(ingest.ingest(store, str(path))[0]))) == [(0, "one\ntwo", "2", None), (1, "3", "4", "5")]
+
+
+@pytest.fixture
+def tiny_splits(spark):
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+
+    def cut(size):
+        spark.conf.set(key, str(size))
+
+    yield cut
+    spark.conf.set(key, before)
+
+
+def written(path, rows, end, rng):
+    """Rows as a delimited file with fields quoted where they must be and sometimes where not; blank lines between records."""
+    with open(path, "w", newline="") as out:
+        for row in rows:
+            cells = [f'"{c.replace(chr(34), chr(34) * 2)}"' if rng.random() < 0.3 or any(x in c for x in ';"\n\r') or c.strip() == "" else c for c in row]
+            out.write(";".join(cells) + end + (end if rng.random() < 0.1 else ""))
+
+
+def stored_rows(spark, path, name="x"):
+    store = DocumentStore(spark, scratch_dir(spark, "store"))
+    return [tuple(c or "" for c in r[1:]) for r in sorted(values(store.read(ingest.ingest_delimited(store, path, name, ";"))))]
+
+
+@pytest.mark.parametrize("size, end", [(64, "\n"), (333, "\r\n"), (5000, "\n")])
+def test_records_over_any_splits(spark, tmp_path, tiny_splits, size, end):
+    """Files of unequal size cut anywhere: every record once, ids dense and in order of files."""
+    rng = random.Random(size)
+    pick = ["oak", "", " elm ", "a;b", 'say "so"', "two\nlines", f"{end}{end}", '"', '";"', "\n;\n", "x" * 90, "ash\n" * 30, "ünï"]
+    expected = []
+    for i, n in enumerate([40, 3, 0, 11]):
+        rows = [[f"{i}-{j}", *[rng.choice(pick) for _ in range(3)]] for j in range(n)]
+        written(tmp_path / f"f{i}.csv", [["tree", "a", "b", "c"], *rows], end, rng)
+        expected += map(tuple, rows)
+    tiny_splits(size)
+    assert stored_rows(spark, str(tmp_path)) == expected
+    store = DocumentStore(spark, scratch_dir(spark, "store"))
+    ids = values(store.read(ingest.ingest_delimited(store, str(tmp_path), "x", ";")), "_row_id")
+    assert sorted(ids) == [(i,) for i in range(len(expected))]
+
+
+def test_row_ids_follow_the_files(spark, tmp_path, tiny_splits):
+    sizes = {"b.csv": 700, "a.csv": 5, "c.csv": 1, "d.csv": 90}
+    for name, n in sizes.items():
+        (tmp_path / name).write_text("file,row\n" + "".join(f"{name},{i}\n" for i in range(n)))
+    tiny_splits(512)
+    store = DocumentStore(spark, scratch_dir(spark, "store"))
+    found = sorted(values(store.read(ingest.ingest_delimited(store, str(tmp_path), "x")), "_row_id", "file", "row"))
+    assert found == [(i, *r) for i, r in enumerate((name, str(j)) for name in sorted(sizes) for j in range(sizes[name]))]
+
+
+@pytest.mark.parametrize(
+    "text, rows",
+    [
+        ('a,b\n5" pipe,x\n7,y"z\n"q",w\n', [('5" pipe', "x"), ("7", 'y"z'), ("q", "w")]),
+        ('a,b\n5" pipe,"x\ny"\n7,z"\n', [('5" pipe', "x\ny"), ("7", 'z"')]),
+        ('"a\nc",b\n1,2\n', [("1", "2")]),
+        ('a,b\r"x",1\ry,2\r', [("x", "1"), ("y", "2")]),
+        ('\n \na,b\n\n1,2\n', [("1", "2")]),
+        ('a,b\n1,"never closed\n2,3\n', [("1", "never closed\n2,3\n")]),
+    ],
+)
+@pytest.mark.parametrize("size", [9, 10_000])
+def test_odd_quotes_and_ends(spark, tmp_path, tiny_splits, text, rows, size):
+    (tmp_path / "odd.csv").write_bytes(text.encode())
+    tiny_splits(size)
+    store = DocumentStore(spark, scratch_dir(spark, "store"))
+    found = [r[1:] for r in sorted(values(store.read(ingest.ingest_delimited(store, str(tmp_path / "odd.csv"), "x"))))]
+    assert [tuple(c.rstrip("\n") for c in r) for r in found] == [tuple(c.rstrip("\n") for c in r) for r in rows]
+
+
+def test_one_file_of_line_breaks_uses_many_tasks(spark, tmp_path, tiny_splits):
+    (tmp_path / "big.csv").write_text("k,v\n" + "".join(f'{i},"line\nbreak {i}"\n' for i in range(20_000)))
+    tiny_splits(1 << 15)
+    found = delimited.survey(spark, str(tmp_path / "big.csv"))
+    assert found.multi_line
+    assert splits.lines(spark, str(tmp_path / "big.csv")).rdd.getNumPartitions() >= 8
+    assert delimited.named_rows(found).count() == 20_000
 
 
 def test_headers_of_all_files(spark, tmp_path):
