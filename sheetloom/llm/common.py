@@ -115,5 +115,68 @@ def lists(batch: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
         yield values[a:b]
 
 
+PIECE = 1 << 20
+BASE = 0xD6E8FEB86659FD93
+_powers: dict[str, np.ndarray] = {}
+
+
+def _power(name: str, base: int, size: int) -> np.ndarray:
+    """base ** 0, base ** 1 … modulo 2 ** 64, kept for the next piece."""
+    if len(_powers.get(name, ())) < size:
+        factors = np.full(size, base, np.uint64)
+        factors[0] = 1
+        _powers[name] = np.multiply.accumulate(factors)
+    return _powers[name][:size]
+
+
+def _word_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words in lower-cased bytes; no word reaches over a cut."""
+    apart = (data == 32) | ((data >= 9) & (data <= 13))
+    first, last = ~apart, ~apart
+    new = np.zeros(len(data) + 1, bool)
+    new[cuts] = True
+    first[1:] &= apart[:-1] | new[1:-1]
+    last[:-1] &= apart[1:] | new[1:-1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", BASE, len(data)), out=sums[1:])
+    down = _power("down", pow(BASE, -1, 1 << 64), len(data))[starts]
+    return starts, mix((sums[ends] - sums[starts]) * down + (ends - starts).astype(np.uint64) * STEP)
+
+
+def word_lists(column: pa.Array) -> Iterator[np.ndarray]:
+    """The 64-bit hashes of every text's words in order, A-Z lower-cased: a polynomial of the word's bytes, all words of a piece of a megabyte at once.
+
+    Pieces end between words, so arrays stay small whatever the texts; a missing text has no words.
+    """
+    column = column.fill_null("").cast(pa.large_string())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.empty(0, np.uint8)
+    offsets = offsets - offsets[0]
+    starts, hashes, at = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
+    with np.errstate(over="ignore"):
+        while at < len(data):
+            end = min(at + PIECE, len(data))
+            while end < len(data):  # on to the next blank or text
+                ahead = data[end : end + PIECE]
+                gap = np.flatnonzero((ahead == 32) | ((ahead >= 9) & (ahead <= 13)))[:1]
+                text = int(offsets[np.searchsorted(offsets, end)])
+                if len(gap) or text < end + len(ahead):
+                    end = min(end + int(gap[0]) if len(gap) else text, text)
+                    break
+                end += len(ahead)
+            piece = data[at:end]
+            piece = np.where((piece >= 65) & (piece <= 90), piece | 32, piece)
+            inside = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, end, "right")] - at
+            own, found = _word_hashes(piece, inside)
+            starts.append(own + at)
+            hashes.append(found)
+            at = end
+    places = np.searchsorted(np.concatenate(starts), offsets)
+    found = np.concatenate(hashes)
+    for a, b in zip(places[:-1], places[1:]):
+        yield found[a:b]
+
+
 def signed(values) -> np.ndarray:
     return np.asarray(values, np.uint64).view(np.int64)

@@ -7,11 +7,12 @@ A document is the set of its distinct k-word shingles. Documents with equal sets
 2. Two sets that overlap in at least t shingles share the first l of their common shingles within the first n - t + l of each, for every l.
    Each class takes the l that its own prefix makes cheapest: a prefix of frequent shingles is lengthened by l - 1, and a partner then
    has to share l of it before the pair is verified. A pair is held to the smaller l of its two classes.
-3. First every class is compared with a few others for each prefix shingle, the first holders in eight random orders. The links found so, verified on
-   the whole sets, join groups of near copies without listing their pairs. Pairs are then needed only between different components, so a shingle
-   whose holders all lie in one component drops out before any pairs are made.
-4. Those pairs are counted by shared prefix shingles, held to l, verified on the whole sets, and give the rest of the links that
-   connect components.
+3. First every class is compared with a few others for each prefix shingle: the holders with the most shared shingles and the first in four random orders.
+   The links found so, verified on the whole sets, join groups of near copies without listing their pairs. Pairs are then needed only between different
+   components, so a shingle whose holders all lie in one component drops out before any pairs are made, and so does a class that has too few
+   other shingles left to overlap enough with anything.
+4. Pairs come from the first prefix shingle that both hold, if what each has left allows the overlap. They are counted by shared prefix shingles, held to l,
+   verified on the whole sets, and give the rest of the links that connect components.
 
 The join returns the class representatives' components; links between documents of one component that is already connected are not listed.
 
@@ -26,27 +27,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sheetloom.llm.common import keep, lists, mix, query, shingle_set, signed, table, whole_text, word_hashes
+from sheetloom.llm.common import keep, mix, query, shingle_set, signed, table, whole_text, word_lists
 from sheetloom.llm.components import components
 
 BUCKET_BITS = 22
 SLICE = 1 << 15
 HUBS = 8
+PRUNINGS = 2
+NEAREST = 16
 LEVELS = 8
 FILTER_COST, VERIFY_COST = 1.0, 40.0
 
 
-def _hashed(docs: DataFrame) -> DataFrame:
-    return docs.select("id", word_hashes(F.col("text")).alias("hashes"))
-
-
-def _batches(docs: DataFrame, run, schema: str) -> DataFrame:
-    return _hashed(docs).mapInArrow(run, schema)
-
-
 def _identity(shingles: np.ndarray) -> tuple[int, int]:
     """Two 64-bit sums that stand for a set."""
     if not len(shingles):
@@ -66,7 +61,7 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             rows, pending = [], []
             with np.errstate(over="ignore"):
-                for s in (shingle_set(h, k) for h in lists(batch, "hashes")):
+                for s in (shingle_set(h, k) for h in word_lists(batch.column("text"))):
                     first, second = _identity(s)
                     rows.append((len(s), first, second, _key(first, second, len(s))))
                     pending.append(s >> np.uint64(64 - BUCKET_BITS))
@@ -84,7 +79,7 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
             parts = [zlib.compress(counts[i : i + SLICE].astype("<u4").tobytes(), 1) for i in used]
             yield pa.record_batch([empty, empty, empty, empty, empty, pa.array([i // SLICE for i in used], pa.int32()), pa.array(parts, pa.binary())], names=["id", "n", "first", "second", "key", "slice", "counts"])
 
-    return _batches(docs, run, "id long, n long, first long, second long, key long, slice int, counts binary")
+    return docs.select("id", "text").mapInArrow(run, "id long, n long, first long, second long, key long, slice int, counts binary")
 
 
 def _sketch(described: DataFrame) -> np.ndarray:
@@ -132,16 +127,16 @@ def prefix(shingles: np.ndarray, excess: np.ndarray, num: int, den: int) -> tupl
 
 
 def prefixes(docs: DataFrame, k: int, num: int, den: int, excess: np.ndarray) -> DataFrame:
-    """(token, key, n, level, matches): the prefix entries of every class. A task writes a class once, however many copies it meets."""
+    """(token, key, n, place, level, matches): the prefix entries of every class. A task writes a class once, however many copies it meets."""
     sent = docs.sparkSession.sparkContext.broadcast(excess)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         table_of = sent.value
         for batch in batches:
-            tokens, keys, sizes, levels, matches = [], [], [], [], []
+            tokens, keys, sizes, places, levels, matches = [], [], [], [], [], []
             with np.errstate(over="ignore"):
-                for h in lists(batch, "hashes"):
+                for h in word_lists(batch.column("text")):
                     s = shingle_set(h, k)
                     key = _key(*_identity(s), len(s))
                     if not len(s) or key in seen:
@@ -149,15 +144,16 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int, excess: np.ndarray) ->
                     seen.add(key)
                     token, level, chosen = prefix(s, table_of, num, den)
                     tokens.append(token)
+                    places.append(np.arange(len(token)))
                     levels.append(level)
                     keys.append(np.full(len(token), key))
                     sizes.append(np.full(len(token), len(s)))
                     matches.append(np.full(len(token), chosen))
             if tokens:
-                columns = [signed(np.concatenate(tokens)), np.concatenate(keys).astype(np.int64), np.concatenate(sizes).astype(np.int32), np.concatenate(levels).astype(np.int32), np.concatenate(matches).astype(np.int32)]
-                yield pa.record_batch([pa.array(c) for c in columns], names=["token", "key", "n", "level", "matches"])
+                columns = [signed(np.concatenate(tokens)), np.concatenate(keys).astype(np.int64), np.concatenate(sizes).astype(np.int32), np.concatenate(places).astype(np.int32), np.concatenate(levels).astype(np.int32), np.concatenate(matches).astype(np.int32)]
+                yield pa.record_batch([pa.array(c) for c in columns], names=["token", "key", "n", "place", "level", "matches"])
 
-    return _batches(docs, run, "token long, key long, n int, level int, matches int")
+    return docs.select("id", "text").mapInArrow(run, "token long, key long, n int, place int, level int, matches int")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -167,7 +163,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> D
         for batch in batches:
             keep_rows = []
             with np.errstate(over="ignore"):
-                for x, y in zip(lists(batch, "x"), lists(batch, "y")):
+                for x, y in zip(word_lists(batch.column("x")), word_lists(batch.column("y"))):
                     x, y = shingle_set(x, k), shingle_set(y, k)
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     keep_rows.append(both > 0 and den * both >= num * (len(x) + len(y) - both))
@@ -176,7 +172,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> D
     left = docs.select(F.col("id").alias("a"), F.col("text").alias("_x"))
     right = docs.select(F.col("id").alias("b"), F.col("text").alias("_y"))
     both = pairs.join(left, "a").join(right, "b")
-    return both.select("a", "b", word_hashes(F.col("_x")).alias("x"), word_hashes(F.col("_y")).alias("y")).mapInArrow(run, "a long, b long")
+    return both.select("a", "b", F.col("_x").alias("x"), F.col("_y").alias("y")).mapInArrow(run, "a long, b long")
 
 
 def similar_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -200,10 +196,12 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
         out = out.join(reps.select(F.col("key").alias("y"), F.col("rep").alias("b"), F.col("size").alias("size_b")), "y")
         return out.where(close & (F.col("a") != F.col("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    # Classes against the first holder of a shingle in each of HUBS random orders, where a third of the prefix meets there; what this misses, the
-    # second pass finds.
-    first = [F.min(F.struct(F.xxhash64("key", F.lit(i)).alias("h"), F.col("key").alias("k"))) for i in range(HUBS)]
-    holders = shared.groupBy("token").agg(F.array_distinct(F.transform(F.array(*first), lambda x: x["k"])).alias("hubs"))
+    # Classes against some holders of a shingle, where a third of the prefix meets there; what this misses, the second pass finds. The holders are those
+    # with the most shared shingles, in groups of near copies the least edited ones, and the first in random orders.
+    central = shared.groupBy("key").agg(F.count_distinct("token").alias("common"))
+    ranked = shared.join(central, "key")
+    first = [F.min(F.struct((-F.col("common") if i < HUBS // 2 else F.lit(0).cast("long")).alias("c"), F.xxhash64("key", F.lit(i)).alias("h"), F.col("key").alias("k"))) for i in range(HUBS)]
+    holders = ranked.groupBy("token").agg(F.array_distinct(F.transform(F.array(*first), lambda x: x["k"])).alias("hubs"))
     hubs = shared.select("token", "key", "n").join(holders, "token").select("token", "key", "n", F.explode("hubs").alias("hub"))
     hubs = hubs.where(F.col("key") != F.col("hub")).groupBy("key", "hub").agg(F.countDistinct("token").alias("met"), F.first("n").alias("n"))
     hubs = candidates(hubs.where(F.col("met") * 3 * den >= F.col("n") * (den - num)).select(F.col("key").alias("x"), F.col("hub").alias("y")))
@@ -215,19 +213,39 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     homes = homes.where("_n = 1").select("key", "component", F.lit(1).alias("joined"))
     placed = shared.distinct().join(homes, "key", "left")
     placed = placed.withColumns({"home": F.coalesce("component", "key"), "joined": F.coalesce("joined", F.lit(0))})
-    placed = keep(placed.withColumn("home", F.struct("joined", "home")).select("token", "key", "n", "level", "matches", "home"), "placed")
-    mixed = placed.groupBy("token").agg(F.min("home").alias("_low"), F.max("home").alias("_high")).where(F.col("_low") != F.col("_high")).select("token")
-    mixed = keep(placed.join(mixed, "token", "left_semi"), "mixed")
-    a, b = mixed.alias("a"), mixed.alias("b")
+    placed = keep(placed.withColumn("home", F.struct("joined", "home")).select("token", "key", "n", "place", "level", "matches", "home"), "placed")
+    # A prefix shingle that nobody outside a class's component holds is no part of any overlap that is looked for. What is left bounds the overlap; classes
+    # that cannot reach the least one asked of them go, and their shingles with them, which may free others.
+    mixed = placed
+    for _ in range(PRUNINGS):
+        across = mixed.groupBy("token").agg(F.min("home").alias("_low"), F.max("home").alias("_high")).where(F.col("_low") != F.col("_high")).select("token")
+        mixed = mixed.join(across, "token", "left_semi")
+        left = mixed.groupBy("key").agg(F.count_distinct("token").alias("_held"), F.first("n").alias("_n"), F.first("matches").alias("_m"))
+        outside = F.ceil(num * F.col("_n") / den) - F.col("_m")  # the set beyond the prefix
+        left = left.select("key", (F.col("_held") + outside).alias("reach"), F.ceil(num * F.col("_n") / den).alias("_least")).where(F.col("reach") >= F.col("_least")).drop("_least")
+        mixed = keep(mixed.drop("reach").join(left, "key"), "mixed")
+    # A pair comes from the first shingle that both prefixes hold: not from one where some of the nearest before it are shared as well. A pair that meets again
+    # after a longer gap comes twice, which costs a row.
+    nearest = Window.partitionBy("key").orderBy("place").rowsBetween(-NEAREST, -1)
+    seeds = mixed.select("token", "key", "n", "home", "reach", F.collect_list("token").over(nearest).alias("nearest"))
+    a, b = seeds.alias("a"), seeds.alias("b")
+    overlap = F.ceil(num * (F.col("a.n") + F.col("b.n")) / (num + den))
+    crossing = (F.col("a.token") == F.col("b.token")) & (F.col("a.home") < F.col("b.home")) & (num * F.greatest("a.n", "b.n") <= den * F.least("a.n", "b.n")) & (F.least("a.reach", "b.reach") >= overlap)
+    pairs = a.join(b, crossing & ~F.arrays_overlap("a.nearest", "b.nearest")).select(F.col("a.key").alias("x"), F.col("b.key").alias("y")).distinct()
+    held = mixed.groupBy("key").agg(F.first("n").alias("n"), F.first("matches").alias("matches"), F.collect_set(F.struct("token", "level")).alias("held"))
+    a, b = held.alias("a"), held.alias("b")
+    met = pairs.join(a, F.col("x") == F.col("a.key")).join(b, F.col("y") == F.col("b.key"))
     asked = F.least("a.matches", "b.matches")
-    crossing = (F.col("a.token") == F.col("b.token")) & (F.col("a.home") < F.col("b.home")) & (num * F.greatest("a.n", "b.n") <= den * F.least("a.n", "b.n"))
+
+    def among(side: str, level: Column | None = None) -> Column:
+        entries = F.col(f"{side}.held") if level is None else F.filter(f"{side}.held", lambda e: e["level"] <= level)
+        return F.transform(entries, lambda e: e["token"])
+
     # What neither prefix holds adds at most the rest of the set whose prefix ends first.
     rest = F.greatest(*[F.ceil(num * F.col(f"{s}.n") / den) - F.col(f"{s}.matches") for s in ("a", "b")])
     needed = F.ceil(num * (F.col("a.n") + F.col("b.n")) / (num + den)) - rest
-    met = a.join(b, crossing).groupBy(F.col("a.key").alias("x"), F.col("b.key").alias("y")).agg(
-        F.count(F.lit(1)).alias("met"), F.count_if(F.greatest("a.level", "b.level") <= asked).alias("leading"), F.min(asked).alias("asked"), F.min(needed).alias("needed")
-    )
-    met = met.where((F.col("leading") >= F.col("asked")) & (F.col("met") >= F.col("needed")))
+    leading = F.size(F.array_intersect(among("a", asked), among("b", asked)))
+    met = met.where((leading >= asked) & (F.size(F.array_intersect(among("a"), among("b"))) >= needed))
     more = verified(keep(candidates(met.select("x", "y")), "crossing"), docs, k, num, den)
 
     final = components(links.unionByName(keep(more, "links")))
