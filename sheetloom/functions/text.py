@@ -100,10 +100,10 @@ def contains_ignoring_case(text: Column, needle: str) -> Column:
     return F.lower(F.coalesce(text, F.lit(""))).like(pattern)
 
 
-def bounded_key(value: Column) -> Column:
+def bounded_key(value: Column, longest: int = 256) -> Column:
     """A grouping key of at most a few hundred characters that is equal exactly when the texts are equal.
 
     Long texts shuffle as a SHA-256 digest. The leading length keeps short texts and digests apart.
     """
     size = F.length(value)
-    return F.concat(size.cast("string"), F.lit(":"), F.when(size <= 256, value).otherwise(F.sha2(value, 256)))
+    return F.concat(size.cast("string"), F.lit(":"), F.when(size <= longest, value).otherwise(F.sha2(value, 256)))

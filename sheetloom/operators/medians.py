@@ -1,132 +1,96 @@
-"""Exact medians without sorting a column in one task.
+"""Exact medians of weighted numbers without sorting a column in one task.
 
-A sketch with a proven rank error brackets the median; only the rows inside the bracket are grouped, sorted and counted.
-The bracket is narrowed with further sketches until it is small enough for one sort, whatever the size of the table.
+A round counts the numbers of every bucket between the smallest and the largest candidate; the bucket that holds the middle rank gives the candidates of the
+next round. Buckets of the first round are on a logarithmic scale, which parts numbers of very different size, those of later rounds are linear
+between the smallest and largest number of their bucket. The rounds are the same whatever the number of rows; two or three do for most columns.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from sheetloom.functions.text import cell
 
-ACCURACY = 10_000
-MARGIN = 2.0 / ACCURACY
-ROWS_PER_SORT = 1_000_000
+BUCKETS = 4096
 
 
-@dataclass(frozen=True)
-class Bracket:
-    """The median of ``rows`` numbers lies in ``[low, high]``; ``inside`` bounds the rows strictly between."""
+@dataclass
+class Search:
+    """Where the lower middle number of a column is: between ``low`` and ``high``, with ``below`` numbers under ``low``."""
 
     rows: int
-    inside: float
-    low: float
-    high: float
+    low: float | None = None
+    high: float | None = None
+    below: int = 0
+    above: float | None = None  # the smallest number over ``high``
 
     @property
-    def ranks(self) -> tuple[int, int]:
-        return (self.rows - 1) // 2, self.rows // 2
-
-
-def bracket_aggregate(number, probability: float = 0.5, margin: float = MARGIN):
-    """Sketch aggregate giving ``[low, high]`` around a probability, for use in any fused aggregate."""
-    around = [max(0.0, probability - margin), min(1.0, probability + margin)]
-    return F.percentile_approx(number, F.array(*[F.lit(p) for p in around]), F.lit(ACCURACY))
-
-
-def bracket(rows: int, ends) -> Bracket:
-    return Bracket(rows, rows * 2 * (MARGIN + 1.0 / ACCURACY), float(ends[0]), float(ends[1]))
-
-
-def open_bracket(rows: int) -> Bracket:
-    """No bracket at all, good enough for a column that one task can sort."""
-    return Bracket(rows, rows, float("-inf"), float("inf"))
-
-
-def exact_medians(df: DataFrame, brackets: dict[str, Bracket], attempts: int = 5) -> dict[str, float]:
-    """Medians of numeric columns, NULLs ignored. ``brackets`` come from :func:`bracket_aggregate` on the same rows.
-
-    A bracket that turns out not to hold its median is opened on both sides and narrowed again, so a poor sketch can cost
-    another scan but never a wrong result.
-    """
-    done = {name: b.low for name, b in brackets.items() if b.low == b.high}
-    todo = {name: b for name, b in brackets.items() if name not in done}
-    for _ in range(attempts):
-        while any(b.inside > ROWS_PER_SORT for b in todo.values()):
-            todo = _narrow(df, todo)
-        if todo:
-            done.update({name: value for name, value in _select(df, todo).items() if value is not None})
-        left = {name: b for name, b in todo.items() if name not in done}
-        todo = {name: open_bracket(b.rows) for name, b in left.items()}
-        if not todo:
-            return done
-    raise RuntimeError(f"no bracket around the median of {sorted(todo)}")
-
-
-def _narrow(df: DataFrame, todo: dict[str, Bracket]) -> dict[str, Bracket]:
-    """One scan that shrinks every wide bracket by a factor of about ``ACCURACY / 6``."""
-    wide = {name: b for name, b in todo.items() if b.inside > ROWS_PER_SORT}
-    counts = df.agg(
-        *[F.count_if(cell(n) < b.low).alias(f"below_{i}") for i, (n, b) in enumerate(wide.items())],
-        *[F.count_if(cell(n).between(b.low, b.high)).alias(f"inside_{i}") for i, (n, b) in enumerate(wide.items())],
-    ).first()
-    aggregates = []
-    for i, (name, b) in enumerate(wide.items()):
-        inside = max(1, counts[f"inside_{i}"])
-        middle = (b.ranks[0] - counts[f"below_{i}"] + 0.5) / inside
-        kept = F.when(cell(name).between(b.low, b.high), cell(name))
-        aggregates.append(bracket_aggregate(kept, min(1.0, max(0.0, middle)), MARGIN + 1.0 / inside).alias(str(i)))
-    ends = df.agg(*aggregates).first()
-    narrowed = dict(todo)
-    for i, (name, b) in enumerate(wide.items()):
-        inside = counts[f"inside_{i}"] * 2 * (MARGIN + 1.0 / ACCURACY) if ends[i][0] < ends[i][1] else 0.0
-        narrowed[name] = Bracket(b.rows, inside, float(ends[i][0]), float(ends[i][1]))
-    return narrowed
-
-
-def middles(counted: DataFrame, ranks: dict[str | int, tuple[int, int]]) -> DataFrame:
-    """``(column_index, a, b)``: the numbers at the two middle ranks of every column of ``(column_index, x, frequency)``.
-
-    Every column is sorted in one task, so callers pass at most about ``ROWS_PER_SORT`` numbers per column.
-    """
-
-    def target(which: int):
-        return F.element_at(F.create_map(*[F.lit(v) for key, pair in ranks.items() for v in (key, pair[which])]), F.col("column_index"))
-
-    upto = Window.partitionBy("column_index").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = counted.withColumn("last", F.sum("frequency").over(upto) - 1)
-    first = F.col("last") - F.col("frequency") + 1
-    here = [F.max(F.when(target(i).between(first, F.col("last")), F.col("x"))) for i in (0, 1)]
-    return running.groupBy("column_index").agg(here[0].alias("a"), here[1].alias("b"))
-
-
-def clipped(x: Column, low: Column, high: Column) -> Column:
-    """The number inside the bracket, negative infinity below it, NULL above it."""
-    return F.when(x < low, F.lit(float("-inf"))).when(x <= high, x)
-
-
-def median_of(b: Bracket, lower: float | None, upper: float | None) -> float | None:
-    """The median from its two middle numbers, or None when the bracket did not hold them."""
-    if lower is None or upper is None or (lower == float("-inf") and b.low > float("-inf")):
-        return None
-    return lower if lower == upper else lower + (upper - lower) * 0.5
-
-
-def _select(df: DataFrame, todo: dict[str, Bracket]) -> dict[str, float | None]:
-    """Group the rows inside each bracket by value and walk the running count to the middle ranks."""
-    names = list(todo)
-    inside = df.select(
-        *[clipped(cell(n), F.lit(todo[n].low), F.lit(todo[n].high)).cast("double").alias(str(i)) for i, n in enumerate(names)]
-    )
-    values = inside.unpivot([], [str(i) for i in range(len(names))], "column_index", "x").where("x IS NOT NULL")
-    counted = values.groupBy("column_index", "x").agg(F.count("*").alias("frequency"))
-    hits = {int(r.column_index): r for r in middles(counted, {str(i): todo[n].ranks for i, n in enumerate(names)}).collect()}
-    return {n: median_of(todo[n], hits[i].a, hits[i].b) if i in hits else None for i, n in enumerate(names)}
+    def rank(self) -> int:
+        return (self.rows - 1) // 2
+
+    def narrow(self, buckets: list[Row]) -> None:
+        """Go to the bucket with the lower middle rank."""
+        buckets = sorted(buckets, key=lambda b: b.low)
+        before = self.below
+        for b, after in zip(buckets, [*buckets[1:], None]):
+            if before + b.rows > self.rank:
+                self.low, self.high, self.below = b.low, b.high, before
+                self.above = after.low if after is not None else self.above
+                self.upto = before + b.rows
+                return
+            before += b.rows
+        raise RuntimeError("the numbers changed while their median was looked for")
+
+    @property
+    def found(self) -> bool:
+        return self.low is not None and self.low == self.high
+
+    @property
+    def median(self) -> float:
+        """The middle number, or the mean of the two."""
+        if self.rows % 2 or self.upto > self.rank + 1:
+            return self.low
+        return self.low + (self.above - self.low) * 0.5
+
+
+def _by_column(values: dict[int, float]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(v) for pair in values.items() for v in pair]), F.col("column_index"))
+
+
+def weighted_medians(numbers: DataFrame, rows: dict[int, int]) -> dict[int, float]:
+    """The medians of (column_index, x, frequency), NULLs ignored; ``rows`` has the number of numbers of every column."""
+    todo = {i: Search(n) for i, n in rows.items() if n}
+    done: dict[int, float] = {}
+    numbers = numbers.where(F.col("x").isNotNull())
+    while todo:
+        x, index = F.col("x"), F.col("column_index")
+        fresh = [i for i, s in todo.items() if s.low is None]
+        started = {i: s for i, s in todo.items() if s.low is not None}
+        bucket = F.floor(F.signum(x) * F.log1p(F.abs(x)) * 8)
+        kept = index.isin(*fresh) if fresh else F.lit(False)
+        if started:
+            low, high = _by_column({i: float(s.low) for i, s in started.items()}), _by_column({i: float(s.high) for i, s in started.items()})
+            # Halved where the distance of the ends has no value.
+            scale = _by_column({i: 0.5 if math.isinf(s.high - s.low) else 1.0 for i, s in started.items()})
+            place = F.floor((x * scale - low * scale) / (high * scale - low * scale) * BUCKETS)
+            inside = index.isin(*started) & x.between(low, high)
+            bucket, kept = F.when(index.isin(*started), place).otherwise(bucket), kept | inside
+        # Infinite and missing numbers have no place on a scale and stand alone.
+        alone = F.isnan(x) | (F.abs(x) == float("inf"))
+        grouped = numbers.where(kept).groupBy("column_index", F.when(~alone, bucket).alias("bucket"), F.when(alone, x).alias("lone"))
+        counted = grouped.agg(F.min("x").alias("low"), F.max("x").alias("high"), F.sum("frequency").alias("rows")).collect()
+        for i, s in list(todo.items()):
+            s.narrow([r for r in counted if r.column_index == i])
+            if s.found or s.low != s.low:
+                done[i] = s.median
+                del todo[i]
+    return done
 
 
 def exact_median(df: DataFrame, name: str) -> float | None:
-    row = df.agg(F.count(cell(name)).alias("rows"), bracket_aggregate(cell(name)).alias("ends")).first()
-    return exact_medians(df, {name: bracket(row.rows, row.ends)})[name] if row.rows else None
+    counted = df.groupBy(cell(name).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("frequency")).select(F.lit(0).alias("column_index"), "x", "frequency")
+    n = counted.where("x IS NOT NULL").agg(F.sum("frequency")).first()[0]
+    return weighted_medians(counted, {0: n})[0] if n else None

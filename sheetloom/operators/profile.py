@@ -1,8 +1,8 @@
 """Column profiles of all-text tables.
 
-Statistics look at the trimmed text of filled cells. A profile of a whole table takes one fused scan for the scalar
-statistics, one shuffle of (column, value) pairs for distinct counts, top values and histograms, and one narrow scan for
-exact medians, however many columns there are.
+Statistics look at the trimmed text of filled cells. Profiles rest on a value table: every distinct value of every column with its frequency, counted natively
+and only then turned into text and parsed, each value once. Counts, types, all statistics, histograms, top values and medians are weighted by frequency, so the
+table itself is read once, whatever its size. Texts over ``SHORT`` characters go by length and digest; only those that are shown are fetched afterwards.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as
 
 from sheetloom.functions.dates import SERIAL_GAP, SERIAL_MAX, SERIAL_MIN, has_time_of_day, is_serial, parse_timestamp, serial_to_date
 from sheetloom.functions.numbers import finite, parse_decimal, parse_double
-from sheetloom.functions.text import cell, value_of
-from sheetloom.operators import medians
-from sheetloom.operators.medians import Bracket, bracket, bracket_aggregate, clipped, exact_medians, median_of, middles, open_bracket
-from sheetloom.plans.fused import held, passes, spread, union_all, unpack
+from sheetloom.functions.text import as_text, bounded_key, cell, value_of
+from sheetloom.operators import sums
+from sheetloom.operators.medians import weighted_medians
+from sheetloom.plans.fused import passes, union_all, unpack
+from sheetloom.session import scratch_dir
 
 # Words of the two boolean classes, labels, bucket and top-k sizes, share of serials that makes a date.
 YES_WORDS = ("true", "1", "sim", "s", "yes", "y")
@@ -26,6 +27,7 @@ YES_LABEL, NO_LABEL = "Sim", "Nao"
 TEXT_DATE_LABEL, SERIAL_DATE_LABEL = "Texto", "Serial de data do Excel"
 BUCKETS = 12
 TOP_VALUES = 10
+SHORT, LEAD = 64, 16
 SERIAL_SHARE = 0.90
 
 PROFILE_SCHEMA = (
@@ -55,23 +57,103 @@ def percentage(part: Column, total: Column) -> Column:
     return F.when(total == 0, F.lit(0.0)).otherwise(part * F.lit(100.0) / total)
 
 
+def _families(df: DataFrame, columns: Sequence[str]) -> dict[str, list[int]]:
+    """Column places by the type their values are counted in."""
+    found: dict[str, list[int]] = {}
+    for i, name in enumerate(columns):
+        kind = df.schema[name].dataType
+        if isinstance(kind, T.IntegralType):
+            family = "bigint"
+        elif isinstance(kind, (T.FloatType, T.DoubleType, T.TimestampType, T.TimestampNTZType, T.DateType, T.BooleanType)):
+            family = kind.simpleString()
+        else:
+            family = "text"
+        found.setdefault(family, []).append(i)
+    return found
+
+
+#: What is known of long texts, which are not kept.
+LONG_FACTS = {"long_x": "double", "long_t": "timestamp_ntz", "long_plain": "boolean", "long_unsigned": "boolean", "long_clock": "boolean"}
+
+
+def _is_plain(number: Column) -> Column:
+    return ~number.contains(".") & ~number.contains(",")
+
+
+def _is_unsigned(number: Column) -> Column:
+    return ~number.startswith("-") & ~number.startswith("+")
+
+
+def _digest(text: Column) -> Column:
+    """SHA-256 in 44 characters."""
+    return F.base64(F.unhex(F.sha2(text.cast("binary"), 256)))
+
+
+def _counted(df: DataFrame, columns: Sequence[str], places: Sequence[int], family: str) -> DataFrame:
+    """(column_index, value, digest, lead, size, LONG_FACTS, frequency) of the columns of one family; a blank is a value without text.
+
+    Values are counted as they are. Long texts are counted by digest and length, with their first characters and, as they cannot be parsed later, what number or
+    time they are.
+    """
+    if family != "text":
+        kind = T.LongType() if family == "bigint" else df.schema[columns[places[0]]].dataType
+        values = df.select(*[cell(columns[i]).cast(kind).alias(str(i)) for i in places])
+        counts = values.unpivot([], [str(i) for i in places], "column_index", "key").groupBy("column_index", "key").agg(F.count(F.lit(1)).alias("frequency"))
+        # The text is made in a step of its own, since an expression that long must not be repeated in the next.
+        shown = counts.select(F.col("column_index").cast("int"), as_text(F.col("key"), kind).alias("value"), "frequency")
+        return shown.select(
+            "column_index", "value", F.lit(None).cast("string").alias("digest"), F.substring("value", 1, LEAD).alias("lead"), F.length("value").alias("size"),
+            *[F.lit(None).cast(t).alias(n) for n, t in LONG_FACTS.items()], "frequency",
+        )
+    values = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("column_index"), value_of(df, columns[i]).alias("text")) for i in places])))
+    text, long = F.col("text"), F.length("text") > SHORT
+    # A number or a time starts with a blank, a sign, a mark or a digit, which prose seldom does.
+    parsable = long & text.rlike(r"^[\s+\-.,0-9]")
+    keyed = values.select(
+        F.col("column_index").cast("int"), F.when(~long & (text != ""), text).alias("value"), F.when(long, _digest(text)).alias("digest"),
+        F.substring(text, 1, LEAD).alias("lead"), F.nullif(F.length("text"), F.lit(0)).alias("size"),
+        *[F.when(parsable, fact).alias(n) for n, fact in zip(LONG_FACTS, (parse_decimal(text), parse_timestamp(text), _is_plain(text), _is_unsigned(text), has_time_of_day(text)))],
+    )
+    keys = ["column_index", "value", "digest", "lead", "size", *LONG_FACTS]
+    return keyed.withColumn("lead", F.when(F.col("size").isNotNull(), F.col("lead"))).groupBy(*keys).agg(F.count(F.lit(1)).alias("frequency"))
+
+
+def value_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Every distinct value of every column with its frequency and what it could be, one row each; blanks have no ``size``."""
+    counted = union_all([_counted(df, columns, places, family) for family, places in _families(df, columns).items()])
+    value, x = F.col("value"), F.col("x")
+    numbers = counted.withColumn("x", F.coalesce(parse_decimal(value), "long_x"))
+    whole = x.isNotNull() & F.coalesce(_is_plain(value), "long_plain")
+    unsigned = whole & F.coalesce(_is_unsigned(value), "long_unsigned")
+    in_serial_range = x.between(SERIAL_MIN, SERIAL_MAX) & (x != SERIAL_GAP)
+    parsed = numbers.select(
+        "column_index", "value", "digest", "lead", "size", "frequency", "x", "long_clock",
+        F.when(F.col("size") <= LONGEST_WORD, F.lower(value)).alias("word"),
+        F.coalesce(F.when(x.isNull(), parse_timestamp(value)), "long_t").alias("t"),
+        F.coalesce(whole, F.lit(False)).alias("is_whole"),
+        F.when(unsigned & in_serial_range, x.cast("bigint")).alias("serial"),
+    )
+    clock = F.col("t").isNotNull() & F.coalesce(has_time_of_day(value), "long_clock")
+    return parsed.withColumn("clock", F.coalesce(clock, F.lit(False))).drop("long_clock")
+
+
+def _stored_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    table, folder = value_table(df, columns), scratch_dir(df.sparkSession, "values")
+    table.write.parquet(folder)
+    return df.sparkSession.read.schema(table.schema).parquet(folder)
+
+
 def cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(column_index, value)`` for every cell, NULL for blank ones.
 
     Statistics grouped by the index need one set of expressions whatever the number of columns, so the generated code stays
     small on wide tables, and their shuffle carries one partial row per column and task.
     """
-    values = spread(df.select(*[cell(name) for name in columns])).select(*[value_of(df, n).alias(str(i)) for i, n in enumerate(columns)])
+    values = df.select(*[value_of(df, n).alias(str(i)) for i, n in enumerate(columns)])
     long = values.unpivot([], [str(i) for i in range(len(columns))], "column_index", "value")
     return long.select(F.col("column_index").cast("int"), F.when(F.col("value") != "", F.col("value")).alias("value"))
 
 
-def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(column_index, value, frequency)`` over filled cells; partial counts are merged before the shuffle."""
-    filled = cells(df, columns).where("value IS NOT NULL")
-    return filled.groupBy("column_index", "value").agg(F.count("*").alias("frequency"))
-
-
 def _names(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(list(enumerate(columns)), "column_index int, column string")
 
@@ -91,7 +173,7 @@ def profile_counts(df: DataFrame, columns: Sequence[str] | None = None, approxim
         if approximate:
             aggregates += [F.approx_count_distinct(str(i), 0.01).alias(f"distinct_{i}") for i in indexes]
         elif len(part) == 1:
-            aggregates += [F.count_distinct("0").alias("distinct_0")]
+            aggregates += [F.count_distinct(bounded_key(F.col("0"), SHORT)).alias("distinct_0")]
         counts = unpack(
             values.agg(*aggregates),
             [
@@ -106,7 +188,8 @@ def profile_counts(df: DataFrame, columns: Sequence[str] | None = None, approxim
             ],
         )
         if "distinct_count" not in counts.columns:
-            distinct = value_counts(df, part).groupBy("column_index").agg(F.count("*").alias("distinct_count"))
+            keys = cells(df, part).where("value IS NOT NULL").select("column_index", bounded_key(F.col("value"), SHORT).alias("key"))
+            distinct = keys.distinct().groupBy("column_index").agg(F.count("*").alias("distinct_count"))
             counts = counts.join(distinct, "column_index", "left").fillna(0, ["distinct_count"])
         frames.append(counts)
     empty = F.col("total_count") - F.col("filled_count")
@@ -124,7 +207,9 @@ def profile_counts(df: DataFrame, columns: Sequence[str] | None = None, approxim
 def _parsed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Cells with their decimal number and timestamp, each NULL where the text has none."""
     value, x = F.col("value"), F.col("x")
-    numbers = cells(df, columns).select("column_index", "value", F.length(value).alias("size"), parse_decimal(value).alias("x"))
+    # Prose seldom starts like a number or a time, which spares the copies that parsing makes.
+    numbers = cells(df, columns).withColumn("value", F.when(value.isNull() | value.rlike(r"^[\s+\-.,0-9]") | (F.length(value) <= LONGEST_WORD), value).otherwise("prose"))
+    numbers = numbers.select("column_index", "value", F.length(value).alias("size"), parse_decimal(value).alias("x"))
     whole = x.isNotNull() & ~value.contains(".") & ~value.contains(",")
     unsigned = whole & ~value.startswith("-") & ~value.startswith("+")
     in_serial_range = x.between(SERIAL_MIN, SERIAL_MAX) & (x != SERIAL_GAP)
@@ -207,9 +292,23 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 
 def top_values(df: DataFrame, column: str, k: int = TOP_VALUES) -> DataFrame:
-    """Most frequent trimmed values, ties by value; each task keeps only its own ``k`` best."""
-    counted = filled_values(df, column).groupBy("value").agg(F.count("*").alias("frequency"))
-    return counted.orderBy(F.col("frequency").desc(), F.col("value").asc()).limit(k)
+    """Most frequent trimmed values, ties by value; each task keeps only its own ``k`` best.
+
+    Values are counted by a bounded key with their first characters. Longer texts are fetched where they can be among the ``k``.
+    """
+    value = F.col("value")
+    counted = filled_values(df, column).groupBy(bounded_key(value, SHORT).alias("key"), F.substring(value, 1, LEAD).alias("lead")).agg(F.count("*").alias("frequency"))
+    best = [F.col("frequency").desc(), F.col("lead").asc()]
+    kept = counted.orderBy(*best).limit(k).collect()
+    if not kept:
+        return counted.select(F.col("key").alias("value"), "frequency").limit(0)
+    last = kept[-1]
+    able = counted.where((F.col("frequency") > last.frequency) | ((F.col("frequency") == last.frequency) & (F.col("lead") <= last.lead)))
+    size = F.substring_index("key", ":", 1).cast("int")
+    short = able.where(size <= SHORT).select(F.expr("substring(key, locate(':', key) + 1)").alias("value"), "frequency")
+    texts = filled_values(df, column).where(F.length("value") > SHORT).select("value", bounded_key(value, SHORT).alias("key"))
+    long = texts.join(able.where(size > SHORT).select("key", "frequency"), "key").groupBy("key", "frequency").agg(F.min("value").alias("value"))
+    return short.unionByName(long.select("value", "frequency")).orderBy(F.col("frequency").desc(), F.col("value").asc()).limit(k)
 
 
 # --- statistics of one column --------------------------------------------------------------------------------------
@@ -230,23 +329,24 @@ def _numbers(df: DataFrame, column: str) -> DataFrame:
 
 
 def numeric_stats(df: DataFrame, column: str, approximate_median: bool = False) -> DataFrame:
-    """Min, max, mean, median and sample deviation. The exact median takes a second, narrow scan."""
-    numbers = _numbers(df, column)
-    basic = numbers.agg(
-        F.count("x").alias("rows"),
-        F.min("x").alias("min"),
-        F.max("x").alias("max"),
-        F.avg("x").alias("avg"),
-        F.stddev_samp("x").alias("stddev"),
-        bracket_aggregate(F.col("x")).alias("ends"),
-        *([F.percentile_approx("x", 0.5, 10_000).alias("middle")] if approximate_median else []),
-    ).first()
+    """Min, max, mean, median and sample deviation, from the distinct numbers and their frequencies; sums are exact."""
+    numbers = df.groupBy(cell(column).alias("key")).agg(F.count(F.lit(1)).alias("frequency"))
+    numbers = numbers.select(F.lit(0).alias("column_index"), parse_double(value_of(numbers, "key")).alias("x"), "frequency")
+    folder = scratch_dir(df.sparkSession, "values")
+    numbers.write.parquet(folder)
+    numbers = df.sparkSession.read.schema(numbers.schema).parquet(folder)
+    by_power = sums.split(numbers).groupBy("p").agg(*sums.sums()).collect()
+    n = sum(r.numbers or 0 for r in by_power)
+    schema = "min double, max double, avg double, median double, stddev double"
+    if not n:
+        return df.sparkSession.createDataFrame([(None,) * 5], schema)
+    mean, deviation = sums.mean_and_deviation(by_power)
     if approximate_median:
-        median = basic.middle
+        median = df.select(parse_double(value_of(df, column)).alias("x")).agg(F.percentile_approx("x", 0.5, 10_000)).first()[0]
     else:
-        median = exact_medians(numbers, {"x": bracket(basic.rows, basic.ends)})["x"] if basic.rows else None
-    schema = "min double, max double, avg double, median double, stddev double"
-    return df.sparkSession.createDataFrame([(basic.min, basic.max, basic.avg, median, basic.stddev)], schema)
+        median = weighted_medians(numbers, {0: n})[0]
+    ends = numbers.agg(F.min("x"), F.max("x")).first()
+    return df.sparkSession.createDataFrame([(ends[0], ends[1], mean, median, deviation)], schema)
 
 
 def _bucket(x: Column, low: float | None, high: float | None) -> Column:
@@ -323,124 +423,126 @@ def boolean_stats(df: DataFrame, column: str) -> DataFrame:
 
 def profile_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per column with counts, inferred type, top values and the statistics block of that type."""
-    rows: list[Row] = []
+    rows: list[tuple] = []
     for part in passes(list(columns or df.columns)):
-        with held(df.select(*[cell(name) for name in part])) as cells_of_part:
-            rows += _profile_pass(cells_of_part, list(part))
+        rows += _profile_pass(df, list(part))
     return df.sparkSession.createDataFrame(rows, PROFILE_SCHEMA)
 
 
-def _scalars(df: DataFrame, columns: list[str]) -> dict[int, Row]:
-    """Counts, types and the scalar statistics of every block, one row per column, from one scan."""
-    statistics = [
-        F.min("size").alias("shortest"), F.avg("size").alias("mean_length"), F.max("size").alias("longest"),
-        F.min("x").alias("low"), F.max("x").alias("high"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("stddev"),
-        F.min("t").alias("first"), F.max("t").alias("last"),
-        F.min("serial").alias("serial_low"), F.max("serial").alias("serial_high"),
-    ]
-    rows = _with_type(_parsed(df, columns).groupBy("column_index").agg(*_type_aggregates(), *statistics))
-    shown = rows.select(
-        F.expr("* EXCEPT (first, last)"),
-        F.col("first").cast("string").alias("first"),
-        F.col("last").cast("string").alias("last"),
-        *[serial_to_date(F.col(c).cast("string")).cast("string").alias(f"{c}_date") for c in ("serial_low", "serial_high")],
-    )
-    return {int(row.column_index): row for row in shown.collect()}
+def _facts(values: DataFrame) -> dict[int, dict]:
+    """Counts and ends of every column."""
+    f, x, word = F.col("frequency"), F.col("x"), F.col("word")
 
+    def times(condition: Column) -> Column:
+        return F.sum(F.when(condition, f).otherwise(0))
 
-def _brackets(df: DataFrame, columns: list[str], rows: dict[int, int]) -> dict[int, Bracket]:
-    """Where the medians are: anywhere in columns one task can sort, else in a sketched bracket (one more scan)."""
-    large = [i for i, n in rows.items() if n > medians.ROWS_PER_SORT]
-    sketches = [bracket_aggregate(parse_decimal(filled_value(df, columns[i]))).alias(str(i)) for i in large]
-    ends = df.agg(*sketches).first() if large else {}
-    return {i: bracket(n, ends[str(i)]) if i in large else open_bracket(n) for i, n in rows.items()}
+    filled = F.col("size").isNotNull()
+    facts = {
+        "total": F.sum(f), "filled": times(filled), "values_": F.count_if(filled),
+        "yes": times(word.isin(*YES_WORDS)), "no": times(word.isin(*NO_WORDS)), "integers": times(F.col("is_whole")), "decimals": times(x.isNotNull()),
+        "timestamps": times(F.col("t").isNotNull()), "times": times(F.col("clock")), "serials": times(F.col("serial").isNotNull()),
+        "characters": F.sum((F.col("size") * f).cast("decimal(38,0)")),
+        "shortest": F.min("size"), "longest": F.max("size"), "low": F.min("x"), "high": F.max("x"), "first": F.min("t").cast("string"), "last": F.max("t").cast("string"),
+        "serial_low": F.min("serial"), "serial_high": F.max("serial"), "example": F.min(F.when(F.col("serial").isNotNull(), F.col("value"))),
+    }
+    return {row.column_index: row.asDict() for row in values.groupBy("column_index").agg(*[c.alias(n) for n, c in facts.items()]).collect()}
 
 
-def _serial_examples(df: DataFrame, columns: list[str], serial: list[int]) -> Row | dict:
-    """Smallest serial in text order and its date, from a scan of the serial columns alone."""
-    shown = []
-    for i in serial:
-        value = filled_value(df, columns[i])
-        smallest = F.min(F.when(is_serial(value), value))
-        shown += [smallest.alias(f"value_{i}"), serial_to_date(smallest).cast("string").alias(f"day_{i}")]
-    return df.agg(*shown).first() if serial else {}
+def _sums(values: DataFrame, columns: list[int]) -> dict[int, tuple[float | None, float | None]]:
+    """Mean and deviation of numeric columns, from one row for each power of two among their numbers."""
+    numbers = values.where(F.col("column_index").isin(*columns)).select("column_index", "x", "frequency")
+    rows = sums.split(numbers).groupBy("column_index", "p").agg(*sums.sums()).collect()
+    return {i: sums.mean_and_deviation(r for r in rows if r.column_index == i) for i in columns}
 
 
-def _value_report(df: DataFrame, columns: list[str], bounds: dict[int, tuple[float, float]], brackets: dict[int, Bracket]) -> list[Row]:
-    """Distinct counts, histogram buckets, top values and middle numbers from one (column, value) shuffle.
+def _types(df: DataFrame, facts: dict[int, dict]) -> dict[int, tuple[str, str | None]]:
+    names = ("filled", "yes", "no", "integers", "decimals", "timestamps", "times", "serials")
+    rows = df.sparkSession.createDataFrame([(i, *[f[n] for n in names]) for i, f in facts.items()], "i int, " + ", ".join(f"{n} bigint" for n in names))
+    return {r.i: (r.inferred_type, r.date_source) for r in _with_type(rows.coalesce(1)).collect()}
 
-    No branch filters by column or value: the optimizer would push that below the shuffle, and the branches could no longer
-    share it.
-    """
-    counted = value_counts(df, columns)
-    index = F.col("column_index")
 
-    def by_column(values: dict):
-        return F.element_at(F.create_map(*[F.lit(v) for pair in values.items() for v in pair]), index)
+def _days(df: DataFrame, facts: dict[int, dict], serial: list[int]) -> dict[tuple[int, str], str]:
+    """The dates of the smallest, largest and example serials."""
+    rows = [(i, name, str(facts[i][name])) for i in serial for name in ("serial_low", "serial_high", "example")]
+    if not rows:
+        return {}
+    shown = df.sparkSession.createDataFrame(rows, "i int, name string, value string").coalesce(1)
+    return {(r.i, r.name): r.day for r in shown.select("i", "name", serial_to_date(F.col("value")).cast("string").alias("day")).collect()}
+
 
-    bucket = F.lit(None).cast("int")
+def _value_report(values: DataFrame, bounds: dict[int, tuple[float, float]]) -> list[Row]:
+    """Histogram buckets and the best values of all columns by frequency and first characters: long texts first among equals (``place``), and short ones alone."""
+    index = F.col("column_index")
+    filled = values.where(F.col("size").isNotNull())
+    long = F.col("digest").isNotNull()
+    by = [F.col("frequency").desc(), F.col("lead").asc()]
+    place = F.row_number().over(Window.partitionBy("column_index").orderBy(*by, long.desc(), F.col("value").asc()))
+    among_short = F.row_number().over(Window.partitionBy("column_index", long).orderBy(*by, F.col("value").asc()))
+    top = filled.withColumns({"place": place, "short": among_short}).where((F.col("place") <= TOP_VALUES) | (~long & (F.col("short") <= TOP_VALUES)))
+    reports = [top.select("column_index", F.lit("top").alias("kind"), "place", "value", "lead", "frequency", long.alias("long"))]
     if bounds:
-        low, high = by_column({i: b[0] for i, b in bounds.items()}), by_column({i: b[1] for i, b in bounds.items()})
-        position = F.floor((parse_decimal(F.col("value")) - low) / F.nullif(high - low, F.lit(0.0)) * F.lit(BUCKETS))
-        clamped = F.least(F.lit(BUCKETS - 1), F.greatest(F.lit(0), F.coalesce(position, F.lit(0))))
-        bucket = F.when(index.isin(*bounds), clamped).cast("int")
-    buckets = counted.groupBy("column_index", bucket.alias("place")).agg(
-        F.count("*").alias("distinct_values"), F.sum("frequency").alias("frequency")
-    )
-    best = Window.partitionBy("column_index").orderBy(F.col("frequency").desc(), F.col("value").asc())
-    top = counted.withColumn("place", F.row_number().over(best)).where(F.col("place") <= TOP_VALUES)
-    reports = [buckets.withColumn("kind", F.lit("bucket")), top.withColumn("kind", F.lit("top"))]
-    if brackets:
-        ends = [by_column({i: getattr(b, end) for i, b in brackets.items()}) for end in ("low", "high")]
-        numbers = counted.select("column_index", F.when(index.isin(*brackets), parse_decimal(F.col("value"))).alias("x"), "frequency")
-        inside = numbers.select("column_index", clipped(F.col("x"), *ends).alias("x"), "frequency")
-        merged = inside.groupBy("column_index", "x").agg(F.sum("frequency").alias("frequency"), F.count("x").alias("numbers"))
-        numbers = merged.where("numbers > 0")
-        reports.append(middles(numbers, {i: b.ranks for i, b in brackets.items()}).withColumn("kind", F.lit("middle")))
+
+        def by_column(at: int) -> Column:
+            return F.element_at(F.create_map(*[F.lit(v) for i, b in bounds.items() for v in (i, b[at])]), index)
+
+        low, high = by_column(0), by_column(1)
+        position = F.floor((F.col("x") - low) / F.nullif(high - low, F.lit(0.0)) * F.lit(BUCKETS))
+        clamped = F.least(F.lit(BUCKETS - 1), F.greatest(F.lit(0), F.coalesce(position, F.lit(0)))).cast("int")
+        buckets = filled.where(index.isin(*bounds)).groupBy("column_index", clamped.alias("place")).agg(F.sum("frequency").alias("frequency"))
+        reports.append(buckets.withColumn("kind", F.lit("bucket")))
     everything = reports[0]
     for report in reports[1:]:
         everything = everything.unionByName(report, allowMissingColumns=True)
     return everything.collect()
 
 
-def _profile_pass(df: DataFrame, columns: list[str]) -> list[Row]:
-    scalars = _scalars(df, columns)
-    if not scalars:
+def _top(df: DataFrame, column: str, index: int, values: DataFrame, mine: list[Row]) -> list[tuple[str, int]]:
+    """The most frequent values of one column, ties by value; long texts are fetched if some can be among them."""
+    top = [(r.value, r.frequency) for r in mine if r.kind == "top" and not r.long]
+    leading = [r for r in mine if r.kind == "top" and r.place <= TOP_VALUES]
+    if any(r.long for r in leading):
+        last = max(leading, key=lambda r: r.place)
+        able = (F.col("frequency") > last.frequency) | ((F.col("frequency") == last.frequency) & (F.col("lead") <= last.lead))
+        long = values.where((F.col("column_index") == index) & F.col("digest").isNotNull() & able).select("digest", "frequency")
+        texts = filled_values(df, column).where(F.length("value") > SHORT).select("value", _digest(F.col("value")).alias("digest"))
+        fetched = texts.join(long, "digest").groupBy("digest", "frequency").agg(F.min("value").alias("value"))
+        top += [(r.value, r.frequency) for r in fetched.orderBy(F.col("frequency").desc(), F.col("value").asc()).limit(TOP_VALUES).collect()]
+    return sorted(top, key=lambda t: (-t[1], t[0].encode()))[:TOP_VALUES]
+
+
+def _profile_pass(df: DataFrame, columns: list[str]) -> list[tuple]:
+    values = _stored_values(df, columns)
+    facts = _facts(values)
+    if not facts:
         return [(c, df.schema[c].dataType.simpleString(), "text", None, 0, 0, 0, 0.0, 0, 0, (None,) * 3, *[None] * 3, [], []) for c in columns]
-    numeric = [i for i, s in scalars.items() if s.inferred_type in ("integer", "decimal")]
-    serial = [i for i, s in scalars.items() if s.date_source == "excel_serial"]
-    brackets = _brackets(df, columns, {i: scalars[i].filled for i in numeric})
-    ready = {i: b for i, b in brackets.items() if b.inside <= medians.ROWS_PER_SORT}
-    report = _value_report(df, columns, {i: (scalars[i].low, scalars[i].high) for i in numeric}, ready)
-    middle = {r.column_index: median_of(ready[r.column_index], r.a, r.b) for r in report if r.kind == "middle"}
-    rest = {str(i): b for i, b in brackets.items() if middle.get(i) is None}
-    if rest:
-        numbers = df.select(*[parse_decimal(filled_value(df, columns[int(i)])).alias(i) for i in rest])
-        middle |= {int(i): x for i, x in exact_medians(numbers, rest).items()}
-    example = _serial_examples(df, columns, serial)
+    types = _types(df, facts)
+    numeric = [i for i in facts if types[i][0] in ("integer", "decimal")]
+    moments = _sums(values, numeric) if numeric else {}
+    days = _days(df, facts, [i for i in facts if types[i][1] == "excel_serial"])
+    report = _value_report(values, {i: (facts[i]["low"], facts[i]["high"]) for i in numeric})
+    middle = weighted_medians(values.where(F.col("column_index").isin(*numeric)).select("column_index", "x", "frequency"), {i: facts[i]["decimals"] for i in numeric}) if numeric else {}
 
     rows = []
     for i, name in enumerate(columns):
-        s = scalars[i]
+        s, (kind, source) = facts[i], types[i]
         mine = [r for r in report if r.column_index == i]
-        distinct = sum(r.distinct_values or 0 for r in mine)
-        top = sorted((r for r in mine if r.kind == "top"), key=lambda r: r.place)
+        top = _top(df, name, i, values, mine)
         text = numbers_block = dates = booleans = None
         distribution: list[tuple] = []
         if i in numeric:
-            numbers_block = (s.low, s.high, s.mean, middle[i], s.stddev)
+            mean, deviation = moments[i]
+            numbers_block = (s["low"], s["high"], mean, middle[i], deviation)
             buckets = sorted((r for r in mine if r.kind == "bucket"), key=lambda r: r.place)
-            distribution = [(r.place, *_edges(r.place, s.low, s.high), r.frequency) for r in buckets]
-        elif i in serial:
-            dates = (s.serial_low_date, s.serial_high_date, SERIAL_DATE_LABEL, example[f"value_{i}"], example[f"day_{i}"])
-        elif s.inferred_type in ("date", "datetime"):
-            dates = (s["first"], s["last"], TEXT_DATE_LABEL if s.date_source else None, None, None)
-        elif s.inferred_type == "boolean":
-            booleans = [(label, n, n * 100.0 / s.filled) for label, n in ((YES_LABEL, s.yes), (NO_LABEL, s.no))]
+            distribution = [(r.place, *_edges(r.place, s["low"], s["high"]), r.frequency) for r in buckets]
+        elif source == "excel_serial":
+            dates = (days[i, "serial_low"], days[i, "serial_high"], SERIAL_DATE_LABEL, s["example"], days[i, "example"])
+        elif kind in ("date", "datetime"):
+            dates = (s["first"], s["last"], TEXT_DATE_LABEL if source else None, None, None)
+        elif kind == "boolean":
+            booleans = [(label, n, n * 100.0 / s["filled"]) for label, n in ((YES_LABEL, s["yes"]), (NO_LABEL, s["no"]))]
         else:
-            text = tuple(None if n is None else float(n) for n in (s.shortest, s.mean_length, s.longest))
-        blanks = s.total - s.filled
-        counts = (s.total, s.filled, blanks, blanks * 100.0 / s.total, distinct, max(0, s.filled - distinct))
-        blocks = (text, numbers_block, dates, booleans, [(r.value, r.frequency) for r in top], distribution)
-        rows.append((name, df.schema[name].dataType.simpleString(), s.inferred_type, s.date_source, *counts, *blocks))
+            text = (float(s["shortest"]), int(s["characters"]) / s["filled"], float(s["longest"])) if s["filled"] else (None,) * 3
+        blanks = s["total"] - s["filled"]
+        counts = (s["total"], s["filled"], blanks, blanks * 100.0 / s["total"], s["values_"], max(0, s["filled"] - s["values_"]))
+        rows.append((name, df.schema[name].dataType.simpleString(), kind, source, *counts, text, numbers_block, dates, booleans, top, distribution))
     return rows

@@ -159,9 +159,15 @@ def text_stats_documents(spark: SparkSession, folder: str) -> DataFrame:
     return profile.text_stats(table(spark, folder, "documents"), "text").withColumn("avg_length", F.round("avg_length", 6))
 
 
+# Means and deviations are fractions of whole numbers, so the twins sum ten-thousandths: the order of rows plays no part, and six digits are rounded once.
+PARTS = "cast(round(x * 10000) as hugeint)"
+MEAN = f"sign(sum({PARTS})) * cast((abs(sum({PARTS})) * 200 + count(x)) // (2 * count(x)) as double) / 1000000"
+DEVIATION = f"round(sqrt(cast(count(x) * sum({PARTS} * {PARTS}) - sum({PARTS}) * sum({PARTS}) as double) / (count(x) * nullif(count(x) - 1, 0))) / 10000, 6)"
+
+
 def _numeric_sql(source: str, c: str) -> str:
-    return f"""select round(min(x), 6) as min, round(max(x), 6) as max, round(avg(x), 6) as avg, round(median(x), 6) as median,
-        round(stddev_samp(x), 6) as stddev from (select {number("value")} as x from ({_filled(source, c)}))"""
+    return f"""select round(min(x), 6) as min, round(max(x), 6) as max, {MEAN} as avg, round(median(x), 6) as median,
+        {DEVIATION} as stddev from (select {number("value")} as x from ({_filled(source, c)}))"""
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -283,8 +289,8 @@ def _profile_sql(source: str, columns, prefix: str = "") -> str:
             item("text", "'avg'", "round(avg(length(value)), 6)", "null", f"from values_{c} {only('text')} having count(*) > 0"),
             item("text", "'max'", "max(length(value))", "null", f"from values_{c} {only('text')} having count(*) > 0"),
             *[
-                item("numeric", f"'{n}'", f"round({f}(x), 6)", "null", f"from numbers_{c} {only('integer', 'decimal')} having count(*) > 0")
-                for n, f in (("min", "min"), ("max", "max"), ("avg", "avg"), ("median", "median"), ("stddev", "stddev_samp"))
+                item("numeric", f"'{n}'", f, "null", f"from numbers_{c} {only('integer', 'decimal')} having count(*) > 0")
+                for n, f in (("min", "round(min(x), 6)"), ("max", "round(max(x), 6)"), ("avg", MEAN), ("median", "round(median(x), 6)"), ("stddev", DEVIATION))
             ],
             item("bucket", "cast(bucket as varchar)", "count(*)", "null", f"from placed_{c} group by bucket"),
             *[

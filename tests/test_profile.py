@@ -1,11 +1,13 @@
+import math
 import random
 import statistics
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import values
-from sheetloom.operators import medians, profile
+from sheetloom.operators import medians, profile, sums
 
 
 def text_table(spark, items, name="c"):
@@ -15,7 +17,7 @@ def text_table(spark, items, name="c"):
 @pytest.mark.parametrize(
     "items, expected",
     [
-        (["33500", "33639", "34122", "35001"], ("date", "excel_serial")),
+        (["41275", "40010", "40777", "43810"], ("date", "excel_serial")),
         (["1", "0", " 1 ", ""], ("boolean", None)),
         (["Sim", "NÃO", "y"], ("boolean", None)),
         (["1", "2", "60"] + ["5"] * 7, ("date", "excel_serial")),
@@ -37,10 +39,10 @@ def test_inferred_type(spark, items, expected):
 
 
 def test_serial_profile(spark):
-    row = profile.profile_table(text_table(spark, ["35001", "33500", "33639", "34122"], "DATA")).first()
+    row = profile.profile_table(text_table(spark, ["9131", "41275", "40010", "43810"], "planted")).first()
     assert (row.inferred_type, row.date_source) == ("date", "excel_serial")
-    assert row.date_stats.example_original == "33500" and row.date_stats.example_interpreted == "1991-09-19"
-    assert (row.date_stats.min, row.date_stats.max) == ("1991-09-19", "1995-10-29")
+    assert row.date_stats.example_original == "40010" and row.date_stats.example_interpreted == "2009-07-16"
+    assert (row.date_stats.min, row.date_stats.max) == ("1924-12-30", "2019-12-11")
 
 
 def test_profile_of_awkward_names_and_empty_table(spark):
@@ -81,10 +83,7 @@ def test_numeric_stats_of_one_number(spark):
     assert values(profile.numeric_stats(text_table(spark, ["x"]), "c")) == [(None,) * 5]
 
 
-@pytest.mark.parametrize("rows_per_sort", [medians.ROWS_PER_SORT, 50])
-def test_exact_medians(spark, monkeypatch, rows_per_sort):
-    """The narrowing rounds only start on huge tables; a tiny limit forces them here."""
-    monkeypatch.setattr(medians, "ROWS_PER_SORT", rows_per_sort)
+def test_exact_medians(spark):
     random.seed(7)
     n = 100_000
     columns = {
@@ -98,7 +97,40 @@ def test_exact_medians(spark, monkeypatch, rows_per_sort):
         assert medians.exact_median(df, name) == statistics.median(x for x in data if x is not None), name
 
 
-def test_median_outside_bracket_is_still_exact(spark):
-    df = spark.range(1001).select(F.col("id").cast("double").alias("x"))
-    wrong = medians.Bracket(1001, 10, 800.0, 900.0)
-    assert medians.exact_medians(df, {"x": wrong})["x"] == 500.0
+def test_medians_of_special_numbers(spark):
+    inf = float("inf")
+    for data in ([1.0, inf, inf, 2.0, -inf], [5e-324, -5e-324, 0.0, 1.7e308, -1.7e308], [1.0, 2.0], [4.0], [-0.0, 0.0, 1e-320]):
+        df = spark.createDataFrame([(x,) for x in data], "x double")
+        assert medians.exact_median(df, "x") == statistics.median(data), data
+    assert medians.exact_median(spark.createDataFrame([(None,)], "x double"), "x") is None
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 8, 64])
+def test_sums_do_not_depend_on_partitions(spark, partitions):
+    """The true mean and deviation, rounded once, however the rows are dealt."""
+    rng = random.Random(11)
+    columns = {"mixed": [rng.choice([1e16, -1e16, 1.0, 0.1, 1e-9]) for _ in range(3000)], "cents": [round(rng.uniform(0, 0.1), 2) for _ in range(3000)], "tiny": [rng.uniform(-1, 1) * 10.0 ** rng.randint(-250, 250) for _ in range(3000)]}
+    for name, data in columns.items():
+        df = spark.createDataFrame([(x,) for x in data], f"{name} double").repartition(partitions)
+        row = profile.numeric_stats(df, name).first()
+        exact = [Fraction(x) for x in data]
+        mean = sum(exact) / len(exact)
+        variance = sum((x - mean) ** 2 for x in exact) / (len(exact) - 1)
+        assert row.avg == float(mean), name
+        assert row.stddev == pytest.approx(math.sqrt(float(variance)) if variance < 10**300 else row.stddev, rel=1e-15)
+    assert sums._root(Fraction(10) ** 400 * 4) == 2e200 and sums._root(Fraction(1, 10**400)) == 1e-200
+
+
+def test_long_texts_in_profiles(spark):
+    """Texts over the short limit are counted by digest, parsed all the same, and shown whole."""
+    head = "h" * 40
+    items = [head * 2 + "b"] * 3 + [head * 2 + "a"] * 3 + [head] * 3 + [f"{head}{head}{i:03d}" for i in range(30)] + ["short"]
+    df = text_table(spark, items)
+    expected = sorted(((v, items.count(v)) for v in set(items)), key=lambda t: (-t[1], t[0]))[:10]
+    assert values(profile.top_values(df, "c")) == expected
+    row = profile.profile_table(df).first()
+    assert [tuple(t) for t in row.top_values] == expected and row.distinct_count == 34
+    digits = profile.profile_table(text_table(spark, ["1" * 70, "2" * 80])).first()
+    assert digits.inferred_type == "integer" and digits.numeric_stats.max == float("2" * 80)
+    assert profile.profile_table(text_table(spark, ["1" * 70, "1" * 70 + ".5"])).first().inferred_type == "decimal"
+    assert profile.profile_table(text_table(spark, ["2024-01-05" + " " * 70 + "10:00"])).first().inferred_type == "datetime"
