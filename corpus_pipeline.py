@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sheetloom.llm import jaccard, langid, packing, pii, suffixes
 from sheetloom.llm.common import keep
+from sheetloom.sources.splits import pin
 
 ORACLE_SQL = None
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,19 +29,32 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _documents(named.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)))
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by word five-grams at a similarity of 0.8 or more the one with the smallest id stays.
+def _with_row(docs: DataFrame) -> DataFrame:
+    """Documents with a number for every row, so that rows without an id or with a repeated one are documents like others.
 
-    A document without an id cannot be compared by id and stays; rows that repeat an id stand or fall together.
+    In a table read from files, which is what stages get, the number follows from how Spark cuts the files, and ``pin`` keeps that the same for all jobs of a
+    stage. Other frames may come in another order in every job and are written first.
     """
-    groups = jaccard.similar_components(docs.select(F.col("doc_id").alias("id"), "text"), 5, 4, 5)
-    gone = groups.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    pin(docs.sparkSession)
+    rows = docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id())
+    return rows if docs.inputFiles() else keep(rows, "numbered")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by word five-grams at a similarity of 0.8 or more one stays: that with the smallest id, rows without one last, then the first row."""
+    rows = _with_row(docs)
+    groups = jaccard.similar_components(rows.select(F.col("_row").alias("id"), "text"), 5, 4, 5).select("id", "component_id")
+    linked = groups.where(F.col("id") != F.col("component_id"))
+    members = linked.unionByName(linked.select(F.col("component_id").alias("id"), "component_id").distinct())
+    members = keep(members.join(rows.select(F.col("_row").alias("id"), "doc_id"), "id"), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "id"))["id"].alias("_row"))
+    gone = members.select(F.col("id").alias("_row")).join(first, "_row", "left_anti")
+    return rows.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of passages of 50 words or more are cut; a document that is nothing but copies stays with an empty text."""
-    return _documents(suffixes.without_copies(docs.select(*COLUMNS)))
+    return _documents(suffixes.without_copies(_with_row(docs), "_row"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
