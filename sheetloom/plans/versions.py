@@ -144,17 +144,18 @@ class DocumentStore:
         return self.publish(self.prepare(df), name, cause, **source)
 
     def create_many(self, df: DataFrame, keys: Sequence[str], name: Column, **source: Column) -> list[str]:
-        """New documents from the rows of one frame, one per distinct ``keys``; returns their ids.
+        """New documents from the rows of one frame, one per distinct ``keys``; returns their ids. Row ids are made unless the rows bring them.
 
         One job writes all rows into a folder per document, one reads the counts, one appends the log rows.
         """
         batch, started = uuid.uuid4().hex, time.monotonic()
         path = self._fresh_path("batches", "data")
         document_id = F.md5(F.concat_ws("|", F.lit(batch), *[cell(k).cast("string") for k in keys]))
-        columns = [c for c in df.columns if c not in keys]
+        columns = [c for c in df.columns if c not in keys and c != ROW_ID]
+        row_id = cell(ROW_ID) if ROW_ID in df.columns else F.monotonically_increasing_id().alias(ROW_ID)
         check_width(len(columns))
         try:
-            tagged = df.select(document_id.alias("_document_id"), *[cell(k) for k in keys], F.monotonically_increasing_id().alias(ROW_ID), *[cell(c) for c in columns])
+            tagged = df.select(document_id.alias("_document_id"), *[cell(k) for k in keys], row_id, *[cell(c) for c in columns])
             tagged.write.partitionBy("_document_id").parquet(path)
             written = self.spark.read.parquet(path)
             counted = written.groupBy("_document_id", *[cell(k) for k in keys]).agg(F.count("*").alias("rows"))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sheetloom.functions.text import blank
+from sheetloom.operators.grid import ROW_ID
 from sheetloom.plans.versions import DocumentError, DocumentStore, check_width
 from sheetloom.session import scratch_dir
 from sheetloom.sources.delimited import named_rows, survey
 from sheetloom.sources.headers import SCAN_ROWS, detect_headers, unique_names
+from sheetloom.sources.splits import stored
 from sheetloom.sources.workbooks import cells_of, workbook_rows
 
 SHEET = ["path", "sheet_index", "sheet"]
@@ -50,35 +52,38 @@ def ingest_delimited(store: DocumentStore, path: str | Sequence[str], name: str
 
 
 def find_headers(spark: SparkSession, path: str, sheets: Sequence[str] = ()) -> DataFrame:
-    """Header row and width of the named sheets, or of all; only the first rows of each sheet are parsed."""
+    """Header row and width of the named sheets, or of all; sheets are unpacked no further than their first rows."""
     return detect_headers(cells_of(workbook_rows(spark, path, sheets, last_row=SCAN_ROWS)), SHEET)
 
 
 def table_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
     """Rows of each sheet's table: from the header row down to the first empty row, cut at the header's last column.
 
-    Further columns of ``headers`` stay with the rows.
+    Further columns of ``headers`` stay with the rows. The table ends at the first row without a filled one behind it, found by an anti-join of row numbers, so
+    no task needs all rows of a sheet.
     """
     inside = rows.join(headers, SHEET).where("row_number >= header_row")
     filled = F.exists("cells", lambda c: ~blank(c))
     clipped = inside.withColumn("cells", F.slice("cells", F.lit(1), F.col("column_count"))).where(filled)
-    # One sheet holds at most 1,048,576 rows, so its window is bounded.
-    in_order = Window.partitionBy(*SHEET).orderBy("row_number")
-    unbroken = clipped.withColumn("position", F.row_number().over(in_order))
-    return unbroken.where("row_number = header_row + position - 1").drop("position")
+    numbers = clipped.select(*SHEET, "row_number")
+    ahead = clipped.select(*SHEET, (F.col("row_number") - 1).alias("row_number"))
+    ends = numbers.join(ahead, [*SHEET, "row_number"], "left_anti").groupBy(*SHEET).agg(F.min("row_number").alias("_end"))
+    return clipped.join(ends, SHEET).where(F.col("row_number") <= F.col("_end")).drop("_end")
 
 
 def fleet_tables(spark: SparkSession, path: str, sheets: Sequence[str] = ()) -> list[tuple[list[str], DataFrame]]:
     """One text table per distinct header of all chosen sheets of all workbooks at a path; all sheets when none is chosen.
 
-    Sheets with equal headers are read together, so a fleet of workbooks costs one job per layout, not one per file. Every
-    table keeps its rows' origin in ``_path``, ``_sheet_index``, ``_sheet`` and ``_row_number``.
+    Every workbook is opened once: its rows are written to the shared folder, and headers, table ends and tables are made from there. Sheets with equal headers
+    are read together, so a fleet of workbooks costs one job per layout, not one per file. Every table keeps its rows' origin in ``_path``,
+    ``_sheet_index``, ``_sheet``, ``_row_number`` and ``_header_row``.
     """
-    headers = _named_headers(spark, path, sheets).withColumn("layout", F.md5(F.to_json("names")))
+    raw = stored(workbook_rows(spark, path, sheets), "rows")
+    headers = _named_headers(raw).withColumn("layout", F.md5(F.to_json("names")))
     layouts = sorted(headers.select("layout", "names").distinct().collect(), key=lambda row: row.names)
-    rows = table_rows(workbook_rows(spark, path, sheets), headers.drop("names")).where("row_number > header_row")
+    rows = table_rows(raw, headers.drop("names")).where("row_number > header_row")
     if len(layouts) > 1:
-        # Unpack every workbook once, not once per layout.
+        # Tables are told apart by folder, so that each layout reads its own rows.
         folder = scratch_dir(spark, "sheets")
         rows.write.partitionBy("layout").parquet(folder)
         rows = spark.read.parquet(folder)
@@ -86,32 +91,27 @@ def fleet_tables(spark: SparkSession, path: str, sheets: Sequence[str] = ()) ->
     for layout in layouts:
         names = unique_names(layout.names)
         body = rows.where(F.col("layout") == layout.layout)
-        origin = [F.col(c).alias(f"_{c}") for c in (*SHEET, "row_number")]
+        origin = [F.col(c).alias(f"_{c}") for c in (*SHEET, "row_number", "header_row")]
         fields = [F.get("cells", F.lit(i)).alias(name) for i, name in enumerate(names)]
         tables.append((names, body.select(*origin, *fields)))
     return tables
 
 
-def _named_headers(spark: SparkSession, path: str, sheets: Sequence[str] = ()) -> DataFrame:
-    """One row per sheet: its place, header row, width and the raw names, padded to the width.
-
-    Written to the shared folder once, since every layout needs it and computing it opens all workbooks.
-    """
-    headers = find_headers(spark, path, sheets)
-    top = workbook_rows(spark, path, sheets, last_row=SCAN_ROWS).withColumnRenamed("row_number", "header_row")
-    padded = F.transform(F.sequence(F.lit(0), F.col("column_count") - 1), lambda i: F.nullif(F.trim(F.get("cells", i)), F.lit("")))
-    named = headers.join(top, [*SHEET, "header_row"]).select(*SHEET, "header_row", "column_count", F.coalesce(padded, F.array()).alias("names"))
-    folder = scratch_dir(spark, "headers")
-    named.select(*SHEET, "header_row", "column_count", F.transform("names", lambda n: F.coalesce(n, F.lit(""))).alias("names")).write.parquet(folder)
-    return spark.read.parquet(folder)
+def _named_headers(rows: DataFrame) -> DataFrame:
+    """One row per sheet: its place, header row, width and the raw names, padded to the width, from the first rows of each sheet."""
+    top = stored(rows.where(F.col("row_number") <= SCAN_ROWS), "top-rows")
+    headers = detect_headers(cells_of(top), SHEET)
+    padded = F.transform(F.sequence(F.lit(0), F.col("column_count") - 1), lambda i: F.coalesce(F.trim(F.get("cells", i)), F.lit("")))
+    named = headers.join(top.withColumnRenamed("row_number", "header_row"), [*SHEET, "header_row"])
+    return stored(named.select(*SHEET, "header_row", "column_count", F.coalesce(padded, F.array()).alias("names")), "headers")
 
 
 def ingest_workbooks(store: DocumentStore, path: str, sheets: Sequence[str] = ()) -> list[str]:
-    """One document per chosen sheet, named after the sheet: one write per layout and one log batch for all documents."""
+    """One document per chosen sheet, named after the sheet: one write per layout and one log batch for all documents. Row ids follow the sheet."""
     documents = None
     for names, rows in fleet_tables(store.spark, path, sheets):
         stored = store.create_many(
-            rows.drop("_row_number"),
+            rows.withColumn(ROW_ID, F.col("_row_number") - F.col("_header_row") - 1).drop("_row_number", "_header_row"),
             keys=["_path", "_sheet_index", "_sheet"],
             name=F.col("_sheet"),
             source_type=F.lit("xlsx"),

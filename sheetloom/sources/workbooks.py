@@ -1,19 +1,18 @@
-"""Spreadsheet workbooks as a Spark data source.
+"""Spreadsheet workbooks in and out.
 
-Reading: one input partition per (workbook, sheet), so a fleet of workbooks is read in parallel; rows stream out of the zip
-in Arrow batches. A sheet holds at most 1,048,576 rows, which bounds a partition. Writing: each task streams its rows into
-workbooks of its own and starts a new one when a sheet is full.
+Reading takes two stages. Spark lists the files; a task opens a workbook once, unpacks its sheets and cuts the markup behind rows into chunks of about
+``CHUNK_BYTES``, with the shared strings that a chunk refers to and the number of the row before it. The chunks are dealt out and parsed, so the rows of one large
+sheet come from many tasks, and neither the driver nor planning opens a workbook. Writing: each task streams its rows into workbooks of its own and
+starts a new one when a sheet is full.
 """
 
 from __future__ import annotations
 
-import json
 import posixpath
 import re
 import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import lru_cache
 from xml.etree.ElementTree import iterparse
@@ -23,7 +22,7 @@ from xml.sax.saxutils import escape
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from sheetloom.functions.text import cell, text_view
 from sheetloom.operators.grid import ROW_ID
@@ -31,7 +30,7 @@ from sheetloom.sources.headers import column_letters
 
 SOURCE = "sheetloom_workbook"
 BATCH_ROWS = 10_000
-LISTING_THREADS = 32
+CHUNK_BYTES = 2 << 20
 # The most rows of a sheet, the sheet name of an export, and the package parts of a workbook.
 SHEET_ROWS = 1_048_576
 EXPORT_SHEET = "Dados"
@@ -92,6 +91,78 @@ def _shared_strings(book: zipfile.ZipFile) -> list[str]:
     return strings
 
 
+# Markup of rows as bytes, with or without a prefix.
+ROW = re.compile(rb"<(?:[\w.-]+:)?row(?=[\s>/])([^>]*)>")
+ROW_END = re.compile(rb"</(?:[\w.-]+:)?row\s*>")
+ROW_NUMBER = re.compile(rb"""(?<![\w:])r\s*=\s*["'](\d+)["']""")
+BODY = re.compile(rb"<(?:[\w.-]+:)?sheetData(?=[\s>/])[^>]*>")
+BODY_END = re.compile(rb"</(?:[\w.-]+:)?sheetData\s*>")
+SHARED = re.compile(rb"""\bt\s*=\s*["']s["'][^>]*>(?:(?!</(?:[\w.-]+:)?c\s*>).)*?<(?:[\w.-]+:)?v(?=[\s>])[^>]*>\s*(\d+)""", re.DOTALL)
+
+
+def row_chunks(stream, size: int) -> Iterator[tuple[int, bool, bytes]]:
+    """(row number before, whole, markup) of a sheet, cut behind rows; a ``whole`` chunk is a document of its own.
+
+    Markup that cannot be cut by looking for row ends, in other encodings or from a CDATA section on, stays together.
+    """
+    buffer, number, started, ended = b"", 0, False, False
+    while True:
+        piece = stream.read(max(64, min(1 << 18, size)))
+        buffer, last = buffer + piece, not piece
+        if not started:
+            if buffer[:2] in (b"\xff\xfe", b"\xfe\xff") or re.match(rb"""<\?xml[^>]*encoding\s*=\s*["'](?!utf-8["'])""", buffer[:200], re.IGNORECASE):
+                yield 0, True, buffer + stream.read()
+                return
+            body = BODY.search(buffer)
+            if body is None:
+                if last:
+                    return
+                continue
+            if body[0].rstrip(b">").endswith(b"/"):
+                return
+            started, buffer, piece = True, buffer[body.end() :], b""
+        fresh = buffer[-len(piece) - 64 :] if piece else buffer  # what earlier rounds have not seen whole
+        if b"<![CDATA[" in fresh:
+            rest = buffer + stream.read()
+            ends = list(BODY_END.finditer(rest))
+            yield number, False, rest[: ends[-1].start()] if ends else rest
+            return
+        end = BODY_END.search(buffer) if b"sheetData" in fresh else None
+        ended = end is not None or last
+        if ended:
+            buffer = buffer[: end.start()] if end else buffer
+        elif len(buffer) < size:
+            continue
+        # Backwards in growing stretches: the last row end is near the end of the buffer.
+        cut, stretch = len(buffer) if ended else 0, 1 << 14
+        while not cut and stretch < 2 * len(buffer):
+            cut = max((m.end() for m in ROW_END.finditer(buffer, max(0, len(buffer) - stretch))), default=0)
+            stretch *= 4
+        if cut and buffer[:cut].strip():
+            chunk, buffer = buffer[:cut], buffer[cut:]
+            yield number, False, chunk
+            for row in ROW.finditer(chunk):
+                named = ROW_NUMBER.search(row[1])
+                number = int(named[1]) if named else number + 1
+        if ended:
+            return
+
+
+def chunk_rows(markup: bytes, before: int, whole: bool, strings: dict[int, str]) -> list[tuple[int, list[str | None]]]:
+    """``(row number, cells)`` of a chunk, from one event loop."""
+    found = _Rows(strings, before)
+    parser = expat.ParserCreate()
+    parser.buffer_text = True
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = found.start, found.end, found.text
+    if whole:
+        parser.Parse(markup, True)
+    else:
+        parser.Parse(b"<rows>", False)
+        parser.Parse(markup, False)
+        parser.Parse(b"</rows>", True)
+    return found.rows
+
+
 @lru_cache(maxsize=20_000)
 def _column_of(letters: str) -> int:
     column = 0
@@ -103,9 +174,9 @@ def _column_of(letters: str) -> int:
 class _Rows:
     """Parser events of one sheet, collected into finished rows."""
 
-    def __init__(self, strings: list[str], last_row: int | None):
-        self.strings, self.last_row = strings, last_row
-        self.number, self.column, self.cells = 0, -1, {}
+    def __init__(self, strings: dict[int, str], before: int):
+        self.strings = strings
+        self.number, self.column, self.cells = before, -1, {}
         self.kind, self.texts, self.inside = None, None, False
         self.rows: list[tuple[int, list[str | None]]] = []
         self.done = False
@@ -129,7 +200,6 @@ class _Rows:
         elif tag == "row":
             self.number = int(attributes.get("r") or self.number + 1)
             self.column, self.cells = -1, {}
-            self.done = self.done or (self.last_row is not None and self.number > self.last_row)
 
     def text(self, data: str) -> None:
         if self.inside:
@@ -142,7 +212,7 @@ class _Rows:
         elif tag == "c":
             text = None if self.texts is None else "".join(self.texts)
             if text is not None and self.kind == "s":
-                text = self.strings[int(text)] if text.strip().isdigit() and int(text) < len(self.strings) else None
+                text = self.strings.get(int(text)) if text.strip().isdigit() else None
             self.cells[self.column] = text
         elif tag == "row":
             if self.cells and not self.done:
@@ -151,20 +221,6 @@ class _Rows:
             self.done = True
 
 
-def sheet_rows(book: zipfile.ZipFile, part: str, last_row: int | None = None) -> Iterator[tuple[int, list[str | None]]]:
-    """``(row number, cells)`` in sheet order, from one event loop over the part; stops after ``last_row``."""
-    found = _Rows(_shared_strings(book), last_row)
-    parser = expat.ParserCreate()
-    parser.buffer_text = True
-    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = found.start, found.end, found.text
-    with book.open(part) as stream:
-        while not found.done and (chunk := stream.read(1 << 18)):
-            parser.Parse(chunk)
-            yield from found.rows
-            found.rows = []
-    yield from found.rows
-
-
 # --- files ---------------------------------------------------------------------------------------------------------
 
 
@@ -175,78 +231,53 @@ def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", re.sub(r"^s3[an]:", "s3:", path)))
 
 
-def _workbook_paths(path: str) -> list[str]:
-    """Workbooks at a path: one file, or all files below a folder."""
+def _open_book(path: str) -> zipfile.ZipFile:
     system, location = _filesystem(path)
-    found = system.get_file_info(location)
-    if found.type == pafs.FileType.File:
-        return [location]
-    below = system.get_file_info(pafs.FileSelector(location, recursive=True))
-    return sorted(f.path for f in below if f.is_file and f.path.lower().endswith(EXTENSIONS) and "/." not in f.path)
-
-
-def _open_book(root: str, path: str) -> zipfile.ZipFile:
-    return zipfile.ZipFile(_filesystem(root)[0].open_input_file(path))
+    return zipfile.ZipFile(system.open_input_file(location))
 
 
 # --- reader --------------------------------------------------------------------------------------------------------
 
-
-@dataclass
-class _Sheet(InputPartition):
-    path: str
-    index: int
-    name: str
-    part: str
-
-    def __post_init__(self):
-        super().__init__(None)
-
-
-class WorkbookReader(DataSourceReader):
-    def __init__(self, options: dict, schema: T.StructType):
-        self.root, self.schema = options["path"], schema
-        self.sheets = json.loads(options["sheets"]) if options.get("sheets") else None
-        self.last_row = int(options["lastrow"]) if options.get("lastrow") else None
-
-    def partitions(self) -> list[_Sheet]:
-        """One partition per sheet. Only the small sheet lists are read here, many at a time."""
-
-        def sheets_of(path: str) -> list[_Sheet]:
-            with _open_book(self.root, path) as book:
-                return [_Sheet(path, i, name, part) for i, (name, _, part) in enumerate(sheet_list(book))]
-
-        with ThreadPoolExecutor(LISTING_THREADS) as pool:
-            planned = [sheet for sheets in pool.map(sheets_of, _workbook_paths(self.root)) for sheet in sheets]
-        return [p for p in planned if p.part and (self.sheets is None or p.name in self.sheets)]
-
-    def read(self, partition: _Sheet) -> Iterator[pa.RecordBatch]:
-        if partition is None:
-            return
-        with _open_book(self.root, partition.path) as book:
-            numbers, cells = [], []
-            for number, row in sheet_rows(book, partition.part, self.last_row):
-                numbers.append(number)
-                cells.append(row)
-                if len(numbers) == BATCH_ROWS:
-                    yield self._batch(partition, numbers, cells)
-                    numbers, cells = [], []
-            if numbers:
-                yield self._batch(partition, numbers, cells)
-
-    @staticmethod
-    def _batch(partition: _Sheet, numbers: list, cells: list) -> pa.RecordBatch:
-        count = len(numbers)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([partition.path] * count, pa.string()),
-                pa.array([partition.index] * count, pa.int32()),
-                pa.array([partition.name] * count, pa.string()),
-                pa.array(numbers, pa.int64()),
-                pa.array(cells, pa.list_(pa.string())),
-            ],
-            ["path", "sheet_index", "sheet", "row_number", "cells"],
-        )
+CHUNKS_SCHEMA = "path string, sheet_index int, sheet string, chunk int, before bigint, whole boolean, markup binary, string_ids array<int>, strings array<string>"
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], wanted: tuple[str, ...] | None, last_row: int | None, size: int) -> Iterator[pa.RecordBatch]:
+    """The chunks of the wanted sheets of every workbook; those of one sheet up to ``last_row`` at least."""
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            with _open_book(path) as book:
+                strings: list[str] | None = None
+                for index, (name, _, part) in enumerate(sheet_list(book)):
+                    if not part or (wanted is not None and name not in wanted):
+                        continue
+                    with book.open(part) as stream:
+                        for chunk, (before, whole, markup) in enumerate(row_chunks(stream, size)):
+                            if last_row is not None and before >= last_row:
+                                break
+                            if strings is None and (whole or b"s" in markup):
+                                strings = _shared_strings(book)
+                            used = range(len(strings or ())) if whole or not strings else sorted({i for i in map(int, SHARED.findall(markup)) if i < len(strings)})
+                            values = [path, index, name, chunk, before, whole, markup, list(used), [strings[i] for i in used]]
+                            kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.string())]
+                            yield pa.record_batch([pa.array([v], k) for v, k in zip(values, kinds)], names=["path", "sheet_index", "sheet", "chunk", "before", "whole", "markup", "string_ids", "strings"])
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for c in batch.to_pylist():
+            rows = chunk_rows(c["markup"], c["before"], c["whole"], dict(zip(c["string_ids"], c["strings"])))
+            for start in range(0, len(rows), BATCH_ROWS):
+                part = rows[start : start + BATCH_ROWS]
+                n = len(part)
+                columns = [pa.array([c["path"]] * n, pa.string()), pa.array([c["sheet_index"]] * n, pa.int32()), pa.array([c["sheet"]] * n, pa.string())]
+                numbers, cells = zip(*part)
+                yield pa.record_batch([*columns, pa.array(numbers, pa.int64()), pa.array(cells, pa.list_(pa.string()))], names=["path", "sheet_index", "sheet", "row_number", "cells"])
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """The workbooks at a path, listed by Spark without their contents."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xls[xm]").option("recursiveFileLookup", "true").load(path)
+    return files.select("path")
 
 
 # --- writer --------------------------------------------------------------------------------------------------------
@@ -365,9 +396,6 @@ class WorkbookSource(DataSource):
     def schema(self) -> str:
         return ROWS_SCHEMA
 
-    def reader(self, schema: T.StructType) -> WorkbookReader:
-        return WorkbookReader(self.options, schema)
-
     def writer(self, schema: T.StructType, overwrite: bool) -> WorkbookWriter:
         return WorkbookWriter(self.options, schema, overwrite)
 
@@ -379,35 +407,33 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WorkbookSource)
 
 
-def workbook_rows(spark: SparkSession, path: str, sheets: Sequence[str] = (), last_row: int | None = None) -> DataFrame:
-    """Raw rows of the named sheets, or of all, of all workbooks at a path; other sheets are not opened."""
-    register(spark)
-    reader = spark.read.format(SOURCE).option("path", path)
-    if sheets:
-        reader = reader.option("sheets", json.dumps(list(sheets)))
-    if last_row is not None:
-        reader = reader.option("lastRow", last_row)
-    return reader.load()
+def workbook_rows(spark: SparkSession, path: str, sheets: Sequence[str] = (), last_row: int | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Raw rows (path, sheet_index, sheet, row_number, cells) of the named sheets, or of all, of all workbooks at a path; other sheets are not unpacked.
 
-
-def workbook_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Name, position and visibility of every sheet of every workbook at a path.
-
-    Spark lists the files without their contents; each task seeks to the sheet list of its workbooks.
+    Rows with a cell only. With ``last_row``, unpacking ends with the chunk that holds it.
     """
+    wanted = tuple(sheets) or None
+    chunks = _files(spark, path).mapInArrow(lambda batches: _unpacked(batches, wanted, last_row, chunk_bytes), CHUNKS_SCHEMA)
+    # A number of tasks that is asked for is kept, whatever the size of the packed markup says.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = chunks.repartition(tasks, "path", "sheet_index", "chunk")
+    rows = dealt.mapInArrow(_parsed, ROWS_SCHEMA)
+    return rows if last_row is None else rows.where(F.col("row_number") <= last_row)
+
 
-    def list_sheets(batches):
-        import pandas as pd
+def workbook_inventory(spark: SparkSession, path: str) -> DataFrame:
+    """Name, position and visibility of every sheet of every workbook at a path; each task seeks to the sheet list of its workbooks."""
 
+    def list_sheets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for file in batch["path"]:
-                with _open_book(file, _filesystem(file)[1]) as book:
+            for file in batch.column("path").to_pylist():
+                with _open_book(file) as book:
                     found += [(file, i, name, state) for i, (name, state, _) in enumerate(sheet_list(book))]
-            yield pd.DataFrame(found, columns=["path", "sheet_index", "sheet", "visibility"])
+            columns = list(zip(*found)) or [[]] * 4
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.string()))], names=["path", "sheet_index", "sheet", "visibility"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xls[xm]").option("recursiveFileLookup", "true").load(path)
-    return files.select("path").mapInPandas(list_sheets, SHEETS_SCHEMA)
+    return _files(spark, path).mapInArrow(list_sheets, SHEETS_SCHEMA)
 
 
 def write_workbooks(df: DataFrame, path: str, rows_per_file: int = SHEET_ROWS, mode: str = "append") -> None:

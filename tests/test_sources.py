@@ -1,3 +1,4 @@
+import io
 import random
 import zipfile
 from pathlib import Path
@@ -271,7 +272,7 @@ def test_tags_in_a_named_namespace(spark, tmp_path):
     path = book(tmp_path / "p.xlsx", [("Harvest", "visible", rows)], prefix="ss")
     assert values(ingest.find_headers(spark, path), "header_row", "column_count") == [(1, 2)]
     ((names, rows),) = ingest.fleet_tables(spark, path)
-    assert names == ["field", "crop"] and values(rows, *names) == [("051", "rye"), ("052", "oat"), ("053", "hop")]
+    assert names == ["field", "crop"] and sorted(values(rows, *names)) == [("051", "rye"), ("052", "oat"), ("053", "hop")]
 
 
 def test_every_way_to_store_a_cell(spark, tmp_path):
@@ -282,7 +283,7 @@ def test_every_way_to_store_a_cell(spark, tmp_path):
         '<row><c><v>5</v></c><c/><c t="s"><v>99</v></c></row>'
     )
     path = book(tmp_path / "k.xlsx", [("tones", "visible", data)], ["<r><t>tu</t></r><r><t>ned</t></r>", "<t>hertz</t><rPh><t>x</t></rPh>"])
-    rows = values(workbooks.workbook_rows(spark, path), "row_number", "cells")
+    rows = sorted(values(workbooks.workbook_rows(spark, path), "row_number", "cells"))
     assert rows == [(1, ["hertz", "pitch", "tuned"]), (2, ["440.5", "A flat", "0"]), (3, [None, "low < high", "#N/A"]), (4, ["5", None, None])]
     assert values(ingest.find_headers(spark, path), "header_row", "column_count") == [(1, 3)]
 
@@ -291,7 +292,7 @@ def test_table_is_clipped_and_ends_at_the_first_empty_row(spark, tmp_path):
     rows = {1: ["TITULO"], 2: ["a", "b", "a", None], 3: ["1", "2", "3", "right of the table"], 4: [None, "5"], 5: [None, None, None, "outside"], 6: ["after", "a", "gap"]}
     path = book(tmp_path / "c.xlsx", [("s", "visible", inline(rows))])
     ((names, table),) = ingest.fleet_tables(spark, path)
-    assert names == ["a", "b", "a_2"] and values(table, *names) == [("1", "2", "3"), (None, "5", None)]
+    assert names == ["a", "b", "a_2"] and values(table.orderBy("_row_number"), *names) == [("1", "2", "3"), (None, "5", None)]
 
 
 def test_fleet_of_layouts(spark, tmp_path):
@@ -331,3 +332,61 @@ def test_overwrite_replaces_the_old_export(spark, tmp_path):
 def test_empty_export_still_has_a_header(spark, tmp_path):
     workbooks.write_workbooks(spark.createDataFrame([], "a string, b string"), str(tmp_path / "none"))
     assert values(workbooks.workbook_rows(spark, str(tmp_path / "none")), "cells") == [(["a", "b"],)]
+
+
+# --- sheets in chunks ---
+
+
+def rows_of_chunks(data: bytes, size: int, strings=()):
+    found = []
+    for before, whole, markup in workbooks.row_chunks(io.BytesIO(data), size):
+        found += workbooks.chunk_rows(markup, before, whole, dict(enumerate(strings)))
+    return found
+
+
+@pytest.mark.parametrize("size", [1, 200, 5000, 1 << 20])
+@pytest.mark.parametrize("form", ["plain", "prefix", "numberless", "cdata", "utf-16", "empty", "none"])
+def test_chunks_hold_every_row(size, form):
+    """However the markup is cut, the rows are those of the whole sheet."""
+    p = "x:" if form == "prefix" else ""
+    rng = random.Random(3)
+    rows, body, number = [], "", 0
+    for i in range(0 if form in ("empty", "none") else 300):
+        number = number + 1 if form == "numberless" and i % 3 else number + rng.choice([1, 1, 4])
+        place = "" if form == "numberless" and i % 3 else f' r="{number}"'
+        text = f"row {i} " + "w" * rng.randrange(90)
+        shown = f"<![CDATA[</row>{text}]]>" if form == "cdata" and i == 150 else text
+        body += f'<{p}row spans="1:2"{place}><{p}c t="inlineStr"><{p}is><{p}t>{shown}</{p}t></{p}is></{p}c><{p}c t="s"><{p}f>A1</{p}f><{p}v>{i % 2}</{p}v></{p}c></{p}row>'
+        rows.append((number, [f"</row>{text}" if form == "cdata" and i == 150 else text, ["no", "yes"][i % 2]]))
+    sheet = f"<{p}sheetData/>" if form == "none" else f"<{p}sheetData>{body}</{p}sheetData>"
+    text = f'<?xml version="1.0" encoding="{"utf-16" if form == "utf-16" else "UTF-8"}"?><{p}worksheet xmlns{":x" if p else ""}="{MAIN}"><{p}cols/>{sheet}<{p}mergeCells/></{p}worksheet>'
+    assert rows_of_chunks(text.encode("utf-16" if form == "utf-16" else "utf-8"), size, ["no", "yes"]) == rows
+
+
+def test_a_sheet_is_parsed_by_many_tasks_and_opened_once(spark, tmp_path):
+    data = inline({1: ["k", "v"]} | {i: [str(i), f"value {i}"] for i in range(2, 6000)})
+    path = book(tmp_path / "one.xlsx", [("s", "visible", data)])
+    rows = workbooks.workbook_rows(spark, path, chunk_bytes=20_000)
+    assert rows.withColumn("task", F.spark_partition_id()).groupBy("task").count().count() >= 8
+    found = sorted(values(rows, "row_number", "cells"))
+    assert found == [(1, ["k", "v"])] + [(i, [str(i), f"value {i}"]) for i in range(2, 6000)]
+    # Opening is seen from outside: what an ingest needs of the file must not be there for a second look.
+    raw = workbooks.workbook_rows(spark, path)
+    assert raw.rdd.getNumPartitions() >= 8
+    opened = tmp_path / "opened"
+
+    def counted(batches):
+        for batch in batches:
+            with open(opened, "a") as log:
+                log.write("x" * batch.num_rows)
+            yield batch
+
+    listed = workbooks._files
+    try:
+        workbooks._files = lambda s, p: listed(s, p).mapInArrow(counted, "path string")
+        store = DocumentStore(spark, scratch_dir(spark, "store"))
+        (doc,) = ingest.ingest(store, path)
+    finally:
+        workbooks._files = listed
+    assert opened.read_text() == "x"
+    assert sorted(values(store.read(doc), "_row_id", "k")) == [(i - 2, str(i)) for i in range(2, 6000)]
