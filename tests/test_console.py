@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import values
 from sheetloom import scratch_dir
@@ -25,23 +26,63 @@ def test_writing_behind_with_is_refused(spark):
         console.run_query(spark, "WITH a AS (SELECT 1 AS x) INSERT INTO t SELECT * FROM a")
 
 
+FOLDER = "/root/testdata/sf0.001"
+
+
 def test_document_context(spark):
-    df = spark.createDataFrame([(5, "Aiquara", "12000")], "_row_id bigint, `MUNICÍPIO` string, `TOTAL PAGO` string")
-    console.document_context(df, "ADIMPLENTES POR PAGAMENTO")
-    for name in ("documento", '"ADIMPLENTES POR PAGAMENTO"'):
-        assert values(console.run_query(spark, f'SELECT "MUNICÍPIO", "TOTAL PAGO" FROM {name}')) == [("Aiquara", "12000")]
-    assert console.result_schema(spark, "select * from documento").names == ["MUNICÍPIO", "TOTAL PAGO"]
+    regions = spark.read.parquet(f"{FOLDER}/region.parquet").select("r_regionkey", F.col("r_name").alias("Name der Region"))
+    console.document_context(regions, "Regions, all of them")
+    for name in ("documento", '"Regions, all of them"'):
+        assert values(console.run_query(spark, f'SELECT upper("Name der Region") FROM {name} WHERE r_regionkey = 1')) == [("AMERICA",)]
+    assert console.result_schema(spark, "select * from documento").names == ["r_regionkey", "Name der Region"]
     assert spark.conf.get("spark.sql.ansi.doubleQuotedIdentifiers") == "false"
 
 
 def test_workspace_join(spark):
-    pupils = spark.createDataFrame([("001", "Ana")], "matricula string, nome string")
-    marks = spark.createDataFrame([("001", "10")], "matricula string, nota string")
-    console.workspace_context([("alunos", pupils), ("notas", marks)])
-    joined = console.run_query(spark, "SELECT a.nome || ':' || n.nota AS x FROM alunos a JOIN notas n ON a.matricula = n.matricula")
-    assert values(joined) == [("Ana:10",)]
-    with pytest.raises(QueryError, match="duplicado"):
-        console.workspace_context([("Duplicado", pupils), (" duplicado ", marks)])
+    tables = {name: spark.read.parquet(f"{FOLDER}/{name}.parquet") for name in ("nation", "region")}
+    console.workspace_context(list(tables.items()))
+    joined = console.run_query(spark, "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey < 3 ORDER BY 1")
+    expected = tables["nation"].join(tables["region"], F.col("n_regionkey") == F.col("r_regionkey")).where("n_nationkey < 3").select("n_name", "r_name")
+    assert values(joined) == sorted(values(expected))
+    with pytest.raises(QueryError, match="Region "):
+        console.workspace_context([("region", tables["region"]), ("Region ", tables["nation"])])
+
+
+def test_only_documents_are_read(spark):
+    """Files, tables, views of others, alone or inside sub-queries and WITH, are refused; what the query writes itself is not."""
+    spark.range(7).createOrReplaceTempView("foreign_view")
+    console.workspace_context([("mine", spark.range(3)), ("other mine", spark.range(2))])
+    file = f"parquet.`{FOLDER}/region.parquet`"
+    for text in (
+        f"SELECT * FROM {file}",
+        "SELECT * FROM foreign_view",
+        "SELECT * FROM mine WHERE id IN (SELECT id FROM foreign_view)",
+        "WITH a AS (SELECT * FROM foreign_view) SELECT * FROM mine JOIN a USING (id)",
+        "SELECT (SELECT max(id) FROM foreign_view) AS x FROM mine",
+        f"SELECT 1 FROM mine WHERE EXISTS (SELECT 1 FROM {file})",
+        "DESCRIBE foreign_view",
+        "EXPLAIN SELECT * FROM foreign_view",
+        "SHOW FUNCTIONS",
+    ):
+        with pytest.raises(QueryError):
+            console.run_query(spark, text)
+    for text, n in (
+        ('WITH a AS (SELECT * FROM mine) SELECT * FROM a JOIN "other mine" USING (id) WHERE id IN (SELECT id FROM a)', 2),
+        ("SELECT * FROM VALUES (1), (2) AS t(x)", 2),
+        ("SELECT 1 AS x UNION ALL SELECT count(*) FROM mine", 2),
+        ("SHOW VIEWS", 2),
+    ):
+        assert console.run_query(spark, text).count() == n, text
+
+
+def test_a_view_of_the_owner_comes_back(spark):
+    spark.range(9).createOrReplaceTempView("shared_name")
+    console.workspace_context([("Shared_Name", spark.range(1))])
+    assert console.run_query(spark, "SELECT * FROM shared_name").count() == 1
+    console.workspace_context([("mine", spark.range(3))])
+    assert spark.table("shared_name").count() == 9
+    with pytest.raises(QueryError):
+        console.run_query(spark, "SELECT * FROM shared_name")
 
 
 def test_show_describe_explain(spark):
