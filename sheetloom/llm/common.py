@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheetloom.plans import files
 from sheetloom.session import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +78,13 @@ def keep(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete kept tables that no later result reads; what was made of them is written by then, so a lost executor needs them no more."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            files.delete(df.sparkSession, file.rpartition("/")[0])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers."""
     x = x.astype(np.uint64, copy=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetloom.llm.common import keep
+from sheetloom.llm.common import keep, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,7 +18,8 @@ def components(edges: DataFrame) -> DataFrame:
     pairs = keep(_directed(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))), "edges")
     before = None
     while True:
-        pairs = keep(_small(_large(pairs)), "stars")
+        last, pairs = pairs, keep(_small(_large(pairs)), "stars")
+        release(last)
         state = pairs.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.col("b").cast("decimal(38,0)"))).collect()[0]
         if state == before:
             break

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sheetloom.llm.common import keep, mix, query, shingle_set, signed, table, whole_text, word_lists
+from sheetloom.llm.common import keep, mix, query, release, shingle_set, signed, table, whole_text, word_lists
 from sheetloom.llm.components import components
 
 BUCKET_BITS = 22
@@ -186,6 +186,7 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     entries = keep(prefixes(docs, k, num, den, excess), "prefixes")
     several = entries.groupBy("token").agg(F.min("key").alias("_low"), F.max("key").alias("_high")).where(F.col("_low") != F.col("_high")).select("token")
     shared = keep(entries.join(several, "token", "left_semi"), "shared")
+    release(entries)
 
     reps = classes.select("key", "rep", F.col("n").alias("size"))
     close = num * F.greatest("size_a", "size_b") <= den * F.least("size_a", "size_b")
@@ -205,7 +206,9 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     hubs = shared.select("token", "key", "n").join(holders, "token").select("token", "key", "n", F.explode("hubs").alias("hub"))
     hubs = hubs.where(F.col("key") != F.col("hub")).groupBy("key", "hub").agg(F.countDistinct("token").alias("met"), F.first("n").alias("n"))
     hubs = candidates(hubs.where(F.col("met") * 3 * den >= F.col("n") * (den - num)).select(F.col("key").alias("x"), F.col("hub").alias("y")))
-    links = keep(verified(keep(hubs, "hubs"), docs, k, num, den), "links")
+    hubs = keep(hubs, "hubs")
+    links = keep(verified(hubs, docs, k, num, den), "links")
+    release(hubs)
     first = components(links)
 
     # Keys of one component take its smallest id; a key alone stays itself. Both kinds of names are told apart by ``joined``.
@@ -214,16 +217,19 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     placed = shared.distinct().join(homes, "key", "left")
     placed = placed.withColumns({"home": F.coalesce("component", "key"), "joined": F.coalesce("joined", F.lit(0))})
     placed = keep(placed.withColumn("home", F.struct("joined", "home")).select("token", "key", "n", "place", "level", "matches", "home"), "placed")
+    release(shared)
     # A prefix shingle that nobody outside a class's component holds is no part of any overlap that is looked for. What is left bounds the overlap; classes
     # that cannot reach the least one asked of them go, and their shingles with them, which may free others.
-    mixed = placed
+    mixed = mixed_before = placed
     for _ in range(PRUNINGS):
         across = mixed.groupBy("token").agg(F.min("home").alias("_low"), F.max("home").alias("_high")).where(F.col("_low") != F.col("_high")).select("token")
         mixed = mixed.join(across, "token", "left_semi")
         left = mixed.groupBy("key").agg(F.count_distinct("token").alias("_held"), F.first("n").alias("_n"), F.first("matches").alias("_m"))
         outside = F.ceil(num * F.col("_n") / den) - F.col("_m")  # the set beyond the prefix
         left = left.select("key", (F.col("_held") + outside).alias("reach"), F.ceil(num * F.col("_n") / den).alias("_least")).where(F.col("reach") >= F.col("_least")).drop("_least")
-        mixed = keep(mixed.drop("reach").join(left, "key"), "mixed")
+        before, mixed = mixed_before, keep(mixed.drop("reach").join(left, "key"), "mixed")
+        mixed_before = mixed
+        release(before)
     # A pair comes from the first shingle that both prefixes hold: not from one where some of the nearest before it are shared as well. A pair that meets again
     # after a longer gap comes twice, which costs a row.
     nearest = Window.partitionBy("key").orderBy("place").rowsBetween(-NEAREST, -1)
@@ -246,9 +252,11 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     needed = F.ceil(num * (F.col("a.n") + F.col("b.n")) / (num + den)) - rest
     leading = F.size(F.array_intersect(among("a", asked), among("b", asked)))
     met = met.where((leading >= asked) & (F.size(F.array_intersect(among("a"), among("b"))) >= needed))
-    more = verified(keep(candidates(met.select("x", "y")), "crossing"), docs, k, num, den)
+    crossing = keep(candidates(met.select("x", "y")), "crossing")
+    more = keep(verified(crossing, docs, k, num, den), "links")
+    release(mixed, crossing)
 
-    final = components(links.unionByName(keep(more, "links")))
+    final = components(links.unionByName(more))
     named = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("key", "first", "second", "n", F.coalesce("component", "rep").alias("component_id"))
     out = sets.join(named, ["key", "first", "second", "n"], "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

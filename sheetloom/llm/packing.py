@@ -169,10 +169,11 @@ def sized(docs: DataFrame, id_column: str = "doc_id", *others: str) -> DataFrame
 def packed_texts(docs: DataFrame, id_column: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
     """(shard, bin, slot, doc_id, piece, n_pieces, n_chars, text): the sequences with their texts, every character of every row once."""
     placed = _placed(sized(docs, id_column), capacity, SHARD_ROWS)
-    # Rows of one id and text are alike here, so one text serves all their placements.
-    one = docs.select(F.col(id_column).cast("long").alias("_id"), _digest().alias("_digest"), whole_text().alias("text"))
-    one = one.groupBy("_id", "_digest").agg(F.min("text").alias("text"))
-    found = placed.join(one, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
+    # Rows of one id and text are alike here, so one text serves all their placements. Both sides have the same keys, so texts are dealt out once.
+    own = {"_key": F.coalesce(F.col(id_column).cast("long"), F.lit(0)), "_none": F.col(id_column).isNull(), "_digest": _digest()}
+    one = docs.select(*[c.alias(n) for n, c in own.items()], whole_text().alias("text")).groupBy(*own).agg(F.min("text").alias("text"))
+    keyed = placed.withColumns({"_key": F.coalesce("id", F.lit(0)), "_none": F.col("id").isNull(), "_digest": F.col("digest")})
+    found = keyed.join(one, list(own))
     return found.select("shard", "bin", "slot", F.col("id").alias("doc_id"), "piece", "n_pieces", F.col("size").alias("n_chars"), F.substring("text", F.col("piece") * capacity + 1, F.col("size")).alias("text"))
 
 
