@@ -8,6 +8,9 @@ from llm_tables import edges, make  # noqa: F401
 from sheetloom.llm import bpe, fingerprints, jaccard, langid, packing, pii, suffixes, tokens, topk, toxicity
 
 
+KEY = "a key for tests"
+
+
 @pytest.fixture(scope="module")
 def docs(make, edges):
     return make(edges)
@@ -33,10 +36,10 @@ def test_tokens(docs, none, edges):
 
 
 def test_pii(docs, none, edges):
-    out = pii.pseudonymised(docs).collect()
+    out = pii.pseudonymised(docs, KEY).collect()
     assert sorted(map(str, ((r.doc_id, r.text) for r in out))) == sorted(map(str, edges))
     assert all(r.n_values == 0 and r.tree == "clash" for r in out)
-    assert pii.pseudonymised(none).count() == 0
+    assert pii.pseudonymised(none, KEY).count() == 0
 
 
 def test_fingerprints(docs, none):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sheetloom.llm import bpe, components, fingerprints, jaccard, langid, packing, pii, suffixes, tokens, topk, toxicity
 from sheetloom.llm.common import QUERIES, WORD
 
+KEY = "a key for tests"
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
@@ -279,7 +280,7 @@ KEPT = ["4918187128635272", "300.1.2.3", "2023-02-29", "1850-01-01", "DE89370400
 
 def test_pseudonyms_keep_formats_and_links(spark):
     docs = [(i, f"begin {v} middle {v}, end") for i, v in enumerate(VALUES + KEPT)]
-    out = {r.id: r.text for r in pii.pseudonymised(spark.createDataFrame(docs, "id long, text string")).collect()}
+    out = {r.id: r.text for r in pii.pseudonymised(spark.createDataFrame(docs, "id long, text string"), KEY).collect()}
     new = []
     for i, v in enumerate(VALUES + KEPT):
         found = re.fullmatch(r"begin (.*) middle (.*), end", out[i])
@@ -302,7 +303,7 @@ def test_pseudonyms_keep_formats_and_links(spark):
 
 def test_pseudonyms_are_a_permutation(spark):
     fields = F.array(F.struct((F.col("id") / 17).cast("int").alias("v"), F.lit(61).alias("m")), F.struct((F.col("id") % 17).cast("int").alias("v"), F.lit(17).alias("m")))
-    out = spark.range(61 * 17).select(pii.permuted(fields.cast(pii.FIELD)).alias("f")).collect()
+    out = spark.range(61 * 17).select(pii.permuted(fields.cast(pii.FIELD), KEY).alias("f")).collect()
     assert len({tuple(x.v for x in r.f) for r in out}) == 61 * 17 and all(0 <= x.v < x.m for r in out for x in r.f)
 
 
