@@ -58,8 +58,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal numbers, addresses and dates become pseudonyms."""
-    return _documents(pii.pseudonymised(docs.select(*COLUMNS)))
+    """Personal numbers, addresses and dates become pseudonyms under the key of the session."""
+    return _documents(pii.pseudonymised(docs.select(*COLUMNS), pii.session_key(spark)))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
