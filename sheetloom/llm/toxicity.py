@@ -4,11 +4,11 @@ Only documents are labelled. A sentence's score is a logistic function of its wo
 1 - prod(1 - p). Training follows the gradient of the document likelihood down to the words, which puts the weight on the sentences that
 explain the label; afterwards the sentences over one half are the offending ones.
 
-A word's features are the word itself and its first four and five letters, since insults come in many forms. The vocabulary holds the features whose presence tells the labels apart best (a chi-square test on the sample). The sample is bounded: ``rows`` labelled rows in
-order of a hash of the id, of texts up to ``longest`` characters.
+A word's features are the word itself and its first four and five letters, since insults come in many forms. The vocabulary holds the features whose presence tells the labels apart best (a chi-square test on the sample). The sample is bounded: labelled rows in
+order of a hash of the id, ``rows`` of them or ``characters`` characters, long texts among them like others.
 
 Defined results: missing and empty texts and texts without words score 0; labels other than 0 and 1, missing ids and texts are not learned from; without both labels in the
-sample every score is 0. Repeated rows are scored each.
+sample every score is 0. Repeated rows are scored each, equal texts alike; texts of any length are scored whole, and clean sentences, however many, stay below a fifth together.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from sheetloom.llm.common import query, table
 from sheetloom.llm.langid import held_out
 
-ROWS, LONGEST, VOCABULARY = 10_000, 20_000, 2_000
+ROWS, CHARACTERS, VOCABULARY = 10_000, 50_000_000, 2_000
+CLEAN, CLEAN_TOTAL = 0.05, 0.2
 STEPS, RATE, DECAY = 400, 0.15, 2e-5
 KNOWN_WORDS = 400_000
 SENTENCE, WORD = re.compile(r"[.!?\n]+"), re.compile(r"[^\W_]+")
@@ -71,15 +72,20 @@ class Model:
             at = stop
 
     def document(self, text: str | None) -> float:
-        """The noisy-or of the sentences; a sentence without a known word counts with its bias."""
-        weight, log_none, plain = self.weights.__getitem__, 0.0, 0
+        """The noisy-or of the sentences. Those below ``CLEAN`` count together, up to ``CLEAN_TOTAL``, so that length alone makes no text toxic."""
+        weight, log_none, clean, plain = self.weights.__getitem__, 0.0, 0.0, 0
         for part in SENTENCE.split((text or "").lower()):
             known = [v for v in map(weight, set(WORD.findall(part))) if v]
             if known:
-                log_none += _softplus(self.bias + sum(sorted(known)))
+                own = _softplus(self.bias + sum(sorted(known)))
+                if own < CLEAN:
+                    clean += own
+                else:
+                    log_none += own
             elif part and not part.isspace():
                 plain += 1
-        return -math.expm1(-(log_none + plain * _softplus(self.bias)))
+        clean += plain * _softplus(self.bias)
+        return -math.expm1(-(log_none + CLEAN_TOTAL * clean / (CLEAN_TOTAL + clean)))
 
 
 def _softplus(z: float) -> float:
@@ -135,11 +141,25 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     return Model(Weights({f: float(weights[i]) for f, i in vocabulary.items()}), float(bias))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, longest: int = LONGEST) -> Model | None:
-    """Train on documents (id, text) and labels (id, label); None without both labels."""
+def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, characters: int = CHARACTERS) -> Model | None:
+    """Train on documents (id, text) and labels (id, label); None without both labels.
+
+    The sample is the first rows in order of a hash of their ids, whatever their length, until ``rows`` rows or ``characters`` characters are together.
+    """
     usable = labels.where(F.col("id").isNotNull() & F.col("label").isin(0, 1)).select("id", "label")
     sample = usable.orderBy(F.xxhash64("id"), "id", "label").limit(rows)
-    found = docs.select("id", "text").where(F.col("text").isNotNull() & (F.char_length("text") <= longest)).join(F.broadcast(sample), "id").select("id", "label", "text").collect()
+    texts = docs.select("id", "text").where(F.col("text").isNotNull())
+    sizes = texts.select("id", F.char_length("text").alias("size")).join(F.broadcast(sample), "id").select(F.xxhash64("id").alias("h"), "id", "label", "size")
+    last, total = None, 0
+    for row in sorted(sizes.collect()):
+        total += row.size
+        if total > characters:
+            break
+        last = row.h
+    if last is None:
+        return None
+    chosen = sample.where(F.xxhash64("id") <= last)
+    found = texts.join(F.broadcast(chosen), "id").select("id", "label", "text").collect()
     found = sorted(found)
     y = np.array([r.label for r in found], np.int64)
     if len(found) == 0 or y.min() == y.max():

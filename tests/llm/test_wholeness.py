@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from sheetloom.llm import packing, pii, suffixes
+from sheetloom.llm import packing, pii, suffixes, toxicity
 
 
 def sharing(seed=9):
@@ -147,3 +147,23 @@ def test_values_do_not_stay_in_clear(spark, before, after, kept):
     assert other != one
     with pytest.raises(ValueError):
         pii.pseudonymised(df, "")
+
+
+def test_length_alone_is_not_toxic(spark):
+    """Clean sentences stay clean in any number, one toxic sentence among them is found, and long labelled texts are learned from."""
+    docs, labels = [], []
+    rng = random.Random(5)
+    words = ["tree", "river", "stone", "cloud", "grass", "light", "north", "house"]
+    sentence = lambda bad=False: " ".join(rng.choices(words, k=6) + (["vileword"] if bad else [])) + ". "
+    for i in range(60):
+        docs.append((i, "".join(sentence(i % 2 and k == 3) for k in range(600 if i % 3 == 0 else 6))))
+        labels.append((i, i % 2))
+    df = spark.createDataFrame(docs, "id long, text string")
+    model = toxicity.fit(df, spark.createDataFrame(labels, "id long, label int"))
+    clean = "".join(sentence() for _ in range(100_000))
+    odd = spark.createDataFrame([(1, "The tree stood by the river. " * 100_000), (2, clean), (3, clean[:300_000] + sentence(True))], "id long, text string")
+    scores = {r.id: r.score for r in toxicity.score(odd, model).collect()}
+    assert scores[1] < 0.5 and scores[2] < 0.5 and scores[3] >= 0.5
+    small = toxicity.fit(df, spark.createDataFrame(labels, "id long, label int"), characters=2_000)
+    assert small is None or isinstance(small, toxicity.Model)
+
