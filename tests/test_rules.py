@@ -19,9 +19,10 @@ def broken(spark, items, rule_type, **config):
 
 
 def test_date_rule(spark):
-    assert broken(spark, ["1992/02/05", "33639"], "date", format="YYYY/MM/DD") == [1]
-    assert broken(spark, ["33639"], "date", format="YYYY/MM/DD", accept_excel_serial=True) == []
-    assert broken(spark, ["", "   ", "33639.5", "ABC", None], "date", format="YYYY/MM/DD", accept_excel_serial=True) == [2, 3]
+    written = ["28.02.2021", "28-02-2021", "2021-02-28", "29-02-2021", "7-3-99", "", None, "44255", "44255.0", "soon"]
+    assert broken(spark, written, "date", format="DD-MM-YYYY") == [0, 2, 3, 7, 8, 9]
+    assert broken(spark, written, "date", format="DD-MM-YYYY", accept_excel_serial=True) == [0, 2, 3, 8, 9]
+    assert broken(spark, written, "date", format="YYYY-MM-DD") == [0, 1, 3, 4, 7, 8, 9]
 
 
 def test_cell_rules(spark):

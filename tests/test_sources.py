@@ -31,18 +31,18 @@ def cells(spark, sheet, rows):
     return spark.createDataFrame(flat, "sheet string, row_number bigint, column_index int, value string")
 
 
-# Own data: stations, harvests and instruments.
-TITLED = {1: ["River levels"], 2: ["station", "river", "gauge", "basin", "level", "days", "mean level", "", ""], 3: ["7", "Elbe", "G-2", "North", "3.4", "30", "3.1"]}
-LEADING = {4: ["Harvest book"], 5: [f"field {c}" for c in "stuvwxy"] + ["yield of the year"], 6: ["051", "rye", "oat", "hop", "pea", "kale", "leek", "8"], 7: ["052", "oat", "rye", "pea", "hop", "leek", "kale", "9"]}
-SINGLE = {1: ["Instrument numbers"], 2: ["serial"], 3: ["0007"], 4: ["0008"]}
+# Two titles above a header of four; a table far down with a blank column inside; a title above one column of numbers.
+TITLED = {2: ["Tide tables"], 3: ["harbours of the coast"], 4: ["port", "high", "low", "moon"], 5: ["Husum", "3.4", "0.1", "full"], 6: ["Emden", "3.1", "0.2", "new"]}
+LEADING = {9: ["grain", "acres", None, "yield"], 10: ["rye", "4", None, "31"], 11: ["oat", "2", None, "17"], 12: ["hop", "1", None, "9"]}
+SINGLE = {5: ["Soundings"], 6: ["metres"], 7: ["12"], 8: ["7"], 9: ["31"]}
 
 
 @pytest.mark.parametrize(
     "rows, expected",
     [
-        (TITLED, (2, 7, 3, False)),
-        (LEADING, (5, 8, 4, False)),
-        (SINGLE, (2, 1, 4, True)),
+        (TITLED, (4, 4, 5, False)),
+        (LEADING, (9, 4, 4, False)),
+        (SINGLE, (6, 1, 5, True)),
         ({1: ["serial"], 2: ["0007"]}, (1, 1, 2, True)),
         ({1: ["a", "b"], 2: ["1", "2"], 3: ["x", "y"]}, (1, 2, 3, False)),
         ({1: ["x"]}, None),
@@ -57,7 +57,7 @@ def test_detect_headers(spark, rows, expected):
 
 def test_detect_headers_of_many_sheets(spark):
     both = cells(spark, "t", TITLED).unionByName(cells(spark, "l", LEADING)).unionByName(cells(spark, "none", {1: ["x"]}))
-    assert sorted(values(headers.detect_headers(both, ["sheet"]), "sheet", "header_row")) == [("l", 5), ("t", 2)]
+    assert sorted(values(headers.detect_headers(both, ["sheet"]), "sheet", "header_row")) == [("l", 9), ("t", 4)]
 
 
 # --- delimited text ---
