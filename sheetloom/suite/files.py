@@ -103,12 +103,15 @@ def csv_ingest_line_breaks(spark: SparkSession, folder: str) -> DataFrame:
     return store.read(ingest.ingest_delimited(store, path, "documents")).drop("_row_id")
 
 
-@query("select cast(c_custkey as varchar) as c_custkey, c_name, c_mktsegment, 'refused' as other_columns from customer")
+CUSTOMER_TEXT = "cast(c_custkey as varchar) as c_custkey, c_name, cast(c_nationkey as varchar) as c_nationkey, cast(c_acctbal as varchar) as c_acctbal, c_mktsegment"
+
+
+@query(f"select {CUSTOMER_TEXT}, 'refused' as other_columns from customer")
 def csv_ingest_many_headers(spark: SparkSession, folder: str) -> DataFrame:
     """Files of one ingest with their columns in different orders; files with other columns are refused."""
     path = scratch_dir(spark, "csv")
     customers = table(spark, folder, "customer")
-    for i, columns in enumerate((["c_custkey", "c_name", "c_mktsegment"], ["c_mktsegment", "c_custkey", "c_name"])):
+    for i, columns in enumerate((customers.columns, customers.columns[::-1])):
         delimited.write_delimited(customers.where(F.col("c_custkey") % 2 == i).select(*columns), f"{path}/{i}")
     delimited.write_delimited(table(spark, folder, "region"), f"{path}/other")
     store = DocumentStore(spark, scratch_dir(spark, "store"))
@@ -121,9 +124,6 @@ def csv_ingest_many_headers(spark: SparkSession, folder: str) -> DataFrame:
     return stored.withColumn("other_columns", F.lit(refused))
 
 
-CUSTOMER_TEXT = "cast(c_custkey as varchar) as c_custkey, c_name, cast(c_nationkey as varchar) as c_nationkey, cast(c_acctbal as varchar) as c_acctbal, c_mktsegment"
-
-
 @query(f"select {CUSTOMER_TEXT} from customer")
 def xlsx_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Written as several workbooks, read back as one table of text."""
@@ -150,6 +150,21 @@ def xlsx_lineitem(spark: SparkSession, folder: str) -> DataFrame:
     return union_all([store.read(d).drop("_row_id") for d in ingest.ingest_workbooks(store, path)])
 
 
+@query(
+    """select cast(n_nationkey as varchar) as "KEY", n_name as "KEY_2", cast(n_regionkey as varchar) as coluna, n_name as "NAME", n_name as "NAME_2",
+    cast(n_regionkey as varchar) as "REGION", cast(n_nationkey as varchar) as "REGION_2" from nation"""
+)
+def workbook_header_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Names of a sheet's columns: trimmed, a nameless one named, repeats numbered."""
+    path = scratch_dir(spark, "workbooks")
+    nations = table(spark, folder, "nation")
+    names = {"KEY": "n_nationkey", " KEY": "n_name", " ": "n_regionkey", "NAME": "n_name", "NAME ": "n_name", "REGION": "n_regionkey", " REGION ": "n_nationkey"}
+    workbooks.write_workbooks(nations.select(*[F.col(c).alias(n) for n, c in names.items()]).coalesce(1), path)
+    store = DocumentStore(spark, scratch_dir(spark, "store"))
+    (document,) = ingest.ingest_workbooks(store, path)
+    return store.read(document).drop("_row_id")
+
+
 @query("select cast(r_regionkey as varchar) as r_regionkey, r_name, 'refused' as unknown from region")
 def xlsx_chosen_sheets(spark: SparkSession, folder: str) -> DataFrame:
     """Only sheets of the given names are opened; a name that no workbook has stores nothing."""

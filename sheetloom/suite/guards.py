@@ -9,7 +9,7 @@ from sheetloom.operators import console, grid, rules, transform
 from sheetloom.operators.rules import Rule
 from sheetloom.operators.transform import Transformation
 from sheetloom.plans.fused import unpack
-from sheetloom.plans.versions import MAX_COLUMNS, DocumentError, DocumentStore, check_width
+from sheetloom.plans.versions import MAX_COLUMNS, DocumentError, DocumentStore
 from sheetloom.sources import delimited, ingest, workbooks
 from sheetloom.suite import query
 from sheetloom.suite.files import _with_header
@@ -70,10 +70,14 @@ def ingest_guards(spark: SparkSession, folder: str) -> DataFrame:
     nations = table(spark, folder, "nation")
     workbooks.write_workbooks(nations.coalesce(1), f"{root}/nations")
     workbooks.write_workbooks(nations.where("false").select(F.col("n_name").alias(" ")), f"{root}/nothing")
+    # One name more than a document may have, over a row for each nation.
+    header = ",".join(f"c{i}" for i in range(MAX_COLUMNS + 1))
+    lines = nations.select("n_nationkey", F.concat_ws(",", "n_name", *[F.lit("")] * 3).alias("value")).coalesce(1)
+    lines.selectExpr("value", "n_nationkey").unionByName(spark.createDataFrame([(header, -1)], "value string, n_nationkey int")).coalesce(1).sortWithinPartitions("n_nationkey").select("value").write.text(f"{root}/wide")
     store = DocumentStore(spark, scratch_dir(spark, "store"))
     tries = {
         "blank name": lambda: store.create("  ", nations),
-        "too many columns": lambda: check_width(MAX_COLUMNS + 1),
+        "too many columns": lambda: ingest.ingest_delimited(store, f"{root}/wide", "wide"),
         "unknown sheet": lambda: ingest.ingest_workbooks(store, f"{root}/nations", ["Nowhere"]),
         "no header": lambda: ingest.ingest_workbooks(store, f"{root}/nothing"),
         "sound": lambda: ingest.ingest_workbooks(store, f"{root}/nations"),
