@@ -155,12 +155,21 @@ def _word_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.nda
 def word_lists(column: pa.Array) -> Iterator[np.ndarray]:
     """The 64-bit hashes of every text's words in order, A-Z lower-cased: a polynomial of the word's bytes, all words of a piece of a megabyte at once.
 
-    Pieces end between words, so arrays stay small whatever the texts; a missing text has no words.
+    Pieces end between words and texts are taken a few megabytes at a time, so arrays stay small whatever the texts; a missing text has no words.
     """
     column = column.fill_null("").cast(pa.large_string())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
-    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.empty(0, np.uint8)
-    offsets = offsets - offsets[0]
+    if not len(column):
+        return
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8) if offsets[-1] else np.empty(0, np.uint8)
+    row = 0
+    while row < len(column):
+        last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + 4 * PIECE, "right")) - 1)
+        yield from _lists_of(data[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row])
+        row = last
+
+
+def _lists_of(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
     starts, hashes, at = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
     with np.errstate(over="ignore"):
         while at < len(data):

@@ -35,6 +35,7 @@ from sheetloom.llm.components import components
 
 BUCKET_BITS = 22
 SLICE = 1 << 15
+PENDING = 1 << 21
 HUBS = 8
 PRUNINGS = 2
 NEAREST = 16
@@ -59,13 +60,17 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in batches:
-            rows, pending = [], []
+            rows, pending, size = [], [], 0
             with np.errstate(over="ignore"):
                 for s in (shingle_set(h, k) for h in word_lists(batch.column("text"))):
                     first, second = _identity(s)
                     rows.append((len(s), first, second, _key(first, second, len(s))))
                     pending.append(s >> np.uint64(64 - BUCKET_BITS))
-            if rows:
+                    size += len(s)
+                    if size > PENDING:
+                        counts += np.bincount(np.concatenate(pending).astype(np.int64), minlength=len(counts))
+                        pending, size = [], 0
+            if pending:
                 counts += np.bincount(np.concatenate(pending).astype(np.int64), minlength=len(counts))
             columns = list(zip(*rows)) or [[]] * 4
             nothing = len(rows)
