@@ -34,6 +34,7 @@ HEADLINES = [
     "sql_workspace_join",
     "csv_lineitem_roundtrip",
     "xlsx_roundtrip",
+    "xlsx_lineitem",
 ]
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from sheetloom import build_session, scratch_dir
 from sheetloom.functions.text import blank, blank_cell, text_of
 from sheetloom.operators import grid, profile, rules
-from sheetloom.sources import delimited
+from sheetloom.plans.versions import DocumentStore
+from sheetloom.sources import delimited, ingest, workbooks
 from sheetloom.suite import load_all
 
 
@@ -73,6 +74,10 @@ def main() -> None:
     print("CSV export of lineitem:", seconds(lambda: delimited.write_delimited(items, csv, mode="overwrite")), "s")
     print("CSV sniff:", seconds(lambda: delimited.sniff(spark, csv)), "s")
     print("CSV read:", seconds(lambda: delimited.read_delimited(spark, csv).write.format("noop").mode("overwrite").save()), "s")
+    book = scratch_dir(spark, "book")
+    print("lineitem as one sheet, written by one task:", seconds(lambda: workbooks.write_workbooks(items.coalesce(1), book, mode="overwrite")), "s")
+    print("unpacked and parsed:", seconds(lambda: workbooks.workbook_rows(spark, book).write.format("noop").mode("overwrite").save()), "s")
+    print("stored as a document:", seconds(lambda: ingest.ingest_workbooks(DocumentStore(spark, scratch_dir(spark, "store")), book)), "s")
     spark.stop()
 
 
