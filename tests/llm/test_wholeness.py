@@ -2,12 +2,14 @@
 
 import hashlib
 import random
+import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sheetloom.llm import packing, pii, suffixes, toxicity
+from sheetloom.llm import common, packing, pii, suffixes, toxicity
 
 
 def sharing(seed=9):
@@ -167,3 +169,17 @@ def test_length_alone_is_not_toxic(spark):
     small = toxicity.fit(df, spark.createDataFrame(labels, "id long, label int"), characters=2_000)
     assert small is None or isinstance(small, toxicity.Model)
 
+
+
+@pytest.mark.parametrize("piece", [7, 64, 1 << 20])
+def test_words_are_hashed_alike_in_any_pieces(monkeypatch, piece):
+    monkeypatch.setattr(common, "PIECE", piece)
+    monkeypatch.setattr(common, "_powers", {})
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(["a", "B", " ", "\n", "é", "xyz", "  ", "漢"]) for _ in range(rng.randrange(80))) for _ in range(300)] + [None, "", "A" * 500, "a" * 500]
+    seen = {}
+    for text, hashes in zip(texts, common.word_lists(pa.array(["first", *texts, "last"], pa.string()).slice(1, len(texts)))):
+        words = re.findall(common.WORD, (text or "").translate(str.maketrans(common.UPPER, common.LOWER)))
+        assert len(words) == len(hashes)
+        assert all(seen.setdefault(w, h) == h for w, h in zip(words, hashes.tolist()))
+    assert len(set(seen.values())) == len(seen)
