@@ -3,6 +3,7 @@ import random
 import statistics
 from fractions import Fraction
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +135,37 @@ def test_long_texts_in_profiles(spark):
     assert digits.inferred_type == "integer" and digits.numeric_stats.max == float("2" * 80)
     assert profile.profile_table(text_table(spark, ["1" * 70, "1" * 70 + ".5"])).first().inferred_type == "decimal"
     assert profile.profile_table(text_table(spark, ["2024-01-05" + " " * 70 + "10:00"])).first().inferred_type == "datetime"
+
+
+def test_best_values_of_a_task():
+    """Batch by batch no more is held than can be shown, and it is what a sort of everything would show."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(3000):
+        text = rng.choice("ab") * rng.choice([1, 2, profile.SHORT + 1]) + f"{i:04d}"
+        long = len(text) > profile.SHORT
+        rows.append((rng.randrange(3), None if long else text, text[: profile.LEAD], rng.choice([1, 1, 2]), long))
+    schema = pa.schema([("column_index", pa.int32()), ("value", pa.string()), ("lead", pa.string()), ("frequency", pa.int64()), ("long", pa.bool_())])
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 70]), schema)], schema=schema) for i in range(0, 3000, 70)]
+    held = [tuple(r.values()) for b in profile._best_of_task(iter(batches)) for r in b.to_pylist()]
+    assert len(held) <= 3 * 2 * profile.TOP_VALUES
+    for column in range(3):
+        ordered = sorted((r for r in rows if r[0] == column), key=lambda r: (-r[3], r[2], not r[4], r[1] or ""))
+        for some in (lambda r: True, lambda r: not r[4]):
+            expected = [r[2:] for r in ordered if some(r)][: profile.TOP_VALUES]
+            assert [r[2:] for r in held if r[0] == column and some(r)][: profile.TOP_VALUES] == expected
+    assert list(profile._best_of_task(iter([]))) == []
+
+
+def test_profile_sorts_no_column(spark, monkeypatch):
+    """No task gets or sorts all values of a column: facts are hashed, and windows see what tasks hand on."""
+    df = spark.range(50_000).select(F.col("id").cast("string").alias("key"), (F.col("id") % 70000 + 1).alias("day"))
+    stored = profile._stored_values(df, df.columns)
+    seen = []
+    monkeypatch.setattr(type(df), "collect", lambda self, of=type(df).collect: seen.append(self) or of(self))
+    facts, report = profile._facts(stored), profile._value_report(stored, {})
+    assert facts[0]["values_"] == 50_000 and [r.value for r in sorted(report, key=lambda r: r.place) if r.column_index == 0][:3] == ["0", "1", "10"]
+    plans = [frame._jdf.queryExecution().toString() for frame in seen]
+    assert "SortAggregate" not in plans[0]
+    assert plans[1].rindex("Window [") < plans[1].rindex("MapInArrow")
+    assert profile.profile_table(df.select("day")).first().date_stats.example_original == "1"
