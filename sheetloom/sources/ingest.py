@@ -17,6 +17,7 @@ from sheetloom.sources.splits import stored
 from sheetloom.sources.workbooks import cells_of, workbook_rows
 
 SHEET = ["path", "sheet_index", "sheet"]
+WORD = 32
 
 
 def ingest(store: DocumentStore, path: str, name: str | None = None, sheets: Sequence[str] = ()) -> list[str]:
@@ -59,15 +60,20 @@ def find_headers(spark: SparkSession, path: str, sheets: Sequence[str] = ()) ->
 def table_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
     """Rows of each sheet's table: from the header row down to the first empty row, cut at the header's last column.
 
-    Further columns of ``headers`` stay with the rows. The table ends at the first row without a filled one behind it, found by an anti-join of row numbers, so
-    no task needs all rows of a sheet.
+    Further columns of ``headers`` stay with the rows. The table ends at the first row without a filled one behind it. Every task sets the bits of its filled
+    rows in words of ``WORD`` rows; only these words are dealt out, so no task needs all rows of a sheet and no cells are moved.
     """
     inside = rows.join(headers, SHEET).where("row_number >= header_row")
     filled = F.exists("cells", lambda c: ~blank(c))
-    clipped = inside.withColumn("cells", F.slice("cells", F.lit(1), F.col("column_count"))).where(filled)
-    numbers = clipped.select(*SHEET, "row_number")
-    ahead = clipped.select(*SHEET, (F.col("row_number") - 1).alias("row_number"))
-    ends = numbers.join(ahead, [*SHEET, "row_number"], "left_anti").groupBy(*SHEET).agg(F.min("row_number").alias("_end"))
+    clipped = inside.withColumn("cells", F.when(F.size("cells") <= F.col("column_count"), F.col("cells")).otherwise(F.slice("cells", F.lit(1), F.col("column_count")))).where(filled)
+    place, bits = F.col("row_number") - F.col("header_row"), F.col("bits")
+    words = clipped.groupBy(*SHEET, "header_row", F.floor(place / WORD).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (place % WORD).cast("int"))).alias("bits"))
+    words = stored(words, "filled-rows")
+    followed = words.select(*SHEET, (F.col("word") - 1).alias("word"), F.lit(True).alias("followed"))
+    open_ended = words.join(followed, [*SHEET, "word"], "left").where((bits != (1 << WORD) - 1) | F.col("followed").isNull())
+    filled_first = F.bit_count(bits.bitwiseAND(F.bitwise_not(bits + 1)))  # the ones below the lowest zero
+    ends = open_ended.groupBy(*SHEET).agg(F.min(F.col("header_row") + F.col("word") * WORD + filled_first - 1).alias("_end"))
+    ends = stored(ends, "table-ends")
     return clipped.join(ends, SHEET).where(F.col("row_number") <= F.col("_end")).drop("_end")
 
 

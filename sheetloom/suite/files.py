@@ -12,6 +12,7 @@ from sheetloom.sources import delimited, headers, ingest, workbooks
 from sheetloom.suite import query
 from sheetloom.suite.inputs import DIRTY_ORDERS, dirty_orders, table
 
+SHEET_FILL = 1_000_000
 DIRTY_AS_READ = ", ".join(f"nullif({c}, '') as {c}" for c in ("priority", "price_text", "day_text", "serial_text", "email", "tax_id", "flag"))
 
 
@@ -132,20 +133,30 @@ def xlsx_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return union_all([rows.drop("_path", "_sheet_index", "_sheet", "_row_number", "_header_row") for _, rows in ingest.fleet_tables(spark, path)])
 
 
+def _in_sheets(rows: DataFrame, least: int = 1) -> DataFrame:
+    """A partition for every sheet: ``least`` of them, or as many as the rows fill to a little below the most rows of a sheet."""
+    n = rows.count()
+    parts = max(least, 1 if n < workbooks.SHEET_ROWS else -(-n // SHEET_FILL))
+    if parts == 1:
+        return rows.coalesce(1)
+    # Dealt by number, since a repartition without a key sorts every task's rows first.
+    return rows.withColumn("_n", F.monotonically_increasing_id()).repartition(parts, "_n").drop("_n")
+
+
 @query(f"select {ITEM_TEXT} from lineitem")
 def xlsx_ingest_cells(spark: SparkSession, folder: str) -> DataFrame:
-    """Every cell of the largest table through eight workbooks into documents."""
+    """Every cell of the largest table through workbooks, eight or as many as it fills, into documents."""
     path = scratch_dir(spark, "workbooks")
-    workbooks.write_workbooks(table(spark, folder, "lineitem").repartition(8), path)
+    workbooks.write_workbooks(_in_sheets(table(spark, folder, "lineitem"), 8), path)
     store = DocumentStore(spark, scratch_dir(spark, "store"))
     return union_all([store.read(d).drop("_row_id") for d in ingest.ingest_workbooks(store, path)])
 
 
 @query(f"select {ITEM_TEXT} from lineitem")
 def xlsx_lineitem(spark: SparkSession, folder: str) -> DataFrame:
-    """The largest table in one sheet of one workbook, written by one task and parsed by many."""
+    """The largest table in one sheet of one workbook, or in as many as its rows need: one task writes a sheet and many parse it."""
     path = scratch_dir(spark, "workbooks")
-    workbooks.write_workbooks(table(spark, folder, "lineitem").coalesce(1), path)
+    workbooks.write_workbooks(_in_sheets(table(spark, folder, "lineitem")), path)
     store = DocumentStore(spark, scratch_dir(spark, "store"))
     return union_all([store.read(d).drop("_row_id") for d in ingest.ingest_workbooks(store, path)])
 

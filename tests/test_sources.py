@@ -390,3 +390,103 @@ def test_a_sheet_is_parsed_by_many_tasks_and_opened_once(spark, tmp_path):
         workbooks._files = listed
     assert opened.read_text() == "x"
     assert sorted(values(store.read(doc), "_row_id", "k")) == [(i - 2, str(i)) for i in range(2, 6000)]
+
+
+# --- plain markup of workbooks, read and written by whole columns ---
+
+
+def by_parser(markup, strings=None):
+    return workbooks.chunk_rows(markup, 0, False, strings or {})
+
+
+PLAIN = [
+    b'<row r="3"><c r="A3" t="inlineStr"><is><t xml:space="preserve"> a &amp;lt; &lt;b&gt; &quot;q&quot;&apos;&#13;\n </t></is></c><c r="C3"><v>1.5</v></c></row>',
+    b'<row r="5" spans="1:3" x14ac:dyDescent="0.25"><c r="B5" s="2" t="s"><v>1</v></c><c r="AA5" s="1"/><c r="D5" t="s"><v> 7 </v></c><c r="E5" t="s"><v>x</v></c></row><row r="9"/>',
+    b'<row r="1"><c r="B1"><v>late</v></c><c r="A1"><v>early</v></c><c r="B1"><v>again</v></c><c r="C1"></c></row> \n<row r="2"></row><row r="4"><c r="XFD4"><v>\xc3\xa9</v></c></row>',
+    b'<row r="7"><c r="A7" t="inlineStr"><is><t></t></is></c></row>',
+]
+OTHER = [
+    b'<row><c r="A1"><v>1</v></c></row>',
+    b'<row r="2"><c><v>1</v></c></row>',
+    b'<x:row r="2"><x:c r="A2"><x:v>1</x:v></x:c></x:row>',
+    b'<row r="2"><c r="A2" t="inlineStr"><is><r><t>rich</t></r><r><t> text</t></r></is></c></row>',
+    b'<row r="2"><c r="A2"><f>B2+1</f><v>1</v></c></row>',
+    b'<row r="2"><!-- <c r="B2"> --><c r="A2"><v>a&#65;</v></c></row>',
+    b"<row r='2'><c r='A2'><v>1</v></c></row>",
+    b'<row r="2"><c r="A2"><v>a\r\nb &gt; c > d</v></c></row>',
+    b'<row r="2"><c r="a2"><v>1</v></c><c t="s" r="B2"><v>0</v></c></row>',
+]
+
+
+@pytest.mark.parametrize("markup", PLAIN)
+def test_plain_markup_is_read_as_by_the_parser(markup):
+    strings = {1: "one", 7: "seven"}
+    numbers, cells = workbooks.plain_rows(markup, strings)
+    assert list(zip(numbers.to_pylist(), cells.to_pylist())) == by_parser(markup, strings)
+
+
+@pytest.mark.parametrize("markup", OTHER)
+def test_other_markup_is_left_to_the_parser(markup):
+    assert workbooks.plain_rows(markup, {}) is None and len(by_parser(markup)) == 1
+
+
+@pytest.mark.parametrize("markup", [b'<row r="1"><c r="A1"><v>\x01</v></c></row>', b'<row r="1"><c r="A1"><v>\xff</v></c></row>', b'<row r="1"><c r="A1"><v>1</c></row>', b'<row r="1"><c r="A1" r="B1"><v>1</v></c></row>'])
+def test_broken_markup_is_left_to_the_parser(markup):
+    assert workbooks.plain_rows(markup, {}) is None
+    with pytest.raises(Exception, match="not well-formed|mismatched|duplicate"):
+        by_parser(markup)
+
+
+def test_plain_rows_of_random_cells():
+    """Changed at random, plain markup is either read as by the parser or left to it."""
+    rng, read = random.Random(8), 0
+    for _ in range(3000):
+        markup = bytearray(rng.choice(PLAIN + OTHER))
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(markup))
+            markup[at : at + rng.randrange(2)] = rng.choice([b"<", b">", b'"', b" ", b"1", b"c", b"&", b"/", b"r"])
+        plain = workbooks.plain_rows(bytes(markup), {1: "one"})
+        if plain is not None:
+            assert list(zip(plain[0].to_pylist(), plain[1].to_pylist())) == by_parser(bytes(markup), {1: "one"}), bytes(markup)
+            read += 1
+    assert read > 300
+
+
+def test_written_cells_are_read_back(spark, tmp_path):
+    """Cells with marks, blanks and control characters, more rows than a sheet takes, and slices of a batch."""
+    texts = ["a & b", "<c>", "\r\n", "\x01x￾", None, "", " é ", "]]>", "'\"", "ﬁ"]
+    rows = [(i, texts[i % 10], texts[i * 7 % 10]) for i in range(1, 501)]
+    workbooks.write_workbooks(spark.createDataFrame(rows, "n int, a string, b string").coalesce(1), str(tmp_path / "out"), rows_per_file=150)
+    got = values(workbooks.workbook_rows(spark, str(tmp_path / "out")).where("row_number > 1"), "cells")
+    shown = {t: (t or "").replace("\x01", "").replace("￾", "") for t in texts}
+    assert sorted(([int(n), a, b] for ((n, a, b),) in got)) == [[n, shown[a], shown[b]] for n, a, b in rows]
+    assert len(list((tmp_path / "out").glob("*.xlsx"))) == 4
+
+
+def test_row_numbers_behind_a_chunk():
+    named, bare = b'<row r="%d"><c><v>1</v></c></row>', b"<row><c><v>1</v></c></row>"
+    for rows in ([bare] * 900, [named % 12, *[bare] * 900], [bare, named % 40, bare, named % 90], [named % 5] * 3):
+        number = 2
+        for row in rows:
+            number = int(row[8:].split(b'"')[0]) if b"r=" in row else number + 1
+        assert workbooks._last_number(b"".join(rows), 2) == number
+
+
+def test_table_ends(spark):
+    """Words of rows: gaps at and around their borders, rows out of order and twice, and rows cut at the header's width."""
+    w = ingest.WORD
+    kept = {"gap": [*range(3, 3 + 2 * w), 4 + 2 * w], "full": [*range(3, 3 + 2 * w)], "inside": [*range(3, 20), *range(21, 200)], "twice": [3, 3, 4, 5, 5, 7], "alone": [3, 5], "border": [*range(3, 3 + w), 4 + w]}
+    flat = [("p", i, s, r, ["x"]) for i, (s, found) in enumerate(kept.items()) for r in found[::-1]] + [("p", 4, "alone", 4, ["", " ", "z"])]
+    rows = spark.createDataFrame(flat, workbooks.ROWS_SCHEMA)
+    heads = rows.select(*ingest.SHEET).distinct().selectExpr("*", "3L as header_row", "2 as column_count")
+    got = values(ingest.table_rows(rows, heads).groupBy("sheet").agg(F.max("row_number"), F.count("*")), "*")
+    assert sorted(got) == [("alone", 3, 1), ("border", 2 + w, w), ("full", 2 + 2 * w, 2 * w), ("gap", 2 + 2 * w, 2 * w), ("inside", 19, 17), ("twice", 5, 5)]
+
+
+def test_a_task_for_every_sheet(spark, monkeypatch):
+    from sheetloom.suite import files
+
+    monkeypatch.setattr(workbooks, "SHEET_ROWS", 100)
+    monkeypatch.setattr(files, "SHEET_FILL", 90)
+    assert [files._in_sheets(spark.range(n), least).rdd.getNumPartitions() for n, least in ((99, 1), (100, 1), (900, 1), (5, 8))] == [1, 2, 10, 8]
+    assert sorted(values(files._in_sheets(spark.range(250)))) == [(i,) for i in range(250)]
