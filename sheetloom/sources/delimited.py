@@ -82,8 +82,13 @@ def _surveyed(filled: DataFrame, able: Sequence[str]) -> DataFrame:
     value, facts = F.col("value"), []
     for i, d in enumerate(able):
         facts += [F.max(_field_count(value, d)).alias(f"width{i}"), F.max(F.when(F.contains(value, F.lit('"')), splits.opens(value, d)).otherwise(False)).alias(f"open{i}")]
-    by_split = filled.groupBy("path", *splits.SPLIT).agg(F.count(F.lit(1)).alias("rows"), F.min("line").alias("first"), F.min_by("value", "line").alias("header"), *facts)
-    return splits.stored(by_split, "survey")
+    # Numbers alone are counted in a hash table of a row a split; with a text among the results, every task would sort its lines.
+    numbers = filled.groupBy("path", *splits.SPLIT).agg(F.count(F.lit(1)).alias("rows"), F.min("line").alias("first"), *facts)
+    by_split = splits.stored(numbers, "survey-numbers")
+    # The first lines are fetched by their numbers, one a split, as the records are placed below.
+    places = by_split.select(*splits.SPLIT, F.col("first").alias("line"))
+    heads = filled.join(F.broadcast(places), [*splits.SPLIT, "line"]).select(*splits.SPLIT, F.col("value").alias("header"))
+    return splits.stored(by_split.join(heads, splits.SPLIT), "survey")
 
 
 def _whole_lines(filled: DataFrame, found: DataFrame) -> DataFrame:

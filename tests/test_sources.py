@@ -490,3 +490,21 @@ def test_a_task_for_every_sheet(spark, monkeypatch):
     monkeypatch.setattr(files, "SHEET_FILL", 90)
     assert [files._in_sheets(spark.range(n), least).rdd.getNumPartitions() for n, least in ((99, 1), (100, 1), (900, 1), (5, 8))] == [1, 2, 10, 8]
     assert sorted(values(files._in_sheets(spark.range(250)))) == [(i,) for i in range(250)]
+
+
+def test_survey_sorts_no_lines(spark, tmp_path, monkeypatch):
+    """The facts of a split are numbers, hashed; its first line is fetched by its number, also behind blank lines."""
+    for name, text in {"a": "\n \nk,n\n1,2\n\n3,4,5\n", "b": "k,n\r\n" + "6,7\r\n" * 20_000, "c": "\n\n"}.items():
+        (tmp_path / f"{name}.csv").write_text(text, newline="")
+    plans, write = [], splits.stored
+
+    def stored(df, purpose):
+        plans.append(df._jdf.queryExecution().toString())
+        return write(df, purpose)
+
+    monkeypatch.setattr(splits, "stored", stored)
+    found = delimited.survey(spark, str(tmp_path))
+    assert list(found.layouts) == ["k,n"] and found.width == 3 and not found.multi_line
+    assert "SortAggregate" not in plans[0] and "HashAggregate" in plans[0]
+    rows = values(delimited.named_rows(found).orderBy("_row_id"))
+    assert rows[:3] == [(0, "1", "2", None), (1, "3", "4", "5"), (2, "6", "7", None)] and len(rows) == 20_002
