@@ -147,15 +147,23 @@ def _word_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.nda
     last[:-1] &= apart[1:] | new[1:-1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", BASE, len(data)), out=sums[1:])
+    np.cumsum((data + np.uint8(1)) * _power("up", BASE, len(data)), out=sums[1:])
     down = _power("down", pow(BASE, -1, 1 << 64), len(data))[starts]
     return starts, mix((sums[ends] - sums[starts]) * down + (ends - starts).astype(np.uint64) * STEP)
 
 
 def word_lists(column: pa.Array) -> Iterator[np.ndarray]:
-    """The 64-bit hashes of every text's words in order, A-Z lower-cased: a polynomial of the word's bytes, all words of a piece of a megabyte at once.
+    """The 64-bit hashes of every text's words in order, see ``word_runs``."""
+    for hashes, places in word_runs(column):
+        for a, b in zip(places[:-1], places[1:]):
+            yield hashes[a:b]
 
-    Pieces end between words and texts are taken a few megabytes at a time, so arrays stay small whatever the texts; a missing text has no words.
+
+def word_runs(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The 64-bit hashes of the words of some texts in a row, A-Z lower-cased, and where each text begins and the last one ends among them.
+
+    A hash is a polynomial of the word's bytes, all words of a piece of a megabyte at once. Pieces end between words and texts are taken a few megabytes
+    at a time, so arrays stay small whatever the texts; a missing text has no words.
     """
     column = column.fill_null("").cast(pa.large_string())
     if not len(column):
@@ -165,11 +173,11 @@ def word_lists(column: pa.Array) -> Iterator[np.ndarray]:
     row = 0
     while row < len(column):
         last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + 4 * PIECE, "right")) - 1)
-        yield from _lists_of(data[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row])
+        yield _runs_of(data[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row])
         row = last
 
 
-def _lists_of(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+def _runs_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, hashes, at = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
     with np.errstate(over="ignore"):
         while at < len(data):
@@ -189,10 +197,26 @@ def _lists_of(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
             starts.append(own + at)
             hashes.append(found)
             at = end
-    places = np.searchsorted(np.concatenate(starts), offsets)
-    found = np.concatenate(hashes)
-    for a, b in zip(places[:-1], places[1:]):
-        yield found[a:b]
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
+
+
+def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sets of ``shingle_set`` for some texts in a row, and where each text's set begins and the last one ends."""
+    for hashes, places in word_runs(column):
+        sizes = np.diff(places)
+        bounds = np.concatenate(([0], np.cumsum(np.where(sizes >= k, sizes - k + 1, np.minimum(sizes, 1)))))
+        found = np.empty(bounds[-1], np.uint64)
+        with np.errstate(over="ignore"):
+            inside = np.arange(len(hashes)) + k <= np.repeat(places[1:], sizes)
+            found[np.repeat(sizes >= k, np.diff(bounds))] = rolling(hashes, k)[inside[: max(0, len(hashes) - k + 1)]]
+            for i in np.flatnonzero((sizes > 0) & (sizes < k)):
+                found[bounds[i]] = rolling(hashes[places[i] : places[i + 1]], sizes[i])[0]
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            found[a:b].sort()
+        new = np.ones(len(found), bool)
+        new[1:] = found[1:] != found[:-1]
+        new[bounds[:-1][np.diff(bounds) > 0]] = True
+        yield found[new], np.concatenate(([0], np.cumsum(new)))[bounds]
 
 
 def signed(values) -> np.ndarray:

@@ -205,5 +205,5 @@ def near_sized(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 @query()
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
-    placed = best_fit(near_sized(table(spark, folder, "documents")))
+    placed = best_fit(keep(near_sized(table(spark, folder, "documents")), "items"))
     return placed.withColumnRenamed("id", "doc_id")

@@ -5,11 +5,12 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sheetloom.llm import common, packing, pii, suffixes, toxicity
+from sheetloom.llm import common, jaccard, packing, pii, suffixes, toxicity
 
 
 def sharing(seed=9):
@@ -183,3 +184,41 @@ def test_words_are_hashed_alike_in_any_pieces(monkeypatch, piece):
         assert len(words) == len(hashes)
         assert all(seen.setdefault(w, h) == h for w, h in zip(words, hashes.tolist()))
     assert len(set(seen.values())) == len(seen)
+
+
+def test_a_pair_of_unlike_prefixes_is_linked(spark):
+    """One class asks for one match and shares just one prefix word, its partner asks for eight."""
+    common_words = [f"s{i}" for i in range(80)]
+    rows = [(1, " ".join(common_words)), (2, " ".join(common_words + [f"u{i}" for i in range(20)]))]
+    rows += [(10 + d, " ".join(common_words + [f"o{d}x{i}" for i in range(400)])) for d in range(50)]
+    got = {r.id: r.component_id for r in jaccard.similar_components(spark.createDataFrame(rows, "id long, text string"), 1, 4, 5).collect()}
+    assert got == {i: 1 if i == 2 else i for i, _ in rows}
+
+
+@pytest.mark.parametrize("k", [1, 5])
+def test_sets_in_a_row_are_those_of_single_texts(monkeypatch, k):
+    monkeypatch.setattr(common, "PIECE", 64)
+    rng = random.Random(k)
+    texts = [" ".join(rng.choice(["a", "b", "C", "漢"]) for _ in range(rng.choice([0, 1, 4, 5, 6, 40]))) for _ in range(200)] + [None, "", "x " * 500]
+    column = pa.array(texts, pa.string())
+    found = [shingles[a:b].tolist() for shingles, bounds in common.shingle_sets(column, k) for a, b in zip(bounds[:-1], bounds[1:])]
+    with np.errstate(over="ignore"):
+        assert found == [common.shingle_set(h, k).tolist() for h in common.word_lists(column)]
+
+
+def test_prefix_entries_meet_only_classes_near_in_size(spark):
+    """The one shuffle of all prefix entries hands on those that may link: held by several classes, of which two are near in size."""
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    texts = [words("a", 20), [*words("a", 20), "b0"], [*words("a", 20), "b0"], words("c", 20), words("c", 60), words("d", 30)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string").repartition(3)
+    entries = jaccard.prefixes(docs, 1, 4, 5, np.ones(1 << jaccard.BUCKET_BITS, np.uint16))
+    rows = jaccard.meeting(entries, 4, 5).collect()
+    assert {r.n for r in rows} == {20, 21} and len({r.key for r in rows}) == 2
+    assert len(rows) == len({(r.token, r.key) for r in rows}) == 2 * len({r.token for r in rows})
+
+
+def test_texts_of_asked_ids_alone_are_moved(spark):
+    docs = spark.createDataFrame([(i - 5000, f"text {i}") for i in range(10_000)], "id long, text string")
+    asked = spark.createDataFrame([(i * 37 - 5000,) for i in range(200)] * 2, "id long")
+    found = [tuple(r) for r in jaccard._of_ids(docs, asked).collect()]
+    assert {(i * 37 - 5000, f"text {i * 37}") for i in range(200)} <= set(found) and len(found) < 220
