@@ -24,6 +24,7 @@ from sheetloom.operators.grid import ROW_ID, data_columns
 from sheetloom.operators.rules import Rule
 from sheetloom.operators.transform import Transformation, TransformError, outcome
 from sheetloom.plans import files
+from sheetloom.session import several_writers
 
 MAX_COLUMNS = 16_384
 ORIGIN = ("_path", "_sheet_index", "_sheet")
@@ -156,7 +157,8 @@ class DocumentStore:
         check_width(len(columns))
         try:
             tagged = df.select(document_id.alias("_document_id"), *[cell(k) for k in keys], row_id, *[cell(c) for c in columns])
-            tagged.write.partitionBy("_document_id").parquet(path)
+            with several_writers(self.spark, len(tagged.columns)):
+                tagged.write.option("compression", "zstd").partitionBy("_document_id").parquet(path)
             written = self.spark.read.parquet(path)
             counted = written.groupBy("_document_id", *[cell(k) for k in keys]).agg(F.count("*").alias("rows"))
             spent = F.lit(int(1000 * (time.monotonic() - started)))

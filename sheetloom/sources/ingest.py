@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sheetloom.functions.text import blank
 from sheetloom.operators.grid import ROW_ID
+from sheetloom.plans import files
 from sheetloom.plans.versions import DocumentError, DocumentStore, check_width
-from sheetloom.session import scratch_dir
+from sheetloom.session import scratch_dir, several_writers
 from sheetloom.sources.delimited import named_rows, survey
 from sheetloom.sources.headers import SCAN_ROWS, detect_headers, unique_names
 from sheetloom.sources.splits import stored
-from sheetloom.sources.workbooks import cells_of, workbook_rows
+from sheetloom.sources.workbooks import ROWS_SCHEMA, cells_of, workbook_rows
 
 SHEET = ["path", "sheet_index", "sheet"]
 WORD = 32
@@ -84,15 +85,23 @@ def fleet_tables(spark: SparkSession, path: str, sheets: Sequence[str] = ()) ->
     are read together, so a fleet of workbooks costs one job per layout, not one per file. Every table keeps its rows' origin in ``_path``,
     ``_sheet_index``, ``_sheet``, ``_row_number`` and ``_header_row``.
     """
-    raw = stored(workbook_rows(spark, path, sheets), "rows")
+    return _fleet(spark, path, sheets, scratch_dir(spark, "fleet"))
+
+
+def _fleet(spark: SparkSession, path: str, sheets: Sequence[str], folder: str) -> list[tuple[list[str], DataFrame]]:
+    """The tables of a fleet; the rows they are read from lie in ``folder``."""
+    raw_folder = f"{folder}/rows"
+    workbook_rows(spark, path, sheets).write.option("compression", "zstd").parquet(raw_folder)
+    raw = spark.read.schema(ROWS_SCHEMA).parquet(raw_folder)
     headers = _named_headers(raw).withColumn("layout", F.md5(F.to_json("names")))
     layouts = sorted(headers.select("layout", "names").distinct().collect(), key=lambda row: row.names)
     rows = table_rows(raw, headers.drop("names")).where("row_number > header_row")
     if len(layouts) > 1:
         # Tables are told apart by folder, so that each layout reads its own rows.
-        folder = scratch_dir(spark, "sheets")
-        rows.write.partitionBy("layout").parquet(folder)
-        rows = spark.read.parquet(folder)
+        with several_writers(spark, max(len(layout.names) for layout in layouts)):
+            rows.write.option("compression", "zstd").partitionBy("layout").parquet(f"{folder}/layouts")
+        rows = spark.read.parquet(f"{folder}/layouts")
+        files.delete(spark, raw_folder)
     tables = []
     for layout in layouts:
         names = unique_names(layout.names)
@@ -113,18 +122,24 @@ def _named_headers(rows: DataFrame) -> DataFrame:
 
 
 def ingest_workbooks(store: DocumentStore, path: str, sheets: Sequence[str] = ()) -> list[str]:
-    """One document per chosen sheet, named after the sheet: one write per layout and one log batch for all documents. Row ids follow the sheet."""
-    documents = None
-    for names, rows in fleet_tables(store.spark, path, sheets):
-        stored = store.create_many(
-            rows.withColumn(ROW_ID, F.col("_row_number") - F.col("_header_row") - 1).drop("_row_number", "_header_row"),
-            keys=["_path", "_sheet_index", "_sheet"],
-            name=F.col("_sheet"),
-            source_type=F.lit("xlsx"),
-            source_file=F.substring_index("_path", "/", -1),
-            source_sheet=F.col("_sheet"),
-        )
-        documents = stored if documents is None else documents + stored
+    """One document per chosen sheet, named after the sheet: one write per layout and one log batch for all documents. Row ids follow the sheet.
+
+    The rows between workbooks and documents go when the documents are written.
+    """
+    documents, folder = None, scratch_dir(store.spark, "fleet")
+    try:
+        for names, rows in _fleet(store.spark, path, sheets, folder):
+            stored = store.create_many(
+                rows.withColumn(ROW_ID, F.col("_row_number") - F.col("_header_row") - 1).drop("_row_number", "_header_row"),
+                keys=["_path", "_sheet_index", "_sheet"],
+                name=F.col("_sheet"),
+                source_type=F.lit("xlsx"),
+                source_file=F.substring_index("_path", "/", -1),
+                source_sheet=F.col("_sheet"),
+            )
+            documents = stored if documents is None else documents + stored
+    finally:
+        files.delete(store.spark, folder)
     if not documents:
         raise DocumentError("no sheet with a recognisable header")
     return documents

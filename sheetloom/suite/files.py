@@ -134,11 +134,17 @@ def xlsx_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _in_sheets(rows: DataFrame, least: int = 1) -> DataFrame:
-    """A partition for every sheet: ``least`` of them, or as many as the rows fill to a little below the most rows of a sheet."""
-    n = rows.count()
+    """A partition for every sheet: ``least`` of them, or as many as the rows fill to a little below the most rows of a sheet.
+
+    Rows whose own partitions hold a sheet or more each, enough of them and of like size to keep all cores busy, stay where they are; a task then writes its sheets in turn.
+    """
+    held = [row["count"] for row in rows.groupBy(F.spark_partition_id()).count().collect()]
+    n = sum(held)
     parts = max(least, 1 if n < workbooks.SHEET_ROWS else -(-n // SHEET_FILL))
     if parts == 1:
         return rows.coalesce(1)
+    if max(least, 2 * rows.sparkSession.sparkContext.defaultParallelism) <= len(held) <= parts and max(held) * len(held) <= 2 * n:
+        return rows
     # Dealt by number, since a repartition without a key sorts every task's rows first.
     return rows.withColumn("_n", F.monotonically_increasing_id()).repartition(parts, "_n").drop("_n")
 

@@ -1,14 +1,16 @@
 import io
+import os
 import random
 import zipfile
 from pathlib import Path
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import values
-from sheetloom import scratch_dir
+from sheetloom import scratch_dir, session
 from sheetloom.plans.versions import DocumentError, DocumentStore
 from sheetloom.sources import delimited, headers, ingest, splits, workbooks
 
@@ -508,3 +510,94 @@ def test_survey_sorts_no_lines(spark, tmp_path, monkeypatch):
     assert "SortAggregate" not in plans[0] and "HashAggregate" in plans[0]
     rows = values(delimited.named_rows(found).orderBy("_row_id"))
     assert rows[:3] == [(0, "1", "2", None), (1, "3", "4", "5"), (2, "6", "7", None)] and len(rows) == 20_002
+
+
+# --- disk of workbooks and ingest ---
+
+
+def shuffles(df):
+    return "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_workbooks_are_read_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """With workbooks of like size for every core no markup is moved; with a large one among them its chunks are dealt out. The rows are the same."""
+    monkeypatch.setattr(workbooks, "BOOKS_PER_CORE", 1)
+    path = str(tmp_path / "out")
+    table = spark.range(0, 960, 1, 12).selectExpr("id", "concat('text ', id) as t")
+    workbooks.write_workbooks(table, path)
+    rows = workbooks.workbook_rows(spark, path)
+    expected = sorted((str(i), f"text {i}") for i in range(960))
+    assert not shuffles(rows) and sorted(tuple(c) for (c,) in values(rows.where("row_number > 1"), "cells")) == expected
+    workbooks.write_workbooks(spark.range(1000, 31_000).coalesce(1).selectExpr("id", "concat('text ', id) as t"), path)
+    rows = workbooks.workbook_rows(spark, path)
+    assert shuffles(rows) and sorted(tuple(c) for (c,) in values(rows.where("row_number > 1"), "cells")) == sorted(expected + [(str(i), f"text {i}") for i in range(1000, 31_000)])
+    (few := tmp_path / "few").mkdir()
+    book(few / "one.xlsx", [("s", "visible", inline({1: ["k", "v"], 2: ["1", "2"]}))])
+    assert shuffles(workbooks.workbook_rows(spark, str(few)))
+
+
+def test_dealt_markup_is_packed(tmp_path):
+    data = inline({i: [str(i * 7919 % 10_007), f"value {i}"] for i in range(1, 5000)})
+    path = book(tmp_path / "one.xlsx", [("s", "visible", data)], ["<t>a</t>"])
+    listed = pa.record_batch([pa.array([path])], names=["path"])
+    plain = list(workbooks._chunks(iter([listed]), None, None, 100_000))
+    packed = list(workbooks._packed(workbooks._chunks(iter([listed]), None, None, 100_000)))
+    assert len(packed) == len(plain) > 2 and sum(b.nbytes for b in packed) * 5 < sum(len(c["markup"]) for c in plain)
+    assert [{k: c[k] for k in plain[0]} for c in workbooks._dealt(iter(packed))] == plain
+
+
+def test_rows_between_workbooks_and_documents_go(spark, tmp_path):
+    """An ingest, also one of several layouts or one that fails, leaves no copy of the rows besides its documents."""
+    for i in range(2):
+        tall = {1: ["k", "v"]} | {r: [str(r), f"{i}"] for r in range(2, 200)}
+        book(tmp_path / f"w{i}.xlsx", [("s", "visible", inline(tall)), ("t", "visible", inline({1: ["other", "k", "v"], 2: ["a", "b", str(i)]}))])
+    before = set(os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))) if spark.conf.get("spark.checkpoint.dir", None) else set()
+    store = DocumentStore(spark, scratch_dir(spark, "store"))
+    docs = ingest.ingest_workbooks(store, str(tmp_path))
+    assert sorted(store.read(d).count() for d in docs) == [1, 1, 198, 198]
+    book(tmp_path / "headless.xlsx", [("u", "visible", inline({1: ["5"]}))])
+    with pytest.raises(DocumentError):
+        ingest.ingest_workbooks(store, str(tmp_path), ["u"])
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    for folder in set(os.listdir(root)) - before - {os.path.basename(store.root)}:
+        kept = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/{folder}")
+        assert "cells" not in kept.columns or kept.count() <= 4 * ingest.SCAN_ROWS, folder
+
+
+def test_documents_beyond_the_writers_of_a_task(spark, monkeypatch):
+    monkeypatch.setattr(session, "MOST_WRITERS", 2)
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    with session.several_writers(spark, 3):
+        assert spark.conf.get(key) == "2"
+    with session.several_writers(spark, 600):
+        assert spark.conf.get(key) == "1"
+    with session.several_writers(spark, 5000):
+        assert spark.conf.get(key) == "0"
+    store = DocumentStore(spark, scratch_dir(spark, "store"))
+    rows = spark.range(700).coalesce(1).selectExpr("id as _row_id", "id % 7 as _sheet_index", "concat('s', id % 7) as _sheet", "'p' as _path", "cast(id as string) as v")
+    docs = store.create_many(rows, ["_path", "_sheet_index", "_sheet"], F.col("_sheet"))
+    assert len(docs) == 7 and spark.conf.get(key) == before
+    assert sorted(tuple(r) for d in docs for r in store.read(d).collect()) == [(i, str(i)) for i in range(700)]
+
+
+def test_rows_that_fill_sheets_stay_where_they_are(spark, monkeypatch):
+    from sheetloom.suite import files
+
+    monkeypatch.setattr(workbooks, "SHEET_ROWS", 100)
+    monkeypatch.setattr(files, "SHEET_FILL", 90)
+    full, small = spark.range(0, 8000, 1, 16), spark.range(0, 160, 1, 16)
+    uneven = spark.range(0, 4000, 1, 1).union(spark.range(4000, 8000, 1, 15))
+    for rows, least, parts, moved in ((full, 8, 16, False), (full, 20, 89, True), (small, 8, 8, True), (uneven, 8, 89, True)):
+        dealt = files._in_sheets(rows, least)
+        assert (dealt.rdd.getNumPartitions(), shuffles(dealt)) == (parts, moved)
+        assert sorted(values(dealt)) == sorted(values(rows))
+
+
+def test_cells_name_the_blanks_they_keep(spark, tmp_path):
+    rows = [("a", " b"), ("", "c\n"), (None, "d"), (" ", "\r")]
+    workbooks.write_workbooks(spark.createDataFrame(rows, "x string, y string").coalesce(1), str(tmp_path / "out"))
+    (path,) = (tmp_path / "out").glob("*.xlsx")
+    markup = zipfile.ZipFile(path).read("xl/worksheets/sheet1.xml").decode()
+    assert '<c r="A2" t="inlineStr"><is><t>a<' in markup and '<c r="B2" t="inlineStr"><is><t xml:space="preserve"> b<' in markup
+    assert values(workbooks.workbook_rows(spark, str(tmp_path / "out")).where("row_number > 1").orderBy("row_number"), "cells") == [([x or "", y],) for x, y in rows]
